@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from rowforge.session import ship
 
-from . import decontamination, language_id, mixing, sharding
+from . import decontamination, jaccard_join, language_id, mixing, sharding
 
 _BUILDERS = {
     "op4_sharding": sharding.op4,
     "op5_mixing": mixing.op5,
+    "op8_jaccard_join": jaccard_join.op8,
     "op9_language_id": language_id.op9,
     "op10_decontamination": decontamination.op10,
 }
