@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from rowforge.session import ship
 
-from . import decontamination, jaccard_join, language_id, mixing, sharding
+from . import decontamination, jaccard_join, language_id, mixing, sharding, toxicity
 
 _BUILDERS = {
+    "op3_toxicity": toxicity.op3,
     "op4_sharding": sharding.op4,
     "op5_mixing": mixing.op5,
     "op8_jaccard_join": jaccard_join.op8,
