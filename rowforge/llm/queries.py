@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from rowforge.session import ship
 
-from . import decontamination, jaccard_join, language_id, mixing, sharding, toxicity
+from . import decontamination, jaccard_join, language_id, mixing, pii, sharding, toxicity
 
 _BUILDERS = {
     "op3_toxicity": toxicity.op3,
     "op4_sharding": sharding.op4,
     "op5_mixing": mixing.op5,
+    "op7_pii": pii.op7,
     "op8_jaccard_join": jaccard_join.op8,
     "op9_language_id": language_id.op9,
     "op10_decontamination": decontamination.op10,
