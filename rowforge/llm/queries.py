@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from rowforge.session import ship
 
-from . import decontamination, jaccard_join, language_id, mixing, pii, sharding, suffix_dedup, toxicity
+from . import decontamination, jaccard_join, language_id, mixing, pii, pivot_search, sharding, suffix_dedup, toxicity
 
 _BUILDERS = {
     "op1_suffix_dedup": suffix_dedup.op1,
+    "op2_pivot_search": pivot_search.op2,
     "op3_toxicity": toxicity.op3,
     "op4_sharding": sharding.op4,
     "op5_mixing": mixing.op5,
