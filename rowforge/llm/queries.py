@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rowforge.session import ship
 
-from . import decontamination, jaccard_join, language_id, mixing, pii, pivot_search, sharding, suffix_dedup, toxicity
+from . import decontamination, jaccard_join, language_id, license_scan, mixing, pii, pivot_search, sharding, suffix_dedup, toxicity
 
 _BUILDERS = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -12,6 +12,7 @@ _BUILDERS = {
     "op3_toxicity": toxicity.op3,
     "op4_sharding": sharding.op4,
     "op5_mixing": mixing.op5,
+    "op6_license_scan": license_scan.op6,
     "op7_pii": pii.op7,
     "op8_jaccard_join": jaccard_join.op8,
     "op9_language_id": language_id.op9,
