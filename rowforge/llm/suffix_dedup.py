@@ -112,13 +112,21 @@ def _anchor_rows(x: C.Texts, length: int, gram: int) -> dict[str, pa.Array]:
     col = lambda k, t: np.concatenate([p[k] for p in parts]).astype(t) if parts else np.zeros(0, t)
     return {
         "hashes": C.lists(C.signed(col(3, np.uint64)), off),
-        "first": C.lists(pa.array(col(0, np.int32)), off),
-        "windows": C.lists(pa.array(col(1, np.int32)), off),
-        "anchor": C.lists(pa.array(col(2, np.int32)), off),
+        "places": C.lists(pa.array(_packed(col(0, np.int64), col(1, np.int64), col(2, np.int64))), off),
     }
 
 
-ANCHOR_FIELDS = [T.StructField("hashes", T.ArrayType(T.LongType())), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("first", "windows", "anchor")]]
+def _packed(first: np.ndarray, windows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """A context's first window, number of windows and anchor in one number: rows stay narrow in the shuffle."""
+    return first << 24 | windows << 12 | anchor - first
+
+
+def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first = place >> 24
+    return first, place >> 12 & 4095, first + (place & 4095)
+
+
+ANCHOR_FIELDS = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("hashes", "places")]
 
 
 # --- 3: columns --------------------------------------------------------------------------------
@@ -218,7 +226,8 @@ def _cut_contexts(length: int):
                     w = wanted[i].values
                     if w is None or not len(w):
                         continue
-                    f, n, a, h = (w.field(k).to_numpy() for k in ("first", "windows", "anchor", "hash"))
+                    h = w.field("hash").to_numpy()
+                    f, n, a = _unpacked(w.field("place").to_numpy())
                     for f_, n_, a_, h_ in zip(f.tolist(), n.tolist(), a.tolist(), h.tolist(), strict=True):
                         s = t[f_ : f_ + n_ + length - 1].tobytes()
                         d = xxhash.xxh3_128_digest(s + h_.to_bytes(8, "little", signed=True) + (a_ - f_).to_bytes(4, "little"))
@@ -292,12 +301,14 @@ def _cut_out(x: C.Texts, runs: pa.Array, length: int) -> dict[str, pa.Array]:
 
 def repeated_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """rows (rid, text), rid unique -> (rid, runs): the windows of each text that occur again, as runs of starts."""
-    spark = rows.sparkSession
+    if length - gram >= 4095:
+        raise ValueError("a context's windows are numbered in 12 bits: length - gram must be under 4095")
     found = C.append_columns(rows, "text", ANCHOR_FIELDS, lambda x: _anchor_rows(x, length, gram), ["rid"])
-    anchors = C.cut(found.select("rid", F.inline(F.arrays_zip(F.col("hashes").alias("hash"), "first", "windows", "anchor"))), "suffix-anchors")
-    again = anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    anchors = C.cut(found.select("rid", F.inline(F.arrays_zip(F.col("hashes").alias("hash"), F.col("places").alias("place")))), "suffix-anchors")
+    # written, so that the join below has plain shuffles on both sides, which can be split at hot hashes
+    again = C.cut(anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "suffix-again")
     # several windows of one context in a row have one anchor only, so a text without another equal anchor is out
-    wanted = anchors.join(again, "hash", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("first", "windows", "anchor", "hash")).alias("wanted"))
+    wanted = anchors.join(again, "hash", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("place", "hash")).alias("wanted"))
     cut = rows.join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(_cut_contexts(length), "rid long, first int, digest binary, hash long, shift int, bytes binary")
     contexts = C.cut(cut, "suffix-contexts")
     strings = C.cut(contexts.groupBy("digest").agg(F.count("*").alias("n"), F.first("bytes", ignorenulls=True).alias("bytes"), F.first("hash").alias("hash"), F.first("shift").alias("shift")), "suffix-strings")
