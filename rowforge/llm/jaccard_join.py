@@ -189,7 +189,7 @@ def compare(sets: list[np.ndarray], side: np.ndarray, t: Threshold, group_sets:
     by = np.argsort(col, kind="stable")
     row, col, width = row[by], col[by], int(keep.sum())
     groups = [slice(i, min(i + group_sets, r)) for i in range(0, r, group_sets)]
-    step = max(256, (8 << 20) // max(r, 1))
+    step = min(max(256, (8 << 20) // max(r, 1)), max(width, 1))
     edges = np.searchsorted(col, np.arange(0, width + step, step))
 
     def chunks():
