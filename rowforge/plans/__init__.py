@@ -1 +1,5 @@
+"""Registered queries: importing this package fills the registry."""
 
+from . import registry, text_queries
+
+__all__ = ["registry", "text_queries"]
