@@ -25,6 +25,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(x: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+
+
 def first_match(text: Column | str, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null if there is none."""
     return F.when(_c(text).rlike(pattern), F.regexp_extract(_c(text), pattern, group))
@@ -136,20 +141,20 @@ _ANSWER = r"(?s)<answer>(.*?)</answer>"
 
 
 def last_answer_tag(text: Column | str) -> Column:
-    return F.trim(last_match(text, _ANSWER))
+    return strip(last_match(text, _ANSWER))
 
 
 def answer_envelope(text: Column | str, keep_prefix: bool = True) -> Column:
     """Inside <answer>, else from `Answer:` on (with or without the prefix), else the whole."""
     t = _c(text)
     after = first_match(t, r"(?s)(Answer:.*)$") if keep_prefix else first_match(t, r"(?s)Answer:(.*)$")
-    return F.trim(F.coalesce(first_match(t, _ANSWER), after, t))
+    return strip(F.coalesce(first_match(t, _ANSWER), after, t))
 
 
 def without_thinking(text: Column | str) -> Column:
     """What follows the last </think>, in its last <answer> tag if it has one."""
     rest = F.element_at(F.split(_c(text), "</think>", -1), -1)
-    return F.trim(F.coalesce(last_match(rest, _ANSWER), rest))
+    return strip(F.coalesce(last_match(rest, _ANSWER), rest))
 
 
 def em_reward(text: Column | str, golds: Column | str) -> Column:
@@ -276,7 +281,7 @@ def option_lines(text: Column | str) -> Column:
 
 def question_stem(text: Column | str) -> Column:
     """What stands before the first option line."""
-    return F.trim(F.element_at(F.split(_c(text), r"(?m)^\s*\(?A[.)]", 2), 1))
+    return strip(F.element_at(F.split(_c(text), r"(?m)^\s*\(?A[.)]", 2), 1))
 
 
 def route(prompt: Column | str) -> Column:

@@ -24,9 +24,9 @@ def _(t):
     return t("part").select("p_partkey", X.normalize_answer(F.replace("p_name", F.lit(" "), F.lit(" grey ")), aliases=True).alias("norm"))
 
 
-@query("t2_normalize_qa", r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM conversations""")
+@query("t2_normalize_qa", r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(translate(lower('The ' || p_name || ', an ' || p_brand || ' theory'), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM part""")
 def _(t):
-    return t("conversations").select("conv_id", "turn", X.normalize_qa("text").alias("norm"))
+    return t("part").select("p_partkey", X.normalize_qa(F.concat(F.lit("The "), "p_name", F.lit(", an "), "p_brand", F.lit(" theory"))).alias("norm"))
 
 
 @query("t3_exact_and_substring", "SELECT o_orderkey, lower(o_orderpriority) IN ('1-urgent', '2-high') AS em, contains(lower(o_orderpriority), 'high') AS sub FROM orders")
@@ -100,9 +100,9 @@ def _(t):
     return t("orders").select("o_orderkey", x["correct"].alias("correct"), x["source"].alias("source"))
 
 
-@query("t16_letter_index", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 0 END AS place FROM lineitem")
+@query("t16_letter_index", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 0 ELSE -1 END AS place FROM lineitem")
 def _(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", X.letter_index("l_returnflag").alias("place"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.coalesce(X.letter_index("l_returnflag"), F.lit(-1)).alias("place"))
 
 
 @query("t17_split_options", "SELECT p_partkey, p_name AS stem, [p_brand, p_type, 'x y', 'none'] AS options FROM part")
@@ -114,7 +114,7 @@ def _(t):
 
 @query(
     "t19_route",
-    """SELECT conv_id, turn, CASE WHEN contains(lower(text), '[caption]') THEN 'caption' WHEN contains(lower(text), 'bbox') THEN 'grounding' WHEN contains(lower(text), 'change') OR contains(lower(text), 'differ') THEN 'change'
+    """SELECT conv_id, turn, CASE WHEN contains(lower(text), '[caption]') THEN 'caption' WHEN regexp_matches(lower(text), '\\(a\\).*\\(b\\)|(?m:^a[.)])') THEN 'mcq' WHEN contains(lower(text), 'bbox') THEN 'grounding' WHEN contains(lower(text), 'change') OR contains(lower(text), 'differ') THEN 'change'
        WHEN contains(lower(text), 'locate') OR contains(lower(text), 'find the') OR contains(lower(text), 'where is') THEN 'grounding' WHEN contains(lower(text), 'describe') OR contains(lower(text), 'caption') THEN 'caption' ELSE 'vqa' END AS route
        FROM conversations""",
 )
@@ -122,7 +122,7 @@ def _(t):
     return t("conversations").select("conv_id", "turn", X.route("text").alias("route"))
 
 
-@query("t20_token_set", "SELECT item_id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?')), x -> x NOT IN ('" + "','".join(X.STOP_WORDS) + "'))) AS tokens FROM benchmark")
+@query("t20_token_set", "SELECT item_id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?')), lambda x: x NOT IN ('" + "','".join(X.STOP_WORDS) + "'))) AS tokens FROM benchmark")
 def _(t):
     return t("benchmark").select("item_id", F.array_sort(X.token_set("text")).alias("tokens"))
 
@@ -277,13 +277,13 @@ def _(t):
     return _boxes(t).select("l_orderkey", "l_linenumber", B.parse_native(F.concat(F.lit("at {<"), F.concat_ws("><", *c), F.lit(">}"))).alias("angle"), B.parse_native(F.concat(F.lit("["), F.concat_ws(", ", *c), F.lit("]"))).alias("square"))
 
 
-@query("b3_to_unit", f"SELECT l_orderkey, l_linenumber, list_transform([x1, y1, x2, y2], v -> v / 100.0) AS box FROM ({_BOX}) WHERE greatest(x1, y1, x2, y2) BETWEEN 2 AND 100")
+@query("b3_to_unit", f"SELECT l_orderkey, l_linenumber, list_transform([x1, y1, x2, y2], lambda v: v / 100.0) AS box FROM ({_BOX}) WHERE greatest(x1, y1, x2, y2) BETWEEN 2 AND 100")
 def _(t):
     b = F.array(*[F.col(x).cast("double") for x in ("x1", "y1", "x2", "y2")])
     return _boxes(t).where(F.greatest("x1", "y1", "x2", "y2").between(2, 100)).select("l_orderkey", "l_linenumber", B.to_unit(b).alias("box"))
 
 
-@query("b4_b5_native_forms", f"SELECT l_orderkey, l_linenumber, list_transform([x1, y1, x2, y2], v -> v / 100.0) AS full_box, [-x1, y1, x2, y2]::DOUBLE[] AS signed_box FROM ({_BOX}) WHERE x1 > 0")
+@query("b4_b5_native_forms", f"SELECT l_orderkey, l_linenumber, list_transform([x1, y1, x2, y2], lambda v: v / 100.0) AS full_box, [-x1, y1, x2, y2]::DOUBLE[] AS signed_box FROM ({_BOX}) WHERE x1 > 0")
 def _(t):
     c = [F.col(x).cast("string") for x in ("x1", "y1", "x2", "y2")]
     s = F.concat(F.lit("{<"), F.concat_ws("><", *c), F.lit(">}"))
