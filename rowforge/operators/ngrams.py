@@ -130,7 +130,6 @@ def _lcs(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
 def _rouge(c: pd.Series, refs: pd.Series) -> pd.Series:
     def one(t, rs):
         best = 0.0
@@ -144,7 +143,6 @@ def _rouge(c: pd.Series, refs: pd.Series) -> pd.Series:
     return pd.Series([one(t, r) for t, r in zip(c, refs, strict=True)])
 
 
-@F.pandas_udf("double")
 def _meteor(c: pd.Series, refs: pd.Series) -> pd.Series:
     def one(t, rs):
         best = 0.0
@@ -170,13 +168,13 @@ def _meteor(c: pd.Series, refs: pd.Series) -> pd.Series:
 
 def rouge_l(df: DataFrame, tokenizer=ascii_tokens) -> DataFrame:
     """(id, score): F1 of the longest common subsequence, best over references (M6, M7)."""
-    return df.select("id", _rouge(tokenizer("prediction"), _ref_tokens(tokenizer)).alias("score"))
+    return df.select("id", F.pandas_udf(_rouge, "double")(tokenizer("prediction"), _ref_tokens(tokenizer)).alias("score"))
 
 
 def meteor(df: DataFrame, tokenizer=ascii_tokens, stem: bool = False) -> DataFrame:
     """(id, score, backend): exact matches, or of stems; WordNet isn't available, and the backend says so (M8, M9)."""
     t = (lambda x: F.transform(tokenizer(x), stem_column)) if stem else tokenizer
-    return df.select("id", _meteor(t("prediction"), _ref_tokens(t)).alias("score"), F.lit("stem" if stem else "exact").alias("backend"))
+    return df.select("id", F.pandas_udf(_meteor, "double")(t("prediction"), _ref_tokens(t)).alias("score"), F.lit("stem" if stem else "exact").alias("backend"))
 
 
 def _ref_tokens(tokenizer) -> Column:

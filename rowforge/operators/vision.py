@@ -295,6 +295,13 @@ def remove_overlaps(df: DataFrame, by: list[str], identity: str, score: str, cou
 IOU_LEVELS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 
+def _sides(truths: DataFrame, predictions: DataFrame, image: str, *columns: str) -> DataFrame:
+    """Both tables as one, with nulls where the truths have no such column; `pred` tells them apart."""
+    p = predictions.select(image, "box", *columns, F.lit(True).alias("pred"))
+    kinds = {f.name: f.dataType for f in p.schema.fields}
+    return truths.select(image, "box", *[F.lit(None).cast(kinds[c]).alias(c) for c in columns], F.lit(False).alias("pred")).unionByName(p)
+
+
 def cgf1_images(truths: DataFrame, predictions: DataFrame, image: str, threshold: float = 0.5, levels: list[float] | None = None) -> DataFrame:
     """Per image and IoU level: TP, FP, FN by assignment, and the image's own outcome (V4).
 
@@ -303,8 +310,8 @@ def cgf1_images(truths: DataFrame, predictions: DataFrame, image: str, threshold
     levels = IOU_LEVELS if levels is None else levels
     schema = T.StructType([truths.schema[image], *[T.StructField(n, T.DoubleType()) for n in ("level",)], *[T.StructField(n, T.LongType()) for n in ("tp", "fp", "fn", "n_gt", "n_pred")]])
 
-    def one(key, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        p = p[p["score"] >= threshold]
+    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+        g, p = rows[~rows["pred"]], rows[rows["pred"] & (rows["score"] >= threshold)]
         a = np.stack(p["box"].to_list()).astype(float) if len(p) else np.zeros((0, 4))
         b = np.stack(g["box"].to_list()).astype(float) if len(g) else np.zeros((0, 4))
         sim = iou_matrix(a, b)
@@ -313,7 +320,7 @@ def cgf1_images(truths: DataFrame, predictions: DataFrame, image: str, threshold
         rows = [(key[0], lv, int((got >= lv).sum()), len(a) - int((got >= lv).sum()), len(b) - int((got >= lv).sum()), len(b), len(a)) for lv in levels]
         return pd.DataFrame(rows, columns=[image, "level", "tp", "fp", "fn", "n_gt", "n_pred"])
 
-    return truths.select(image, "box").groupBy(image).cogroup(predictions.select(image, "box", "score").groupBy(image)).applyInPandas(one, schema)
+    return _sides(truths, predictions, image, "score").groupBy(image).applyInPandas(one, schema)
 
 
 def cgf1_totals(images: DataFrame) -> DataFrame:
@@ -344,13 +351,14 @@ def match_detections(truths: DataFrame, predictions: DataFrame, image: str, leve
     levels = IOU_LEVELS if levels is None else levels
     schema = T.StructType([predictions.schema[image], predictions.schema["prediction_id"], T.StructField("score", T.DoubleType()), T.StructField("level", T.DoubleType()), T.StructField("hit", T.BooleanType())])
 
-    def one(key, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+        g, p = rows[~rows["pred"]], rows[rows["pred"]]
         p = p.sort_values(["score", "prediction_id"], ascending=[False, True]).head(max_dets)
         if not len(p):
             return pd.DataFrame({c: [] for c in schema.names})
         b = np.stack(g["box"].to_list()).astype(float) if len(g) else np.zeros((0, 4))
         sim = iou_matrix(np.stack(p["box"].to_list()).astype(float), b)
-        rows = []
+        out = []
         for lv in levels:
             free = np.ones(len(b), bool)
             for i, (pid, sc) in enumerate(zip(p["prediction_id"], p["score"], strict=True)):
@@ -359,10 +367,10 @@ def match_detections(truths: DataFrame, predictions: DataFrame, image: str, leve
                 hit = j >= 0 and s[j] >= lv
                 if hit:
                     free[j] = False
-                rows.append((key[0], pid, float(sc), lv, bool(hit)))
-        return pd.DataFrame(rows, columns=schema.names)
+                out.append((key[0], pid, float(sc), lv, bool(hit)))
+        return pd.DataFrame(out, columns=schema.names)
 
-    return truths.select(image, "box").groupBy(image).cogroup(predictions.select(image, "prediction_id", "box", "score").groupBy(image)).applyInPandas(one, schema)
+    return _sides(truths, predictions, image, "prediction_id", "score").groupBy(image).applyInPandas(one, schema)
 
 
 def average_precision_101(matches: DataFrame, n_truths: int, image: str) -> DataFrame:

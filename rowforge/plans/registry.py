@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowforge.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,7 +21,7 @@ def query(name: str, sql: str | None = None):
     """Register a builder f(t) where t(name) reads a table."""
 
     def put(build):
-        QUERIES[name] = lambda spark, sf_dir: build(lambda n: table(spark, sf_dir, n))
+        QUERIES[name] = lambda spark, sf_dir: build(lambda n: table(ship(spark), sf_dir, n))
         if sql is not None:
             ORACLES[name] = sql
         return build
