@@ -1,11 +1,12 @@
 """Exact Jaccard join of documents on word shingles, by a token-group matrix.
 
 1. Each text becomes the set of its distinct shingles (64-bit hashes); equal sets are one node.
-2. Similar sets are brought into the same partition of the join: sets at the threshold differ in
-   at most H(n) shingles, so with the hash space cut into k > H(n) parts, one of the first
-   H(n) + 1 parts that are not empty is the same in both. Sets that share such a part
-   (size class, part, contents) are connected into clusters; tasks pass on one node
-   a part, so a part that very many sets share costs no task more than others.
+2. Candidates: two sets at the threshold share `least` (4) of the first n - ceil(threshold * n) + least
+   shingles of each, in any order common to all (all of a smaller set's, if it has too few). The order is by rising
+   frequency, so that shingles of frequent lines and passages come last; frequencies are those of 2^SKETCH_BITS
+   hash bins, counted over all rows and broadcast (8 MB at any input). Pairs of sets under a shingle of up to LIGHT sets are
+   counted, and those that share enough shingles are candidates; under a shingle of more, all are
+   connected to one of them, so its cost grows with its sets and not their pairs. Connected candidates form clusters.
 3. A cluster's sets are dealt into blocks of bounded size, by size and hash; pairs of blocks whose sizes can
    match are compared. In a task, sets that look alike form groups, the matrix of
    groups and tokens holds each group's token union, the overlap of a set with a union bounds its overlap with each
@@ -13,8 +14,7 @@
    the overlaps are counted exactly. No pair leaves a task: what leaves is each node's least linked node and how many documents it links with.
 4. Connected components of these links.
 
-A set misses a linked one only if fewer than H + 1 of its k parts are filled; k is chosen so
-that this has a chance below 1e-12 a set, like the collision of two 64-bit hashes.
+The join is exact but for collisions of 64-bit hashes.
 
 Defined cases: null or wordless texts have no shingles, link with nothing and are
 their own component; a text of fewer words than a shingle is one shingle, its whole
@@ -26,10 +26,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +40,10 @@ from .components import components
 TABLE = C.byte_table("space", lower=True)
 #: Tokens of one block of a cluster (a set counts for LEAST_TOKENS at least, which bounds the sets), and sets in one group of the matrix.
 BLOCK_TOKENS, LEAST_TOKENS, GROUP_SETS = 1_000_000, 500, 32
-#: Rows that a task holds before it passes on one node a part.
+#: Rows that a task holds before it passes them on.
 HELD_ROWS = 2_000_000
+#: Shingles that candidates share at least; sets under a shingle up to which pairs are counted; bits of frequency bins.
+LEAST_SHARED, LIGHT, SKETCH_BITS = 4, 64, 21
 U = np.uint64
 
 
@@ -54,33 +56,16 @@ class Threshold:
     def largest(self, n):
         return n * self.den // self.num
 
-    def differ(self, n):
-        """Most shingles in which a set of n and one no larger than largest(n) may differ."""
-        return (self.den - self.num) * (n + self.largest(n)) // (self.den + self.num)
+    def common(self, n):
+        """Least overlap of a set of n with any set it links with."""
+        return -(-self.num * n // self.den)
 
-    def parts(self, cls: int) -> int:
-        return _parts(self.num, self.den, cls)
+    def prefix(self, n):
+        """How many of a set's first shingles hold `needed` ones of any set it links with."""
+        return min(n, n - self.common(n) + LEAST_SHARED)
 
-
-@lru_cache(None)
-def _parts(num: int, den: int, cls: int) -> int:
-    """k for sizes of `cls` bits: the chance that n hashes fill no more than H of k parts is below 1e-12."""
-    t = Threshold(num, den)
-    sizes = {n for n in np.linspace(1 << (cls - 1), (1 << cls) - 1, 64).astype(int)}
-
-    def sure(k: int) -> bool:
-        for n in map(int, sizes):
-            h = t.differ(n)
-            if h and (h >= k or math.lgamma(k + 1) - math.lgamma(h + 1) - math.lgamma(k - h + 1) + n * math.log(h / k) > math.log(1e-12)):
-                return False
-        return True
-
-    k = max(1, t.differ((1 << cls) - 1) + 1)
-    while not sure(k):
-        k = k + 1 + k // 64
-        if k > 1 << 20:
-            break
-    return k
+    def needed(self, n):
+        return min(LEAST_SHARED, self.common(n))
 
 
 def shingle_sets(x: C.Texts, size: int) -> Iterator[np.ndarray]:
@@ -102,66 +87,164 @@ def _digest(s: np.ndarray) -> int:
     return int(C.mix(total).view(np.int64)[0])
 
 
-def _members(x: C.Texts, size: int) -> dict[str, pa.Array]:
-    sets = list(shingle_sets(x, size))
-    return {"n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([_digest(s) if len(s) else None for s in sets], pa.int64())}
+def _members(documents: DataFrame, size: int) -> DataFrame:
+    """(id, n_shingles, node, bins): a row each of documents (id, text), and one a task with the counts of hash bins and its number as n_shingles."""
+    schema = T.StructType([T.StructField("id", documents.schema["id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bins", T.BinaryType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, kind = np.zeros(1 << SKETCH_BITS, np.int64), None
+        for b in batches:
+            kind = b.column(0).type
+            for x in C.texts(b.column(1)):
+                sets = list(shingle_sets(x, size))
+                bins += np.bincount((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x.lo, len(x)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(x), pa.binary())], names=names)
+        if kind is not None and bins.any():
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([task], pa.int64()), pa.nulls(1, pa.int64()), pa.array([_packed(bins)], pa.binary())], names=names)
 
+    return documents.mapInArrow(run, schema)
 
-def _part_keys(s: np.ndarray, t: Threshold) -> np.ndarray:
-    n, out = len(s), []
-    for cls in {n.bit_length(), int(t.largest(n)).bit_length()}:
-        k = t.parts(cls)
-        part = ((s >> U(32)) * U(k)) >> U(32)
-        start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        h = t.differ(n) + 1
-        sums = np.add.reduceat(s * C.GRAM_KEYS[cls % 32], start)[:h]
-        out.append(C.mix(sums ^ C.mix(part[start[:h]] * C.GRAM_KEYS[40] + U(cls))))
-    return np.concatenate(out)
 
+def _packed(bins: np.ndarray) -> bytes:
+    return np.minimum(bins, 2**32 - 1).astype("<u4").tobytes()
 
-def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, node) with one node a key, and for each other node a key of its own that it shares with that one."""
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    hub = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    pairs = np.unique(np.stack([node[node != hub], hub[node != hub]], 1), axis=0)
-    own = C.mix(pairs[:, 0].view(np.uint64) * C.GRAM_KEYS[41] + pairs[:, 1].view(np.uint64) * C.GRAM_KEYS[42])
-    return np.concatenate([key[first], own, own]), np.concatenate([node[first], pairs[:, 0], pairs[:, 1]])
+
+def _frequencies(parts: DataFrame) -> np.ndarray:
+    """The sum of all tasks' bins (task, bins), by sixteens, so that no task gets more than a few."""
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for v in t["bins"]:
+            total += np.frombuffer(v.as_buffer(), "<u4")
+        return pa.table({"task": pa.array([key[0].as_py()], pa.int64()), "bins": pa.array([_packed(total)], pa.binary())})
+
+    most = parts.agg(F.max("task")).first()[0]
+    while most:
+        parts = parts.withColumn("task", F.floor(F.col("task") / 16)).groupBy("task").applyInArrow(add, "task long, bins binary")
+        most //= 16
+    rows = parts.collect()  # one row of a fixed size
+    return np.frombuffer(rows[0]["bins"], "<u4") if rows else np.zeros(1 << SKETCH_BITS, "<u4")
 
 
-def _candidates(documents: DataFrame, text_col: str, size: int, t: Threshold) -> DataFrame:
-    """Edges (a, b) between nodes that share a part; enough of them to connect all that do."""
+def _first_shingles(s: np.ndarray, t: Threshold, frequency: np.ndarray) -> np.ndarray:
+    """The set's rarest shingles, as many as its prefix takes; equal frequencies by hash."""
+    rank = frequency[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
+    return s[np.argsort(rank, kind="stable")[: t.prefix(len(s))]]
+
+
+def _own_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A key that stands for one edge."""
+    return C.mix(a.view(np.uint64) * C.GRAM_KEYS[41] + b.view(np.uint64) * C.GRAM_KEYS[42])
+
+
+def _thinned(key: np.ndarray, node: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with distinct nodes under each key. A key with more than LIGHT of them keeps one, marked by needed = 0; the others get an edge to it under a key of their own."""
+    order = np.lexsort((node, key))
+    key, node, needed = key[order], node[order], needed[order]
+    once = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+    key, node, needed = key[once], node[once], needed[once]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    heavy = np.repeat(size > LIGHT, size)
+    if not heavy.any():
+        return key, node, needed
+    hub = np.repeat(node[first], size)
+    lead = np.zeros(len(key), bool)
+    lead[first] = True
+    needed = np.where(heavy & lead, 0, needed)
+    pairs = np.unique(np.stack([node, hub], 1)[heavy & ~lead], axis=0)
+    own, one = _own_key(pairs[:, 0], pairs[:, 1]), np.ones(len(pairs), needed.dtype)
+    keep = ~heavy | lead
+    return np.concatenate([key[keep], own, own]), np.concatenate([node[keep], pairs[:, 0], pairs[:, 1]]), np.concatenate([needed[keep], one, one])
+
+
+def _pairs(key: np.ndarray, node: np.ndarray, needed: np.ndarray, hub: int | None) -> tuple[np.ndarray, ...]:
+    """(a, b, shared, needed) of whole groups, sorted by key and node. hub: the first group goes on from one known to be large."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    marked = np.minimum.reduceat(needed, first) == 0
+    large = (size > LIGHT) | marked
+    if hub is not None:
+        large[0] = True
+    out = []
+    for m in np.unique(size[~large]):
+        if m > 1:
+            at = first[(size == m) & ~large][:, None] + np.arange(m)[None, :]
+            i, j = np.triu_indices(int(m), 1)
+            out.append((node[at][:, i].ravel(), node[at][:, j].ravel(), np.ones(at.shape[0] * len(i), np.int64), np.minimum(needed[at][:, i], needed[at][:, j]).ravel().astype(np.int64)))
+    if large.any():
+        to = np.repeat(node[first], size)
+        if hub is not None:
+            to[: size[0]] = hub
+        pick = np.repeat(large, size) & (node != to)
+        out.append((to[pick], node[pick], np.ones(int(pick.sum()), np.int64), np.ones(int(pick.sum()), np.int64)))
+    if not out:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z
+    a, b, n, need = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.lexsort((b, a))
+    a, b, n, need = a[order], b[order], n[order], need[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, int)
+    return (a[at], b[at], np.add.reduceat(n, at), np.minimum.reduceat(need, at)) if len(at) else (a, b, n, need)
+
+
+def _candidates(documents: DataFrame, text_col: str, size: int, t: Threshold, frequency: np.ndarray) -> DataFrame:
+    """Edges (a, b) between nodes that share enough of their first shingles, or one that is too frequent to count pairs under."""
+    shared = documents.sparkSession.sparkContext.broadcast(frequency)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, held = [], [], 0
+        keys, nodes, needs, held = [], [], [], 0
 
         def flush():
-            k, n = _stars(np.concatenate(keys), np.concatenate(nodes))
-            return pa.RecordBatch.from_arrays([C.signed(k), pa.array(n)], names=["key", "node"])
+            k, n, r = _thinned(np.concatenate(keys), np.concatenate(nodes), np.concatenate(needs))
+            return pa.RecordBatch.from_arrays([C.signed(k), pa.array(n), pa.array(r)], names=["key", "node", "needed"])
 
         for b in batches:
             for x in C.texts(b.column(0)):
                 for s in shingle_sets(x, size):
                     if len(s):
-                        keys.append(k := _part_keys(s, t))
+                        keys.append(k := _first_shingles(s, t, shared.value))
                         nodes.append(np.full(len(k), _digest(s)))
+                        needs.append(np.full(len(k), t.needed(len(s)), np.int8))
                         held += len(k)
                 if held >= HELD_ROWS:
                     yield flush()
-                    keys, nodes, held = [], [], 0
+                    keys, nodes, needs, held = [], [], [], 0
         if held:
             yield flush()
 
-    rows = documents.select(F.col(text_col).alias("text")).mapInArrow(emit, "key long, node long")
-    hub = F.min("node").over(_by("key"))
-    return rows.select(F.col("node").alias("a"), hub.alias("b")).where("a <> b").distinct()
-
-
-def _by(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*cols)
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # groups may go on in the next batch: the last one waits; of one known to be large, only its hub does
+        rest: tuple[np.ndarray, ...] | None = None
+        hub = None
+        for b in batches:
+            cols = [b.column(i).to_numpy() for i in range(3)]
+            if rest is not None:
+                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+            key, node, needed = cols
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1], "left"))
+            if last == 0 and len(key) > LIGHT:  # one group only, and a large one
+                hub = node[0] if hub is None else hub
+                yield batch(_pairs(key, node, needed, hub))
+                rest = (key[-1:], np.array([hub]), np.zeros(1, needed.dtype))
+                continue
+            if last:
+                yield batch(_pairs(key[:last], node[:last], needed[:last], hub))
+                hub = None
+            rest = (key[last:], node[last:], needed[last:])
+        if rest is not None and len(rest[0]):
+            yield batch(_pairs(*rest, hub))
+
+    def batch(c: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=["a", "b", "shared", "needed"])
+
+    rows = documents.select(F.col(text_col).alias("text")).mapInArrow(emit, "key long, node long, needed byte")
+    found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(pair, "a long, b long, shared long, needed long")
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed").select("a", "b")
 
 
 def _sets(documents: DataFrame, text_col: str, size: int) -> DataFrame:
@@ -271,9 +354,10 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(id, n_shingles, component_id, n_links) for each row of documents."""
     t = Threshold(*threshold)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())]
-    members = C.cut(C.append_columns(docs, "text", fields, lambda x: _members(x, size), ["id"]), "jaccard-members")
-    clusters = components(C.cut(_candidates(docs, "text", size, t), "jaccard-candidates"), "jaccard-clusters")
+    both = C.cut(_members(docs, size), "jaccard-members")
+    members = both.where("bins is null").drop("bins")
+    frequency = _frequencies(both.where("bins is not null").select(F.col("n_shingles").alias("task"), "bins"))
+    clusters = components(C.cut(_candidates(docs, "text", size, t, frequency), "jaccard-candidates"), "jaccard-clusters")
     nodes = members.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
     held = nodes.join(clusters, "node").withColumn("w", F.greatest("n", F.lit(LEAST_TOKENS))).withColumn("octave", F.floor(F.log("n") / math.log(t.den / t.num)).cast("int"))
     octaves = held.groupBy("comp", "octave").agg(F.ceil(F.sum("w") / block_tokens).cast("int").alias("blocks"))
