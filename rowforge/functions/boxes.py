@@ -23,11 +23,12 @@ def _ordered(b: Column) -> Column:
 def parse_percent(text: Column | str) -> Column:
     """The first four numbers as a 0-100 box: up to 1 counts as a fraction, over 100 as thousandths; null if it can't be one."""
     bare = F.regexp_replace(_c(text), r"(?i)\b[xy][12]\b", "")
-    n = F.transform(F.slice(all_matches(bare, NUMBER), 1, 4), lambda x: x.cast("double"))
+    found = F.slice(all_matches(bare, NUMBER), 1, 4)
+    n = F.transform(F.when(F.size(found) == 4, found), lambda x: x.cast("double"))
     high, low = F.array_max(n), F.array_min(n)
     scaled = F.transform(n, lambda x: F.when(high <= 1, x * 100).when(high > 100, x / 10).otherwise(x))
     b = _ordered(scaled)
-    return F.when((F.size(n) == 4) & (low >= 0) & (high <= 1000) & (b[0] < b[2]) & (b[1] < b[3]), b)
+    return F.when((low >= 0) & (high <= 1000) & (b[0] < b[2]) & (b[1] < b[3]), b)
 
 
 def parse_native(text: Column | str) -> Column:

@@ -40,9 +40,9 @@ def latest_success(df: DataFrame, key: str, attempt: str, success: Column) -> Da
 
 def explicit_attempt(df: DataFrame, key: str, attempt: str, wanted: int) -> DataFrame:
     """Exactly the wanted attempt of each key; a key with none or several is an error."""
-    n = F.count_if(F.col(attempt) == wanted).over(_w(key))
-    checked = df.withColumn("__ok", F.when(n != 1, F.raise_error(F.concat(F.lit("attempts of "), F.col(key).cast("string"), F.lit(": "), n.cast("string"))).cast("int")).otherwise(1))
-    return checked.where((F.col(attempt) == wanted) & (F.col("__ok") == 1)).drop("__ok")
+    counted = df.withColumn("__n", F.count_if(F.col(attempt) == wanted).over(_w(key)))
+    error = F.raise_error(F.concat(F.lit("attempts of "), F.col(key).cast("string"), F.lit(": "), F.col("__n").cast("string"))).cast("boolean")
+    return counted.where(F.when(F.col("__n") != 1, error).otherwise(F.col(attempt) == wanted)).drop("__n")
 
 
 def drifted(df: DataFrame, key: str, fingerprint: Column) -> DataFrame:

@@ -34,13 +34,15 @@ def json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def jsonl_lenient(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows that parse, and the text of those that don't."""
-    both = spark.read.schema(f"{schema}, __bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
-    return both.where(F.col("__bad").isNull()).drop("__bad"), both.where(F.col("__bad").isNotNull()).select("__bad")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    row = F.from_json("value", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    both = lines.withColumn("row", row).withColumn("ok", F.trim("value").rlike(r"(?s)^\{.*\}$") & F.col("row.__bad").isNull())
+    return both.where("ok").select("row.*").drop("__bad"), both.where("not ok").select(F.col("value").alias("__bad"))
 
 
 def jsonl_shards(spark: SparkSession, folder: str, schema: str, prefix: str | None = None, text: str = "prompt") -> DataFrame:
-    """part*.jsonl with a global line number in the order of file names; optionally only prompts with a prefix."""
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{folder}/part*.jsonl").withColumn("file", F.input_file_name()).withColumn("__i", F.monotonically_increasing_id())
+    """part*.json or .jsonl with a global line number in the order of file names; optionally only prompts with a prefix."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{folder}/part*.json*").withColumn("file", F.input_file_name()).withColumn("__i", F.monotonically_increasing_id())
     counts = rows.groupBy("file").agg(F.count("*").alias("__n"))
     offsets = counts.withColumn("__from", F.sum("__n").over(Window.orderBy("file")) - F.col("__n")).drop("__n")  # a row a file
     out = rows.join(F.broadcast(offsets), "file").withColumn("line_number", F.col("__from") + F.row_number().over(Window.partitionBy("file").orderBy("__i"))).drop("__i", "__from")
