@@ -19,4 +19,30 @@ _BUILDERS = {
     "op10_decontamination": decontamination.op10,
 }
 QUERIES = {name: (lambda spark, sf_dir, build=build: build(ship(spark), sf_dir)) for name, build in _BUILDERS.items()}
-ORACLES: dict[str, str] = {}
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP2 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 20"""
+
+_OP8 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(l) >= 3 THEN list_transform(generate_series(1, len(l) - 2), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2]) WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 90 * (nx.c + ny.c - i)),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.reach = e.x)
+SELECT d.doc_id, coalesce((SELECT c FROM n WHERE n.doc_id = d.doc_id), 0) AS n_shingles, (SELECT min(reach) FROM r WHERE r.doc_id = d.doc_id) AS component_id, (SELECT count(*) FROM e WHERE e.x = d.doc_id) AS n_links FROM documents d"""
+
+_NAMES = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP10 = rf"""WITH d AS (SELECT doc_id, {_NAMES} AS w FROM documents), b AS (SELECT item_id, {_NAMES} AS w FROM benchmark),
+i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, g FROM (SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(generate_series(1, len(w) - least(10, len(w)) + 1), lambda k: array_to_string(w[k : k + least(10, len(w)) - 1], ' '))) AS g FROM b WHERE len(w) > 0)),
+z AS (SELECT DISTINCT n FROM i),
+x AS (SELECT doc_id, n, unnest(generate_series(1, len(w) - n + 1)) AS k, w FROM d, z WHERE len(w) >= n),
+h AS (SELECT doc_id, x.n, k, item FROM x JOIN i ON i.n = x.n AND i.g = array_to_string(w[k : k + x.n - 1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+#: The others train models, hash rows or build trees; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op2_pivot_search": _OP2, "op8_jaccard_join": _OP8, "op10_decontamination": _OP10}
