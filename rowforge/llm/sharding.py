@@ -18,6 +18,9 @@ empty; an empty table gives no rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,51 +38,92 @@ def _code(c: Column) -> Column:
     return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
 
 
-def _units(docs: DataFrame, shards: int, pieces_per_leaf: int) -> DataFrame:
-    """docs (any columns and __h, __crc, size, x_*) with the metadata of their group and a piece number."""
-    g = ["__h", "__crc", "size"]
-    groups = docs.groupBy(*g).agg(F.count("*").alias("__n"), *[F.min(d).alias(f"__{d}") for d in DIMENSIONS]).where("__n > 1")
-    total = docs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    piece = max(1, total // (shards * pieces_per_leaf))
-    pieces = F.least(F.lit(1 << PIECE_BITS), F.ceil(F.coalesce(F.col("__n"), F.lit(1)) * F.col("size") / piece))
-    out = docs.join(groups, g, "left").withColumns({d: F.coalesce(f"__{d}", d) for d in DIMENSIONS})
-    return out.withColumn("__piece", F.when(F.col("__n").isNull(), 0).otherwise(F.pmod(F.xxhash64("__salt"), pieces))).drop("__n", *[f"__{d}" for d in DIMENSIONS])
+GROUP = ["__h", "__crc", "size"]
 
 
-def kd_shards(docs: DataFrame, shards: int = SHARDS, pieces_per_leaf: int = PIECES_PER_LEAF) -> DataFrame:
-    """docs with `shard`. docs: size (long), __h (text hash), __crc, __salt (row identity), x_size, x_source, x_lang (double)."""
-    rows = C.cut(_units(docs, shards, pieces_per_leaf), "kd-units")
-    ends = rows.agg(*[F.min(d).alias(f"lo_{d}") for d in DIMENSIONS], *[F.max(d).alias(f"hi_{d}") for d in DIMENSIONS]).first()
-    low = F.shiftrightunsigned("__h", 64 - HASH_BITS) * (1 << PIECE_BITS) + F.col("__piece")
+@dataclass
+class Tree:
+    """Extents of the dimensions, the groups whose members don't place themselves, and each level's splits: node -> (dimension, first order value of the right side)."""
+
+    ends: dict
+    groups: DataFrame
+    levels: list[dict[int, tuple[str, int]]]
+    names: dict[int, int]
+
+
+def _groups(docs: DataFrame, shards: int, pieces_per_leaf: int) -> DataFrame:
+    """Groups of equal texts whose metadata differ, or which are too heavy to stay whole: the metadata of all, and the number of pieces."""
+    total = docs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    piece = max(1, total // (shards * pieces_per_leaf))
+    groups = docs.groupBy(*GROUP).agg(F.count("*").alias("__n"), *[F.min(d).alias(f"__{d}") for d in DIMENSIONS], *[F.max(d).alias(f"__most_{d}") for d in DIMENSIONS]).where("__n > 1")
+    groups = groups.withColumn("__pieces", F.least(F.lit(1 << PIECE_BITS), F.ceil(F.col("__n") * F.col("size") / piece)))
+    differ = reduce(lambda x, y: x | y, [F.col(f"__{d}") != F.col(f"__most_{d}") for d in DIMENSIONS])
+    return C.cut(groups.where(differ | (F.col("__pieces") > 1)).select(*GROUP, "__pieces", *[f"__{d}" for d in DIMENSIONS]), "kd-groups")
+
+
+def _ordered(docs: DataFrame, groups: DataFrame, ends: dict | None) -> tuple[DataFrame, dict]:
+    """docs with their order in each dimension, __k_<dimension>: its grid, then text hash, then piece."""
+    rows = docs.join(groups, GROUP, "left").withColumns({d: F.coalesce(f"__{d}", d) for d in DIMENSIONS})
+    if ends is None:
+        ends = rows.agg(*[F.min(d).alias(f"lo_{d}") for d in DIMENSIONS], *[F.max(d).alias(f"hi_{d}") for d in DIMENSIONS]).first().asDict()
+    piece = F.when(F.col("__pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("__salt"), F.col("__pieces")))
+    low = F.shiftrightunsigned("__h", 64 - HASH_BITS) * (1 << PIECE_BITS) + piece
     for d in DIMENSIONS:
         lo, hi = ends[f"lo_{d}"], ends[f"hi_{d}"]
         unit = (F.col(d) - lo) / (hi - lo) if lo is not None and hi > lo else F.lit(0.0)
         rows = rows.withColumn(f"__k_{d}", F.floor(unit * ((1 << GRID_BITS) - 1)) * (1 << (HASH_BITS + PIECE_BITS)) + low)
-    rows = rows.withColumn("__node", F.lit(0).cast("long"))
-    leaves = {0: (0, shards)}  # node: its first shard and how many it will have
-    depth = 0
+    return rows.drop("__pieces", *[f"__{d}" for d in DIMENSIONS]), ends
+
+
+def _descend(rows: DataFrame, levels: list[dict[int, tuple[str, int]]]) -> DataFrame:
+    """rows with __node after the given levels; a node that a level doesn't split goes left."""
+    node = F.lit(0).cast("long")
+    for level in levels:
+        rows = rows.withColumn("__node", node)
+        side = F.lit(False)
+        for d in DIMENSIONS:
+            cuts = {n: at for n, (dim, at) in level.items() if dim == d}
+            if cuts:
+                at = F.try_element_at(F.create_map(*[F.lit(x).cast("long") for kv in cuts.items() for x in kv]), F.col("__node"))
+                side = F.when(at.isNotNull(), F.col(f"__k_{d}") >= at).otherwise(side)
+        rows = rows.withColumn("__node", F.col("__node") * 2 + side.cast("long"))
+        node = F.col("__node")
+    return rows.withColumn("__node", node)
+
+
+def plan(docs: DataFrame, shards: int = SHARDS, pieces_per_leaf: int = PIECES_PER_LEAF) -> Tree:
+    """The tree of docs: size (long), __h (text hash), __crc, __salt (row identity), x_size, x_source, x_lang (double); a cheap table, read several times a level."""
+    groups = _groups(docs, shards, pieces_per_leaf)
+    rows, ends = _ordered(docs, groups, None)
+    rows = C.cut(rows.select("size", *[f"__k_{d}" for d in DIMENSIONS]), "kd-rows")
+    leaves, levels = {0: (0, shards)}, []  # node: its first shard and how many it will have
     while any(n > 1 for _, n in leaves.values()):
+        at = _descend(rows, levels)
         grid = [F.shiftright(f"__k_{d}", HASH_BITS + PIECE_BITS) for d in DIMENSIONS]
-        stats = rows.groupBy("__node").agg(F.sum("size").alias("w"), *[(F.max(g) - F.min(g)).alias(d) for g, d in zip(grid, DIMENSIONS, strict=True)]).collect()  # a row a node
-        open_ = [(r["__node"], max(DIMENSIONS, key=lambda d, r=r: r[d]), r["w"] * (leaves[r["__node"]][1] // 2) // leaves[r["__node"]][1]) for r in stats if leaves[r["__node"]][1] > 1]
-        if not open_:
-            break
-        spark = rows.sparkSession
-        plan = spark.createDataFrame(open_, "__node long, dim string, rest long")
-        along = rows.join(F.broadcast(plan), "__node").withColumn("__o", F.coalesce(*[F.when(F.col("dim") == d, F.col(f"__k_{d}")) for d in DIMENSIONS]))
-        cuts = weighted_cuts(along.select("__node", "__o", "size"), "__node", "__o", "size", plan.select("__node", "rest"), ORDER_BITS, "kd-cut")
+        stats = at.groupBy("__node").agg(F.sum("size").alias("w"), *[(F.max(g) - F.min(g)).alias(d) for g, d in zip(grid, DIMENSIONS, strict=True)]).collect()  # a row a node
+        open_ = {r["__node"]: (max(DIMENSIONS, key=lambda d, r=r: r[d]), r["w"] * (leaves[r["__node"]][1] // 2) // leaves[r["__node"]][1]) for r in stats if leaves[r["__node"]][1] > 1}
+        order = F.lit(None).cast("long")
+        for d in DIMENSIONS:
+            own = [n for n, (dim, _) in open_.items() if dim == d]
+            order = F.when(F.col("__node").isin(own), F.col(f"__k_{d}")).otherwise(order) if own else order
+        rest = docs.sparkSession.createDataFrame([(n, r) for n, (_, r) in open_.items()], "__node long, rest long")
+        cuts = weighted_cuts(at.select("__node", order.alias("__o"), "size").where("__o is not null"), "__node", "__o", "size", rest, ORDER_BITS, "kd-cut").collect()  # a row a node
         # what stands at the cut goes left if that leaves the left side nearer to its share
-        cuts = plan.select("__node", "dim").join(cuts, "__node").select("__node", "dim", F.when((F.col("before") + F.col("here") - F.col("rest")) < (F.col("rest") - F.col("before")), F.col("at") + 1).otherwise(F.col("at")).alias("__at"))
-        cuts = spark.createDataFrame([tuple(r) for r in cuts.collect()], "__node long, dim string, __at long")
-        side = F.coalesce(*[F.when(F.col("dim") == d, F.col(f"__k_{d}")) for d in DIMENSIONS]) >= F.col("__at")
-        rows = rows.join(F.broadcast(cuts), "__node", "left").withColumn("__node", F.when(F.col("dim").isNull(), F.col("__node") * 2).otherwise(F.col("__node") * 2 + side.cast("long"))).drop("dim", "__at")
-        split = {n for n, _, _ in open_}
-        leaves = {k: v for n, (a, m) in leaves.items() for k, v in (((2 * n, (a, m // 2)), (2 * n + 1, (a + m // 2, m - m // 2))) if n in split else ((2 * n, (a, m)),))}
-        depth += 1
-        if depth % 4 == 0:
-            rows = C.cut(rows, "kd-rows")
-    names = rows.sparkSession.createDataFrame([(n, a) for n, (a, _) in leaves.items()], "__node long, shard int")
-    return rows.join(F.broadcast(names), "__node").drop("__node", "__piece", *[f"__k_{d}" for d in DIMENSIONS])
+        levels.append({c["__node"]: (open_[c["__node"]][0], c["at"] + 1 if c["before"] + c["here"] - c["rest"] < c["rest"] - c["before"] else c["at"]) for c in cuts})
+        leaves = {k: v for n, (a, m) in leaves.items() for k, v in (((2 * n, (a, m // 2)), (2 * n + 1, (a + m // 2, m - m // 2))) if m > 1 else ((2 * n, (a, m)),))}
+    return Tree(ends, groups, levels, {n: a for n, (a, _) in leaves.items()})
+
+
+def place(docs: DataFrame, tree: Tree) -> DataFrame:
+    """docs with `shard`, without a shuffle of them unless the groups that need one are many."""
+    rows, _ = _ordered(docs, tree.groups, tree.ends)
+    shard = F.element_at(F.create_map(*[x for n, a in tree.names.items() for x in (F.lit(n).cast("long"), F.lit(a))]), F.col("__node"))
+    return _descend(rows, tree.levels).withColumn("shard", shard).drop("__node", *[f"__k_{d}" for d in DIMENSIONS])
+
+
+def kd_shards(docs: DataFrame, shards: int = SHARDS, pieces_per_leaf: int = PIECES_PER_LEAF) -> DataFrame:
+    """docs (as plan reads them) with `shard`."""
+    return place(docs, plan(docs, shards, pieces_per_leaf))
 
 
 def described(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
