@@ -6,7 +6,7 @@ half; forward and backward gated units read a window, attention pools their stat
 text's score is that of its most toxic window, calibrated on the training texts.
 
 Training sees a bounded sample of labelled rows (TRAIN_ROWS a class, in hash order, of
-texts up to TRAIN_BYTES) on the driver: first with each window under its text's label,
+texts up to TRAIN_BYTES) in one task, which returns the parameters: first with each window under its text's label,
 then by multiple instances, where a toxic text answers for its highest window only.
 Scoring covers every window of every whole text.
 
@@ -17,6 +17,8 @@ than 0 and 1 are passed over; repeated rows get the same score.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,7 @@ WORD_BINS, WORD_DIM, CHAR_BINS, CHAR_DIM = 1 << 14, 8, 1 << 12, 8
 HEAD_BINS, HEAD_DIM, HEADS = 1 << 14, 8, range(3, 9)
 DIM = WORD_DIM + CHAR_DIM + HEAD_DIM
 TRAIN_ROWS, TRAIN_BYTES = 1500, 16_000
-EPOCHS, BATCH, RATE = (3, 4), 512, 0.01
+EPOCHS, BATCH, RATE, WORD_DROP, HOLD = (3, 8), 512, 0.01, 0.5, 5
 TABLE = C.byte_table("nonword", lower=True)
 f32 = np.float32
 
@@ -97,7 +99,7 @@ class Vocabulary:
 def _start(rng: np.random.Generator) -> dict:
     h, d = HIDDEN, DIM
     n = lambda *s, k=1.0: (rng.standard_normal(s) * k).astype(f32)
-    p = {"word": n(WORD_BINS, WORD_DIM, k=0.3), "char": n(CHAR_BINS, CHAR_DIM, k=0.3), "head": n(HEAD_BINS, HEAD_DIM, k=0.3)}
+    p = {"word": n(WORD_BINS, WORD_DIM, k=0.02), "char": n(CHAR_BINS, CHAR_DIM, k=0.1), "head": n(HEAD_BINS, HEAD_DIM, k=0.1)}
     for a in "fb":
         p |= {f"W{a}": n(d, 3 * h, k=d**-0.5), f"U{a}": n(h, 3 * h, k=h**-0.5), f"b{a}": np.zeros(3 * h, f32)}
     return p | {"A": n(2 * h, h, k=(2 * h) ** -0.5), "v": n(h, k=h**-0.5), "o": n(2 * h, k=(2 * h) ** -0.5), "c": np.zeros(1, f32)}
@@ -197,8 +199,11 @@ def _all_logits(p: dict, vocab: Vocabulary, start: np.ndarray, length: np.ndarra
     return np.concatenate([_forward(p, v, vocab.matrix(start[i : i + batch], length[i : i + batch]), None, g) for i in range(0, len(start), batch)] or [np.zeros(0, f32)])
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> dict:
-    """Parameters; `scale` and `shift` turn a text's highest logit into its score's logit."""
+def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11, odds: float | None = None) -> dict:
+    """Parameters; `scale` and `shift` turn a text's highest logit into its score's logit.
+
+    odds: toxic over clean among all labelled rows, where the sample has others.
+    """
     labels = np.asarray(labels, int)
     if len(set(labels.tolist())) < 2:
         rate = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.0
@@ -213,29 +218,40 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> dict:
     rng = np.random.default_rng(seed)
     p = _start(rng)
     adam = _Adam(p)
+    batch = int(np.clip(len(row) // 24, 32, BATCH))  # few windows still make some steps an epoch
+    held = np.arange(len(texts)) % HOLD == 0  # a part of the sample only picks the epoch and calibrates
+    if len(set(labels[held].tolist())) < 2 or len(set(labels[~held].tolist())) < 2:
+        held = np.ones(len(texts), bool)
+        learn = np.ones(len(texts), bool)
+    else:
+        learn = ~held
+    best, z = (np.inf, {}), np.zeros(0)
     for epoch in range(sum(EPOCHS)):
         single = epoch < EPOCHS[0]
         if single:
-            pick, y = np.arange(len(row)), labels[row].astype(f32)
+            pick = np.flatnonzero(learn[row])
+            y = labels[row[pick]].astype(f32)
             weight = np.where(y > 0, 0.5, 1.0)
         else:  # each text answers for its highest window; clean texts for some others too
-            z = _all_logits(p, vocab, start, length)
-            top = at[:-1] + np.array([z[a:b].argmax() for a, b in zip(at[:-1], at[1:], strict=True)])
-            others = np.flatnonzero((labels[row] == 0) & (rng.random(len(row)) < 0.25))
+            top = (at[:-1] + np.array([z[a:b].argmax() for a, b in zip(at[:-1], at[1:], strict=True)]))[learn]
+            others = np.flatnonzero(learn[row] & (labels[row] == 0) & (rng.random(len(row)) < 0.25))
             pick = np.concatenate([top, top, others])
             y, weight = labels[row[pick]].astype(f32), np.ones(len(pick))
         order = rng.permutation(len(pick))
-        for i in range(0, len(order), BATCH):
-            k = pick[order[i : i + BATCH]]
+        for i in range(0, len(order), batch):
+            k = pick[order[i : i + batch]]
             ids, back = np.unique(vocab.matrix(start[k], length[k]), return_inverse=True)
             back = back.reshape(len(k), WINDOW) - (ids[0] < 0)
             words = ids[ids >= 0]
             sub = _part(vocab, words)
             v, tapes = sub.inputs(p), {}
+            known = (rng.random(len(sub.word)) >= WORD_DROP).astype(f32)[:, None]  # a word left out must be told by its characters
+            v[:-1, :WORD_DIM] *= known
             logit = _forward(p, v, back, tapes)
-            dy = ((_sigmoid(logit) - y[order[i : i + BATCH]]) * weight[order[i : i + BATCH]] / len(k)).astype(f32)
+            dy = ((_sigmoid(logit) - y[order[i : i + batch]]) * weight[order[i : i + batch]] / len(k)).astype(f32)
             g, dv = _backward(p, v, back, tapes, dy)
             dv = dv[:-1]
+            dv[:, :WORD_DIM] *= known
             g["word"] = np.stack([np.bincount(sub.word, dv[:, j], WORD_BINS) for j in range(WORD_DIM)], 1).astype(f32)
             each = np.repeat(dv[:, WORD_DIM : WORD_DIM + CHAR_DIM] / sub.size[:, None], sub.size, axis=0)
             g["char"] = np.stack([np.bincount(sub.char, each[:, j], CHAR_BINS) for j in range(CHAR_DIM)], 1).astype(f32)
@@ -244,9 +260,16 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> dict:
             norm = float(np.sqrt(sum((d.astype(np.float64) ** 2).sum() for d in g.values())))
             g = {n: d * f32(min(1.0, 5.0 / (norm + 1e-9))) for n, d in g.items()}
             adam.step(p, g, RATE)
-    z = _all_logits(p, vocab, start, length)
-    best = np.maximum.reduceat(z, at[:-1]).astype(np.float64)
-    p["scale"], p["shift"] = _calibrate(best, labels)
+        z = _all_logits(p, vocab, start, length)
+        high = np.maximum.reduceat(z, at[:-1]).astype(np.float64)[held]
+        scale, shift = _calibrate(high, labels[held])
+        q = scale * high + shift
+        loss = float((np.logaddexp(0, q) - labels[held] * q).mean())
+        if loss < best[0]:
+            best = (loss, {n: v.copy() for n, v in p.items()} | {"scale": scale, "shift": shift})
+    p = best[1]
+    if odds:
+        p["shift"] += float(np.log(odds) - np.log(labels.sum() / (len(labels) - labels.sum())))
     return p
 
 
@@ -279,22 +302,28 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 # --- Spark -------------------------------------------------------------------------------------
 
 
-def sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """A bounded sample of labelled texts: the first `rows` of each class in hash order."""
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> dict:
+    """Parameters fitted to a bounded sample of labelled texts: the first `rows` of each class in hash order."""
     short = documents.select(F.col(id_col).alias("id"), F.octet_length(text_col).alias("n")).where(F.col("n") <= max_bytes).select("id")
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("y in (0, 1)").join(short, "id")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").join(short, "id")
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).select("id", "y", F.xxhash64(F.lit("train"), "id").alias("h")).orderBy("h", "id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    spark = documents.sparkSession
     ids = {r["id"]: r["y"] for r in chosen.collect()}  # 2 x rows at most
+    n = known.agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean")).first()
+    odds = n["toxic"] / n["clean"] if n["toxic"] and n["clean"] else None
     if not ids:
-        return [], np.zeros(0, int)
-    few = spark.createDataFrame([(k, int(v)) for k, v in sorted(ids.items())], known.select("id", F.col("y").cast("int").alias("y")).schema)
-    got = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").where(F.octet_length("text") <= max_bytes).limit(2 * rows).collect()
-    got = sorted(((r["id"], r["text"] or "", r["y"]) for r in got))
-    return [s.encode("utf-8", "replace") for _, s, _ in got], np.array([y for *_, y in got], int)
+        return fit([], np.zeros(0, int))
+    few = documents.sparkSession.createDataFrame(sorted(ids.items()), known.schema)
+    got = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").where(F.octet_length("text") <= max_bytes).limit(2 * rows)
+
+    def task(t: pa.Table) -> pa.Table:
+        sample = sorted(zip(map(str, t["id"].to_pylist()), t["text"].to_pylist(), t["y"].to_pylist(), strict=True))
+        model = fit([s.encode("utf-8", "replace") for _, s, _ in sample], np.array([y for *_, y in sample], int), odds=odds)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    return pickle.loads(got.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(task, "model binary").first()["model"])  # our own bytes
 
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("n_windows", T.LongType()), T.StructField("worst_span", T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))]
@@ -327,5 +356,5 @@ def score(documents: DataFrame, model: dict, text_col: str = "text", keep: list[
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    model = fit(*sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold != 0)))
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold != 0))
     return score(docs, model, keep=["doc_id"]).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows")
