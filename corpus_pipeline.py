@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network scores under 0.5."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    model = toxicity.fit(*toxicity.sample(docs, labels))
+    model = toxicity.train(docs, labels)
     # "score" may be a column of docs, so the operator works on the row as one value
     whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     scored = toxicity.score(whole, model, keep=["__row"])
@@ -62,10 +62,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard, 0 to 7."""
-    rows = _numbered(docs.drop("shard"))
-    known = sharding.described(rows).select("__rid", "size", "__h", "__crc", F.col("__rid").cast("string").alias("__salt"), *sharding.DIMENSIONS)
-    placed = common.cut(sharding.kd_shards(common.cut(known, "pipeline-described")).select("__rid", "shard"), "pipeline-shards")
-    return rows.join(placed, "__rid").drop("__rid")
+    docs = docs.drop("shard")
+    # columns of docs may bear the names that the operator works with, so they go along as one value
+    known = sharding.described(docs.select("text", "source", "lang", "doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))).select("__row", "size", "__h", "__crc", "__salt", *sharding.DIMENSIONS)
+    tree = sharding.plan(common.cut(known.drop("__row"), "pipeline-described"))
+    return sharding.place(known, tree).select("__row.*", "shard")
 
 
 STAGES = [
