@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from .text import _c, all_matches
 NUMBER = r"[-+]?\d+(?:\.\d+)?"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: an expression used many times in another multiplies the plan."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _box(*xs: Column) -> Column:
     return F.array(*[x.cast("double") for x in xs])
 
@@ -24,11 +30,16 @@ def parse_percent(text: Column | str) -> Column:
     """The first four numbers as a 0-100 box: up to 1 counts as a fraction, over 100 as thousandths; null if it can't be one."""
     bare = F.regexp_replace(_c(text), r"(?i)\b[xy][12]\b", "")
     found = F.slice(all_matches(bare, NUMBER), 1, 4)
-    n = F.transform(F.when(F.size(found) == 4, found), lambda x: x.cast("double"))
-    high, low = F.array_max(n), F.array_min(n)
-    scaled = F.transform(n, lambda x: F.when(high <= 1, x * 100).when(high > 100, x / 10).otherwise(x))
-    b = _ordered(scaled)
-    return F.when((low >= 0) & (high <= 1000) & (b[0] < b[2]) & (b[1] < b[3]), b)
+
+    def box(n: Column) -> Column:
+        def scale(ends: Column) -> Column:
+            by = F.when(ends["high"] <= 1, 100.0).when(ends["high"] > 100, 0.1).otherwise(1.0)
+            return F.when((F.size(n) == 4) & (ends["low"] >= 0) & (ends["high"] <= 1000), F.transform(n, lambda x: F.when(ends["high"] > 100, x / 10).otherwise(x * by)))
+
+        ends = F.struct(F.array_max(n).alias("high"), F.array_min(n).alias("low"))
+        return let(let(ends, scale), lambda b: let(_ordered(b), lambda o: F.when((o[0] < o[2]) & (o[1] < o[3]), o)))
+
+    return let(F.transform(found, lambda x: x.cast("double")), box)
 
 
 def parse_native(text: Column | str) -> Column:
@@ -152,10 +163,14 @@ def valid(b: Column, width: Column | float, height: Column | float) -> Column:
 
 def score(prediction: Column | str, reference: Column | str) -> Column:
     """(official_iou, clean_iou, official_correct, clean_correct, format_valid) of box texts."""
-    p, r = parse_percent(prediction), parse_percent(reference)
-    both = p.isNotNull() & r.isNotNull()
-    o, c = F.when(both, iou(p, r, True)).otherwise(0.0), F.when(both, iou(p, r)).otherwise(0.0)
-    return F.struct(o.alias("official_iou"), c.alias("clean_iou"), (o >= 0.5).alias("official_correct"), (c >= 0.5).alias("clean_correct"), p.isNotNull().alias("format_valid"))
+
+    def scored(x: Column) -> Column:
+        p, r = x["p"], x["r"]
+        both = p.isNotNull() & r.isNotNull()
+        o, c = F.when(both, iou(p, r, True)).otherwise(0.0), F.when(both, iou(p, r)).otherwise(0.0)
+        return F.struct(o.alias("official_iou"), c.alias("clean_iou"), (o >= 0.5).alias("official_correct"), (c >= 0.5).alias("clean_correct"), p.isNotNull().alias("format_valid"))
+
+    return let(F.struct(parse_percent(prediction).alias("p"), parse_percent(reference).alias("r")), scored)
 
 
 def crop_around(b: Column, width: Column, height: Column, margin: float = 0.25, least_side: float = 128.0) -> Column:
