@@ -13,13 +13,13 @@ from .registry import query
 
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9]+(?:''[a-z0-9]+)?')"
 #: Benchmark items against the next item: predictions and references of similar make.
-_PAIRS = "(SELECT a.item_id AS id, a.text AS prediction, b.text AS reference FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE a.item_id < 30)"
+_PAIRS = "(SELECT a.item_id AS id, a.text AS prediction, b.text AS reference FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
 
 
 def _pairs(t):
     b = t("benchmark")
     other = b.select((F.col("item_id") - 1).alias("id"), F.array("text").alias("references"))
-    return b.where("item_id < 30").select(F.col("item_id").alias("id"), F.col("text").alias("prediction")).join(other, "id")
+    return b.select(F.col("item_id").alias("id"), F.col("text").alias("prediction")).join(other, "id")
 
 
 @query("m1_ascii_tokens", f"SELECT item_id, {_TOK.format('text')} AS tokens FROM benchmark")
@@ -176,7 +176,7 @@ def _(t):
 def _detections(t):
     q, d, x = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
     box = F.array(q, q, q + 10 + d * 100, q + 10 + x * 100)
-    return t("lineitem").where("l_orderkey <= 2000").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("cls"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("prediction_id"), (F.col("l_extendedprice") / 100000).alias("score"), box.alias("box"))
+    return t("lineitem").select(F.col("l_partkey").alias("image"), F.col("l_returnflag").alias("cls"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("prediction_id"), (F.col("l_extendedprice") / 100000).alias("score"), box.alias("box"))
 
 
 @query("v1_nms")
@@ -208,7 +208,7 @@ def _(t):
 
 @query("v11_hota")
 def _(t):
-    rows = t("lineitem").where("l_orderkey <= 600").select((F.col("l_orderkey") % 10).alias("seq"), F.col("l_orderkey").alias("t"), F.col("l_linenumber").cast("long").alias("id"), "l_tax").dropDuplicates(["seq", "t", "id"])
+    rows = t("lineitem").select((F.col("l_orderkey") % 10).alias("seq"), F.col("l_orderkey").alias("t"), F.col("l_linenumber").cast("long").alias("id"), "l_tax").dropDuplicates(["seq", "t", "id"])
     g, p = rows.select("seq", "t", F.col("id").alias("gt_id")), rows.where("l_tax > 0.01").select("seq", "t", F.col("id").alias("tr_id"))
     s = rows.where("l_tax > 0.01").select("seq", "t", F.col("id").alias("gt_id"), F.col("id").alias("tr_id"), (F.col("l_tax") * 10 + 0.15).alias("sim"))
     return V.hota_combine(V.hota_sequences(s, g, p, "seq"))

@@ -83,8 +83,8 @@ def _(t):
 
 @query("a34_validation_metrics")
 def _(t):
-    rows = t("lineitem").where("l_orderkey <= 400").select(F.col("l_returnflag").alias("source"), F.col("l_orderkey").alias("uid"), F.col("l_discount").alias("score"), F.col("l_linestatus").alias("answer"), "l_linenumber")
-    return A.validation_metrics(rows, "source", "uid", "score", "answer", "l_linenumber", repeats=50)
+    rows = t("lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_suppkey").alias("uid"), F.col("l_discount").alias("score"), F.col("l_linestatus").alias("answer"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return A.validation_metrics(rows, "source", "uid", "score", "answer", "pos", repeats=50)
 
 
 @query("a35_majority_vote", "WITH l AS (SELECT l_orderkey, l_returnflag, l_quantity, l_linenumber * 1000000 + l_partkey * 100 + l_quantity AS pos FROM lineitem), c AS (SELECT l_orderkey, l_returnflag, count(*) AS votes, min(pos) AS f, min_by(l_quantity, pos) AS value FROM l GROUP BY 1, 2) SELECT l_orderkey, l_returnflag AS key, value, votes FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY votes DESC, f, l_returnflag) = 1")
@@ -472,7 +472,7 @@ def _(t):
 
 @query("w12_balanced")
 def _(t):
-    return W.balanced(t("documents").where("lang = 'es'").select("doc_id", "n_chars"), "doc_id", "n_chars", 8)
+    return W.balanced(t("supplier").select("s_suppkey", (F.col("s_suppkey") * 37 % 101 + 1).alias("w")), "s_suppkey", "w", 8)
 
 
 @query("w13_imbalance", "SELECT min(w) AS least, max(w) AS most, avg(w) AS mean, max(w) / avg(w) AS imbalance FROM (SELECT doc_id % 8 AS p, sum(n_chars) AS w FROM documents GROUP BY 1)")

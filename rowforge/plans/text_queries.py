@@ -14,9 +14,9 @@ from .registry import query
 _NORM = "trim(regexp_replace({}, '[^a-z0-9.+-]+', ' ', 'g'))"
 
 
-@query("t1_normalize_answer", f"SELECT doc_id, {_NORM.format('lower(text)')} AS norm FROM documents WHERE lang = 'en'")
+@query("t1_normalize_answer", f"SELECT doc_id, {_NORM.format('lower(text)')} AS norm FROM documents")
 def _(t):
-    return t("documents").where("lang = 'en'").select("doc_id", X.normalize_answer("text").alias("norm"))
+    return t("documents").select("doc_id", X.normalize_answer("text").alias("norm"))
 
 
 @query("t1_normalize_alias", f"SELECT p_partkey, {_NORM.format(chr(39).join(['regexp_replace(lower(replace(p_name, ', ' ', ', ', ' grey ', ')), ', chr(92) + 'bgrey' + chr(92) + 'b', ', ', 'gray', ', ', 'g', ')']))} AS norm FROM part")
@@ -277,17 +277,17 @@ def _(t):
     return _boxes(t).select("l_orderkey", "l_linenumber", B.parse_native(F.concat(F.lit("at {<"), F.concat_ws("><", *c), F.lit(">}"))).alias("angle"), B.parse_native(F.concat(F.lit("["), F.concat_ws(", ", *c), F.lit("]"))).alias("square"))
 
 
-@query("b3_to_unit", f"SELECT l_orderkey, l_linenumber, list_transform([x1, y1, x2, y2], lambda v: v / 100.0) AS box FROM ({_BOX}) WHERE greatest(x1, y1, x2, y2) BETWEEN 2 AND 100")
+@query("b3_to_unit", f"SELECT l_orderkey, l_linenumber, list_transform([x1, y1, x2, y2], lambda v: v / CASE WHEN greatest(x1, y1, x2, y2) <= 1 THEN 1.0 WHEN greatest(x1, y1, x2, y2) <= 100 THEN 100.0 ELSE 1000.0 END) AS box FROM ({_BOX})")
 def _(t):
     b = F.array(*[F.col(x).cast("double") for x in ("x1", "y1", "x2", "y2")])
-    return _boxes(t).where(F.greatest("x1", "y1", "x2", "y2").between(2, 100)).select("l_orderkey", "l_linenumber", B.to_unit(b).alias("box"))
+    return _boxes(t).select("l_orderkey", "l_linenumber", B.to_unit(b).alias("box"))
 
 
-@query("b4_b5_native_forms", f"SELECT l_orderkey, l_linenumber, list_transform([x1, y1, x2, y2], lambda v: v / 100.0) AS full_box, [-x1, y1, x2, y2]::DOUBLE[] AS signed_box FROM ({_BOX}) WHERE x1 > 0")
+@query("b4_b5_native_forms", f"SELECT l_orderkey, l_linenumber, list_transform([x1, y1, x2, y2], lambda v: v / 100.0) AS full_box, [-x1 - 1, y1, x2, y2]::DOUBLE[] AS signed_box FROM ({_BOX})")
 def _(t):
     c = [F.col(x).cast("string") for x in ("x1", "y1", "x2", "y2")]
     s = F.concat(F.lit("{<"), F.concat_ws("><", *c), F.lit(">}"))
-    return _boxes(t).where("x1 > 0").select("l_orderkey", "l_linenumber", B.parse_full_native(s).alias("full_box"), B.parse_signed_angle(F.concat(F.lit("{<-"), F.concat_ws("><", *c), F.lit(">}"))).alias("signed_box"))
+    return _boxes(t).select("l_orderkey", "l_linenumber", B.parse_full_native(s).alias("full_box"), B.parse_signed_angle(F.concat(F.lit("{<-"), F.concat_ws("><", (F.col("x1") + 1).cast("string"), *c[1:]), F.lit(">}"))).alias("signed_box"))
 
 
 @query("b6_pixels_to_percent", f"SELECT l_orderkey, l_linenumber, [round_even(least(100, greatest(0, x1 / 64.0 * 100)), 0), round_even(least(100, y1 / 32.0 * 100), 0)]::INTEGER[] AS box FROM ({_BOX})")
