@@ -53,9 +53,6 @@ class Threshold:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
 
-    def largest(self, n):
-        return n * self.den // self.num
-
     def common(self, n):
         """Least overlap of a set of n with any set it links with."""
         return -(-self.num * n // self.den)
