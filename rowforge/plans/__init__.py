@@ -1,5 +1,5 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import metric_queries, registry, table_queries, text_queries
+from . import metric_queries, record_queries, registry, table_queries, text_queries
 
-__all__ = ["metric_queries", "registry", "table_queries", "text_queries"]
+__all__ = ["metric_queries", "record_queries", "registry", "table_queries", "text_queries"]
