@@ -1,11 +1,15 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 A file's headers are the passages around words that speak of licences, wherever they stand in
-the whole text: the sentence, the line and the paragraph. Each is a sparse TF-IDF vector of words and word pairs;
+the whole text: the sentence, the line and the paragraph, however long. Each is a sparse TF-IDF vector of words and word pairs;
 document frequencies are counted over the passages of all files. A file declares the licence of the
 template with the highest cosine, if it reaches `threshold`.
 
-A licence file is one named so, or one whose declaring passage is at least `file_share` of its words. The
+A file with such words is also compared as a whole with the full texts of licences (folder `licences`): if the highest cosine
+reaches `threshold` and at least `file_share` of its words stand in word pairs of that full text, the file declares that licence.
+
+A licence file is one named so, or one of whose words at least `file_share` are licence text: in word pairs of the full text it
+matches, or in the union of the passages that reach `threshold` for the declared licence. The
 best licence file of a directory speaks for it; a file that declares nothing takes the licence of
 its nearest ancestor directory that has one, found by joining directories with their ancestors (each directory once, not each file).
 
@@ -17,7 +21,10 @@ repeated rows get the same result; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +36,6 @@ from pyspark.sql import types as T
 from . import common as C
 
 THRESHOLD, FILE_SHARE, BINS = 0.5, 0.5, 1 << 15
-#: Words of a passage that are read on either side of a cue.
-REACH = 200
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense|copyright)([.-][^/]*)?$"
 CUE = r"licen[cs]e|copyright|spdx|warrant|all rights reserved|public domain|creative commons|redistribut"
 
@@ -86,29 +91,44 @@ def features(passage: bytes) -> tuple[np.ndarray, int]:
     return np.concatenate([w.hash, C.grams(w.hash, 2)]) >> np.uint64(64 - BINS.bit_length() + 1), len(w.hash)
 
 
+def _words(text: bytes) -> C.Words:
+    data = np.frombuffer(text, np.uint8)
+    return C.words(C.Texts(data, np.array([0, len(data)]), 0, 1), TABLE)
+
+
+@cache
+def full_texts() -> list[tuple[str, bytes]]:
+    """Licences and their full texts, by name; read by the driver only. AGPL-3.0's is that of GPL-3.0 under its own name."""
+    found = {p.stem: p.read_bytes() for p in Path(__file__).with_name("licences").glob("*.txt")}
+    found["AGPL-3.0"] = found["GPL-3.0"].replace(b"GNU General Public License", b"GNU Affero General Public License").replace(b"GNU GENERAL PUBLIC LICENSE", b"GNU AFFERO GENERAL PUBLIC LICENSE")
+    return sorted(found.items())
+
+
 def passages(text: bytes) -> list[tuple[int, int]]:
     """Byte spans of the sentences, lines and paragraphs that hold a cue, each once, in order."""
+    spans = lambda p: ([m.start() for m in p.finditer(text)], [m.end() for m in p.finditer(text)])
+    ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10).tolist()
+    (break_lo, break_hi), (stop_lo, stop_hi) = spans(_BREAK), spans(_STOP)
     found = {}
     for m in _CUE.finditer(text):
-        lo, hi = max(0, m.start() - 16 * REACH), min(len(text), m.end() + 16 * REACH)
-        a, b = text.rfind(b"\n", lo, m.start()) + 1 or lo, text.find(b"\n", m.end(), hi)
-        line = (max(a, lo), hi if b < 0 else b)
-        before = [x.end() for x in _BREAK.finditer(text, lo, m.start())]
-        after = _BREAK.search(text, m.end(), hi)
-        para = (before[-1] if before else lo, after.start() if after else hi)
-        stops = [x.end() for x in _STOP.finditer(text, line[0], m.start())]
-        stop = _STOP.search(text, m.end(), line[1])
-        for s in ((stops[-1] if stops else line[0], stop.start() + 1 if stop else line[1]), line, para):
+        i, j = bisect_left(ends, m.start()), bisect_left(ends, m.end())
+        line = (ends[i - 1] + 1 if i else 0, ends[j] if j < len(ends) else len(text))
+        i, j = bisect_right(break_hi, m.start()), bisect_left(break_lo, m.end())
+        para = (break_hi[i - 1] if i else 0, break_lo[j] if j < len(break_lo) else len(text))
+        i, j = bisect_left(stop_hi, m.start()), bisect_left(stop_lo, m.end())
+        sentence = (stop_hi[i - 1] if i and stop_lo[i - 1] >= line[0] else line[0], stop_lo[j] + 1 if j < len(stop_lo) and stop_hi[j] < line[1] else line[1])
+        for s in (sentence, line, para):
             found[s] = None
     return sorted(found)
 
 
 class Model:
-    """Unit TF-IDF vectors of the templates."""
+    """Unit TF-IDF vectors of the templates and of the full texts, these with their word pairs."""
 
     def __init__(self, df: np.ndarray, n: int):
         self.idf = np.log((n + 1) / (df + 1)) + 1
         self.vectors = [self.vector(features(t.encode())[0]) for _, t in TEMPLATES]
+        self.full = [(name, *self.vector(features(t)[0]), np.unique(C.grams(_words(t).hash, 2))) for name, t in full_texts()]
 
     def vector(self, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         b, n = np.unique(bins, return_counts=True)
@@ -123,6 +143,20 @@ class Model:
         return i, cos[i]
 
 
+    def whole(self, w: C.Words) -> tuple[str, float, int, int, float]:
+        """Of a whole text's words: the licence of the nearest full text, cosine, span of the words in its word pairs, and their share."""
+        pairs, dense = C.grams(w.hash, 2), np.zeros(BINS)
+        b, v = self.vector(np.concatenate([w.hash, pairs]) >> np.uint64(64 - BINS.bit_length() + 1))
+        dense[b] = v
+        cos = [float((tv * dense[tb]).sum()) for _, tb, tv, _ in self.full]
+        i = int(np.argmax(np.round(cos, 9)))
+        hit = np.isin(pairs, self.full[i][3])
+        inside = np.flatnonzero(np.append(hit, False) | np.append(False, hit)) if len(pairs) else np.zeros(0, int)
+        if not len(inside):
+            return self.full[i][0], cos[i], 0, 0, 0.0
+        return self.full[i][0], cos[i], int(w.start[inside[0]]), int(w.end[inside[-1]]), len(inside) / len(w.hash)
+
+
 def _with_cue(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, bytes]]:
     """Rows of a batch whose text holds a cue."""
     text = batch.column(column)
@@ -162,8 +196,8 @@ FIELDS = [
 ]
 
 
-def declare(files: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """files with declared (null if nothing reaches the threshold), cosine, span (bytes) and share (of the file's words)."""
+def declare(files: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, keep: list[str] | None = None, file_share: float = FILE_SHARE) -> DataFrame:
+    """files with declared (null if nothing reaches the threshold), cosine, span (bytes) and share (of the file's words that are licence text)."""
     shared = files.sparkSession.sparkContext.broadcast(Model(*count_passages(files, text_col)))
     new = [f.name for f in FIELDS]
     kept = [c for c in (files.columns if keep is None else keep) if c not in new]
@@ -174,15 +208,26 @@ def declare(files: DataFrame, text_col: str = "text", threshold: float = THRESHO
         for b in batches:
             out = [(None, None, None, None)] * b.num_rows
             for i, text in _with_cue(b, len(kept)):
-                top = (-1.0, 0, 0, 0, 0)
+                w = _words(text)
+                name, cos, lo, hi, share = shared.value.whole(w)
+                if cos >= threshold and share >= file_share:
+                    out[i] = (name, cos, {"start": lo, "end": hi}, share)
+                    continue
+                top, good = (-1.0, 0, 0, 0), []
                 for lo, hi in passages(text):
-                    bins, words = features(text[lo:hi])
-                    k, cos = shared.value.best(bins)
+                    k, cos = shared.value.best(features(text[lo:hi])[0])
+                    if cos >= threshold:
+                        good.append((TEMPLATES[k][0], lo, hi))
                     if cos > top[0] + 1e-9:
-                        top = (cos, k, lo, hi, words)
+                        top = (cos, k, lo, hi)
                 if top[0] >= threshold:
-                    total = features(text)[1]
-                    out[i] = (TEMPLATES[top[1]][0], float(top[0]), {"start": top[2], "end": top[3]}, top[4] / max(total, 1))
+                    name = TEMPLATES[top[1]][0]
+                    inside = np.zeros(len(w.hash) + 1, int)  # +1 where a passage's words begin, -1 where they end
+                    for n, lo, hi in good:
+                        if n == name:
+                            inside[np.searchsorted(w.start, lo)] += 1
+                            inside[np.searchsorted(w.start, hi)] -= 1
+                    out[i] = (name, float(top[0]), {"start": top[2], "end": top[3]}, int((np.cumsum(inside) > 0).sum()) / max(len(w.hash), 1))
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept))], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], span), pa.array(cols[3], pa.float64())], names=[*kept, *new])
 
