@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's docs; run() does so in the shared folder. All but the last return the
-columns of docs as they came. docs is read straight from files, so numbering its rows gives the same numbers at each reading.
+columns of docs as they came. Numbered rows are written once, as another reading could number them otherwise.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def _same(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__rid", F.monotonically_increasing_id())
+    return common.cut(docs.withColumn("__rid", F.monotonically_increasing_id()), "pipeline-numbered")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

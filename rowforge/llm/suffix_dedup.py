@@ -338,11 +338,13 @@ FIELDS = [
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS, with_kept: bool = True, from_files: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, removed_spans, kept_sha256, kept) for each row; kept holds the remaining bytes.
 
-    from_files: documents is read straight from files, so its rows are numbered alike at each reading; others are written once.
+    from_files: documents is read straight from Parquet files, so its rows are numbered by file and place; others are written once.
     """
-    rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if not from_files:
-        rows = C.cut(rows, "suffix-rows")
+    of = lambda rid: [rid.alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")]
+    if from_files:
+        rows = C.numbered_files(documents, "__rid").select(*of(F.col("__rid")))
+    else:
+        rows = C.cut(documents.select(*of(F.monotonically_increasing_id())), "suffix-rows")
     runs = C.cut(repeated_runs(rows.select("rid", "text"), length, gram, hot_contexts), "suffix-found")
     names = [f.name for f in FIELDS if with_kept or f.name != "kept"]
     fields = [f for f in FIELDS if f.name in names]

@@ -1,10 +1,13 @@
 """Cases that a review found: each runs a job to its end where an earlier version cut it short."""
 
+import random
+
 import pytest
 
 pytest.importorskip("rowforge.llm.queries")
 
-from rowforge.llm import license_scan  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from rowforge.llm import common, license_scan, suffix_dedup  # noqa: E402
 
 
 def test_op6_full_licence_texts_speak_for_their_directory(spark):
@@ -27,3 +30,49 @@ def test_op6_full_licence_texts_speak_for_their_directory(spark):
 def test_op6_passages_have_no_longest_reach():
     line = b"word " * 3000 + b"licensed here " + b"word " * 3000
     assert license_scan.passages(b"first\n\n" + line + b"\n\nlast") == [(7, 7 + len(line))]
+
+
+@pytest.fixture
+def moving_splits(spark, monkeypatch):
+    """Files are split otherwise after each write, as when executors come and go."""
+    key, cut, turn = "spark.sql.files.maxPartitionBytes", common.cut, []
+
+    def moved(*a, **k):
+        out = cut(*a, **k)
+        turn.append(0)
+        spark.conf.set(key, ["128m", "9k", "3k", "40k"][len(turn) % 4])
+        return out
+
+    monkeypatch.setattr(common, "cut", moved)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    yield
+    spark.conf.unset(key)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def documents(spark, folder):
+    """Documents of a few files: each third one bears a passage of 300 letters that the next such one repeats."""
+    r = random.Random(3)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows, passage = [], ""
+    for i in range(120):
+        passage = letters(300) if i % 6 == 0 else passage
+        rows.append((i, letters(r.randrange(250, 600)) + (passage if i % 3 == 0 else ""), "en", "s"))
+    path = f"{folder}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5).sortWithinPartitions("doc_id").write.option("parquet.block.size", 2000).parquet(path)
+    return path
+
+
+def test_op1_numbers_rows_alike_at_each_reading(spark, tmp_path, moving_splits):
+    documents(spark, tmp_path)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.op1(spark, str(tmp_path)).collect()}
+    assert len(got) == 120 and all(300 <= n < 320 if i % 3 == 0 else n == 0 for i, n in got.items())
+
+
+def test_pipeline_numbers_rows_alike_at_each_reading(spark, tmp_path, moving_splits):
+    path = documents(spark, tmp_path)
+    docs = spark.read.parquet(path)
+    docs = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 1000))
+    docs.repartition(5).write.option("parquet.block.size", 2000).parquet(f"{tmp_path}/twice.parquet")
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/twice.parquet"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(120))
