@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input is its hashed word embedding beside two of its characters: the mean of the
-embeddings of its hashed trigrams, and that of its beginnings of 3 to 8 bytes. Texts are read in windows of `WINDOW` words that overlap by
+embeddings of its hashed trigrams, and that of its beginnings of 3 to 8 bytes. A word longer than PIECE bytes (a clause
+of a script without blanks, joined tokens) is read as consecutive pieces that overlap by SHARED bytes, each in the place of a word. Texts are read in windows of `WINDOW` words that overlap by
 half; forward and backward gated units read a window, attention pools their states, and a
 text's score is that of its most toxic window, calibrated on the training texts.
 
@@ -32,6 +33,7 @@ WORD_BINS, WORD_DIM, CHAR_BINS, CHAR_DIM = 1 << 14, 8, 1 << 12, 8
 HEAD_BINS, HEAD_DIM, HEADS = 1 << 14, 8, range(3, 9)
 DIM = WORD_DIM + CHAR_DIM + HEAD_DIM
 TRAIN_ROWS, TRAIN_BYTES = 1500, 16_000
+PIECE, SHARED = 48, 3  # all trigrams of a long word are in some piece
 EPOCHS, BATCH, RATE, WORD_DROP, HOLD = (3, 8), 512, 0.01, 0.5, 5
 TABLE = C.byte_table("nonword", lower=True)
 f32 = np.float32
@@ -50,6 +52,27 @@ def _windows(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(WINDOW, np.repeat(off[1:], count) - start), at
 
 
+def _pieces(x: C.Texts) -> C.Words:
+    """Words of a block, those longer than PIECE bytes as pieces."""
+    w = C.words(x, TABLE)
+    size = w.end - w.start
+    if not (size > PIECE).any():
+        return w
+    count = 1 + np.maximum(0, -(-(size - PIECE) // (PIECE - SHARED)))
+    at = np.concatenate([[0], np.cumsum(count)])
+    word = np.repeat(np.arange(len(size)), count)
+    start = w.start[word] + (np.arange(at[-1]) - at[word]) * (PIECE - SHARED)
+    end = np.minimum(start + PIECE, w.end[word])
+    h = w.hash[word]
+    part = np.flatnonzero(count[word] > 1)
+    s, n = start[part], end[part] - start[part]
+    own = n.astype(np.uint64)
+    for j in range(PIECE):
+        own = np.where(j < n, own * C.POW + C.BYTE_KEYS[TABLE[x.data[np.minimum(s + j, len(x.data) - 1)]]], own)
+    h[part] = C.mix(own)
+    return C.Words(h, start, end, at[w.off])
+
+
 class Vocabulary:
     """Distinct words of some texts: word bins and character trigram bins."""
 
@@ -57,7 +80,7 @@ class Vocabulary:
         _, first, self.id = np.unique(w.hash, return_index=True, return_inverse=True)
         self.word = (w.hash[first] >> np.uint64(40)).astype(np.int64) % WORD_BINS
         s, e = w.start[first], w.end[first]
-        n = np.minimum(e - s, 48)  # a word's characters are read up to its 48th byte; its own bin covers all of it
+        n = e - s
         self.off = np.concatenate([[0], np.cumsum(n)])
         place = np.arange(self.off[-1]) - np.repeat(self.off[:-1], n)
         at = np.repeat(s, n) + place
@@ -211,7 +234,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11, odds: float | No
     data = np.frombuffer(b"".join(texts), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(s) for s in texts])])
     x = C.Texts(data, off, 0, len(texts))
-    w = C.words(x, TABLE)
+    w = _pieces(x)
     vocab = Vocabulary(x, w)
     start, length, at = _windows(w.off)
     row = np.repeat(np.arange(len(texts)), np.diff(at))
@@ -330,7 +353,7 @@ FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("n_windows", T.L
 
 
 def _score(p: dict, x: C.Texts) -> dict[str, pa.Array]:
-    w = C.words(x, TABLE)
+    w = _pieces(x)
     start, length, at = _windows(w.off)
     if "constant" in p:
         best, score = at[:-1], np.full(len(x), p["constant"])

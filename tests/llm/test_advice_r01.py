@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("rowforge.llm.queries")
 
 import corpus_pipeline  # noqa: E402
-from rowforge.llm import common, license_scan, suffix_dedup  # noqa: E402
+from rowforge.llm import common, license_scan, suffix_dedup, toxicity  # noqa: E402
 
 
 def test_op6_full_licence_texts_speak_for_their_directory(spark):
@@ -76,3 +77,21 @@ def test_pipeline_numbers_rows_alike_at_each_reading(spark, tmp_path, moving_spl
     docs.repartition(5).write.option("parquet.block.size", 2000).parquet(f"{tmp_path}/twice.parquet")
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/twice.parquet"), str(tmp_path))
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(120))
+
+
+def test_op3_reads_words_to_their_end():
+    r = random.Random(2)
+    filler = lambda: "".join(r.choice("\u4e00\u4e8c\u4e09\u56db\u4e94\u516d") for _ in range(40))
+    texts = [filler() + ("\u6bd2\u836f\u6bd2\u5bb3" if i % 2 else "") + filler()[:5] for i in range(300)]
+    labels = np.arange(300) % 2
+    model = toxicity.fit([t.encode() for t in texts[:240]], labels[:240])
+    score = lambda t: toxicity._score(model, next(common.texts(toxicity.pa.array([t]))))["score"][0].as_py()
+    assert sum((score(t) >= 0.5) == bool(y) for t, y in zip(texts[240:], labels[240:], strict=True)) >= 54
+
+
+def test_op3_pieces_cover_each_trigram():
+    text = "".join(random.Random(1).choice("abcdefgh") for _ in range(500))
+    w = toxicity._pieces(next(common.texts(toxicity.pa.array(["short " + text, None, "ab"]))))
+    parts = [("short " + text + "ab")[a:b] for a, b in zip(w.start, w.end, strict=True)]
+    assert parts[0] == "short" and parts[-1] == "ab" and max(map(len, parts)) == 48 and w.off.tolist() == [0, len(parts) - 1, len(parts) - 1, len(parts)]
+    assert {text[i : i + 3] for i in range(498)} == {p[i : i + 3] for p in parts[1:-1] for i in range(len(p) - 2)}
