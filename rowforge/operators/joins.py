@@ -110,10 +110,21 @@ def lexical_candidates(df: DataFrame, identity: str, text: Column, most: float =
     return both.withColumn("jaccard", F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).where(F.col("jaccard") < most).select("left_id", "right_id", "jaccard")
 
 
+#: Rows that are held against all others at once.
+ROWS_AT_ONCE = 8_192
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once: in the checkpoint folder, which all executors share, or in their memory where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def disjoint_partner(df: DataFrame, identity: str, tokens: str, k: int = 1, tries: int = 16, seed: int = 5) -> DataFrame:
     """For each row, up to k others that share no token with it.
 
-    Candidates are the rows of `tries` random bins, one row a bin and turn, so no row meets all others.
+    Candidates are the rows of `tries` random bins, one row a bin and turn. Rows that so get fewer than k
+    are held against all rows, in blocks of ROWS_AT_ONCE, and get the first ones in hash order: a row is short only
+    if no further disjoint row exists. That costs the short rows times all rows. Identities are distinct.
     """
     n = 64
     bin_of = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(identity)), F.lit(n))
@@ -124,7 +135,30 @@ def disjoint_partner(df: DataFrame, identity: str, tokens: str, k: int = 1, trie
     asks = df.select(identity, tokens, F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), bin_of(f"ask{t}").alias("bin")) for t in range(tries)])).alias("x")).select(identity, tokens, "x.*")
     hit = asks.join(F.broadcast(pool), ["turn", "bin"]).where((F.col("other.id") != F.col(identity)) & ~F.arrays_overlap(F.col("other.t"), F.col(tokens)))
     once = hit.select(identity, "turn", F.col("other.id").alias("partner")).groupBy(identity, "partner").agg(F.min("turn").alias("turn"))
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy(identity).orderBy("turn", "partner"))).where(F.col("rank") <= k).drop("turn")
+    drawn = _kept(once.withColumn("rank", F.row_number().over(Window.partitionBy(identity).orderBy("turn", "partner"))).where(F.col("rank") <= k).drop("turn"))
+    full = drawn.where(F.col("rank") == k).select(identity)
+    short = _kept(df.select(identity, tokens).join(full, identity, "left_anti").where(F.col(tokens).isNotNull()))
+    blocks = -(-short.count() // ROWS_AT_ONCE)
+    if not blocks:
+        return drawn
+    order = F.xxhash64(F.lit(seed), F.col("q"), F.col("id"))
+    asked = short.select(F.col(identity).alias("q"), F.col(tokens).alias("qt"))
+    rows = df.select(F.col(identity).alias("id"), F.col(tokens).alias("t"))
+    out = drawn.join(short.select(identity), identity, "left_anti")
+    for b in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64(F.lit("block"), "q"), F.lit(blocks)) == b)
+        last, made = some.withColumn("after", F.lit(None).cast("struct<h:bigint,id:" + rows.schema["id"].dataType.simpleString() + ">")), []
+        for rank in range(1, k + 1):  # one partner a pass, so a task keeps one row a query
+            at = F.struct(order.alias("h"), "id")
+            pairs = rows.join(F.broadcast(last), (F.col("id") != F.col("q")) & ~F.arrays_overlap("t", "qt") & (F.col("after").isNull() | (at > F.col("after"))))
+            found = _kept(pairs.groupBy("q").agg(F.min(at).alias("after"), F.first("qt").alias("qt")))
+            if found.isEmpty():
+                break
+            made.append(found.select(F.col("q").alias(identity), F.col("after.id").alias("partner"), F.lit(rank).alias("rank")))
+            last = found.select("q", "qt", "after")
+        for m in made:
+            out = out.unionByName(m)
+    return out
 
 
 def coco_join(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
