@@ -45,7 +45,7 @@ WIDE = {
     "written_email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[({]dot[\])}]\x20?|\.)[A-Za-z]{2,24}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?:" + "|".join(SECRETS) + r")\x20?[=:]\x20?[\"']?[0-9A-Za-z_-]{16,128}+[\"']?",
+    "secret": r"(?:" + "|".join(SECRETS) + r")\x20?[=:]\x20?[\"']?[0-9A-Za-z_-]{16,}+[\"']?",
     "name": r"(?<![A-Za-z])(?:" + "|".join(TITLES) + r")\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
 }
 KINDS = [*BASE, *WIDE]

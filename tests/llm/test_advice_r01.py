@@ -8,7 +8,7 @@ import pytest
 pytest.importorskip("rowforge.llm.queries")
 
 import corpus_pipeline  # noqa: E402
-from rowforge.llm import common, license_scan, suffix_dedup, toxicity  # noqa: E402
+from rowforge.llm import common, license_scan, pii, suffix_dedup, toxicity  # noqa: E402
 
 
 def test_op6_full_licence_texts_speak_for_their_directory(spark):
@@ -95,3 +95,9 @@ def test_op3_pieces_cover_each_trigram():
     parts = [("short " + text + "ab")[a:b] for a, b in zip(w.start, w.end, strict=True)]
     assert parts[0] == "short" and parts[-1] == "ab" and max(map(len, parts)) == 48 and w.off.tolist() == [0, len(parts) - 1, len(parts) - 1, len(parts)]
     assert {text[i : i + 3] for i in range(498)} == {p[i : i + 3] for p in parts[1:-1] for i in range(len(p) - 2)}
+
+
+def test_op7_secrets_are_matched_to_their_end(spark):
+    text = "token=" + "a1B2" * 100 + " and on"
+    got = spark.createDataFrame([(text,)], "t string").select(pii.F.regexp_extract("t", pii.WIDE["secret"], 0)).first()[0]
+    assert got == "token=" + "a1B2" * 100
