@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import _c, all_matches
@@ -59,7 +59,9 @@ def parse_full_native(text: Column | str) -> Column:
 
 
 def parse_signed_angle(text: Column | str) -> Column:
-    p = r"\{\s*<(-?\d+(?:\.\d+)?)>\s*<(-?\d+(?:\.\d+)?)>\s*<(-?\d+(?:\.\d+)?)>\s*<(-?\d+(?:\.\d+)?)>\s*\}"
+    """The first {<a><b><c><d>}: signs and blanks inside the brackets are fine."""
+    n = r"<\s*(-?\d+(?:\.\d+)?)\s*>"
+    p = r"\{" + n * 4 + r"\}"
     return F.when(_c(text).rlike(p), _box(*[F.regexp_extract(_c(text), p, i) for i in range(1, 5)]))
 
 
@@ -132,6 +134,13 @@ def clip(b: Column, width: Column | float, height: Column | float) -> Column:
     return _box(*[F.greatest(F.lit(0.0), F.least(b[i], lit(most[i % 2]))) for i in range(4)])
 
 
+def clip_rounded(b: Column, width: Column, height: Column) -> Column:
+    """Corners rounded half to even and kept inside the image; null if nothing is left of the box."""
+    side = [width, height]
+    c = _box(*[F.greatest(F.lit(0.0), F.least(side[i % 2].cast("double"), F.bround(b[i]))) for i in range(4)])
+    return let(c, lambda x: F.when((x[2] > x[0]) & (x[3] > x[1]), x))
+
+
 def union_box(a: Column, b: Column) -> Column:
     return _box(F.least(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[2], b[2]), F.greatest(a[3], b[3]))
 
@@ -147,11 +156,10 @@ def point_distance(x: Column, y: Column, b: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def jitter(b: Column, key: Column, scale: float) -> Column:
-    """Each corner moved by up to scale x its side, the same each time for a key."""
-    u = [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(1 << 20)) / float(1 << 20) * 2 - 1 for i in range(4)]
-    side = [b[2] - b[0], b[3] - b[1]]
-    return _box(*[b[i] + u[i] * scale * side[i % 2] for i in range(4)])
+def jitter(b: Column, width: Column, height: Column, ratio: float) -> Column:
+    """Each side moved outwards by ratio x its length, rounded and clipped."""
+    dx, dy = (b[2] - b[0]) * ratio, (b[3] - b[1]) * ratio
+    return clip_rounded(_box(b[0] - dx, b[1] - dy, b[2] + dx, b[3] + dy), width, height)
 
 
 def valid(b: Column, width: Column | float, height: Column | float) -> Column:
@@ -173,13 +181,56 @@ def score(prediction: Column | str, reference: Column | str) -> Column:
     return let(F.struct(parse_percent(prediction).alias("p"), parse_percent(reference).alias("r")), scored)
 
 
-def crop_around(b: Column, width: Column, height: Column, margin: float = 0.25, least_side: float = 128.0) -> Column:
-    """A rectangle around a box: its sides plus a margin, at least `least_side`, kept inside the image."""
-    cx, cy = (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
-    w = F.least(width, F.greatest((b[2] - b[0]) * (1 + 2 * margin), F.lit(least_side)))
-    h = F.least(height, F.greatest((b[3] - b[1]) * (1 + 2 * margin), F.lit(least_side)))
-    x, y = F.greatest(F.lit(0.0), F.least(cx - w / 2, width - w)), F.greatest(F.lit(0.0), F.least(cy - h / 2, height - h))
-    return _box(x, y, x + w, y + h)
+def with_percent_box(df: DataFrame, text: Column | str, out: str) -> DataFrame:
+    """df with parse_percent of a text, in steps that are columns of their own, so each value is computed once in generated code."""
+    t = lambda k: f"__{out}_{k}"
+    df = df.withColumn(t("n"), all_matches(F.regexp_replace(_c(text), r"(?i)\b[xy][12]\b", ""), NUMBER))
+    df = df.withColumns({t(i): F.try_element_at(t("n"), F.lit(i + 1)).cast("double") for i in range(4)})
+    x = [F.col(t(i)) for i in range(4)]
+    df = df.withColumns({t("hi"): F.greatest(*x), t("lo"): F.least(*x)})
+    hi = F.col(t("hi"))
+    df = df.withColumns({t(i): F.when(hi <= 1, x[i] * 100).when(hi > 100, x[i] / 10).otherwise(x[i]) for i in range(4)})
+    fits = x[3].isNotNull() & (F.col(t("lo")) >= 0) & (hi <= 1000) & (x[0] != x[2]) & (x[1] != x[3])
+    box = F.array(F.least(x[0], x[2]), F.least(x[1], x[3]), F.greatest(x[0], x[2]), F.greatest(x[1], x[3]))
+    return df.withColumn(out, F.when(fits, box)).drop(*[t(k) for k in ("n", "hi", "lo", 0, 1, 2, 3)])
+
+
+def with_score(df: DataFrame, prediction: Column | str, reference: Column | str) -> DataFrame:
+    """df with the columns of score and both boxes, in steps."""
+    df = with_percent_box(with_percent_box(df, prediction, "predicted_box"), reference, "reference_box")
+    p, r = F.col("predicted_box"), F.col("reference_box")
+    both = p.isNotNull() & r.isNotNull()
+    df = df.withColumns({"official_iou": F.when(both, iou(p, r, True)).otherwise(0.0), "clean_iou": F.when(both, iou(p, r)).otherwise(0.0)})
+    return df.withColumns({"official_correct": F.col("official_iou") >= 0.5, "clean_correct": F.col("clean_iou") >= 0.5, "format_valid": p.isNotNull()})
+
+
+def crops_beside(b: Column, width: Column, height: Column, most: int = 4) -> Column:
+    """Strips left, right, above and below an xywh box that don't touch it, of whole pixels.
+
+    A margin of a fiftieth of the shorter side, 4 at least, stays free; strips with a side under 128 or less than a
+    tenth of the image go; the largest come first, equals in the order named.
+    """
+    i = lambda x: x.cast("int")
+    w, h = i(width), i(height)
+    gap = F.greatest(F.lit(4), i(F.least(w, h) * 0.02))
+    zero = F.lit(0)
+    strips = [
+        (zero, zero, F.greatest(zero, i(b[0]) - gap), h), (F.least(w, i(b[0] + b[2]) + gap), zero, w, h),
+        (zero, zero, w, F.greatest(zero, i(b[1]) - gap)), (zero, F.least(h, i(b[1] + b[3]) + gap), w, h),
+    ]
+    rows = [F.struct((-(r - x) * (d - t)).alias("rank"), F.lit(k).alias("k"), F.array(x, t, r, d).alias("box")) for k, (x, t, r, d) in enumerate(strips)]
+    big = lambda s: (s["box"][2] - s["box"][0] >= 128) & (s["box"][3] - s["box"][1] >= 128) & (-s["rank"] >= 0.1 * w * h)
+    return F.transform(F.slice(F.array_sort(F.filter(F.array(*rows), big)), 1, most), lambda s: s["box"])
+
+
+def iou_reward(prediction: Column | str, reference: Column | str) -> Column:
+    """IoU of the first angle forms of both texts, 0 if one has none."""
+    return let(F.struct(parse_signed_angle(prediction).alias("p"), parse_signed_angle(reference).alias("r")), lambda x: F.when(x["p"].isNotNull() & x["r"].isNotNull(), iou_any_corners(x["p"], x["r"])).otherwise(0.0))
+
+
+def box_format_reward(prediction: Column | str) -> Column:
+    """1 where the text holds an angle form."""
+    return parse_signed_angle(prediction).isNotNull().cast("double")
 
 
 def native_text(box: Column) -> Column:

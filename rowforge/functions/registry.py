@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.functions import text
+from rowforge.functions import boxes, text
+from rowforge.operators import aggregate
 
 METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 REWARDS: dict[str, Callable[[Column, Column], Column]] = {}
@@ -60,6 +61,16 @@ def gsm8k_reward(prediction: Column, reference: Column) -> Column:
     return F.coalesce((text.gsm8k_number(prediction, strict=False) == reference).cast("double"), F.lit(0.0))
 
 
+@reward
+def iou_reward(prediction: Column, reference: Column) -> Column:
+    return boxes.iou_reward(prediction, reference)
+
+
+@reward
+def iou_format_reward(prediction: Column, reference: Column) -> Column:
+    return boxes.box_format_reward(prediction)
+
+
 def overlong_penalty(length: Column, most: int, buffer: int, factor: float = 1.0) -> Column:
     """min(-(excess into the buffer) / buffer x factor, 0)."""
     return F.least(-(length - F.lit(most - buffer)) / buffer * factor, F.lit(0.0))
@@ -71,3 +82,87 @@ def by_source(df: DataFrame, source: str, routes: dict[str, str], prediction: st
     for name, key in routes.items():
         out = F.when(F.col(source) == name, REWARDS[key](F.col(prediction), F.col(reference))).otherwise(out)
     return df.withColumn("reward", out)
+
+
+# --- advantages and losses (U6), models (U8) ---------------------------------------------------
+
+#: Advantage estimators: f(rows, group columns, score column, ...) -> rows with `advantage`.
+ADVANTAGES: dict[str, Callable[..., DataFrame]] = {}
+#: Policy losses: f(log-ratio, advantage, ...) -> loss of a token.
+POLICY_LOSSES: dict[str, Callable[..., Column]] = {}
+
+
+def advantage(name: str):
+    """Register an estimator; another function under a known name is an error."""
+
+    def put(f):
+        if ADVANTAGES.get(name, f) is not f:
+            raise ValueError(f"Adv estimator {name} has already been registered")
+        ADVANTAGES[name] = f
+        return f
+
+    return put
+
+
+def policy_loss(name: str):
+    """Register a loss; the last one of a name counts."""
+
+    def put(f):
+        POLICY_LOSSES[name] = f
+        return f
+
+    return put
+
+
+def advantage_of(name: str) -> Callable[..., DataFrame]:
+    if name not in ADVANTAGES:
+        raise ValueError(f"Unknown advantage estimator simply: {name}")
+    return ADVANTAGES[name]
+
+
+def policy_loss_of(name: str) -> Callable[..., Column]:
+    if name not in POLICY_LOSSES:
+        raise ValueError(f"Unsupported loss mode: {name}. Supported modes are: {list(POLICY_LOSSES)}")
+    return POLICY_LOSSES[name]
+
+
+advantage("grpo")(aggregate.group_normalised)
+advantage("rloo")(aggregate.rloo)
+advantage("opo")(aggregate.opo)
+advantage("grpo_passk")(aggregate.pass_at_k)
+advantage("gpg")(aggregate.gpg)
+
+
+@policy_loss("vanilla")
+def clipped_loss(log_ratio: Column, adv: Column, low: float = 0.2, high: float = 0.2, least: float = 3.0) -> Column:
+    """The greater of the plain and clipped loss; below 0 no more than `least` times the lead (dual clip)."""
+    r = F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), log_ratio)))
+    worse = F.greatest(-adv * r, -adv * F.greatest(F.lit(1 - low), F.least(F.lit(1 + high), r)))
+    return F.when(adv < 0, F.least(worse, -adv * least)).otherwise(worse)
+
+
+@policy_loss("gpg")
+def plain_loss(log_prob: Column, adv: Column) -> Column:
+    return -log_prob * adv
+
+
+def predictions_of(samples: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:
+    """Samples with the predictions of a model, which come as a table; one without a prediction is an error (U8)."""
+    x = samples.join(answers.select(key, "prediction", F.lit(True).alias("__here")), key, "left")
+    error = F.raise_error(F.concat(F.lit("no prediction for "), F.col(key).cast("string"))).cast("boolean")
+    return x.where(F.when(F.col("__here").isNull(), error).otherwise(True)).drop("__here")
+
+
+def load_reward(path: str, name: str) -> Callable[[Column, Column], Column]:
+    """The function of that name in a Python file; a missing file or name is an error."""
+    import importlib.util
+    import os
+
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"Reward function file '{path}' not found.")
+    spec = importlib.util.spec_from_file_location("custom_reward", path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    if not hasattr(module, name):
+        raise AttributeError(f"Reward function '{name}' not found in '{path}'.")
+    return getattr(module, name)

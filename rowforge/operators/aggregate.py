@@ -80,17 +80,22 @@ def bootstrap_ci(df: DataFrame, by: list[str], value: str, identity: str, repeat
 
     Sums by repeat are combined before the shuffle; a group of any size costs a task no more than its repeats.
     """
-    chunk = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(identity), F.col("repeat")), F.lit(1 << 30)) / float(1 << 30)
-    cum, weight = 0.0, F.lit(8)
-    steps = []
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(identity), F.col(value).cast("double").alias("__v"))
+    places = F.sequence(F.lit(0), F.lit(repeats - 1))
+    u = lambda r: F.pmod(F.xxhash64(F.lit(seed), F.col(identity), r), F.lit(1 << 30)) / float(1 << 30)
+    steps, cum = [], 0.0
     for k in range(8):
         cum += math.exp(-1) / math.factorial(k)
         steps.append((cum, k))
-    for c, k in reversed(steps):
-        weight = F.when(u < c, F.lit(k)).otherwise(weight)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(identity), F.col(value).cast("double").alias("__v"), chunk).withColumn("__w", weight)
-    means = rows.groupBy(*by, "repeat").agg(ratio(F.sum(F.col("__w") * F.col("__v")), F.sum("__w")).alias("m"))
+
+    def weight(r):
+        w, x = F.lit(8), u(r)
+        for c, k in reversed(steps):
+            w = F.when(x < c, F.lit(k)).otherwise(w)
+        return w
+
+    drawn = rows.select(*by, F.posexplode(F.transform(places, weight)).alias("repeat", "__w"), "__v")
+    means = drawn.groupBy(*by, "repeat").agg(ratio(F.sum(F.col("__w") * F.col("__v")), F.sum("__w")).alias("m"))
     sorted_ = F.array_sort(F.collect_list("m"))
     if linear:
         lo, hi = F.percentile("m", 0.025), F.percentile("m", 0.975)
@@ -238,10 +243,17 @@ def sensitivity(df: DataFrame, source: str, ratio_col: str, metric: str, eps: fl
     return df.join(base, source).where(F.col(metric) >= (1 - eps) * F.col("base")).groupBy(source).agg(F.min(ratio_col).alias("least_ratio"))
 
 
-def trend_gate(df: DataFrame, step: str, value: str, key: str, most_drop: float) -> DataFrame:
-    """By key: mean absolute step, greatest drop, and whether it stays within the limit."""
-    d = F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(step))
-    return df.withColumn("__d", d).groupBy(key).agg(F.avg(F.abs("__d")).alias("mean_step"), F.max(-F.col("__d")).alias("drop")).withColumn("passes", F.coalesce(F.col("drop") <= most_drop, F.lit(True)))
+def trend_gate(df: DataFrame, key: str, initial: str = "initial", short: str = "short", final: str = "final", most_drop: float = 0.03, parseable: str | None = None) -> DataFrame:
+    """By key: mean distances of the initial and short metrics to the final ones, the greatest drop from initial to short, and whether it passes.
+
+    df: a row a metric. It passes if the short metrics are nearer to the final ones than the initial ones were, none
+    dropped by more than the limit and, where such a column is given, all could be parsed.
+    """
+    out = df.groupBy(key).agg(
+        F.avg(F.abs(F.col(initial) - F.col(final))).alias("initial_distance"), F.avg(F.abs(F.col(short) - F.col(final))).alias("short_distance"),
+        F.max(F.col(initial) - F.col(short)).alias("most_drop"), F.count_if(F.col(initial) - F.col(short) > most_drop).alias("drops"), (F.lit(True) if parseable is None else F.min(parseable) == 1.0).alias("parses"),
+    )
+    return out.withColumn("passes", (F.col("short_distance") < F.col("initial_distance")) & (F.col("drops") == 0) & F.col("parses")).drop("parses")
 
 
 def promotion_gate(candidates: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -291,5 +303,36 @@ def validation_metrics(df: DataFrame, source: str, uid: str, value: str, answer:
                 out += [(f"{name}@{m}/mean", x.mean()), (f"{name}@{m}/std", x.std())]
         return pd.DataFrame([(key[0], str(key[1]), k_, float(x)) for k_, x in out], columns=["source", "uid", "metric", "value"])
 
-    each = df.select(source, uid, value, answer, pos).groupBy(source, uid).applyInPandas(one, "source string, uid string, metric string, value double")
+    each = df.select(source, uid, value, answer, pos).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), source, uid).groupBy(source, uid).applyInPandas(one, "source string, uid string, metric string, value double")
     return each.groupBy("source", "metric").agg(F.avg("value").alias("value"), F.count("*").alias("uids"))
+
+
+def trajectory_summary(rows: DataFrame, repeats: int = 1000, seed: int = 42) -> DataFrame:
+    """One row over trajectories: accuracy with its interval, shares, routes, accuracy by family, recovered targets and instances by stage.
+
+    A recovery is the first successful attempt after the initial one, by call, of a target that failed at first, with
+    an instance that was retained, has a mask and a box; it counts for right answers that came by tree search.
+    """
+    mode, right = F.coalesce(F.col("search_mode"), F.lit(3)), F.coalesce(F.col("answer_correct"), F.lit(False))
+    later = F.filter("t.sam_attempts", lambda a: (F.coalesce(a["stage"], F.lit("")) != "initial") & F.coalesce(a["sam_success"], F.lit(False)))
+    first = F.array_min(F.transform(later, lambda a: F.struct(F.coalesce(a["call_index"], F.lit(0)).alias("c"), a["stage"].alias("stage"), a["instances"].alias("i"))))
+    good = F.filter("r.i", lambda i: F.coalesce(i["retained_by_cvsearch"] & i["valid_mask"], F.lit(False)) & (F.size(i["pseudo_bbox_xyxy"]) > 0))
+    found = rows.where((mode == 2) & right).select(F.explode("target_traces").alias("t")).where(~F.coalesce("t.initial_sam_success", F.lit(False))).select(first.alias("r")).where("r is not null").select("r.stage", F.size(good).alias("n")).where("n > 0")
+    counts = lambda df, key, what, kind: df.groupBy(F.col(key).cast("string").alias("k")).agg(what.alias("v")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).cast(f"map<string,{kind}>").alias("m"))
+    share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    taught = F.col("teacher_prediction").isNotNull()
+    gain = F.col("teacher_gt_logprob") - F.col("student_gt_logprob")
+    one = rows.agg(
+        F.count("*").alias("samples"), F.count_if(right).alias("correct"), share(right).alias("accuracy"), share(F.col("normalized_prediction").isNull()).alias("illegal_rate"), share(F.coalesce("num_pop", F.lit(0.0))).alias("mean_pop"), F.count_if(mode == 2).alias("tree_search_samples"),
+        share(F.when(taught, F.col("teacher_prediction").eqNullSafe(F.col("gt_answer")))).alias("teacher_crop_accuracy"), F.avg(F.when(taught, gain)).alias("teacher_logprob_gain_mean"), share(F.coalesce("accepted_for_opsd", F.lit(False))).alias("opsd_acceptance_rate"),
+    )
+    parts = [
+        found.agg(F.count("*").alias("sam_recovered_target_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("sam_recovered_instance_count")),
+        counts(rows.select(mode.alias("search_mode")), "search_mode", F.count("*"), "bigint").withColumnRenamed("m", "routes"),
+        counts(rows.select(F.coalesce("question_family", F.lit("unknown")).alias("f"), right.alias("ok")), "f", F.avg(F.col("ok").cast("double")), "double").withColumnRenamed("m", "per_question_family_accuracy"),
+        counts(found, "stage", F.count("*"), "bigint").withColumnRenamed("m", "sam_recovery_stages"),
+        bootstrap_ci(rows.select("sample_id", right.cast("double").alias("ok")), [], "ok", "sample_id", repeats, seed=seed).select(F.struct("low", "high").alias("accuracy_ci95")),
+    ]
+    for p in parts:
+        one = one.crossJoin(F.broadcast(p))  # one row each
+    return one

@@ -160,3 +160,68 @@ def synthetic_mcq(df: DataFrame, identity: str, question: str, answer: str, seed
 def first_word_flip(text: Column | str, word: str, other: str) -> Column:
     """(T22)"""
     return replace_first(text, rf"(?i)\b{word}\b", other)
+
+
+# --- dataset converters (P13, P16, P17) --------------------------------------------------------
+
+
+def chat_row(image: Column, prompt: Column, answer: Column) -> Column:
+    """messages of one image, one prompt and one answer."""
+    part = lambda kind, img, text: F.struct(F.lit(kind).alias("type"), img.cast("string").alias("image"), text.cast("string").alias("text"))
+    none = F.lit(None).cast("string")
+    user = F.struct(F.lit("user").alias("role"), F.array(part("image", image, none), part("text", none, prompt)).alias("content"))
+    return F.array(user, F.struct(F.lit("assistant").alias("role"), F.array(part("text", none, answer)).alias("content")))
+
+
+#: Marks of the tasks of one data set, and their prefixes.
+MARKED_TASKS = {"caption": "[CAP]", "vqa": "[VQA]", "refer": "[REF]"}
+
+
+def marked_prompt(value: Column | str) -> Column:
+    """The first turn without its image line, with the task's mark as a prefix; without a known mark it is a vqa."""
+    rest = replace_first(value, "<image>\n", "")
+    out = F.concat(F.lit("[VQA] "), rest)
+    for task, prefix in MARKED_TASKS.items():
+        mark = f"[{task}]"
+        out = F.when(F.startswith(rest, F.lit(mark)), F.concat(F.lit(prefix + " "), F.substr(rest, F.lit(len(mark) + 2)))).otherwise(out)
+    return out
+
+
+def marked_conversations(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Training entries (image, conversations) as chat rows; those without a file or an answer go.
+
+    files: name, path.
+    """
+    answer = F.trim(F.element_at("conversations", 2)["value"])
+    rows = entries.withColumn("__a", answer).where(F.col("__a") != "")
+    prompt = marked_prompt(F.element_at("conversations", 1)["value"])
+    return rows.join(files.withColumnRenamed("name", "image"), "image").select("image", chat_row(F.col("path"), prompt, F.col("__a")).alias("messages"))
+
+
+def question_entries(entries: DataFrame, files: DataFrame, task: str) -> DataFrame:
+    """Evaluation entries (image_id, question, ground_truth) of a task as chat rows; those without a file or a truth go."""
+    truth = F.trim(F.coalesce("ground_truth", F.lit("")))
+    rows = entries.withColumn("__a", truth).where(F.col("__a") != "")
+    prompt = F.concat(F.lit(MARKED_TASKS.get(task, "[VQA]") + " "), F.coalesce("question", F.lit("")))
+    return rows.join(files.withColumnRenamed("name", "image_id"), "image_id").select("image_id", chat_row(F.col("path"), prompt, F.col("__a")).alias("messages"))
+
+
+def mcq_messages(rows: DataFrame, question: str, options: str, answer: str, image: str) -> DataFrame:
+    """Questions with option lines as chat rows: the answer is the letter and its option, or the letter alone without one."""
+    prompt = F.concat(F.lit("[MCQ] "), F.col(question), F.lit("\n"), F.array_join(options, "\n"))
+    truth = F.coalesce(F.concat(F.col(answer), F.lit(". "), option_answer(options, answer)), F.col(answer))
+    return rows.withColumn("messages", chat_row(F.col(image), prompt, truth))
+
+
+def caption_messages(rows: DataFrame, image: str = "image", prompt: str = "prompt", references: str = "references") -> DataFrame:
+    """Flat captions as chat rows: [CAP], a prompt where there is none, the first reference."""
+    said = F.concat(F.lit("[CAP] "), F.coalesce(prompt, F.lit("Describe the image in detail.")))
+    return rows.withColumn("messages", chat_row(F.col(image), said, F.coalesce(F.try_element_at(F.col(references), F.lit(1)), F.lit(""))))
+
+
+# --- order (W1) --------------------------------------------------------------------------------
+
+
+def sort_rows(df: DataFrame, *keys: str, ties: str) -> DataFrame:
+    """By keys, `-` before one for falling order, ties by name."""
+    return df.orderBy(*[F.col(k[1:]).desc() if k.startswith("-") else F.col(k) for k in keys], ties)

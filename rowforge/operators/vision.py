@@ -111,6 +111,21 @@ def coverage_select(x: np.ndarray, k: int, weight: np.ndarray | None = None) ->
     return np.sort(chosen)
 
 
+def signed_coverage_select(x: np.ndarray, k: int) -> np.ndarray:
+    """MMTok: first the row with the greatest sum of cosines, then the greatest gain in coverage; negative cosines count."""
+    if k >= len(x):
+        return np.arange(len(x))
+    s = cosine(x)
+    chosen = [int(s.sum(0).argmax())]
+    covered = s[:, chosen[0]].copy()
+    while len(chosen) < k:
+        gain = np.maximum(covered[:, None], s).sum(0) - covered.sum()
+        gain[chosen] = -np.inf
+        chosen.append(int(gain.argmax()))
+        covered = np.maximum(covered, s[:, chosen[-1]])
+    return np.sort(chosen)
+
+
 def dct_matrix(n: int) -> np.ndarray:
     k, i = np.arange(n)[:, None], np.arange(n)[None, :]
     m = np.cos(np.pi * (2 * i + 1) * k / (2 * n)) * np.sqrt(2 / n)
@@ -125,6 +140,11 @@ def low_pass(grid: np.ndarray, h: int, w: int) -> np.ndarray:
     return np.einsum("ih,ijc,jw->hwc", dct_matrix(h), f, dct_matrix(w)) * np.sqrt(h * w / (grid.shape[0] * grid.shape[1]))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows by key over all shuffle partitions: groups that Python works on are dear however few bytes they have, so they aren't coalesced by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 # --- vector selection (V17-V23) ----------------------------------------------------------------
 
 
@@ -152,7 +172,7 @@ def pruner(name: str):
 
 
 PRUNERS["divprune"] = max_min_select
-PRUNERS["mmtok"] = coverage_select
+PRUNERS["mmtok"] = signed_coverage_select
 
 
 @pruner("scope_l2")
@@ -170,7 +190,7 @@ def select_tokens(df: DataFrame, group: str, token: str, vector: str, method: st
         rows = rows.sort_values(token)
         return rows.iloc[f(np.stack(rows[vector].to_list()).astype(float), k)][[group, token]]
 
-    return df.select(group, token, vector).groupBy(group).applyInPandas(one, df.select(group, token).schema)
+    return spread(df.select(group, token, vector), group).groupBy(group).applyInPandas(one, df.select(group, token).schema)
 
 
 def uniform_places(n: int, k: int) -> list[int]:
@@ -229,7 +249,7 @@ def nms(df: DataFrame, by: list[str], identity: str, score: str, box: str, limit
         b = np.stack(rows[box].to_list()).astype(float)
         return rows.iloc[greedy_suppress(iou_matrix(b, b), np.arange(len(rows)), limit, at_limit)]
 
-    return df.groupBy(*by).applyInPandas(one, df.schema)
+    return spread(df, *by).groupBy(*by).applyInPandas(one, df.schema)
 
 
 def tube_iou(df: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
@@ -287,7 +307,7 @@ def remove_overlaps(df: DataFrame, by: list[str], identity: str, score: str, cou
         sim = np.array([[mask_iom(a, b) for b in masks] for a in masks]).reshape(len(masks), len(masks))
         return rows.iloc[greedy_suppress(sim, np.arange(len(rows)), limit, at_limit=False)]
 
-    return df.groupBy(*by).applyInPandas(one, df.schema)
+    return spread(df, *by).groupBy(*by).applyInPandas(one, df.schema)
 
 
 # --- detection metrics (V4-V8) -----------------------------------------------------------------
@@ -320,7 +340,7 @@ def cgf1_images(truths: DataFrame, predictions: DataFrame, image: str, threshold
         rows = [(key[0], lv, int((got >= lv).sum()), len(a) - int((got >= lv).sum()), len(b) - int((got >= lv).sum()), len(b), len(a)) for lv in levels]
         return pd.DataFrame(rows, columns=[image, "level", "tp", "fp", "fn", "n_gt", "n_pred"])
 
-    return _sides(truths, predictions, image, "score").groupBy(image).applyInPandas(one, schema)
+    return spread(_sides(truths, predictions, image, "score"), image).groupBy(image).applyInPandas(one, schema)
 
 
 def cgf1_totals(images: DataFrame) -> DataFrame:
@@ -349,40 +369,53 @@ def oracle_best(per_truth: DataFrame, image: str, annotator: str) -> DataFrame:
 def match_detections(truths: DataFrame, predictions: DataFrame, image: str, levels: list[float] | None = None, max_dets: int = 100) -> DataFrame:
     """(image, prediction_id, score, level, hit): each prediction, best score first, takes the free truth it overlaps most (V7)."""
     levels = IOU_LEVELS if levels is None else levels
-    schema = T.StructType([predictions.schema[image], predictions.schema["prediction_id"], T.StructField("score", T.DoubleType()), T.StructField("level", T.DoubleType()), T.StructField("hit", T.BooleanType())])
+    schema = T.StructType([predictions.schema[image], predictions.schema["prediction_id"], T.StructField("score", T.DoubleType()), T.StructField("hits", T.ArrayType(T.BooleanType()))])
 
     def one(key, rows: pd.DataFrame) -> pd.DataFrame:
         g, p = rows[~rows["pred"]], rows[rows["pred"]]
         p = p.sort_values(["score", "prediction_id"], ascending=[False, True]).head(max_dets)
         if not len(p):
             return pd.DataFrame({c: [] for c in schema.names})
-        b = np.stack(g["box"].to_list()).astype(float) if len(g) else np.zeros((0, 4))
-        sim = iou_matrix(np.stack(p["box"].to_list()).astype(float), b)
-        out = []
-        for lv in levels:
-            free = np.ones(len(b), bool)
-            for i, (pid, sc) in enumerate(zip(p["prediction_id"], p["score"], strict=True)):
-                s = np.where(free, sim[i], -1.0)
-                j = int(s.argmax()) if len(s) else -1
-                hit = j >= 0 and s[j] >= lv
-                if hit:
-                    free[j] = False
-                out.append((key[0], pid, float(sc), lv, bool(hit)))
-        return pd.DataFrame(out, columns=schema.names)
-
-    return _sides(truths, predictions, image, "prediction_id", "score").groupBy(image).applyInPandas(one, schema)
-
-
-def average_precision_101(matches: DataFrame, n_truths: int, image: str) -> DataFrame:
-    """(level, ap, ar): precision made monotone, read at 101 recalls (V7)."""
-    w = Window.partitionBy("level").orderBy(F.col("score").desc(), image, "prediction_id")
-    tp = F.sum(F.col("hit").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = matches.withColumn("tp", tp).withColumn("precision", F.col("tp") / F.row_number().over(w)).where("hit")  # recall rises at hits only
-    best = ranked.withColumn("envelope", F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing)))
+        sim = iou_matrix(np.stack(p["box"].to_list()).astype(float), np.stack(g["box"].to_list()).astype(float) if len(g) else np.zeros((0, 4)))
+        want, free = np.array(levels), np.ones((len(levels), sim.shape[1]), bool)
+        hits = np.zeros((len(p), len(levels)), bool)
+        for i in np.flatnonzero(sim.max(1, initial=0.0) >= want.min()):  # all levels at once
+            s = np.where(free, sim[i], -1.0)
+            j = s.argmax(1)
+            hits[i] = s[np.arange(len(levels)), j] >= want
+            free[np.flatnonzero(hits[i]), j[hits[i]]] = False
+        return pd.DataFrame({image: [key[0]] * len(p), "prediction_id": p["prediction_id"].to_numpy(), "score": p["score"].to_numpy(float), "hits": list(hits)})
+
+    found = spread(_sides(truths, predictions, image, "prediction_id", "score"), image).groupBy(image).applyInPandas(one, schema)
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("level"), F.col("hits").alias("hit"))).alias("x")
+    return found.select(image, "prediction_id", "score", each).select(image, "prediction_id", "score", F.col("x.level").alias("level"), F.col("x.hit").alias("hit"))
+
+
+def average_precision_101(matches: DataFrame, n_truths: int, image: str, bins: int = 64) -> DataFrame:
+    """(level, ap, ar): precision made monotone, read at 101 recalls (V7).
+
+    Ranks come from counts of score bins, so a level is as many tasks as it has bins; equal scores share a bin.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    top = matches.agg(F.min("level")).first()[0]
+    edges = matches.where((F.col("level") == top) & F.col("score").isNotNull()).approxQuantile("score", [i / bins for i in range(1, bins)], 0.5 / bins)
+    cut = Bucketizer(splits=[-float("inf"), *sorted(set(edges)), float("inf")], inputCol="score", outputCol="__b")
+    rows = cut.transform(matches).withColumn("bin", -F.col("__b")).withColumn("hit", F.col("hit").cast("int"))
+    down = Window.partitionBy("level").orderBy("bin")  # a row a bin
+    counts = rows.groupBy("level", "bin").agg(F.count("*").alias("__n"), F.sum("hit").alias("__h"))
+    before = counts.select("level", "bin", (F.sum("__n").over(down) - F.col("__n")).alias("n0"), (F.sum("__h").over(down) - F.col("__h")).alias("h0"))
+    order = [F.col("score").desc(), F.col(image), F.col("prediction_id")]
+    w = Window.partitionBy("level", "bin").orderBy(*order)
+    ranked = rows.join(F.broadcast(before), ["level", "bin"]).withColumn("tp", F.col("h0") + F.sum("hit").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("precision", F.col("tp") / (F.col("n0") + F.row_number().over(w))).where("hit = 1")
+    best = ranked.groupBy("level", "bin").agg(F.max("precision").alias("__p"))
+    after = best.select("level", "bin", F.max("__p").over(Window.partitionBy("level").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+    back = Window.partitionBy("level", "bin").orderBy(F.col("tp").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    level = ranked.withColumn("inside", F.max("precision").over(back)).join(F.broadcast(after), ["level", "bin"]).withColumn("envelope", F.greatest("inside", "later"))
     # recall r is reached at hit number ceil(r x truths); the k-th hit covers the steps in (k-1, k] / truths
     steps = F.floor(F.col("tp") * 100 / F.lit(n_truths) + 1e-9) - F.floor((F.col("tp") - 1) * 100 / F.lit(n_truths) + 1e-9)
     zero = F.when(F.col("tp") == 1, 1).otherwise(0)
-    return best.groupBy("level").agg((F.sum(F.col("envelope") * (steps + zero)) / 101).alias("ap"), (F.max("tp") / F.lit(n_truths)).alias("ar"))
+    return level.groupBy("level").agg((F.sum(F.col("envelope") * (steps + zero)) / 101).alias("ap"), (F.max("tp") / F.lit(n_truths)).alias("ar"))
 
 
 # --- tracking (V10-V14) ------------------------------------------------------------------------
@@ -443,7 +476,7 @@ def hota_sequences(similarities: DataFrame, truths: DataFrame, tracks: DataFrame
             out.append((key[0], al, tp[k], fn[k], fp[k], loc[k], float((hits[k] * ass).sum())))
         return pd.DataFrame(out, columns=[seq, *names])
 
-    return rows.groupBy(seq).applyInPandas(one, schema)
+    return spread(rows, seq).groupBy(seq).applyInPandas(one, schema)
 
 
 def hota_combine(per_seq: DataFrame, by: list[str] | None = None) -> DataFrame:

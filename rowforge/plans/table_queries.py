@@ -117,11 +117,18 @@ def _(t):
     return A.pass_at_k(t("orders"), ["o_custkey"], "o_totalprice", "o_orderkey", by_std=False).select("o_orderkey", "advantage")
 
 
-@query("a39_reward_to_go", "SELECT o.l_orderkey, list(s ORDER BY l_linenumber) AS togo FROM (SELECT l_orderkey, l_linenumber, sum(l_tax) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT l_orderkey, l_linenumber, sum(l_tax) AS l_tax FROM lineitem GROUP BY 1, 2)) o GROUP BY 1")
+@query("a39_reward_to_go", "SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS place, sum(l_tax) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC ROWS UNBOUNDED PRECEDING) AS togo FROM (SELECT l_orderkey, l_linenumber, sum(l_tax) AS l_tax FROM lineitem GROUP BY 1, 2)")
 def _(t):
     lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_tax").alias("l_tax"))
     r = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_tax"))).alias("r"))
-    return r.select("l_orderkey", F.transform(A.reward_to_go(F.transform("r", lambda x: x["l_tax"])), lambda x: x).alias("togo"))
+    return r.select("l_orderkey", F.posexplode(A.reward_to_go(F.transform("r", lambda x: x["l_tax"]))).alias("place", "togo"))
+
+
+@query("a39_gae", "WITH l AS (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS r, count(*) * l_linenumber AS v FROM lineitem GROUP BY 1, 2), d AS (SELECT *, r + 0.5 * coalesce(lead(v) OVER w, 0) - v AS delta, row_number() OVER w AS k FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) SELECT a.l_orderkey, CAST(a.k - 1 AS INTEGER) AS place, sum(pow(0.25, b.k - a.k) * b.delta) AS advantage FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND b.k >= a.k GROUP BY 1, 2")
+def _(t):
+    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("r"), (F.count("*") * F.col("l_linenumber")).cast("double").alias("v"))
+    x = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "r", "v"))).alias("x"))
+    return x.select("l_orderkey", F.posexplode(A.gae(F.transform("x", lambda y: y["r"]), F.transform("x", lambda y: y["v"]), 0.5, 0.5)).alias("place", "advantage"))
 
 
 @query("a40_loss_modes", "SELECT sum(l_discount * m) / sum(m) AS loss FROM (SELECT l_discount, CASE WHEN l_linenumber <= 3 THEN 1 ELSE 0 END AS m FROM lineitem)")
@@ -162,10 +169,130 @@ def _(t):
     return A.sensitivity(m, "source", "r", "metric", 0.01)
 
 
-@query("a47_trend_gate", "WITH m AS (SELECT event_type, date_trunc('day', ts) AS d, avg(value) AS v FROM events GROUP BY 1, 2), s AS (SELECT event_type, v - lag(v) OVER (PARTITION BY event_type ORDER BY d) AS x FROM m) SELECT event_type, avg(abs(x)) AS mean_step, max(-x) AS drop, max(-x) <= 25 AS passes FROM s GROUP BY 1")
+@query(
+    "a47_trend_gate",
+    """WITH m AS (SELECT lang, source, avg(n_chars) AS initial, avg(n_chars) FILTER (WHERE doc_id % 2 = 0) AS short, avg(n_chars) FILTER (WHERE doc_id % 4 = 0) AS final FROM documents GROUP BY 1, 2)
+       SELECT lang, avg(abs(initial - final)) AS initial_distance, avg(abs(short - final)) AS short_distance, max(initial - short) AS most_drop, count(*) FILTER (WHERE initial - short > 100) AS drops,
+       avg(abs(short - final)) < avg(abs(initial - final)) AND count(*) FILTER (WHERE initial - short > 100) = 0 AS passes FROM m GROUP BY lang""",
+)
+def _(t):
+    n, d = F.col("n_chars"), F.col("doc_id")
+    m = t("documents").groupBy("lang", "source").agg(F.avg(n).alias("initial"), F.avg(F.when(d % 2 == 0, n)).alias("short"), F.avg(F.when(d % 4 == 0, n)).alias("final"))
+    return A.trend_gate(m, "lang", most_drop=100)
+
+
+@query("a29_trajectory_summary")
+def _(t):
+    return A.trajectory_summary(trajectories(t), repeats=200)
+
+
+@query(
+    "a29_trajectory_counts",
+    """SELECT count(*) AS samples, count(*) FILTER (WHERE p_size % 3 <> 0) AS correct, avg(CAST(p_size % 3 <> 0 AS INTEGER)) AS accuracy, avg(CAST(p_partkey % 10 = 9 AS INTEGER)) AS illegal_rate, avg(p_size / 2.0) AS mean_pop, count(*) FILTER (WHERE p_size % 2 = 0) AS tree_search_samples,
+       avg(CASE WHEN p_partkey % 4 = 0 THEN CAST(p_partkey % 8 = 0 AS INTEGER) END) AS teacher_crop_accuracy, avg(CASE WHEN p_partkey % 4 = 0 THEN 0.5 + p_size END) AS teacher_logprob_gain_mean, avg(CAST(p_size > 25 AS INTEGER)) AS opsd_acceptance_rate,
+       count(*) FILTER (WHERE p_size % 2 = 0 AND p_size % 3 <> 0 AND p_partkey % 3 <> 0) AS sam_recovered_target_count, 2 * count(*) FILTER (WHERE p_size % 2 = 0 AND p_size % 3 <> 0 AND p_partkey % 3 <> 0) AS sam_recovered_instance_count,
+       count(*) FILTER (WHERE p_size % 2 = 0 AND p_size % 3 <> 0 AND p_partkey % 3 = 1) AS first_retry FROM part""",
+)
+def _(t):
+    s = A.trajectory_summary(trajectories(t), repeats=2)
+    names = ["samples", "correct", "accuracy", "illegal_rate", "mean_pop", "tree_search_samples", "teacher_crop_accuracy", "teacher_logprob_gain_mean", "opsd_acceptance_rate", "sam_recovered_target_count", "sam_recovered_instance_count"]
+    return s.select(*names, F.coalesce(F.try_element_at("sam_recovery_stages", F.lit("local_retry_1")), F.lit(0)).alias("first_retry"))
+
+
+def trajectories(t):
+    """A trajectory a row of part: right where the size is no multiple of 3, by tree search where it is even.
+
+    Its one target failed at first; a retry works but for keys that 3 divides, the first retry where the rest is 1. A
+    retry finds two good masks and one that isn't kept.
+    """
+    k, n = F.col("p_partkey"), F.col("p_size")
+    box = lambda a, b: F.array(F.lit(10.0), F.lit(10.0), a, b)
+    inst = lambda i, kept, b: F.struct(F.lit(i).alias("prediction_index"), F.lit(0.5).alias("score"), F.lit(kept).alias("retained_by_cvsearch"), F.lit(True).alias("valid_mask"), F.when(k % 5 != 4, "m.png").alias("mask_path"), b.alias("pseudo_bbox_xyxy"))
+    found = F.array(inst(0, True, box(n + 20.0, n + 20.0)), inst(1, False, box(F.lit(50.0), F.lit(50.0))), inst(2, True, box(F.lit(99.0), F.lit(99.0))))
+    attempt = lambda c, stage, ok: F.struct(F.lit(c).alias("call_index"), F.lit(stage).alias("stage"), ok.alias("sam_success"), found.alias("instances"))
+    tries = F.array(attempt(0, "initial", F.lit(False)), attempt(2, "local_retry_2", k % 3 != 0), attempt(1, "local_retry_1", k % 3 == 1))
+    nodes = F.slice(F.array(*[F.struct(F.array(F.lit(10.0), F.lit(10.0), n * 2.0, n * 2.0).alias("bbox_xywh"), F.lit("n").alias("source"))] * 2), 1, (k % 3).cast("int"))
+    target = F.struct(F.lit(0).alias("target_index"), F.when(k % 7 == 6, " ").otherwise("thing").alias("target_text"), F.lit(False).alias("initial_sam_success"), nodes.alias("final_nodes"), tries.alias("sam_attempts"))
+    return t("part").select(
+        k.cast("string").alias("sample_id"), F.lit(100).alias("width"), F.lit(100).alias("height"), F.when(n % 2 == 0, 2).otherwise(3).alias("search_mode"), (n % 3 != 0).alias("answer_correct"), F.when(k % 10 != 9, "A").alias("normalized_prediction"), (n / 2).alias("num_pop"),
+        F.when(k % 2 == 0, "what color").alias("question_family"), F.when(k % 4 == 0, F.when(k % 8 == 0, "A").otherwise("B")).alias("teacher_prediction"), F.lit("A").alias("gt_answer"), (n + 0.5).alias("teacher_gt_logprob"), F.lit(0.0).alias("student_gt_logprob"), (n > 25).alias("accepted_for_opsd"), F.array(target).alias("target_traces"),
+    )
+
+
+_SEARCHED = "SELECT *, CAST(p_partkey AS VARCHAR) AS sample_id FROM part WHERE p_size % 2 = 0 AND p_size % 3 <> 0"
+
+
+@query(
+    "f9_tree_node_boxes",
+    f"""SELECT sample_id, CASE WHEN p_partkey % 7 = 6 THEN 'empty_target_text' WHEN p_partkey % 3 = 0 THEN 'missing_final_node' WHEN p_partkey % 3 = 2 THEN 'ambiguous_multiple_final_nodes'
+        WHEN pow(least(100, 10 + p_size * 2) - 10, 2) / 10000 NOT BETWEEN 0.01 AND 0.3 THEN 'pseudo_bbox_area_out_of_range' END AS reason,
+        CASE WHEN p_partkey % 3 = 1 THEN pow(least(100, 10 + p_size * 2) - 10, 2) / 10000 END AS share FROM ({_SEARCHED})""",
+)
+def _(t):
+    return V.tree_node_boxes(trajectories(t), 0.01, 0.3).select("sample_id", "reason", "share")
+
+
+_RECOVERED = "CASE WHEN p_partkey % 5 <> 4 THEN (CASE WHEN pow(least(100, p_size + 20) - 10, 2) / 10000 BETWEEN 0.001 AND 0.25 THEN 1 ELSE 0 END) ELSE 0 END"
+
+
+@query(
+    "f10_recovered_boxes",
+    f"""SELECT sample_id, CASE WHEN p_partkey % 7 = 6 THEN 'empty_target_text' WHEN p_partkey % 3 = 0 THEN 'missing_local_sam_recovery' WHEN {_RECOVERED} = 0 THEN 'no_valid_recovered_mask' END AS reason,
+        CASE WHEN p_partkey % 7 <> 6 AND p_partkey % 3 <> 0 THEN {_RECOVERED} ELSE 0 END AS instances FROM ({_SEARCHED})""",
+)
+def _(t):
+    targets, _ = V.recovered_boxes(trajectories(t), most=0.25)
+    return targets.select("sample_id", "reason", F.col("instances").cast("int").alias("instances"))
+
+
+@query(
+    "f10_instance_reasons",
+    f"""SELECT sample_id, i AS prediction_index, CASE WHEN p_partkey % 3 = 1 THEN 'local_retry_1' ELSE 'local_retry_2' END AS stage, CASE WHEN p_partkey % 5 = 4 THEN 'missing_mask_artifact' WHEN i = 2 OR pow(least(100, p_size + 20) - 10, 2) / 10000 > 0.25 THEN 'pseudo_bbox_area_out_of_range' END AS reason
+        FROM ({_SEARCHED}), (VALUES (0), (2)) v(i) WHERE p_partkey % 7 <> 6 AND p_partkey % 3 <> 0""",
+)
+def _(t):
+    return V.recovered_boxes(trajectories(t), most=0.25)[1].select("sample_id", "prediction_index", "stage", "reason")
+
+
+# --- manifests (F4-F6, F18) --------------------------------------------------------------------
+
+
+def samples(t):
+    """A sample a line: the task by line number, no label for some choices."""
+    tasks = F.array(*map(F.lit, ["caption", "open_vqa", "bbox", "single_choice", "multi_choice", "change_caption"]))
+    n = F.col("l_linenumber")
+    data = F.when(F.col("l_returnflag") == "A", "vrsbench").when(F.col("l_returnflag") == "N", "levir_cc").otherwise("other")
+    return t("lineitem").select((F.col("l_orderkey") * 10 + n).alias("id"), data.alias("dataset"), F.col("l_linestatus").alias("subtask"), F.element_at(tasks, (n % 6 + 1).cast("int")).alias("task_type"), F.when(F.col("l_tax") > 0.02, F.array(F.lit("A"))).otherwise(F.array().cast("array<string>")).alias("answer_labels"), F.when(n <= 3, "eval").otherwise("test").alias("split"))
+
+
+_SAMPLES = "SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_returnflag WHEN 'A' THEN 'vrsbench' WHEN 'N' THEN 'levir_cc' ELSE 'other' END AS dataset, ['caption', 'open_vqa', 'bbox', 'single_choice', 'multi_choice', 'change_caption'][1 + l_linenumber % 6] AS task_type, l_tax > 0.02 AS labelled, CASE WHEN l_linenumber <= 3 THEN 'eval' ELSE 'test' END AS split FROM lineitem"
+
+
+@query("f4_manifest", f"SELECT id FROM ({_SAMPLES}) WHERE task_type = 'single_choice' AND labelled ORDER BY id LIMIT 300")
+def _(t):
+    return V.manifest(samples(t), "mcq", 300).select("id")
+
+
+@query("f4_manifest_all", f"SELECT id, task_type FROM ({_SAMPLES}) WHERE labelled OR task_type NOT IN ('single_choice', 'multi_choice')")
 def _(t):
-    m = t("events").groupBy("event_type", F.date_trunc("day", "ts").alias("d")).agg(F.avg("value").alias("v"))
-    return A.trend_gate(m, "d", "v", "event_type", 25)
+    return V.manifest(samples(t)).select("id", "task_type")
+
+
+@query("f5_subtask_slice", f"SELECT id FROM ({_SAMPLES}) WHERE task_type = 'bbox'")
+def _(t):
+    return V.subtask_slice(samples(t), "bbox").select("id")
+
+
+@query("f6_official", f"SELECT id, dataset FROM (SELECT DISTINCT id, dataset, split FROM ({_SAMPLES})) WHERE (dataset = 'vrsbench' AND split = 'eval') OR (dataset = 'levir_cc' AND split = 'test') GROUP BY ALL HAVING (SELECT count(*) FROM ({_SAMPLES}) s WHERE s.id = id) > 0")
+def _(t):
+    return V.official(samples(t).dropDuplicates(["id", "dataset", "split"])).select("id", "dataset")
+
+
+@query("f18_referring", "WITH c AS (SELECT conv_id, row_number() OVER (ORDER BY sha256('43:' || conv_id), conv_id) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 3 = 0)) SELECT conv_id, CASE WHEN r <= CAST(floor(n * 0.8) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM c")
+def _(t):
+    c = t("conversations").select("conv_id").distinct()
+    turn = F.struct(F.lit("human").alias("from"), F.when(F.col("conv_id") % 3 == 0, "<image>\n[refer] it").otherwise("[vqa] it").alias("value"))
+    return V.referring_only(c.withColumn("conversations", F.array(turn)), "conv_id", held_out=0.2).select("conv_id", "split")
 
 
 @query("a48_promotion_gate", "SELECT l_returnflag, a >= 25 AS accuracy_ok, p <= 0.06 AS search_ok, n >= 100 AS coverage_ok, f <= 0.05 AS negatives_ok, a >= 25 AND p <= 0.06 AND n >= 100 AND f <= 0.05 AS promoted FROM (SELECT l_returnflag, avg(l_quantity) AS a, avg(l_tax) AS p, count(*) AS n, avg(l_discount) AS f FROM lineitem GROUP BY 1)")
@@ -369,39 +496,17 @@ def _(t):
     return t("documents").select("doc_id", V.reasons(short=F.col("n_chars") < 400, lang=F.col("lang") != "en").alias("reasons"))
 
 
-@query("f7_success", "SELECT event_id FROM events WHERE event_type <> 'error' AND (value <= 90 OR (user_id % 2 = 0 AND event_id % 5 = 0))")
-def _(t):
-    x = t("events").select("event_id", F.when(F.col("event_type") == "error", "bad").alias("error"), (F.col("value") > 90).alias("generation_truncated"), F.when(F.col("user_id") % 2 == 0, "levir_cc").otherwise("o").alias("dataset"), F.lit("change_caption").alias("task_type"), F.when(F.col("event_id") % 5 == 0, 550).otherwise(1).alias("max_new_tokens"))
-    return x.where(V.is_success()).select("event_id")
-
-
 @query("f8_first_reason", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax = 0 THEN 'tax' WHEN l_discount = 0 THEN 'discount' WHEN l_quantity < 5 THEN 'quantity' END AS reason FROM lineitem")
 def _(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", V.first_reason(tax=F.col("l_tax") == 0, discount=F.col("l_discount") == 0, quantity=F.col("l_quantity") < 5).alias("reason"))
 
 
-@query("f12_description_gate", r"SELECT doc_id, list_filter([CASE WHEN w NOT BETWEEN 35 AND 100 THEN 'words' END, CASE WHEN s < 2 THEN 'sentences' END, CASE WHEN r < 2 THEN 'relations' END], lambda x: x IS NOT NULL) AS reasons FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9''-]+')) AS w, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x) <> '')) AS s, CAST(regexp_matches(text, '(?i)with') AS INTEGER) + CAST(regexp_matches(text, '(?i)that') AS INTEGER) AS r FROM documents)")
-def _(t):
-    return t("documents").select("doc_id", V.description_reasons("text", ["with", "that"]).alias("reasons"))
-
-
-@query("f14_prompt_valid", r"SELECT item_id, len(regexp_extract_all(text, '\S+')) BETWEEN 1 AND 40 AND NOT regexp_matches(lower(text), 'thhe|stst') AS ok FROM benchmark")
-def _(t):
-    return t("benchmark").select("item_id", V.prompt_valid("text", ["thhe", "stst"], 40).alias("ok"))
-
-
 @query("f16_identity_kept", "SELECT c_custkey, c_nationkey % 2 = 0 AS kept FROM customer")
 def _(t):
     e = F.create_map(F.lit("name"), F.col("c_name"))
     return t("customer").select("c_custkey", V.identity_kept(e, F.create_map(F.lit("name"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_name")).otherwise("x"))).alias("kept"))
 
 
-@query("f17_needs_retry", "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O'")
-def _(t):
-    a = F.when(F.col("o_orderstatus") == "F", " ").when(F.col("o_orderstatus") == "P", "x [API_ERROR] y").otherwise("fine")
-    return t("orders").where(V.needs_retry(a)).select("o_orderkey")
-
-
 @query("f19_length_filter", "SELECT doc_id FROM documents WHERE length(text) <= 1500")
 def _(t):
     return V.length_filter(t("documents"), "text", 1500).select("doc_id")

@@ -36,50 +36,18 @@ def _(t):
     return t("orders").select("o_orderkey", X.exact_match(p, F.array(F.lit("1 URGENT!"), F.lit("The 2 high"))).alias("em"), X.substring_match(p, F.array(F.lit("HIGH"))).alias("sub"))
 
 
-@query(
-    "t5_choice_labels",
-    """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag IN ('A') THEN ['A'] WHEN l_linestatus = 'O' THEN [] ELSE [] END AS labels FROM lineitem""",
-)
-def _(t):
-    allowed = F.array(*map(F.lit, "ABCD"))
-    return t("lineitem").select("l_orderkey", "l_linenumber", X.choice_labels(F.concat_ws(" ", F.lit("("), "l_returnflag", F.lit(") "), F.lower("l_linestatus"), F.lit(".")), allowed, False).alias("labels"))
-
-
 @query("t6_labels_by_text", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN ['A'] WHEN 'MACHINERY' THEN ['B'] ELSE [] END AS labels FROM customer")
 def _(t):
     choices = F.create_map(F.lit("A"), F.lit("Building."), F.lit("B"), F.lit(" machinery!"))
     return t("customer").select("c_custkey", F.transform(X.labels_by_text(F.concat("c_mktsegment", F.lit("?")), F.map_from_arrays(F.map_keys(choices), F.transform(F.map_values(choices), lambda v: F.regexp_replace(v, "[.!]", "?")))), lambda x: x).alias("labels"))
 
 
-@query("t8_vqa_score", "SELECT n_nationkey, lower(n_name) = lower(r_name) AS official FROM nation JOIN region ON n_regionkey = r_regionkey")
-def _(t):
-    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", (X.normalize_answer("n_name") == X.normalize_answer("r_name")).alias("official"))
-
-
-@query("t10_mcq_letter", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN NULL WHEN o_orderstatus = 'F' THEN 'B' ELSE 'C' END AS letter FROM orders")
-def _(t):
-    said = F.when(F.col("o_orderstatus") == "O", "none of them").when(F.col("o_orderstatus") == "F", "E is wrong, b) holds").otherwise("c")
-    return t("orders").select("o_orderkey", X.mcq_letter(said).alias("letter"))
-
-
-@query("t11_mcq_steps", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'D' WHEN o_orderstatus = 'F' THEN 'B' ELSE 'C' END AS letter FROM orders")
-def _(t):
-    said = F.when(F.col("o_orderstatus") == "O", "The answer is D").when(F.col("o_orderstatus") == "F", "so (b), not A.").otherwise(" c ")
-    return t("orders").select("o_orderkey", X.mcq_letter_steps(said).alias("letter"))
-
-
 @query("t12_strict_accuracy", "SELECT c_mktsegment, avg(CASE WHEN lower(trim(c_name)) = lower('customer#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')) THEN 1.0 ELSE 0.0 END) AS accuracy FROM customer GROUP BY 1")
 def _(t):
     ref = F.concat(F.lit(" CUSTOMER#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
     return t("customer").groupBy("c_mktsegment").agg(F.avg(X.same_ignoring_case("c_name", ref).cast("double")).alias("accuracy"))
 
 
-@query("t13_yes_no", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'yes' WHEN l_quantity > 10 THEN 'no' END AS answer FROM lineitem")
-def _(t):
-    said = F.when(F.col("l_quantity") > 25, "Yes, there is no doubt").when(F.col("l_quantity") > 10, "There is no such thing").otherwise("maybe")
-    return t("lineitem").select("l_orderkey", "l_linenumber", X.yes_no(said).alias("answer"))
-
-
 @query("t14_answer_envelope", "SELECT p_partkey, p_name AS inside, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS last_tag FROM part")
 def _(t):
     said = F.concat(F.lit("<think>a</think> <answer> "), "p_name", F.lit(" </answer>"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<answer>"), "p_brand", F.lit("</answer>"))).otherwise(""))
@@ -100,54 +68,12 @@ def _(t):
     return t("orders").select("o_orderkey", x["correct"].alias("correct"), x["source"].alias("source"))
 
 
-@query("t16_letter_index", "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 0 ELSE -1 END AS place FROM lineitem")
-def _(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.coalesce(X.letter_index("l_returnflag"), F.lit(-1)).alias("place"))
-
-
-@query("t17_split_options", "SELECT p_partkey, p_name AS stem, [p_brand, p_type, 'x y', 'none'] AS options FROM part")
-def _(t):
-    q = F.concat("p_name", F.lit("\n(A) "), "p_brand", F.lit("\n(B) "), "p_type", F.lit("\n(C) x y\n(D)none"))
-    src = t("part").select("p_partkey", q.alias("question"))
-    return src.select("p_partkey", X.question_stem("question").alias("stem"), F.map_values(X.option_lines("question")).alias("options"))
-
-
-@query(
-    "t19_route",
-    """SELECT conv_id, turn, CASE WHEN contains(lower(text), '[caption]') THEN 'caption' WHEN regexp_matches(lower(text), '\\(a\\).*\\(b\\)|(?m:^a[.)])') THEN 'mcq' WHEN contains(lower(text), 'bbox') THEN 'grounding' WHEN contains(lower(text), 'change') OR contains(lower(text), 'differ') THEN 'change'
-       WHEN contains(lower(text), 'locate') OR contains(lower(text), 'find the') OR contains(lower(text), 'where is') THEN 'grounding' WHEN contains(lower(text), 'describe') OR contains(lower(text), 'caption') THEN 'caption' ELSE 'vqa' END AS route
-       FROM conversations""",
-)
-def _(t):
-    return t("conversations").select("conv_id", "turn", X.route("text").alias("route"))
-
-
-@query("t20_token_set", "SELECT item_id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?')), lambda x: x NOT IN ('" + "','".join(X.STOP_WORDS) + "'))) AS tokens FROM benchmark")
-def _(t):
-    return t("benchmark").select("item_id", F.array_sort(X.token_set("text")).alias("tokens"))
-
-
-@query("t21_clean_question", r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM conversations")
-def _(t):
-    return t("conversations").select("conv_id", "turn", X.clean_question(F.concat(F.lit("[VQA] <image>\n"), "text")).alias("clean"))
-
-
-@query("t22_spatial_flip", "SELECT n_nationkey, 'the right of ' || n_name || ', left' AS flipped FROM nation")
-def _(t):
-    return t("nation").select("n_nationkey", X.spatial_flip(F.concat(F.lit("the left of "), "n_name", F.lit(", left")), X.SPATIAL_FLIPS).alias("flipped"))
-
-
 @query("t24_gsm8k", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS strict, CAST(o_custkey AS VARCHAR) AS flexible FROM orders")
 def _(t):
     said = F.concat(F.lit("so 12 apples. #### "), F.col("o_custkey").cast("string"))
     return t("orders").select("o_orderkey", X.gsm8k_number(said).alias("strict"), X.gsm8k_number(said, strict=False).alias("flexible"))
 
 
-@query("t25_format_reward", "SELECT p_partkey, CASE WHEN p_size > 10 THEN 1.0 ELSE 0.0 END AS reward FROM part")
-def _(t):
-    return t("part").select("p_partkey", X.think_answer_format(F.when(F.col("p_size") > 10, "<think>x\ny</think>\n<answer>z</answer>").otherwise("<answer>z</answer>")).alias("reward"))
-
-
 @query("p3_prompt_prefix", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'caption' WHEN 'P' THEN 'bbox' ELSE 'open_vqa' END AS task, o_orderpriority AS rest FROM orders")
 def _(t):
     x = X.prompt_task(F.concat(F.when(F.col("o_orderstatus") == "F", "[CAP] ").when(F.col("o_orderstatus") == "P", "[ref]").otherwise(""), "o_orderpriority"))
@@ -170,18 +96,6 @@ def _(t):
     return t("pages").select("page_id", X.portable_path("url", {"http://": "p/", "https://": "s/"}).alias("path"))
 
 
-@query("p25_infer_class", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'ship' WHEN p_size % 3 = 1 THEN 'plane' ELSE 'object' END AS cls FROM part")
-def _(t):
-    said = F.when(F.col("p_size") % 3 == 0, "A ship beside an aircraft.").when(F.col("p_size") % 3 == 1, "One aircraft over a vessel").otherwise("Sand. A ship.")
-    return t("part").select("p_partkey", X.infer_class(said, [("ship", ["ship", "vessel"]), ("plane", ["plane", "aircraft"])]).alias("cls"))
-
-
-@query("p26_question_family", "SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'what color' ELSE lower(c_mktsegment) END AS family, CASE WHEN c_nationkey % 2 = 0 THEN 'what color is' ELSE lower(c_mktsegment) || ' 7 x' END AS prefix FROM customer")
-def _(t):
-    q = F.when(F.col("c_nationkey") % 2 == 0, "What color is it?").otherwise(F.concat("c_mktsegment", F.lit(" 7 x y")))
-    return t("customer").select("c_custkey", X.question_family(q).alias("family"), X.question_prefix(q).alias("prefix"))
-
-
 @query("p28_area_bin", "SELECT l_orderkey, l_linenumber, CAST(least(5, greatest(0, floor((log10(greatest(l_discount / 10, 1e-8)) + 5) / 0.8))) AS INTEGER) AS bin FROM lineitem")
 def _(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", X.area_bin(F.col("l_discount") / 10).alias("bin"))
@@ -229,26 +143,11 @@ def _(t):
     return t("documents").select("doc_id", H.rank_key(42, "doc_id").alias("k1"), H.namespaced_key(42, "split", "source").alias("k2"))
 
 
-@query("h3_content_id", """SELECT doc_id, left(sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}'), 16) AS id FROM documents""")
-def _(t):
-    return t("documents").select("doc_id", H.content_id("source", "lang", "doc_id").alias("id"))
-
-
-@query("h4_ordered_digest", "SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
-def _(t):
-    return t("conversations").groupBy("conv_id").agg(H.ordered_digest("text", "turn").alias("digest"))
-
-
 @query("h5_text_sha256", "SELECT page_id, sha256(html) AS digest FROM pages")
 def _(t):
     return t("pages").select("page_id", F.sha2("html", 256).alias("digest"))
 
 
-@query("h7_relative_delta", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN NULL ELSE (l_tax - l_discount) / l_discount END AS delta FROM lineitem")
-def _(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", H.relative_delta("l_tax", "l_discount").alias("delta"))
-
-
 @query("h8_token_budget", "SELECT l_orderkey, l_linenumber, CAST(256 * pow(2, least(l_linenumber - 1, 2)) AS INTEGER) AS budget FROM lineitem")
 def _(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", H.token_budget(F.lit(256), F.col("l_linenumber") - 1).alias("budget"))
@@ -268,7 +167,7 @@ def _boxes(t):
 @query("b1_parse_percent", f"SELECT l_orderkey, l_linenumber, CASE WHEN x1 <> x2 AND y1 <> y2 THEN [least(x1, x2), least(y1, y2), greatest(x1, x2), greatest(y1, y2)]::DOUBLE[] END AS box FROM ({_BOX})")
 def _(t):
     said = F.concat(F.lit("x1: "), F.col("x1").cast("string"), F.lit(", y1="), F.col("y1").cast("string"), F.lit("; x2 "), F.col("x2").cast("string"), F.lit(" y2 "), F.col("y2").cast("string"), F.lit(" 77"))
-    return _boxes(t).select("l_orderkey", "l_linenumber", B.parse_percent(said).alias("box"))
+    return B.with_percent_box(_boxes(t), said, "box").select("l_orderkey", "l_linenumber", "box")
 
 
 @query("b2_parse_native", f"SELECT l_orderkey, l_linenumber, [x1, y1, x2, y2]::DOUBLE[] AS angle, [x1, y1, x2, y2]::DOUBLE[] AS square FROM ({_BOX})")
@@ -325,11 +224,6 @@ def _(t):
 @query("b12_box_score", f"SELECT l_orderkey, l_linenumber, CASE WHEN x1 < x2 AND y1 < y2 THEN 1.0 ELSE 0.0 END AS clean_iou, x1 < x2 AND y1 < y2 AS format_valid FROM ({_BOX})")
 def _(t):
     s = F.concat(F.lit("["), F.concat_ws(", ", *[F.col(x).cast("string") for x in ("x1", "y1", "x2", "y2")]), F.lit("]"))
-    x = B.score(s, s)
-    return _boxes(t).select("l_orderkey", "l_linenumber", x["clean_iou"].alias("clean_iou"), x["format_valid"].alias("format_valid"))
+    return B.with_score(_boxes(t).withColumn("said", s), "said", "said").select("l_orderkey", "l_linenumber", "clean_iou", "format_valid")
 
 
-@query("b16_crop", f"SELECT l_orderkey, l_linenumber, greatest(0, least((x1 + x2) / 2.0 - 64, 512 - 128)) AS left_edge FROM ({_BOX})")
-def _(t):
-    b = F.array(*[F.col(x).cast("double") for x in ("x1", "y1", "x2", "y2")])
-    return _boxes(t).select("l_orderkey", "l_linenumber", B.crop_around(b, F.lit(512.0), F.lit(512.0))[0].alias("left_edge"))
