@@ -43,6 +43,36 @@ def weighted_cuts(rows: DataFrame, group: str, order: str, weight: str, rest: Da
     return found
 
 
+def literal_cuts(rows: DataFrame, group: str, order: str, weight: str, rest: dict[int, int], bits: int, step_bits: int = 14) -> dict[int, tuple[int, int, int]]:
+    """weighted_cuts for few groups: {group: (at, before, here)}, with what is known of a group as literals, so no row is shuffled by its group.
+
+    A step sums weights by (group, next bits) of all groups in one pass; combined before the shuffle, they are 2^step_bits rows a group at most.
+    """
+    found = {g: (0, 0, 0) for g in rest}
+    done = 0
+    while done < bits and found:
+        step = min(step_bits, bits - done)
+        done += step
+        down = bits - done
+        known = lambda i, found=found: F.element_at(F.create_map(*[F.lit(x).cast("long") for g, v in found.items() for x in (g, v[i])]), F.col(group))
+        wanted = F.element_at(F.create_map(*[F.lit(x).cast("long") for g, n in rest.items() for x in (g, n)]), F.col(group))
+        open_ = rows.where(F.col(group).isin(list(found)))
+        sums = open_.where(F.shiftright(order, down + step) == known(0)).groupBy(group, F.shiftright(order, down).alias("bin")).agg(F.sum(weight).alias("here"))
+        upto = F.sum("here").over(Window.partitionBy(group).orderBy("bin")) + known(1)
+        hit = sums.withColumn("upto", upto).withColumn("rest", wanted).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("here") <= F.col("rest")))
+        found = {r[group]: (r["bin"], r["upto"] - r["here"], r["here"]) for r in hit.collect()}  # a row a group
+    return found
+
+
+def dense_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, rank): 1, 2, 3 ... over the distinct values that aren't null, in their order, without a task that sees them all."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    dealt = C.cut(values.repartitionByRange(column).withColumn("__part", F.spark_partition_id()), name)
+    offsets = dealt.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__from", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")  # a row a partition
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(column))
+    return C.cut(dealt.withColumn("__place", place).join(F.broadcast(offsets), "__part").select(column, (F.col("__place") + F.col("__from")).alias("rank")), name)
+
+
 def numbered(df: DataFrame, group: str, key: Column, order: list[Column], out: str, per_bin: int = 50_000) -> DataFrame:
     """df with `out`: 0, 1, 2 ... within each group, by bins of a hash of `key`, then by `order`.
 

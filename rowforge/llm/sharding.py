@@ -1,10 +1,13 @@
 """Sharding by a k-d tree over document metadata.
 
 The tree starts with all documents and splits a node at the weighted median of
-its widest metadata dimension (bytes of text, source, language, each scaled by its
-extent over the whole table) until the leaves hold the target bytes; one leaf is
-one shard. Medians are distributed (see prefix): no task and not the driver sees a
-node's rows, and what is collected is one row a node.
+its widest metadata dimension until the leaves hold the target bytes; one leaf is
+one shard. Dimensions are the bytes of the text and the ranks of source and language among their
+distinct values, each scaled by its extent over the whole table. The target is given in bytes or as a number of
+shards; a node that is to hold several shards splits in proportion to their numbers.
+
+Medians are distributed (see prefix.literal_cuts): each pass sums weights by bin for all nodes of a level, splits known so far are
+literals in the plan, and what is collected is one row a node. Ranks are found by ranges and joined back.
 
 Equal texts are one unit with the metadata of their first member, and the order in
 a dimension goes on by text hash, so they stay in one shard; only a group heavier than
@@ -13,7 +16,7 @@ it could not be balanced otherwise. A unit at the median goes to the side that l
 
 Defined cases: a null text has size 1 (no bytes, plus 1); null source or language stands
 before all others; repeated rows are members of one group; fewer units than shards leave shards
-empty; an empty table gives no rows.
+empty; an empty table gives no rows; columns that bear the names used here are carried by the caller in one struct.
 """
 
 from __future__ import annotations
@@ -25,19 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .prefix import numbered, weighted_cuts
+from .prefix import dense_ranks, literal_cuts, numbered
 
 SHARDS, PIECES_PER_LEAF = 8, 32
 DIMENSIONS = ("x_size", "x_source", "x_lang")
-GRID_BITS, HASH_BITS, PIECE_BITS = 16, 20, 10
+GRID_BITS, HASH_BITS, PIECE_BITS = 24, 20, 10
 ORDER_BITS = GRID_BITS + HASH_BITS + PIECE_BITS
 
 
-def _code(c: Column) -> Column:
-    """A string's first six bytes as a number that keeps their order; null: -1."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
-
-
 GROUP = ["__h", "__crc", "size"]
 
 
@@ -91,8 +89,14 @@ def _descend(rows: DataFrame, levels: list[dict[int, tuple[str, int]]]) -> DataF
     return rows.withColumn("__node", node)
 
 
-def plan(docs: DataFrame, shards: int = SHARDS, pieces_per_leaf: int = PIECES_PER_LEAF) -> Tree:
-    """The tree of docs: size (long), __h (text hash), __crc, __salt (row identity), x_size, x_source, x_lang (double); a cheap table, read several times a level."""
+def plan(docs: DataFrame, shards: int | None = SHARDS, pieces_per_leaf: int = PIECES_PER_LEAF, target_bytes: int | None = None) -> Tree:
+    """The tree of docs: size (long), __h (text hash), __crc, __salt (row identity), x_size, x_source, x_lang (double); a cheap table, read several times a level.
+
+    target_bytes: what a leaf may hold, instead of a number of shards.
+    """
+    if target_bytes is not None:
+        total = docs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        shards = max(1, -(-total // target_bytes))
     groups = _groups(docs, shards, pieces_per_leaf)
     rows, ends = _ordered(docs, groups, None)
     rows = C.cut(rows.select("size", *[f"__k_{d}" for d in DIMENSIONS]), "kd-rows")
@@ -106,10 +110,9 @@ def plan(docs: DataFrame, shards: int = SHARDS, pieces_per_leaf: int = PIECES_PE
         for d in DIMENSIONS:
             own = [n for n, (dim, _) in open_.items() if dim == d]
             order = F.when(F.col("__node").isin(own), F.col(f"__k_{d}")).otherwise(order) if own else order
-        rest = docs.sparkSession.createDataFrame([(n, r) for n, (_, r) in open_.items()], "__node long, rest long")
-        cuts = weighted_cuts(at.select("__node", order.alias("__o"), "size").where("__o is not null"), "__node", "__o", "size", rest, ORDER_BITS, "kd-cut").collect()  # a row a node
+        cuts = literal_cuts(at.select("__node", order.alias("__o"), "size").where("__o is not null"), "__node", "__o", "size", {n: r for n, (_, r) in open_.items()}, ORDER_BITS)
         # what stands at the cut goes left if that leaves the left side nearer to its share
-        levels.append({c["__node"]: (open_[c["__node"]][0], c["at"] + 1 if c["before"] + c["here"] - c["rest"] < c["rest"] - c["before"] else c["at"]) for c in cuts})
+        levels.append({n: (open_[n][0], c + 1 if before + here - open_[n][1] < open_[n][1] - before else c) for n, (c, before, here) in cuts.items()})
         leaves = {k: v for n, (a, m) in leaves.items() for k, v in (((2 * n, (a, m // 2)), (2 * n + 1, (a + m // 2, m - m // 2))) if m > 1 else ((2 * n, (a, m)),))}
     return Tree(ends, groups, levels, {n: a for n, (a, _) in leaves.items()})
 
@@ -130,7 +133,12 @@ def described(docs: DataFrame, text_col: str = "text", source_col: str = "source
     """docs with the columns that kd_shards reads."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
-    return docs.withColumns({"size": size, "__h": F.xxhash64(text), "__crc": F.crc32(text), "__salt": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "x_size": F.log2(size), "x_source": _code(F.col(source_col).cast("string")), "x_lang": _code(F.col(lang_col).cast("string"))})
+    df = docs.withColumns({"size": size, "__h": F.xxhash64(text), "__crc": F.crc32(text), "__salt": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "x_size": F.log2(size)})
+    for d, c in (("x_source", source_col), ("x_lang", lang_col)):
+        # as many rows as there are values: broadcast if they are few, else a join that can be split at a frequent value
+        ranks = dense_ranks(docs.select(F.col(c).cast("string").alias("__v")), "__v", f"kd-{d}").withColumnRenamed("rank", d)
+        df = df.join(ranks, F.col(c).cast("string") == F.col("__v"), "left").drop("__v").withColumn(d, F.coalesce(F.col(d).cast("double"), F.lit(0.0)))
+    return df
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
