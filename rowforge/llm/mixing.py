@@ -9,7 +9,8 @@ so a source that holds most rows costs no task more than any other.
 Defined cases: a null text has size 0; a null source is a source of its own, last
 in order; documents of size 0 give 0 words; sources of size 0 have target 0;
 documents with equal keys stand by doc_id, then size; equal rows are
-interchangeable; an empty table gives an empty mix.
+interchangeable; very long texts count as any other, and a document never gives more than max_epochs times its words;
+an empty table gives an empty mix; mixed_documents carries a row as one value, so its columns may have any names.
 """
 
 from __future__ import annotations
@@ -77,11 +78,12 @@ def mix(rows: DataFrame, cuts: DataFrame, id_col: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: each document as often as it is taken, whole; the one at a source's cut comes if at least half of it is within the budget."""
-    rows = keyed(docs, id_col, source_col, word_count(F.col(text_col)))
+    whole = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    rows = keyed(whole, "id", "source", F.col("size")).drop("source", "size")
     narrow = C.cut(rows.select("__source", "__size", "__k"), "mix-sizes")
-    taken = mix(rows, cut_points(narrow, weights, share, max_epochs), id_col)
+    taken = mix(rows, cut_points(narrow, weights, share, max_epochs), "id")
     copies = F.col("epochs") + F.when(F.col("__part") * 2 >= F.greatest(F.col("__size"), F.lit(1)), 1).otherwise(0)
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select("__row.*")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
