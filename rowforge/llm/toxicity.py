@@ -6,19 +6,21 @@ of a script without blanks, joined tokens) is read as consecutive pieces that ov
 half; forward and backward gated units read a window, attention pools their states, and a
 text's score is that of its most toxic window, calibrated on the training texts.
 
-Training sees a bounded sample of labelled rows (TRAIN_ROWS a class, in hash order, of
-texts up to TRAIN_BYTES) in one task, which returns the parameters: first with each window under its text's label,
-then by multiple instances, where a toxic text answers for its highest window only.
-Scoring covers every window of every whole text.
+Training sees a bounded sample of labelled rows (TRAIN_ROWS a class, in hash order) in one task, which returns the parameters: first with each window under its text's label,
+then by multiple instances, where a toxic text answers for its highest window only. Texts of any length are in the sample; of one over TRAIN_BYTES,
+pieces at random places go to the task, TRAIN_BYTES in all. Scoring covers every window of every whole text.
 
 Defined cases: null and wordless texts are one empty window; with no labelled rows,
 or labels of one class only, every score is that class's smoothed rate; labels other
-than 0 and 1 are passed over; repeated rows get the same score.
+than 0 and 1 are passed over; repeated rows get the same score; of rows that share an id, training reads the first by text, and a
+label that an id has twice counts once if it is the same; input columns named as a new one are replaced.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ WORD_BINS, WORD_DIM, CHAR_BINS, CHAR_DIM = 1 << 14, 8, 1 << 12, 8
 HEAD_BINS, HEAD_DIM, HEADS = 1 << 14, 8, range(3, 9)
 DIM = WORD_DIM + CHAR_DIM + HEAD_DIM
 TRAIN_ROWS, TRAIN_BYTES = 1500, 16_000
+TRAIN_PIECES = 32
 PIECE, SHARED = 48, 3  # all trigrams of a long word are in some piece
 EPOCHS, BATCH, RATE, WORD_DROP, HOLD = (3, 8), 512, 0.01, 0.5, 5
 TABLE = C.byte_table("nonword", lower=True)
@@ -325,24 +328,45 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 # --- Spark -------------------------------------------------------------------------------------
 
 
+def sampled(text: str | None, most: int, key: str) -> str:
+    """A text of up to `most` bytes as it is; of a longer one, TRAIN_PIECES pieces at random places, the same ones for a key, cut at blanks where they have any."""
+    data = (text or "").encode("utf-8", "replace")
+    if len(data) <= most:
+        return data.decode()
+    size = most // TRAIN_PIECES - 1
+    starts = np.sort(np.random.default_rng(zlib.crc32(key.encode())).integers(0, len(data) - size, TRAIN_PIECES))
+    out = []
+    for i in starts.tolist():
+        piece = data[i : i + size]
+        lo, hi = piece.find(b" ") + 1, piece.rfind(b" ")
+        out.append((piece[lo:hi] if 0 < lo < hi else piece).decode("utf-8", "ignore"))
+    return " ".join(out)
+
+
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> dict:
     """Parameters fitted to a bounded sample of labelled texts: the first `rows` of each class in hash order."""
-    short = documents.select(F.col(id_col).alias("id"), F.octet_length(text_col).alias("n")).where(F.col("n") <= max_bytes).select("id")
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").join(short, "id")
+    ids = documents.select(F.col(id_col).alias("id"))
+    known = C.cut(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").distinct().join(ids, "id", "left_semi"), "toxicity-labels")
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).select("id", "y", F.xxhash64(F.lit("train"), "id").alias("h")).orderBy("h", "id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    ids = {r["id"]: r["y"] for r in chosen.collect()}  # 2 x rows at most
+    few = C.cut(chosen.select("id", "y"), "toxicity-sample")  # 2 x rows at most
     n = known.agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean")).first()
     odds = n["toxic"] / n["clean"] if n["toxic"] and n["clean"] else None
-    if not ids:
+    if not n["toxic"] + n["clean"]:
         return fit([], np.zeros(0, int))
-    few = documents.sparkSession.createDataFrame(sorted(ids.items()), known.schema)
-    got = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").where(F.octet_length("text") <= max_bytes).limit(2 * rows)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = list(map(str, b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1), pa.array([sampled(s, max_bytes, k) for s, k in zip(b.column(2).to_pylist(), key, strict=True)], pa.string())], names=["id", "y", "text"])
+
+    got = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("id", "y", "text").mapInArrow(shorten, "id string, y int, text string")
+    got = got.groupBy("id", "y").agg(F.min("text").alias("text"))
 
     def task(t: pa.Table) -> pa.Table:
-        sample = sorted(zip(map(str, t["id"].to_pylist()), t["text"].to_pylist(), t["y"].to_pylist(), strict=True))
+        sample = sorted(zip(t["id"].to_pylist(), t["text"].to_pylist(), t["y"].to_pylist(), strict=True))
         model = fit([s.encode("utf-8", "replace") for _, s, _ in sample], np.array([y for *_, y in sample], int), odds=odds)
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
