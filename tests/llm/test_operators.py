@@ -180,6 +180,72 @@ def test_op3_learns_and_scores_all(spark):
     assert long["n_windows"] == 1 + -(-(1000 - 32) // 16)
 
 
+def op3_by_hand(p, text):
+    """The score by loops over windows, places, gates and words, from the parameters alone."""
+    h, sig = toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    low = bytes(toxicity.TABLE[np.frombuffer(text.encode(), np.uint8)])
+    spans = [m.span() for m in re.finditer(rb"[^\0]+", low)]
+    assert all(b - a <= toxicity.PIECE for a, b in spans)
+
+    def vector(a, b):
+        x = np.zeros(toxicity.DIM)
+        w = C.words(C.Texts(np.frombuffer(text.encode()[a:b], np.uint8), np.array([0, b - a]), 0, 1), toxicity.TABLE)
+        x[: toxicity.WORD_DIM] = p["word"][int(w.hash[0] >> np.uint64(40)) % toxicity.WORD_BINS]
+        c, tri, m32 = low[a:b], [], 0xFFFFFFFF
+        for i in range(len(c)):
+            left, right = c[i - 1] if i else 1, c[i + 1] if i + 1 < len(c) else 2
+            v = ((((left * 0x01000193 & m32) ^ c[i]) * 0x85EBCA6B & m32) ^ (right * 0xC2B2AE35 & m32)) * 0x9E3779B1 & m32
+            tri.append(p["char"][(v >> 16) % toxicity.CHAR_BINS])
+        x[toxicity.WORD_DIM : toxicity.WORD_DIM + toxicity.CHAR_DIM] = np.mean(tri, 0)
+        v, heads = 0, []
+        for j in range(min(len(c), max(toxicity.HEADS))):
+            v = ((v ^ c[j]) * 0x01000193 + j + 1) & m32
+            if j + 1 in toxicity.HEADS:
+                heads.append(p["head"][((v * 0x9E3779B1 & m32) >> 16) % toxicity.HEAD_BINS])
+        if heads:
+            x[toxicity.WORD_DIM + toxicity.CHAR_DIM :] = np.mean(heads, 0)
+        return x
+
+    def gru(xs, a):
+        s, out = np.zeros(h), []
+        for x in xs:
+            g, u = x @ p[f"W{a}"] + p[f"b{a}"], s @ p[f"U{a}"]
+            z, r = sig(g[:h] + u[:h]), sig(g[h : 2 * h] + u[h : 2 * h])
+            s = (1 - z) * np.tanh(g[2 * h :] + r * u[2 * h :]) + z * s
+            out.append(s)
+        return out
+
+    best = -np.inf
+    for k in range(1 + max(0, -(-(len(spans) - toxicity.WINDOW) // toxicity.STRIDE))):
+        xs = [vector(*v) for v in spans[k * toxicity.STRIDE :][: toxicity.WINDOW]]
+        states = [np.concatenate(v) for v in zip(gru(xs, "f"), gru(xs[::-1], "b")[::-1])]
+        e = np.exp([np.tanh(v @ p["A"]) @ p["v"] for v in states])
+        best = max(best, float(sum(a * v for a, v in zip(e / e.sum(), states)) @ p["o"] + p["c"][0]))
+    return sig(p["scale"] * best + p["shift"])
+
+
+def test_op3_scores_are_those_of_plain_loops(spark):
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefghijé") for _ in range(r.randrange(1, 12)))
+    texts = [" ".join(word() for _ in range(r.choice([1, 5, 31, 32, 33, 48, 49, 90]))) + r.choice(["", "!", " ,"]) for _ in range(24)]
+    model = toxicity.fit([s.encode() for s in texts], np.array([i % 2 for i in range(24)]))
+    got = toxicity.score(frame(spark, texts), model).orderBy("doc_id").collect()
+    assert [x["score"] for x in got] == pytest.approx([op3_by_hand(model, s) for s in texts], abs=2e-4)
+
+
+def test_op3_samples_of_long_texts_and_repeated_ids(spark):
+    long = " ".join(f"word{i}" for i in range(30000))
+    part = toxicity.sampled(long, 1000, "7")
+    assert len(part.encode()) <= 1000 and set(part.split()) <= set(long.split()) and part == toxicity.sampled(long, 1000, "7") != toxicity.sampled(long, 1000, "8")
+    assert max(int(w[4:]) for w in part.split()) > 15000
+    cjk = toxicity.sampled("漢字" * 30000, 1000, "7")
+    assert 500 < len(cjk.encode()) <= 1000
+    docs = spark.createDataFrame([(i % 20, f"text {'vixo' if i % 2 else 'ba'} of {i}") for i in range(200)] + [(20, long), (21, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(22)] + [(0, 0), (99, 1)], "doc_id long, toxic int")
+    scores = [[x["score"] for x in toxicity.score(docs, toxicity.train(d, labels)).orderBy("doc_id", "text").collect()] for d in (docs, docs.repartition(5).orderBy(F.rand(3)))]
+    assert scores[0] == scores[1]
+
+
 def test_op3_without_labels(spark):
     docs, none = frame(spark, ["a b", None]), spark.createDataFrame([], "doc_id long, toxic int")
     assert {x["score"] for x in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {0.0}
@@ -210,6 +276,47 @@ def test_op4_balances_and_keeps_groups(spark):
     assert all(len(v) == 1 for v in of.values())
 
 
+def test_op4_is_the_tree_of_a_plain_recursion(spark):
+    """The same splits by sorting each node's rows, with coordinates worked out anew."""
+    r = random.Random(14)
+    rows = [(i, r.choice("abcdefgh") * r.randrange(1, 300) + str(i), r.choice(["de", "en", None]), r.choice([f"https://site{k:02}.org/crawl-2024" for k in range(12)] + [None])) for i in range(500)]
+    d = sharding.described(spark.createDataFrame(rows, DDL)).select("doc_id", "size", "__h", "__crc", "__salt", *sharding.DIMENSIONS)
+    got = {x["doc_id"]: x["shard"] for x in sharding.kd_shards(C.cut(d, "t"), 6).collect()}
+    low = {x["doc_id"]: x["__h"] % (1 << 64) >> 44 for x in d.collect()}
+    rank = [{v: k + 1 for k, v in enumerate(sorted({x[c] for x in rows if x[c] is not None}))} for c in (3, 2)]
+    units = [(i, len(t.encode()) + 1, [np.log2(len(t.encode()) + 1), rank[0].get(s, 0), rank[1].get(lang, 0)]) for i, t, lang, s in rows]
+    lo, hi = np.min([u[2] for u in units], 0), np.max([u[2] for u in units], 0)
+    at = {i: [(int((x - a) / (b - a) * ((1 << 24) - 1)), low[i]) for x, a, b in zip(c, lo, hi)] for i, _, c in units}
+    size = {i: n for i, n, _ in units}
+    want = {}
+
+    def split(ids, first, n):
+        if n == 1:
+            want.update(dict.fromkeys(ids, first))
+            return
+        wide = max(range(3), key=lambda k: max(at[i][k][0] for i in ids) - min(at[i][k][0] for i in ids))
+        ids, rest, run = sorted(ids, key=lambda i: at[i][wide]), sum(size[i] for i in ids) * (n // 2) // n, 0
+        for k, i in enumerate(ids):
+            if run + size[i] > rest:
+                break
+            run += size[i]
+        k += run + size[ids[k]] - rest < rest - run
+        split(ids[:k], first, n // 2)
+        split(ids[k:], first + n // 2, n - n // 2)
+
+    split(list(size), 0, 6)
+    assert got == want
+
+
+def test_op4_target_bytes_and_long_names(spark):
+    rows = [(i, "x" * 99 + str(i), "en", f"https://{'abz'[i % 3]}.example.org/a-very-long-source-name") for i in range(90)]
+    d = sharding.described(spark.createDataFrame(rows, DDL)).select("doc_id", "size", "__h", "__crc", "__salt", *sharding.DIMENSIONS)
+    assert {x["x_source"] for x in d.collect()} == {1.0, 2.0, 3.0}
+    d = C.cut(d, "t")
+    placed = sharding.place(d, sharding.plan(d, target_bytes=2600)).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert len(placed) == 4 and max(x["s"] for x in placed) <= 2600
+
+
 def test_op4_deals_out_a_group_that_is_too_large(spark):
     got = shards(spark, frame(spark, ["x" * 50] * 4000 + [f"{i}" * 7 for i in range(1000)]))
     size = [x["s"] for x in got.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
@@ -263,6 +370,10 @@ def test_op5_whole_documents_and_nothing(spark):
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns and set(out.select("text").distinct().collect()[0]) == {"a b c d"}
     assert mixing.mixed_documents(frame(spark, [])).count() == 0
+    names = ["target", "rest", "epochs", "at", "before", "here", "source_size", "taken", "size", "id", "__k", "__size", "__part", "__row"]
+    clash = df.withColumns({n: F.lit("x") for n in names})
+    got = mixing.mixed_documents(clash)
+    assert got.columns == clash.columns and got.count() == out.count()
 
 
 # --- 6 -----------------------------------------------------------------------------------------
@@ -428,16 +539,60 @@ def test_op9_predicts(spark):
     assert {x["lang_pred"] for x in language_id.predict(frame(spark, docs), none).collect()} == {"und"}
 
 
-def test_op9_probabilities_are_those_of_counts():
-    texts, logp = ["abab", "b a"], np.log(np.random.default_rng(0).dirichlet(np.ones(1 << 10), 2)).astype(np.float32)
-    data = "".join(texts).encode()
-    x = C.Texts(np.frombuffer(data, np.uint8), np.array([0, 4, 7]), 0, 2)
-    p, off = language_id._points(x)
-    for k in (1, 2, 3):
-        g, at = language_id._grams(p, off, k, 1 << 10)
-        assert np.diff(at).tolist() == [max(0, 4 - k + 1), max(0, 3 - k + 1)]
-        assert (g[: at[1]][0] == g[: at[1]][2]) if k < 3 else True
-    assert logp.shape == (2, 1024)
+def op9_grams(text, orders=(1, 2, 3, 4)):
+    fold = re.sub("[\t-\r]", " ", re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+    return [fold[i : i + k] for k in orders for i in range(len(fold) - k + 1)]
+
+
+def op9_bin(gram, buckets):
+    data = gram.encode()
+    p, off = language_id._points(C.Texts(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 0, 1))
+    return int(language_id._grams(p, off, len(gram), buckets)[0][0])
+
+
+@pytest.mark.parametrize("matrix_bytes", [128 << 20, 2 * (1 << 10) * 4])
+def test_op9_scores_are_those_of_a_plain_loop(spark, monkeypatch, matrix_bytes):
+    monkeypatch.setattr(language_id, "MATRIX_BYTES", matrix_bytes)  # the smaller one takes blocks of two languages
+    monkeypatch.setattr(language_id, "STEP_NUMBERS", 64)
+    buckets, r = 1 << 10, random.Random(12)
+    alphabet = {"aa": "abc ", "bb": "bcdé ", "cc": "cdeü\t", "dd": "xyz1", "ee": "ab漢字"}
+    rows = [("".join(r.choice(alphabet[k]) for _ in range(r.randrange(0, 60))), k) for k in alphabet for _ in range(r.randrange(2, 9))] + [("zz", None), (None, "aa")]
+    count, docs = {k: np.full(buckets, 0.5) for k in alphabet}, collections.Counter()
+    for text, k in rows:
+        if k:
+            docs[k] += 1
+            for g in op9_grams(text or ""):
+                count[k][op9_bin(g, buckets)] += 1
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), buckets=buckets)
+    assert model.langs == sorted(alphabet) and len(model.blocks()) == (1 if matrix_bytes > 1 << 20 else 3)
+    texts = ["".join(r.choice("abcdéüxyz1 漢") for _ in range(r.randrange(1, 50))) + "a" for _ in range(40)]
+    got = language_id.predict(frame(spark, texts), model).orderBy("doc_id").collect()
+    for x, text in zip(got, texts):
+        z = {k: np.log((docs[k] + 1) / (sum(docs.values()) + len(alphabet))) + sum(np.log(count[k][op9_bin(g, buckets)] / count[k].sum()) for g in op9_grams(text)) for k in alphabet}
+        best = max(sorted(z), key=lambda k: z[k])
+        assert x["lang_pred"] == best and x["score"] == pytest.approx(1 / sum(np.exp(v - z[best]) for v in z.values()), rel=1e-3)
+
+
+def test_op9_long_texts_count_as_they_do_whole(monkeypatch):
+    text = "".join(random.Random(13).choice("abé漢𝒳 1") for _ in range(5000)).encode()
+    x = C.Texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0, 1)
+    want = language_id.sparse_counts(x, 1 << 12)
+    monkeypatch.setattr(language_id, "SEGMENT", 97)
+    got = language_id.sparse_counts(x, 1 << 12)
+    assert all((a == b).all() for a, b in zip(want, got))
+
+
+def test_op9_memory_of_a_very_long_text():
+    """50 MB and 60 languages: peak memory of the counts and their product."""
+    import tracemalloc
+
+    text = np.frombuffer(b"some words of a very long text " * (50 * (1 << 20) // 31), np.uint8)
+    logp = np.zeros((language_id.BUCKETS, 60), np.float32)
+    tracemalloc.start()
+    s = language_id.products(*language_id.sparse_counts(C.Texts(text, np.array([0, len(text)]), 0, 1), language_id.BUCKETS), logp, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert s.shape == (1, 60) and peak < 1 << 28
 
 
 # --- 10 ----------------------------------------------------------------------------------------

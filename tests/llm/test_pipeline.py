@@ -35,15 +35,19 @@ def test_stages(spark):
     assert {r["shard"] for r in docs.select("shard").distinct().collect()} == set(range(8))
 
 
+#: Names that stages work with.
+CLASHES = ["target", "rest", "epochs", "at", "before", "here", "source_size", "taken", "size", "id", "rid", "n_hit", "n_words", "component_id", "n_links", "n_windows", "worst_span", "x_size", "x_source", "rank", "row", "__rid", "__row", "__k", "__size", "__text", "__node", "__h"]
+
+
 def test_clashing_and_null_columns(spark):
     import corpus_pipeline as P
     from rowforge.llm import common
 
     rows = [(i if i % 5 else None, None if i % 7 == 0 else f"some text number {i} of words", None, None, 1, "x") for i in range(30)]
-    docs = common.cut(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int, shard string"), "clash")
+    docs = common.cut(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score int, shard string").withColumns({n: F.lit("x") for n in CLASHES}), "clash")
     for name, stage in P.STAGES:
         docs = common.cut(stage(spark, docs, SF), name)
-        assert "score" in docs.columns
+        assert {"score", *CLASHES} <= set(docs.columns)
     empty = common.cut(spark.createDataFrame([], docs.drop("shard").schema), "none")
     for name, stage in P.STAGES:
         empty = common.cut(stage(spark, empty, SF), name)
