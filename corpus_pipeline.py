@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's docs; run() does so in the shared folder. All but the last return the
 columns of docs as they came. Numbered rows are written once, as another reading could number them otherwise.
+
+Defined cases, in every stage: null texts and empty ones are scored, compared, measured and sized as texts without words, and
+none fails on them; very long texts are read whole; repeated rows are judged each (near duplicates keep one of them); any column may
+be null and any may bear a name that a stage uses, since a row goes along as one value; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network scores under 0.5."""
+    """Documents that the network scores under 0.5; one without words has the score of an empty window. Ties at 0.5 go."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     model = toxicity.train(docs, labels)
@@ -37,7 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents, the one with the least doc_id."""
+    """Of each component of similar documents, the one with the least doc_id; a null doc_id comes after all others, equal ids by row number. Documents without words stay."""
     ship(spark)
     rows = _numbered(docs)
     found = jaccard_join.jaccard_join(rows, id_col="__rid", size=SHINGLE, threshold=SIMILARITY).select("__rid", "component_id")
@@ -48,7 +52,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; those without words stay."""
     ship(spark)
     whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     found = decontamination.decontaminate(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["__row"])
@@ -56,12 +60,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, three times at most; a null source is a source of its own. Documents without words come once for each whole pass over their source and if they stand before its cut."""
     return _same(mixing.mixed_documents(docs), docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard, 0 to 7."""
+    """Documents with their shard, 0 to 7; a column of that name is replaced."""
     docs = docs.drop("shard")
     # columns of docs may bear the names that the operator works with, so they go along as one value
     known = sharding.described(docs.select("text", "source", "lang", "doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))).select("__row", "size", "__h", "__crc", "__salt", *sharding.DIMENSIONS)
