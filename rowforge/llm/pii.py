@@ -16,7 +16,7 @@ text: runs are possessive, and a match begins at the start of a run or where the
 
 Defined cases: a null text is empty and has no spans; texts without candidates add
 nothing; with no candidate anywhere the fit is the prior; spans of one start are in the
-order of KINDS; repeated rows get the same spans; positions count code points, end exclusive.
+order of KINDS; repeated rows get the same spans; input columns named base, wide or spans are replaced; positions count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -34,18 +34,25 @@ BASE = {
 }
 #: Cheap tests that every match passes.
 GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: Cues, endings and given names of the labelers.
-TITLES = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Mme", "Herr", "Frau", "Sr", "Sra"]
-SECRETS = ["token", "secret", "password", "passwd", "api_key", "apikey", "access_key"]
-ENDINGS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info"]
-NAMES = ["james", "mary", "john", "anna", "michael", "maria", "david", "laura", "thomas", "julia", "pierre", "marie", "hans", "petra", "carlos", "carmen", "jean", "claire", "peter", "sofia"]
-CUES = ["phone", "tel", "call", "mobile", "fax", "contact", "mail", "email", "write to", "ssn", "social security", "token", "secret", "password", "key", "dear", "by", "from", "name"]
+#: Default gazetteers: titles, words that name a secret, top-level endings, and given names. Longer lists are parameters of find_pii.
+TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Sir", "Mme", "Mlle", "Herr", "Frau", "Sr", "Sra", "Srta", "Don", "Doña", "Sig", "Signora"]
+SECRETS = ["token", "secret", "password", "passwd", "passphrase", "api_key", "apikey", "api-key", "access_key", "access-key", "auth_key", "private_key", "secret_key", "client_secret", "bearer"]
+ENDINGS = "com org net edu gov mil int io ai app dev info biz eu uk us ca au nz ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg hr si rs ua ru by lt lv ee fi se no dk is tr il ae sa eg ma tn za ng ke in pk bd lk cn hk tw jp kr sg my th vn ph id br ar cl co mx pe ve uy cu".split()
+NAMES = (
+    "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen christopher lisa daniel nancy matthew betty anthony margaret mark sandra donald ashley steven kimberly paul emily andrew donna joshua michelle kenneth carol kevin amanda brian melissa george deborah "
+    "anna laura julia maria peter hans petra klaus ursula wolfgang monika jürgen sabine stefan andrea heike uwe birgit dieter helga "
+    "pierre marie jean claire jacques nathalie michel isabelle philippe sylvie alain catherine françois martine nicolas céline luc camille antoine sophie "
+    "carlos carmen josé ana antonio isabel manuel dolores francisco pilar javier cristina luis sofia miguel lucía pedro elena rafael rosa alejandro marta fernando teresa"
+).split()
+CUES = ["phone", "tel", "call", "mobile", "fax", "contact", "mail", "email", "write to", "ssn", "social security", "token", "secret", "password", "key", "dear", "by", "from", "name", "regards", "signed", "téléphone", "telefon", "teléfono", "courriel", "correo"]
+#: Most entries of a gazetteer: it is a literal of the plan.
+GAZETTEER = 20_000
 AGAINST = ["version", "release", "isbn", "issn", "page", "figure", "table", "section", "chapter", "eq", "doi", "rfc"]
 WIDE = {
     "written_email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[({]dot[\])}]\x20?|\.)[A-Za-z]{2,24}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?:" + "|".join(SECRETS) + r")\x20?[=:]\x20?[\"']?[0-9A-Za-z_-]{16,}+[\"']?",
+    "secret": r"(?i:" + "|".join(SECRETS) + r")\x20?[=:]\x20?[\"']?[0-9A-Za-z_-]{16,}+[\"']?",
     "name": r"(?<![A-Za-z])(?:" + "|".join(TITLES) + r")\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
 }
 KINDS = [*BASE, *WIDE]
@@ -118,12 +125,17 @@ def _kind(m: Column) -> Column:
     return out
 
 
-def _candidate(kind: Column, x: Column, valid: Column, base: bool) -> Column:
+def _listed(m: Column, words: list[str]) -> Column:
+    """Whether a word of m is one of a list."""
+    return F.exists(F.split(F.lower(m), r"[^\p{L}]+"), lambda w: w.isin(words))
+
+
+def _candidate(kind: Column, x: Column, valid: Column, base: bool, names: list[str], endings: list[str]) -> Column:
     """A candidate with its votes (1, 0, -1 by labeler) and its features."""
     m, before = x["m"], x["before"]
     d = F.length(_digits(m))
-    shape = F.when(F.lit(base) | kind.isin("ssn", "secret", "written_email"), 1).when(kind == "local_phone", F.when(m.rlike(r"^\(?[0-9]{3}\)?([\x20.-])[0-9]{3}\1[0-9]{4}$|^\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}$"), 1).otherwise(-1)).otherwise(0)
-    gazetteer = F.when(kind.isin("email", "written_email"), F.when(_any(F.regexp_extract(m, "[A-Za-z]+$", 0), ENDINGS), 1).otherwise(-1)).when(kind == "name", F.when(_any(m, NAMES), 1).otherwise(0)).otherwise(0)
+    shape = F.when(F.lit(base) | kind.isin("ssn", "written_email"), 1).when(kind == "secret", F.when(m.rlike("[=:][^0-9]{0,24}[0-9]"), 1).otherwise(-1)).when(kind == "local_phone", F.when(m.rlike(r"^\(?[0-9]{3}\)?([\x20.-])[0-9]{3}\1[0-9]{4}$|^\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}$"), 1).otherwise(-1)).otherwise(0)
+    gazetteer = F.when(kind.isin("email", "written_email"), F.when(F.lower(F.regexp_extract(m, "[A-Za-z]+$", 0)).isin(endings), 1).otherwise(-1)).when(kind == "name", F.when(_listed(m, names), 1).otherwise(0)).otherwise(0)
     context = F.when(_any(before, AGAINST), -1).when(_any(before, CUES), 1).otherwise(0)
     makeup = (
         F.when(kind == "secret", F.when(m.rlike("[=:].*[0-9]") & m.rlike("[=:].*[A-Za-z]"), 1).otherwise(-1))
@@ -136,8 +148,11 @@ def _candidate(kind: Column, x: Column, valid: Column, base: bool) -> Column:
     return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), valid.alias("valid"), F.array(shape, gazetteer, context, makeup).alias("votes"), features.alias("features"))
 
 
-def candidates(documents: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def candidates(documents: DataFrame, text_col: str = "text", keep: list[str] | None = None, names: list[str] | None = None, endings: list[str] | None = None) -> DataFrame:
     """documents with `base` and `wide`: arrays of candidates."""
+    names, endings = ([w.lower() for w in (own if given is None else given)] for given, own in ((names, NAMES), (endings, ENDINGS)))
+    if max(len(names), len(endings)) > GAZETTEER:
+        raise ValueError(f"a gazetteer holds {GAZETTEER} entries at most")
     kept = [c for c in (documents.columns if keep is None else keep) if c not in ("base", "wide", "spans")]
     df = documents.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t"))
     none = F.expr("cast(array() as array<string>)")
@@ -149,10 +164,10 @@ def candidates(documents: DataFrame, text_col: str = "text", keep: list[str] | N
     df = _barrier(df.drop("__t"), **{f"__s_{k}": _spans(f"__p_{k}", f"__m_{k}") for k in pats}).drop(*[f"__{a}_{k}" for a in "mp" for k in pats])
 
     def strict(kind: str):  # a function of one argument: Spark counts a lambda's
-        return lambda x: _candidate(F.lit(kind), x, _valid(kind, x["m"]), True)
+        return lambda x: _candidate(F.lit(kind), x, _valid(kind, x["m"]), True, names, endings)
 
     base = F.concat(*[F.transform(f"__s_{k}", strict(k)) for k in BASE])
-    wide = F.transform("__s_wide", lambda x: _candidate(_kind(x["m"]), x, F.lit(True), False))
+    wide = F.transform("__s_wide", lambda x: _candidate(_kind(x["m"]), x, F.lit(True), False, names, endings))
     return df.select(*kept, base.alias("base"), wide.alias("wide"))
 
 
@@ -209,9 +224,12 @@ def _logistic(features: Column, w: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def find_pii(documents: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """documents with base and spans: arrays of (kind, start, end), spans with the classifier's score."""
-    found = C.cut(candidates(documents, text_col, keep), "pii-candidates")
+def find_pii(documents: DataFrame, text_col: str = "text", keep: list[str] | None = None, names: list[str] | None = None, endings: list[str] | None = None) -> DataFrame:
+    """documents with base and spans: arrays of (kind, start, end), spans with the classifier's score.
+
+    names, endings: gazetteers to use instead of the default ones.
+    """
+    found = C.cut(candidates(documents, text_col, keep, names, endings), "pii-candidates")
     every = found.select(F.explode(F.concat("base", "wide")).alias("c")).select("c.votes", "c.features")
     counts = C.cut(every.groupBy("votes", "features").agg(F.count("*").alias("n")), "pii-patterns")
     fit = reliabilities(counts.groupBy("votes").agg(F.sum("n").alias("n"))).first()  # one row of numbers
@@ -238,4 +256,4 @@ def op7(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     n = [count(k) for k in BASE]
-    return found.select("doc_id", *n, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return found.select("doc_id", *n, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
