@@ -440,6 +440,40 @@ def test_op7_base_spans(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_op7_added_spans_on_planted_data(spark):
+    """Recall and precision of what the method adds, on planted secrets, numbers and names among look-alikes."""
+    r = random.Random(16)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    d = lambda n: "".join(r.choice("23456789") for _ in range(n))
+    good = {
+        "secret": lambda: f'{r.choice(["token", "TOKEN", "Api_Key", "password"])} {r.choice("=:")} "{hexa(40)}"',
+        "ssn": lambda: f"social security {r.randrange(100, 665)}-{d(2)}-{d(4)}",
+        "local_phone": lambda: r.choice(["call ({}) {}-{}", "phone {}-{}-{}", "tel {}.{}.{}"]).format(d(3), d(3), d(4)),
+        "written_email": lambda: f"write to {r.choice(pii.NAMES[:60])}.{r.choice(['smith', 'lee'])} [at] mail{d(1)} [dot] {r.choice(['com', 'org', 'de'])}",
+        "name": lambda: f"dear {r.choice(['Mr', 'Mrs.', 'Dr.', 'Herr'])} {r.choice(pii.NAMES[:60]).title()} {r.choice(['Smith', 'Weber'])}",
+    }
+    bad = [lambda: f"version {d(3)}-{d(3)}.{d(4)}", lambda: f"isbn {d(3)}-{d(3)}-{d(4)}", lambda: f"release 000-{d(2)}-{d(4)}", lambda: "token = averylongplainwordindeed", lambda: f"page {d(3)} 1{d(2)}-{d(4)}", lambda: "see table [at] the end"]
+    fill = lambda: " ".join(r.choice(["some", "words", "of", "no", "matter"]) for _ in range(r.randrange(3, 9)))
+    texts, want = [], []
+    for i in range(600):
+        kind = r.choice(list(good)) if i % 2 else None
+        texts.append(f"{fill()} {(good[kind] if kind else r.choice(bad))()} {fill()}")
+        want.append(kind)
+    got = pii.find_pii(frame(spark, texts)).orderBy("doc_id").collect()
+    added = [{b["kind"] for b in x["spans"] if b["kind"] in pii.WIDE} for x in got]
+    hit = sum(k in a for k, a in zip(want, added) if k)
+    wrong = sum(len(a - {k}) for k, a in zip(want, added))
+    assert hit >= 0.9 * sum(k is not None for k in want) and hit >= 0.9 * (hit + wrong)
+
+
+def test_op7_gazetteers_are_parameters(spark):
+    texts = ["a note from Dr. Zorblax Qu"] * 3 + ["x@y.zz"] * 3
+    votes = lambda **kw: {tuple(c["votes"]) for x in pii.candidates(frame(spark, texts), **kw).collect() for c in x["wide"] + x["base"]}
+    assert votes() == {(0, 0, 1, 0), (1, -1, 0, 0)} and votes(names=["zorblax"], endings=["zz"]) == {(0, 1, 1, 0), (1, 1, 0, 0)}
+    with pytest.raises(ValueError, match="at most"):
+        pii.candidates(frame(spark, texts), names=["a"] * 20_001)
+
+
 def test_op7_reliabilities(spark):
     true, rows = [0.9, 0.8, 0.7, 0.6], []
     for v in itertools.product((1, -1), repeat=4):
