@@ -10,16 +10,18 @@ is found and removed, whole texts taken as UTF-8 bytes, matches within one row.
    window's start to the last one's end.
 2. Equal contexts are one string with a count. Strings are dealt to buckets by anchor hash,
    so equal windows meet, in the same column, counted from the anchor.
-3. In a bucket, the suffix order is built column by column, from the last to the first: each round
-   inserts one symbol of each string in front of its suffix, sorts stably by that symbol (the round's column of the
-   Burrows-Wheeler transform), and updates the common prefix of neighbours: 0 between
-   different symbols, else 1 + the least one between their old places. As strings are aligned at anchors, a round's suffixes
+3. In a bucket, the suffix order is built column by column, from the last to the first. The state of the collection - the suffix
+   order and the common prefixes of neighbours - lies in sequential files; each round reads those of the round before and the next column, inserts one
+   symbol of each string in front of its suffix (the symbols in suffix order are the round's column of the
+   Burrows-Wheeler transform), moves each suffix to where counts and ranks of the transform put it, updates the common prefix of neighbours - 0 between
+   different symbols, else 1 + the least one between their old places - and writes both for the next round. As strings are aligned at anchors, a round's suffixes
    need comparing with those of the same round only, so each round costs its strings and not
-   what was inserted before. Columns are read from, and the transform and prefixes are written to, unnamed sequential
-   files of the task, one round at a time; memory holds a few numbers a string.
+   what was inserted before. Memory holds a few numbers a string.
    Neighbours with a common prefix of `length` or more are a class of equal windows; it is repeated if it counts more than one.
-4. An anchor with more than `hot_contexts` different contexts would make one task hold them all; its
-   windows are instead counted one by one by 128-bit hash, combined before the shuffle.
+4. An anchor with more than `hot_contexts` different contexts would make one task hold them all. Its contexts are cut into
+   blocks of BLOCK columns; all windows of a block share its middle bytes, so parts of one block that have a window in common have the same middle, which
+   deals them to groups that are constructed as above. Parts with one middle and more than `hot_contexts` different flanks are all but one string; their
+   windows are dealt out singly, where equal windows are one string with a count and nothing is left to sort.
 5. Each row's repeated windows are joined to it and their bytes cut out.
 
 Defined cases: null is empty; texts under `length` bytes have no windows; strings are
@@ -43,8 +45,8 @@ from pyspark.sql import types as T
 from . import common as C
 
 LENGTH, GRAM = 200, 24
-#: Different contexts of one anchor beyond which its windows are counted by hash.
-HOT_CONTEXTS = 20_000
+#: Different contexts of one anchor (or parts with one middle) that one task holds, and columns of a part.
+HOT_CONTEXTS, BLOCK = 20_000, 16
 #: Strings that a bucket should hold on average.
 BUCKET_STRINGS = 30_000
 PAD = 255  # in no UTF-8 text
@@ -161,7 +163,7 @@ def repeated_columns(strings: list, shift: np.ndarray, count: np.ndarray, length
     width = int((shift + size).max())
     last, begin = np.full(m, -2), np.full(m, -1)  # of each string: the last window found, and the one that began its run
     found = []
-    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as transform, tempfile.TemporaryFile() as prefixes:
+    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as old, tempfile.TemporaryFile() as new:
         # columns, last one first, written in slabs of so many columns that a slab is bounded
         slab = max(1, min(width, (32 << 20) // max(m, 1)))
         data = np.frombuffer(b"".join(strings), np.uint8)
@@ -174,20 +176,24 @@ def repeated_columns(strings: list, shift: np.ndarray, count: np.ndarray, length
             part[inside] = data[(at[None, :] + j)[inside]]
             columns.write(part)
         columns.seek(0)
-        order = np.arange(m, dtype=np.int32)
-        prefix = np.zeros(m, np.int16)
+        old.write(np.arange(m, dtype=np.int32))
+        old.write(np.zeros(m, np.int16))
         for c in range(width - 1, -1, -1):
-            symbol = np.frombuffer(columns.read(m), np.uint8)[order]
-            move = np.argsort(symbol, kind="stable")
-            symbol = symbol[move]
-            new = np.zeros(m, np.int16)
+            old.seek(0)
+            order, prefix = np.frombuffer(old.read(4 * m), np.int32), np.frombuffer(old.read(2 * m), np.int16)
+            transform = np.frombuffer(columns.read(m), np.uint8)[order]  # what is inserted in front of each suffix, in their order
+            move = np.argsort(transform, kind="stable")  # where counts and ranks put them
+            symbol = transform[move]
+            joint = np.zeros(m, np.int16)
             same = np.flatnonzero((symbol[1:] == symbol[:-1]) & (symbol[1:] != PAD)) + 1
             if len(same):
                 lo, hi = move[same - 1], move[same]
-                new[same] = np.minimum(_Least(prefix, int((hi - lo).max()))(lo, hi) + 1, length)
-            order, prefix = order[move], new
-            transform.write(symbol)
-            prefixes.write(prefix)
+                joint[same] = np.minimum(_Least(prefix, int((hi - lo).max()))(lo, hi) + 1, length)
+            order, prefix = order[move], joint
+            new.seek(0)
+            new.write(order)
+            new.write(prefix)
+            old, new = new, old
             if c + length > width:
                 continue
             whole = (c >= shift[order]) & (c + length <= shift[order] + size[order])
@@ -253,8 +259,38 @@ def _bucket(length: int):
     return task
 
 
+PARTS = "part binary, digest binary, at int, n long, hash long, shift int, bytes binary"
+
+
+def _parts(length: int, block: int):
+    """Contexts cut into blocks of columns: (part, context digest, first window, count, hash of the middle, shift, bytes of the first of equal parts in a batch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digest, at, part, hashes, shift, text, n, seen = [], [], [], [], [], [], [], set()
+            for d, s, n_, h, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *[b.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
+                last = first + len(s) - length  # columns first .. last begin windows
+                for k in range(first // block, last // block + 1):
+                    lo, hi = max(first, k * block) - first, min(last, k * block + block - 1) - first
+                    own = s[lo : hi + length]
+                    mid = s[k * block + block - 1 - first : k * block + length - first]
+                    key = xxhash.xxh3_64_intdigest(mid + h.to_bytes(8, "little", signed=True) + k.to_bytes(4, "little", signed=True)) - (1 << 63)
+                    p = xxhash.xxh3_128_digest(own + key.to_bytes(8, "little", signed=True) + (first + lo).to_bytes(4, "little", signed=True))
+                    part.append(p)
+                    digest.append(d)
+                    at.append(lo)
+                    hashes.append(key)
+                    shift.append(first + lo)
+                    n.append(n_)
+                    text.append(None if p in seen else own)
+                    seen.add(p)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(digest, pa.binary()), pa.array(at, pa.int32()), pa.array(n, pa.int64()), pa.array(hashes, pa.int64()), pa.array(shift, pa.int32()), pa.array(text, pa.binary())], names=["part", "digest", "at", "n", "hash", "shift", "bytes"])
+
+    return run
+
+
 def _windows(length: int):
-    """Each window of hot contexts: (window digest, context digest, place, count)."""
+    """Each window of strings: (window digest, string digest, place, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,6 +303,28 @@ def _windows(length: int):
     return run
 
 
+def _runs(strings: DataFrame, length: int, hot_contexts: int, block: int) -> DataFrame:
+    """(digest, lo, hi): the repeated windows of distinct strings (digest, n, bytes, hash, shift), which can be equal within one hash only."""
+    groups = C.cut(strings.groupBy("hash").agg(F.count("*").alias("strings"), F.sum("n").alias("total")).where("total > 1"), "suffix-groups")
+    sums = groups.agg(F.coalesce(F.sum("strings"), F.lit(0)).alias("all"), F.coalesce(F.max("strings"), F.lit(0)).alias("most")).first()
+    live = strings.join(groups.select("hash", "strings"), "hash")
+    cold, hot = live.where(F.col("strings") <= hot_contexts), live.where(F.col("strings") > hot_contexts)
+    buckets = max(1, -(-sums["all"] // BUCKET_STRINGS))
+    runs = cold.withColumn("bucket", F.pmod("hash", F.lit(buckets * 4))).groupBy("bucket").applyInArrow(_bucket(length), "digest binary, lo int, hi int")
+    if sums["most"] <= hot_contexts:
+        return runs
+    if block > 1:
+        parts = C.cut(hot.select("digest", "bytes", "n", "hash", "shift").mapInArrow(_parts(length, block), PARTS), "suffix-parts")
+        few = C.cut(parts.groupBy(F.col("part").alias("digest")).agg(F.sum("n").alias("n"), F.first("bytes", ignorenulls=True).alias("bytes"), F.first("hash").alias("hash"), F.first("shift").alias("shift")), "suffix-part-strings")
+        inner = C.cut(_runs(few, length, hot_contexts, 1).withColumnRenamed("digest", "part"), "suffix-part-runs")
+        more = parts.select("part", "digest", "at").join(inner, "part").select("digest", (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi"))
+    else:
+        windows = C.cut(hot.select("digest", "bytes", "n").mapInArrow(_windows(length), "window binary, digest binary, at int, n long"), "suffix-windows")
+        twice = windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
+        more = windows.join(twice, "window", "left_semi").select("digest", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    return runs.unionByName(more)
+
+
 def _cut_out(x: C.Texts, runs: pa.Array, length: int) -> dict[str, pa.Array]:
     removed, spans, sha, kept, where = [], [], [], [], []
     for i in range(len(x)):
@@ -312,17 +370,7 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
     cut = rows.join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(_cut_contexts(length), "rid long, first int, digest binary, hash long, shift int, bytes binary")
     contexts = C.cut(cut, "suffix-contexts")
     strings = C.cut(contexts.groupBy("digest").agg(F.count("*").alias("n"), F.first("bytes", ignorenulls=True).alias("bytes"), F.first("hash").alias("hash"), F.first("shift").alias("shift")), "suffix-strings")
-    groups = strings.groupBy("hash").agg(F.count("*").alias("strings"), F.sum("n").alias("total")).where("total > 1")
-    groups = C.cut(groups, "suffix-groups")
-    live = strings.join(groups.select("hash", "strings"), "hash")
-    cold, hot = live.where(F.col("strings") <= hot_contexts), live.where(F.col("strings") > hot_contexts)
-    buckets = max(1, -(-groups.agg(F.sum("strings")).first()[0] // BUCKET_STRINGS)) if not groups.isEmpty() else 1
-    runs = cold.withColumn("bucket", F.pmod("hash", F.lit(buckets * 4))).groupBy("bucket").applyInArrow(_bucket(length), "digest binary, lo int, hi int")
-    if not groups.where(F.col("strings") > hot_contexts).isEmpty():
-        windows = C.cut(hot.select("digest", "bytes", "n").mapInArrow(_windows(length), "window binary, digest binary, at int, n long"), "suffix-windows")
-        twice = windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-        runs = runs.unionByName(windows.join(twice, "window", "left_semi").select("digest", F.col("at").alias("lo"), F.col("at").alias("hi")))
-    runs = C.cut(runs, "suffix-runs")
+    runs = C.cut(_runs(strings, length, hot_contexts, max(1, min(BLOCK, length // 2))), "suffix-runs")
     each = contexts.select("rid", "first", "digest").join(runs, "digest").select("rid", (F.col("lo") + F.col("first")).alias("lo"), (F.col("hi") + F.col("first")).alias("hi"))
     return each.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
