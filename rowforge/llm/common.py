@@ -73,6 +73,23 @@ def numbered_files(files: DataFrame, name: str) -> DataFrame:
     return rows.join(F.broadcast(number), "__path").withColumn(name, F.shiftleft("__file", 40) + F.col("__at")).drop("__path", "__file", "__at")
 
 
+#: Keys that a broadcast of large groups holds at most, and rows of a key from which it counts as one.
+LARGE_KEYS, LARGE_ROWS = 100_000, 1_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left") -> DataFrame:
+    """rows joined to groups (key, size, ...) without a task that gets all rows of a large group.
+
+    rows and groups are tables; groups has a row a key, and `size` is how many rows it has. Groups of more than
+    LARGE_ROWS rows, and more than all rows over LARGE_KEYS, are at most LARGE_KEYS: they are broadcast. The others are joined by key.
+    """
+    limit = max(LARGE_ROWS, rows.count() // LARGE_KEYS)
+    large, small = groups.where(F.col(size) > limit).drop(size), groups.where(F.col(size) <= limit).drop(size)
+    names = F.broadcast(large.select(key))
+    rest = rows.join(names, key, "left_anti").join(small, key, how)
+    return rest.unionByName(rows.join(F.broadcast(large), key))
+
+
 def rows_fewer_than(df: DataFrame, limit: int) -> bool:
     """Whether df has fewer rows than limit, reading no more than that many."""
     return df.limit(limit).count() < limit

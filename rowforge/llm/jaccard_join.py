@@ -259,7 +259,7 @@ def compare(sets: list[np.ndarray], side: np.ndarray, t: Threshold, group_sets:
     """Linked pairs (i, j) of sets, i < j; with two sides, only pairs across them."""
     r = len(sets)
     size = np.array([len(s) for s in sets])
-    order = np.lexsort((np.array([s[0] for s in sets]), size))  # alike sets side by side
+    order = np.lexsort((size, np.array([s[0] for s in sets])))  # sets with the same least hash are likely alike: they stand side by side and form groups
     sets, size, side = [sets[i] for i in order], size[order], side[order]
     row = np.repeat(np.arange(r), size)
     tokens, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -374,11 +374,13 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     work = sent.drop("id").join(tokens, "node")
     found = C.cut(work.groupBy("comp", "lo", "hi").applyInArrow(_verify(t), "a long, b long, links long"), "jaccard-links")
     linked = components(found.select("a", "b"), "jaccard-components")
-    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")).join(nodes.select("node", "copies"), "node")
-    classes = members.join(linked, "node", "left").withColumn("class", F.coalesce("comp", "node"))
-    names = classes.where("class is not null").groupBy("class").agg(F.min("id").alias("component_id"), F.count("*").alias("size"))
-    out = classes.join(names.where("size > 1").drop("size"), "class", "left").join(nodes.select("node", "copies"), "node", "left").join(counts.select("node", "links"), "node", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"))
+    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    # classes are named by node; rows meet their node once, at the end, and a node of many copies is broadcast
+    own = C.cut(nodes.select("node", "id", "copies").join(linked, "node", "left").join(counts, "node", "left").withColumn("class", F.coalesce("comp", "node")).drop("comp"), "jaccard-classes")
+    names = C.cut(own.groupBy("class").agg(F.min("id").alias("component_id"), F.count("*").alias("size")).where("size > 1"), "jaccard-names")
+    named = C.join_groups(own, names, "class", "size").select("node", "copies", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = C.join_groups(members, C.cut(named, "jaccard-named"), "node", "copies")
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
