@@ -73,11 +73,11 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [20_000, 7, 2])
 def test_op1_removes_what_repeats(spark, hot):
     r = random.Random(3)
     p = "".join(r.choice("abc é\n") for _ in range(300))
-    texts = [None, "", "a" * 300, p[:59], p[:60] + "x", "y" + p[:60], p[30:180] + "z" * 50, "é" * 80, "q" + p + "w" + p, p, p] + [p[50:140] + f"{i}" * 40 for i in range(12)]
+    texts = [None, "", "a" * 300, p[:59], p[:60] + "x", "y" + p[:60], p[30:180] + "z" * 50, "é" * 80, "q" + p + "w" + p, p, p] + [p[50:140] + f"{i}" * 40 for i in range(12)] + [f"{i}" * 30 + p[100:170] + chr(97 + i) * 30 for i in range(9)]
     got = suffix_dedup.remove_repeats(frame(spark, texts), length=60, gram=12, hot_contexts=hot).orderBy("doc_id").collect()
     assert [(x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got] == brute_repeats(texts, 60)
     for x, s in zip(got, texts):
