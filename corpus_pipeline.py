@@ -45,9 +45,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship(spark)
     rows = _numbered(docs)
     found = jaccard_join.jaccard_join(rows, id_col="__rid", size=SHINGLE, threshold=SIMILARITY).select("__rid", "component_id")
-    ids = rows.select("__rid", "doc_id").join(common.cut(found, "pipeline-components"), "__rid")
-    groups = ids.groupBy("component_id").agg(F.count("*").alias("n"), F.min_by("__rid", F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")).alias("stays")).where("n > 1").select("component_id", "stays")
-    goes = common.cut(ids.join(groups, "component_id").where("__rid <> stays").select("__rid"), "pipeline-goes")
+    ids = common.cut(rows.select("__rid", "doc_id").join(common.cut(found, "pipeline-components"), "__rid"), "pipeline-ids")
+    groups = ids.groupBy("component_id").agg(F.count("*").alias("n"), F.min_by("__rid", F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")).alias("stays")).where("n > 1")
+    goes = common.cut(common.join_groups(ids, common.cut(groups, "pipeline-groups"), "component_id", "n", "inner").where("__rid <> stays").select("__rid"), "pipeline-goes")
     return _same(rows.join(goes, "__rid", "left_anti"), docs)
 
 
