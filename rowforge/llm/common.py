@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,9 +32,11 @@ STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one is made only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local one is made in local mode; on a cluster it is an error, as executors couldn't read each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="rowforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -58,7 +61,22 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     _drop_later(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+_paths: dict[int, tuple] = {}
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that cut wrote, once all that was to be read from them has been written elsewhere."""
+    for t in tables:
+        known, path = _paths.pop(id(t), (None, None))
+        if known is not None and known() is t:
+            spark = t.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def numbered_files(files: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,10 @@ A cut point is found from the most significant bits down: weights are summed by
 cut lies, and only that bin's rows are looked at again. Sums are combined
 before they are shuffled, so that a group of any size costs each task no more
 than the bins.
+
+Defined cases, in all functions: rows with a null group, order or weight take no part in a cut; groups without rows, or lighter than
+what is asked of them, have no cut; equal orders stand together at a cut (`here` says how much weight they have); repeated rows weigh
+each; an empty table gives no cuts and no numbers; columns other than those named are passed over or carried along.
 """
 
 from __future__ import annotations

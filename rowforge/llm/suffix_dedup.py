@@ -369,10 +369,14 @@ def repeated_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_c
     wanted = anchors.join(again, "hash", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("place", "hash")).alias("wanted"))
     cut = rows.join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(_cut_contexts(length), "rid long, first int, digest binary, hash long, shift int, bytes binary")
     contexts = C.cut(cut, "suffix-contexts")
+    C.free(anchors, again)
     strings = C.cut(contexts.groupBy("digest").agg(F.count("*").alias("n"), F.first("bytes", ignorenulls=True).alias("bytes"), F.first("hash").alias("hash"), F.first("shift").alias("shift")), "suffix-strings")
     runs = C.cut(_runs(strings, length, hot_contexts, max(1, min(BLOCK, length // 2))), "suffix-runs")
+    C.free(strings)
     each = contexts.select("rid", "first", "digest").join(runs, "digest").select("rid", (F.col("lo") + F.col("first")).alias("lo"), (F.col("hi") + F.col("first")).alias("hi"))
-    return each.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    found = C.cut(each.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "suffix-found")
+    C.free(contexts, runs)
+    return found
 
 
 FIELDS = [
@@ -393,7 +397,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         rows = C.numbered_files(documents, "__rid").select(*of(F.col("__rid")))
     else:
         rows = C.cut(documents.select(*of(F.monotonically_increasing_id())), "suffix-rows")
-    runs = C.cut(repeated_runs(rows.select("rid", "text"), length, gram, hot_contexts), "suffix-found")
+    runs = repeated_runs(rows.select("rid", "text"), length, gram, hot_contexts)
     names = [f.name for f in FIELDS if with_kept or f.name != "kept"]
     fields = [f for f in FIELDS if f.name in names]
     src = rows.join(runs, "rid", "left").select("id", "text", "runs")
