@@ -78,9 +78,10 @@ def to_conversations(df: DataFrame) -> DataFrame:
 
 def to_messages(df: DataFrame) -> DataFrame:
     """Conversations as chat rows; images go to the first turn."""
-    text = lambda t: F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("image"), F.trim(F.regexp_replace(t["value"], "<image>", "")).alias("text"))
+    bare = lambda v: F.when(F.contains(v, F.lit("<image>")), F.regexp_replace(F.replace(v, F.lit("<image>"), F.lit("")), r"(?U)^\s+", "")).otherwise(v)
+    text = lambda t: F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("image"), bare(t["value"]).alias("text"))
     pics = F.transform("image", lambda p: F.struct(F.lit("image").alias("type"), p.alias("image"), F.lit(None).cast("string").alias("text")))
-    role = lambda t: F.when(t["from"] == "human", "user").otherwise("assistant")
+    role = lambda t: F.when(t["from"] == "human", "user").when(t["from"] == "gpt", "assistant").otherwise(t["from"])
     return df.withColumn("messages", F.transform("conversations", lambda t, i: F.struct(role(t).alias("role"), F.when(i == 0, F.concat(pics, F.array(text(t)))).otherwise(F.array(text(t))).alias("content"))))
 
 

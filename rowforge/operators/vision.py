@@ -208,7 +208,8 @@ def uniform_tokens(df: DataFrame, group: str, token: str, k: int) -> DataFrame:
 
 def random_tokens(df: DataFrame, group: str, token: str, k: int, seed: int) -> DataFrame:
     """k tokens of each group in hash order."""
-    r = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), group, token), token))
+    key = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"), F.col(token).cast("string")), 256)
+    r = F.row_number().over(Window.partitionBy(group).orderBy(key, token))
     return df.withColumn("__r", r).where(F.col("__r") <= k).drop("__r")
 
 

@@ -143,23 +143,26 @@ def _(t):
     return V.uniform_tokens(_tokens(t), "group_id", "token_id", 7).select("group_id", "token_id")
 
 
-@query("v22_random_tokens")
+@query("v22_random_tokens", "SELECT label AS group_id, vec_id AS token_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY sha256('3|' || label || '|' || vec_id), vec_id) <= 6")
 def _(t):
     return V.random_tokens(_tokens(t), "group_id", "token_id", 6, 3).select("group_id", "token_id")
 
 
-_P = "list_transform(embedding[1:8], lambda x: (abs(x) + 0.01) / (list_sum(list_transform(embedding[1:8], lambda y: abs(y))) + 0.08))"
-_Q = "list_transform(embedding[9:16], lambda x: (abs(x) + 0.01) / (list_sum(list_transform(embedding[9:16], lambda y: abs(y))) + 0.08))"
+#: The two halves of a vector as distributions.
+_LEFT, _RIGHT = "embedding[1 : len(embedding) // 2]", "embedding[len(embedding) // 2 + 1 : 2 * (len(embedding) // 2)]"
+_P, _Q = (f"list_transform({h}, lambda x: (abs(x) + 0.01) / (list_sum(list_transform({h}, lambda y: abs(y))) + 0.01 * (len(embedding) // 2)))" for h in (_LEFT, _RIGHT))
 
 
 @query("v24_divergences", f"WITH d AS (SELECT vec_id, {_P.replace('abs(x)', 'CAST(abs(x) AS DOUBLE)').replace('abs(y)', 'CAST(abs(y) AS DOUBLE)')} AS p, {_Q.replace('abs(x)', 'CAST(abs(x) AS DOUBLE)').replace('abs(y)', 'CAST(abs(y) AS DOUBLE)')} AS q FROM embeddings) SELECT vec_id, list_sum(list_transform(list_zip(p, q), lambda z: z[1] * ln(z[1] / z[2]))) AS kl, list_sum(list_transform(list_zip(p, q), lambda z: 0.5 * z[1] * ln(z[1] / (0.5 * (z[1] + z[2]))) + 0.5 * z[2] * ln(z[2] / (0.5 * (z[1] + z[2]))))) AS jsd FROM d")
 def _(t):
+    half = F.floor(F.size("embedding") / 2).cast("int")
+
     def part(lo):
-        s = F.transform(F.slice("embedding", lo, 8), lambda x: F.abs(x).cast("double"))
+        s = F.transform(F.slice("embedding", lo, half), lambda x: F.abs(x).cast("double"))
         total = F.aggregate(s, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(s, lambda x: (x + 0.01) / (total + 0.08))
+        return F.transform(s, lambda x: (x + 0.01) / (total + 0.01 * half))
 
-    d = t("embeddings").select("vec_id", part(1).alias("p"), part(9).alias("q"))
+    d = t("embeddings").select("vec_id", part(F.lit(1)).alias("p"), part(half + 1).alias("q"))
     return d.select("vec_id", V.kl("p", "q").alias("kl"), V.jsd("p", "q").alias("jsd"))
 
 
@@ -213,7 +216,7 @@ def _(t):
 
 @query("v11_hota")
 def _(t):
-    rows = t("lineitem").select((F.col("l_orderkey") % 10).alias("seq"), F.col("l_orderkey").alias("t"), F.col("l_linenumber").cast("long").alias("id"), "l_tax").dropDuplicates(["seq", "t", "id"])
+    rows = t("lineitem").select((F.col("l_orderkey") % 10).alias("seq"), F.col("l_orderkey").alias("t"), F.col("l_linenumber").cast("long").alias("id"), "l_tax").groupBy("seq", "t", "id").agg(F.max("l_tax").alias("l_tax"))
     g, p = rows.select("seq", "t", F.col("id").alias("gt_id")), rows.where("l_tax > 0.01").select("seq", "t", F.col("id").alias("tr_id"))
     s = rows.where("l_tax > 0.01").select("seq", "t", F.col("id").alias("gt_id"), F.col("id").alias("tr_id"), (F.col("l_tax") * 10 + 0.15).alias("sim"))
     return V.hota_combine(V.hota_sequences(s, g, p, "seq"))

@@ -435,10 +435,12 @@ def _(t):
     return J.coverage(t("documents"), t("labels"), "doc_id")
 
 
-@query("j7_paired", "SELECT count(*) AS n FROM customer")
+@query("j7_paired", "SELECT c_mktsegment, count(*) AS n, sum(CAST(c_nationkey > 12 AS INTEGER) - CAST(c_acctbal > 5000 AS INTEGER)) AS gain FROM customer GROUP BY 1")
 def _(t):
     c = t("customer")
-    return J.paired(c, c, "c_custkey", ["c_name"]).agg(F.count("*").alias("n"))
+    right = lambda cond: c.select("c_custkey", "c_mktsegment", cond.cast("int").alias("correct"))
+    pairs = J.paired(right(F.col("c_acctbal") > 5000), right(F.col("c_nationkey") > 12), "c_custkey", ["c_mktsegment", "correct"])
+    return pairs.groupBy(F.col("a.c_mktsegment").alias("c_mktsegment")).agg(F.count("*").alias("n"), F.sum(F.col("b.correct") - F.col("a.correct")).alias("gain"))
 
 
 @query("j8_overlap", "SELECT DISTINCT c_nationkey AS n_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier")
@@ -598,10 +600,10 @@ def _(t):
     return R.fresh(t("events"), "event_id", 10000, 500).select("event_id")
 
 
-@query("r2_pending", "SELECT user_id AS job, n + 1 AS attempt FROM (SELECT user_id, count(*) AS n, max(CAST(value > 99.9 AS INTEGER)) AS ok FROM events GROUP BY 1) WHERE ok = 0 AND n < 120")
+@query("r2_pending", "SELECT user_id AS job, n + 1 AS attempt FROM (SELECT user_id, count(*) AS n, max(CAST(value > 90 AS INTEGER)) AS ok FROM events WHERE event_id % 50 = 0 GROUP BY 1) WHERE ok = 0 AND n < 3 UNION ALL SELECT user_id, 1 FROM (SELECT DISTINCT user_id FROM events) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 50 = 0)")
 def _(t):
-    log = t("events").withColumnRenamed("user_id", "job")
-    return R.pending(log.select("job").distinct(), log, "job", 120, F.col("value") > 99.9)
+    every = t("events").withColumnRenamed("user_id", "job")
+    return R.pending(every.select("job").distinct(), every.where("event_id % 50 = 0"), "job", 3, F.col("value") > 90)
 
 
 @query("x_tumbling_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

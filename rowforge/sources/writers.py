@@ -59,8 +59,8 @@ def accept_reject(df: DataFrame, good: Column, path: str, mode: str = "errorifex
     """Two sinks and their counts (K9)."""
     tagged = df.withColumn("accepted", F.coalesce(good, F.lit(False)))
     tagged.write.mode(mode).partitionBy("accepted").parquet(path)
-    n = {r["accepted"]: r["count"] for r in df.sparkSession.read.parquet(path).groupBy("accepted").count().collect()}
-    return {"accepted": n.get(True, 0), "rejected": n.get(False, 0)}
+    n = {str(r["accepted"]).lower(): r["count"] for r in df.sparkSession.read.parquet(path).groupBy("accepted").count().collect()}  # a folder's name is read as text
+    return {"accepted": n.get("true", 0), "rejected": n.get("false", 0)}
 
 
 def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
@@ -80,3 +80,27 @@ def frozen(df: DataFrame, path: str, digest: Column) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     spark: SparkSession = df.sparkSession
     return spark.read.parquet(path).agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(digest)).alias("digest"))
+
+
+def run_outputs(scored: DataFrame, path: str, settings: dict[str, str], identity: str = "id") -> None:
+    """A finished run's outputs below a folder that must not have them yet (K7).
+
+    scored: samples with prediction, elapsed_seconds, issues and the columns of scoring.score_predictions. Written are
+    predictions and unit scores (JSON, in the order of ids), official and clean summaries by data set and subtask, issues (CSV), efficiency and
+    the run manifest (settings, number of samples, samples by group).
+    """
+    from rowforge.operators import aggregate, scoring
+
+    scored = scored.persist()  # read by every output
+    by = ["dataset", "subtask"]
+    jsonl(scored, f"{path}/predictions", identity)
+    unit = scored.select(identity, *by, "task_type", "clean_status", F.struct(*scoring.SCORES).alias("score"))
+    jsonl(unit, f"{path}/unit_scores", identity)
+    for name in ("official", "clean"):
+        jsonl(aggregate.grouped_accuracy(scored, by, f"{name}_correct").coalesce(1).sortWithinPartitions(*by), f"{path}/{name}_summary")
+    issues = scored.select(F.col(identity).alias("sample_id"), *by, "clean_status", F.explode("issues").alias("issue"))
+    issues.write.mode("errorifexists").option("header", True).csv(f"{path}/issues")
+    jsonl(aggregate.efficiency(scored, [], "elapsed_seconds"), f"{path}/efficiency")
+    groups = scored.groupBy(F.concat_ws("/", *by).alias("k")).agg(F.count("*").alias("v")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("group_counts"), F.sum("v").alias("sample_count"))  # a row a group
+    jsonl(groups.withColumns({k: F.lit(v) for k, v in settings.items()}), f"{path}/run_manifest")
+    scored.unpersist()
