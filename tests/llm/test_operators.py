@@ -108,6 +108,25 @@ def test_op2_is_exact(spark):
             assert got[q] == sorted(((i, int(good[q] @ v)) for i, v in good.items() if i != q), key=lambda t: (-t[1], t[0]))[:7]
 
 
+def test_op2_blocks_read_what_they_need(spark):
+    r = np.random.default_rng(5)
+    vecs = np.floor(np.concatenate([r.normal(size=(60, 6)) + 400 * np.eye(6)[c] for c in range(6)]) * 8)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, v array<double>")
+    index, table = pivot_search.build(rows, pivots=6)
+    queries = rows.where("vec_id % 10 = 0")
+    got = collections.defaultdict(list)
+    for x in pivot_search.top_k(index, table, queries, k=5, block=4, annulus=8, together=3).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], x["score"]))
+    for i in range(0, 360, 10):
+        assert got[i] == sorted(((j, int(vecs[i] @ v)) for j, v in enumerate(vecs) if j != i), key=lambda t: (-t[1], t[0]))[:5]
+    q = vecs[:4]
+    fifth = np.array([sorted(vecs @ x)[-6] for x in q])
+    kept = table.where(pivot_search._within(index, q, fifth))
+    assert 20 <= kept.count() <= 120  # one cluster of six, or little more
+    scan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in scan or "PushedFilters: [And(" in scan, scan
+
+
 def test_op2_of_nothing_and_of_few(spark):
     none = spark.createDataFrame([], "vec_id long, v array<double>")
     index, table = pivot_search.build(none)
