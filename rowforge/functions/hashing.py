@@ -18,6 +18,11 @@ def rank_key(seed: int, identity: Column | str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), _c(identity).cast("string")), 256)
 
 
+def hash_bin(text: Column, bins: int) -> Column:
+    """0 to bins - 1 by the first eight hex digits of SHA-256."""
+    return F.pmod(F.conv(F.left(F.sha2(text, 256), F.lit(8)), 16, 10).cast("long"), F.lit(bins).cast("long"))
+
+
 def namespaced_key(seed: int, namespace: str, value: Column | str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|{namespace}|"), _c(value).cast("string")), 256)
 

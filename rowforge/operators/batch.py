@@ -7,6 +7,8 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowforge.functions.hashing import hash_bin
+
 
 def slice_rows(df: DataFrame, idx: str, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
     """Rows start, start + step, ... before stop, by index."""
@@ -158,7 +160,7 @@ def imbalance(df: DataFrame, part: str, weight: str) -> DataFrame:
 def length_grouped(df: DataFrame, identity: str, length: str, batch: int, mega: int, seed: int) -> DataFrame:
     """Mega-batches by hash, rows by falling length within each (W14): (mega, place)."""
     n = max(1, -(-df.count() // (batch * mega)))
-    m = df.withColumn("mega", F.pmod(F.xxhash64(F.lit(seed), identity), F.lit(n)))
+    m = df.withColumn("mega", hash_bin(F.concat(F.lit(f"{seed}:"), F.col(identity).cast("string")), n))
     return m.withColumn("place", F.row_number().over(Window.partitionBy("mega").orderBy(F.col(length).desc(), identity)) - 1)
 
 

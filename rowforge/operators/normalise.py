@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions.boxes import native_text
+from rowforge.functions.hashing import hash_bin
 from rowforge.functions.text import normalize_answer, option_lines, prompt_task, question_stem, replace_first
+from rowforge.operators.select import ordered_rank
 
 
 def from_messages(df: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def flat_captions(df: DataFrame, prompts: dict[str, str] | None = None) -> DataF
 def flat_grounding(df: DataFrame, order: str) -> DataFrame:
     """Dense image numbers by first occurrence, boxes as text with six decimals."""
     first = df.groupBy("image").agg(F.min(order).alias("__f"))
-    ids = first.withColumn("image_index", F.row_number().over(Window.orderBy("__f", "image")) - 1).drop("__f")  # a row an image
+    ids = ordered_rank(first, ["__f", "image"], "image_index").withColumn("image_index", (F.col("image_index") - 1).cast("int")).drop("__f")
     return df.join(ids, "image").withColumn("references", F.array(native_text(F.col("bbox")))).withColumn("task_type", F.lit("bbox"))
 
 
@@ -146,13 +148,14 @@ def synthetic_mcq(df: DataFrame, identity: str, question: str, answer: str, seed
     """
     pool = df.select(F.col(answer).alias("other")).where("other is not null").distinct()
     bins = max(1, pool.count() // per_key)
-    at = lambda c, salt: F.pmod(F.xxhash64(F.lit(seed), c, F.lit(salt)), F.lit(bins))
+    at = lambda c, salt: hash_bin(F.concat(F.lit(f"{seed}:{salt}:"), c.cast("string")), bins)
+    key = lambda s, o: F.sha2(F.concat(F.lit(f"{s}:"), F.col(identity).cast("string"), F.lit(":"), o.cast("string")), 256)
     dealt = pool.withColumn("bin", at(F.col("other"), "pool"))
     held = dealt.groupBy("bin").agg(F.array_sort(F.collect_list("other")).alias("others"))
     rows = df.withColumn("bin", at(F.col(identity), "ask")).join(held, "bin")
-    mixed = F.array_sort(F.transform(F.filter("others", lambda o: o != F.col(answer)), lambda o: F.struct(F.xxhash64(F.lit(seed), F.col(identity), o).alias("h"), o.alias("o"))))
+    mixed = F.array_sort(F.transform(F.filter("others", lambda o: o != F.col(answer)), lambda o: F.struct(key(seed, o).alias("h"), o.alias("o"))))
     three = F.slice(F.transform(mixed, lambda m: m["o"]), 1, 3)
-    shown = F.array_sort(F.transform(F.concat(F.array(answer), three), lambda o: F.struct(F.xxhash64(F.lit(seed + 1), F.col(identity), o).alias("h"), o.alias("o"))))
+    shown = F.array_sort(F.transform(F.concat(F.array(answer), three), lambda o: F.struct(key(seed + 1, o).alias("h"), o.alias("o"))))
     options = F.transform(shown, lambda s: s["o"])
     out = rows.where(F.size(three) == 3).withColumn("options", options)
     return out.select(identity, question, "options", F.element_at(F.array(*map(F.lit, "ABCD")), F.array_position("options", F.col(answer)).cast("int")).alias("label"))

@@ -86,7 +86,7 @@ def group_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> DataF
     """All rows of the first round-half-up(fraction x keys) keys by hash."""
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     wanted = math.floor(keys.count() * fraction + 0.5)
-    return df.join(keys.orderBy(namespaced_key(seed, "group", key), key).limit(wanted), key, "left_semi")
+    return df.join(global_rank(keys, namespaced_key(seed, "group", key), [key]).where(F.col("rank") <= wanted), key, "left_semi")
 
 
 def group_split(df: DataFrame, key: str, sizes: dict[str, int], seed: int) -> DataFrame:
@@ -109,6 +109,22 @@ def global_rank(df: DataFrame, digest: Column, ties: list[str], out: str = "rank
     return rows.withColumn("__i", inside).join(F.broadcast(offsets), "__p").withColumn(out, F.col("__from") + F.col("__i")).drop("__d", "__p", "__n", "__from", "__i")
 
 
+def ordered_rank(df: DataFrame, order: list[str], out: str = "rank", bins: int = 64) -> DataFrame:
+    """1, 2, 3 ... in the order of columns, nulls first: ranges between `bins` rows chosen by hash, their offsets, then ranks within each.
+
+    Any bounds give the same ranks; they only decide how evenly tasks share the rows.
+    """
+    few = df.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(bins).collect()
+    types = {f.name: f.dataType for f in df.schema.fields}
+    row = F.struct(*order)
+    bound = [F.struct(*[F.lit(r[c]).cast(types[c]).alias(c) for c in order]) for r in few]
+    rows = df.withColumn("__p", F.size(F.filter(F.array(*bound), lambda b: b <= row)) if bound else F.lit(0))
+    counts = rows.groupBy("__p").agg(F.count("*").alias("__n"))
+    offsets = counts.withColumn("__from", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n"))  # a row a range
+    inside = F.row_number().over(_w("__p").orderBy(*order))
+    return rows.withColumn("__i", inside).join(F.broadcast(offsets), "__p").withColumn(out, F.col("__from") + F.col("__i")).drop("__p", "__n", "__from", "__i")
+
+
 def stratified_split(df: DataFrame, identity: str, stratum: str, sizes: dict[str, int], seed: int) -> DataFrame:
     """Rows in the order of a hash over seed, stratum and id are dealt to splits of exact sizes."""
     digest = F.sha2(F.concat(F.lit(f"split:{seed}:"), F.col(stratum).cast("string"), F.lit(":"), F.col(identity).cast("string")), 256)
@@ -141,12 +157,14 @@ def seeded_sample(df: DataFrame, identity: str, k: int, seed: int, offset: int =
 
 
 def ratio_mix(parts: dict[str, DataFrame], anchor: str, ratios: dict[str, float], identity: str, seed: int) -> DataFrame:
-    """All of the anchor, and of each other part ratio x its rows, by hash."""
+    """All of the anchor, and of each other part ratio x its rows, by hash; ranks by hash prefix, so no task holds a part."""
     n = parts[anchor].count()
     out = parts[anchor].withColumn("part", F.lit(anchor))
     for name, df in parts.items():
         if name != anchor:
-            out = out.unionByName(seeded_sample(df, identity, math.floor(n * ratios[name] + 0.5), seed).withColumn("part", F.lit(name)), allowMissingColumns=True)
+            ranked = global_rank(df, rank_key(seed, identity), [identity], "__rank")
+            kept = ranked.where(F.col("__rank") <= math.floor(n * ratios[name] + 0.5)).drop("__rank")
+            out = out.unionByName(kept.withColumn("part", F.lit(name)), allowMissingColumns=True)
     return out
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowforge.operators.select import ordered_rank
+
 # --- numpy kernels -----------------------------------------------------------------------------
 
 
@@ -511,7 +513,7 @@ def pair_ids(pairs: DataFrame, negatives: DataFrame, keys: list[str]) -> DataFra
     """Dense ids from 1 over the sorted pairs, those of negative pairs after them."""
     p = pairs.select(*keys).distinct().withColumn("__n", F.lit(0))
     n = negatives.select(*keys).distinct().join(pairs.select(*keys), keys, "left_anti").withColumn("__n", F.lit(1))
-    return p.unionByName(n).withColumn("pair_id", F.row_number().over(Window.orderBy("__n", *keys))).drop("__n")  # a row a pair of video and category
+    return ordered_rank(p.unionByName(n), ["__n", *keys], "pair_id").withColumn("pair_id", F.col("pair_id").cast("int")).drop("__n")
 
 
 def reindex(annotations: DataFrame, *ids: str) -> DataFrame:

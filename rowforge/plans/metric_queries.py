@@ -59,7 +59,24 @@ def _(t):
     return M.corpus_bleu(_pairs(t))
 
 
-@query("m5_smoothed_bleu")
+_WORDS = r"list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
+
+
+def _word_grams(col: str) -> str:
+    return _grams(col).replace(_TOK.format(col), _WORDS.format(col))
+
+
+def _smoothed(order: int) -> str:
+    return f"bp * (SELECT CASE WHEN count(*) < {order} THEN 0 ELSE exp(sum(ln(CASE WHEN hit = 0 THEN 0.1 ELSE hit END / total)) / {order}) END FROM p WHERE n <= {order}) AS bleu_{order}"
+
+
+_SMOOTHED = f"""WITH c AS ({_word_grams('prediction')}), r AS ({_word_grams('reference')}),
+ p AS (SELECT c.n, CAST(sum(least(c.c, coalesce(r.c, 0))) AS DOUBLE) AS hit, sum(c.c) AS total FROM c LEFT JOIN r USING (id, n, gram) GROUP BY c.n),
+ l AS (SELECT sum(len({_WORDS.format('prediction')})) AS c, sum(len({_WORDS.format('reference')})) AS r FROM {_PAIRS}),
+ b AS (SELECT CASE WHEN c = 0 THEN 0 WHEN c > r THEN 1 ELSE exp(1 - r / c) END AS bp FROM l) SELECT {', '.join(_smoothed(n) for n in range(1, 5))} FROM b"""
+
+
+@query("m5_smoothed_bleu", _SMOOTHED)
 def _(t):
     return M.corpus_bleu(_pairs(t), unicode_tokens, smooth=True)
 
@@ -91,12 +108,24 @@ def _(t):
     return M.meteor(_pairs(t), stem=True)
 
 
-@query("m11_cider_d")
+def _consensus(weight: str, product: str, factor: str) -> str:
+    """Vectors of weights by order, their products over norms, the mean of four orders times 10."""
+    side = lambda x: f"SELECT {x}.id, {x}.n, {x}.gram, {x}.c, {weight.format(x)} AS w FROM {x} LEFT JOIN d USING (n, gram), k"
+    return f"""WITH c AS ({_word_grams('prediction')}), r AS ({_word_grams('reference')}), d AS (SELECT n, gram, count(DISTINCT id) AS df FROM r GROUP BY ALL), k AS (SELECT count(*) AS docs FROM {_PAIRS}),
+ wc AS ({side('c')}), wr AS ({side('r')}), o AS (SELECT id, unnest([1, 2, 3, 4]) AS n FROM {_PAIRS}),
+ na AS (SELECT id, n, sqrt(sum(w * w)) AS a FROM wc GROUP BY ALL), nb AS (SELECT id, n, sqrt(sum(w * w)) AS b FROM wr GROUP BY ALL),
+ dot AS (SELECT id, n, sum({product}) AS dot FROM wc a JOIN wr b USING (id, n, gram) GROUP BY ALL),
+ ca AS (SELECT id, sum(c) AS ca FROM c WHERE n = 2 GROUP BY id), cb AS (SELECT id, sum(c) AS cb FROM r WHERE n = 2 GROUP BY id),
+ s AS (SELECT id, CASE WHEN a > 0 AND b > 0 THEN coalesce(dot, 0) / (a * b) ELSE 0 END * {factor} AS v FROM o LEFT JOIN na USING (id, n) LEFT JOIN nb USING (id, n) LEFT JOIN dot USING (id, n) LEFT JOIN ca USING (id) LEFT JOIN cb USING (id))
+ SELECT id, 10 * avg(v) AS score FROM s GROUP BY id"""
+
+
+@query("m11_cider_d", _consensus("{0}.c * (ln(docs) - ln(greatest(1, coalesce(df, 0))))", "least(a.w, b.w) * b.w", "exp(-power(coalesce(ca, 0) - coalesce(cb, 0), 2) / 72)"))
 def _(t):
     return M.cider_d(_pairs(t))
 
 
-@query("m12_cider_variant")
+@query("m12_cider_variant", _consensus("{0}.c / max({0}.c) OVER (PARTITION BY {0}.id, {0}.n) * (ln((docs + 1) / (coalesce(df, 0) + 1)) + 1)", "a.w * b.w", "1"))
 def _(t):
     return M.cider_variant(_pairs(t))
 

@@ -386,7 +386,12 @@ def _(t):
     return S.ratio_mix(parts, "a", {"b": 0.5}, "k", 1).groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("a27_quota_per_image")
+@query(
+    "a27_quota_per_image",
+    """WITH one AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('P', 'F', 'O')
+       QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY list_position(['P', 'F', 'O'], o_orderstatus), sha256('3:' || o_orderkey), o_orderkey) = 1)
+       SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY sha256('3:' || o_orderkey), o_orderkey) <= CASE o_orderstatus WHEN 'P' THEN 50 WHEN 'F' THEN 100 ELSE 200 END""",
+)
 def _(t):
     return S.quota_per_image(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", "o_orderstatus", "o_orderkey", {"P": 50, "F": 100, "O": 200}, 3)
 
@@ -587,7 +592,11 @@ def _(t):
     return W.imbalance(W.round_robin(t("documents"), "doc_id", 8), "shard", "n_chars")
 
 
-@query("w14_length_grouped")
+@query(
+    "w14_length_grouped",
+    """WITH m AS (SELECT doc_id, n_chars, CAST('0x' || left(sha256('1:' || doc_id), 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 128) AS BIGINT)) FROM documents) AS mega FROM documents)
+       SELECT doc_id, mega, row_number() OVER (PARTITION BY mega ORDER BY n_chars DESC, doc_id) - 1 AS place FROM m""",
+)
 def _(t):
     return W.length_grouped(t("documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 16, 8, 1).select("doc_id", "mega", "place")
 

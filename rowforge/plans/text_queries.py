@@ -125,7 +125,16 @@ def _(t):
     return N.explode_references(refs.select("conv_id", F.transform("r", lambda x: x["text"]).alias("references"))).select("conv_id", F.col("reference_index").cast("long").alias("reference_index"), "reference")
 
 
-@query("u10_synthetic_mcq")
+@query(
+    "u10_synthetic_mcq",
+    """WITH pool AS (SELECT DISTINCT p_type AS o FROM part WHERE p_type IS NOT NULL), k AS (SELECT greatest(1, count(*) // 16) AS bins FROM pool),
+       dealt AS (SELECT o, CAST('0x' || left(sha256('42:pool:' || o), 8) AS BIGINT) % bins AS bin FROM pool, k),
+       asked AS (SELECT p_partkey, p_name AS question, p_type AS answer, CAST('0x' || left(sha256('42:ask:' || p_partkey), 8) AS BIGINT) % bins AS bin FROM part, k),
+       three AS (SELECT p_partkey, question, answer, o FROM asked JOIN dealt USING (bin) WHERE o <> answer QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY sha256('42:' || p_partkey || ':' || o), o) <= 3),
+       four AS (SELECT * FROM three UNION ALL SELECT DISTINCT p_partkey, question, answer, answer FROM three),
+       shown AS (SELECT p_partkey, question, answer, list(o ORDER BY sha256('43:' || p_partkey || ':' || o), o) AS options FROM four GROUP BY ALL HAVING count(*) = 4)
+       SELECT p_partkey, question, options, substr('ABCD', CAST(list_position(options, answer) AS BIGINT), 1) AS label FROM shown""",
+)
 def _(t):
     return N.synthetic_mcq(t("part").select("p_partkey", F.col("p_name").alias("question"), F.col("p_type").alias("answer")), "p_partkey", "question", "answer", 42)
 

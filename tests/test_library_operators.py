@@ -241,3 +241,24 @@ def test_windows_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     q = R.tumbling(stream, "ts", "1 hour", ["k"]).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.sql("select start, k, n from hours").collect())) == sorted(map(tuple, R.tumbling(ev, "ts", "1 hour", ["k"]).select("start", "k", "n").collect()))
+
+
+def test_efficiency_is_exact_in_groups_of_any_make(spark):
+    rows = [("a", float((i * 7919) % 1000)) for i in range(2001)] + [("b", 5.0)] * 300 + [("b", 1.0), ("c", 2.5), ("d", None), (None, 3.0), (None, 9.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for by in (["g"], []):
+        got = sorted(map(str, A.efficiency(df, by, "x").collect()))
+        want = df.groupBy(*by).agg(
+            F.avg("x").alias("mean"), F.percentile("x", 0.5).alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY x)").alias("p95"), F.sum("x").alias("total"), F.max("x").alias("most")
+        )
+        assert got == sorted(map(str, want.collect()))
+    assert A.efficiency(df.where("false"), ["g"], "x").count() == 0
+
+
+def test_ordered_rank_is_a_row_number(spark):
+    rows = [(None if i % 13 == 0 else (i * 37) % 101, f"k{i % 7}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b string, i int")
+    got = {r["i"]: r["rank"] for r in S.ordered_rank(df, ["a", "b", "i"], bins=9).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    assert got == {r[2]: n for n, r in enumerate(order, 1)}
+    assert S.ordered_rank(df.where("false"), ["a"]).count() == 0
