@@ -181,27 +181,42 @@ def score(prediction: Column | str, reference: Column | str) -> Column:
     return let(F.struct(parse_percent(prediction).alias("p"), parse_percent(reference).alias("r")), scored)
 
 
-def with_percent_box(df: DataFrame, text: Column | str, out: str) -> DataFrame:
-    """df with parse_percent of a text, in steps that are columns of their own, so each value is computed once in generated code."""
+def _with_corners(df: DataFrame, text: Column | str, out: str) -> tuple[DataFrame, list[Column]]:
+    """df with the four corners of parse_percent as columns __{out}_0 to 3, in steps that are columns of their own, so each value is computed once in generated code."""
     t = lambda k: f"__{out}_{k}"
-    df = df.withColumn(t("n"), all_matches(F.regexp_replace(_c(text), r"(?i)\b[xy][12]\b", ""), NUMBER))
-    df = df.withColumns({t(i): F.try_element_at(t("n"), F.lit(i + 1)).cast("double") for i in range(4)})
+    found = F.slice(all_matches(F.regexp_replace(_c(text), r"(?i)\b[xy][12]\b", ""), NUMBER), 1, 4)
+    # the lambda ends a span of generated code here: with two texts in one span its method is too long for the JIT
+    df = df.withColumn(t("n"), F.transform(found, lambda n: n.cast("double")))
+    df = df.withColumns({t(i): F.try_element_at(t("n"), F.lit(i + 1)) for i in range(4)})
     x = [F.col(t(i)) for i in range(4)]
     df = df.withColumns({t("hi"): F.greatest(*x), t("lo"): F.least(*x)})
     hi = F.col(t("hi"))
     df = df.withColumns({t(i): F.when(hi <= 1, x[i] * 100).when(hi > 100, x[i] / 10).otherwise(x[i]) for i in range(4)})
-    fits = x[3].isNotNull() & (F.col(t("lo")) >= 0) & (hi <= 1000) & (x[0] != x[2]) & (x[1] != x[3])
-    box = F.array(F.least(x[0], x[2]), F.least(x[1], x[3]), F.greatest(x[0], x[2]), F.greatest(x[1], x[3]))
-    return df.withColumn(out, F.when(fits, box)).drop(*[t(k) for k in ("n", "hi", "lo", 0, 1, 2, 3)])
+    df = df.withColumn(t("fits"), x[3].isNotNull() & (F.col(t("lo")) >= 0) & (hi <= 1000) & (x[0] != x[2]) & (x[1] != x[3]))
+    ends = [F.least(x[0], x[2]), F.least(x[1], x[3]), F.greatest(x[0], x[2]), F.greatest(x[1], x[3])]
+    return df.withColumns({t(i): F.when(F.col(t("fits")), e) for i, e in enumerate(ends)}).drop(t("n"), t("hi"), t("lo"), t("fits")), x
+
+
+def with_percent_box(df: DataFrame, text: Column | str, out: str) -> DataFrame:
+    """df with parse_percent of a text, in steps."""
+    df, x = _with_corners(df, text, out)
+    return df.withColumn(out, F.when(x[0].isNotNull(), F.array(*x))).drop(*[f"__{out}_{i}" for i in range(4)])
 
 
 def with_score(df: DataFrame, prediction: Column | str, reference: Column | str) -> DataFrame:
-    """df with the columns of score and both boxes, in steps."""
-    df = with_percent_box(with_percent_box(df, prediction, "predicted_box"), reference, "reference_box")
-    p, r = F.col("predicted_box"), F.col("reference_box")
-    both = p.isNotNull() & r.isNotNull()
-    df = df.withColumns({"official_iou": F.when(both, iou(p, r, True)).otherwise(0.0), "clean_iou": F.when(both, iou(p, r)).otherwise(0.0)})
-    return df.withColumns({"official_correct": F.col("official_iou") >= 0.5, "clean_correct": F.col("clean_iou") >= 0.5, "format_valid": p.isNotNull()})
+    """df with the columns of score and both boxes, in steps over corners: elements of arrays, read many times, make code too long to be compiled."""
+    df, p = _with_corners(df, prediction, "predicted_box")
+    df, r = _with_corners(df, reference, "reference_box")
+    df = df.withColumns({"__w": F.least(p[2], r[2]) - F.greatest(p[0], r[0]), "__h": F.least(p[3], r[3]) - F.greatest(p[1], r[1])})
+    zero, parts = F.lit(0.0), {}
+    for name, plus in (("official", 1.0), ("clean", 0.0)):
+        parts[f"__{name}_i"] = F.greatest(zero, F.col("__w") + plus) * F.greatest(zero, F.col("__h") + plus)
+        parts[f"__{name}_a"] = (p[2] - p[0] + plus) * (p[3] - p[1] + plus) + (r[2] - r[0] + plus) * (r[3] - r[1] + plus)
+    df = df.withColumns(parts).withColumns({f"__{n}_a": F.col(f"__{n}_a") - F.col(f"__{n}_i") for n in ("official", "clean")})  # null without both boxes
+    df = df.withColumns({f"{n}_iou": F.when(F.col(f"__{n}_a") > 0, F.col(f"__{n}_i") / F.col(f"__{n}_a")).otherwise(0.0) for n in ("official", "clean")})
+    df = df.withColumns({"official_correct": F.col("official_iou") >= 0.5, "clean_correct": F.col("clean_iou") >= 0.5, "format_valid": p[0].isNotNull()})
+    df = df.withColumns({"predicted_box": F.when(p[0].isNotNull(), F.array(*p)), "reference_box": F.when(r[0].isNotNull(), F.array(*r))})
+    return df.drop("__w", "__h", *parts, *[f"__{o}_{i}" for o in ("predicted_box", "reference_box") for i in range(4)])
 
 
 def crops_beside(b: Column, width: Column, height: Column, most: int = 4) -> Column:
