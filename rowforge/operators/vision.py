@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -398,9 +399,12 @@ def average_precision_101(matches: DataFrame, n_truths: int, image: str, bins: i
     """(level, ap, ar): precision made monotone, read at 101 recalls (V7).
 
     Ranks come from counts of score bins, so a level is as many tasks as it has bins; equal scores share a bin.
+    Matches are persisted: clear the cache (`spark.catalog.clearCache`) once the result is written.
     """
     from pyspark.ml.feature import Bucketizer
 
+    if not matches.is_cached:  # read by the bounds, the counts and the ranks; lost blocks are matched again
+        matches = matches.persist(StorageLevel.MEMORY_AND_DISK)
     top = matches.agg(F.min("level")).first()[0]
     edges = matches.where((F.col("level") == top) & F.col("score").isNotNull()).approxQuantile("score", [i / bins for i in range(1, bins)], 0.5 / bins)
     cut = Bucketizer(splits=[-float("inf"), *sorted(set(edges)), float("inf")], inputCol="score", outputCol="__b")
