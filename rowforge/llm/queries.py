@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rowforge.session import ship
 
-from . import decontamination, jaccard_join, language_id, license_scan, mixing, pii, pivot_search, sharding, suffix_dedup, toxicity
+from . import decontamination, fill_in_middle, jaccard_join, language_id, license_scan, mixing, pii, pivot_search, sharding, suffix_dedup, toxicity
 
 _BUILDERS = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -17,6 +17,7 @@ _BUILDERS = {
     "op8_jaccard_join": jaccard_join.op8,
     "op9_language_id": language_id.op9,
     "op10_decontamination": decontamination.op10,
+    "op12_fill_in_middle": fill_in_middle.op12,
 }
 QUERIES = {name: (lambda spark, sf_dir, build=build: build(ship(spark), sf_dir)) for name, build in _BUILDERS.items()}
 
@@ -44,5 +45,12 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(gene
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
+_OP12 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT *, len(l) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(s, CAST(i AS INTEGER), 8) AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:], '') AS z FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m WHEN 'spm' THEN '<S>' || z || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
 #: The others train models, hash rows or build trees; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op2_pivot_search": _OP2, "op8_jaccard_join": _OP8, "op10_decontamination": _OP10}
+ORACLES: dict[str, str] = {"op2_pivot_search": _OP2, "op8_jaccard_join": _OP8, "op10_decontamination": _OP10, "op12_fill_in_middle": _OP12}
