@@ -212,6 +212,13 @@ def _candidates(documents: DataFrame, text_col: str, size: int, t: Threshold, fr
         if held:
             yield flush()
 
+    rows = documents.select(F.col(text_col).alias("text")).mapInArrow(emit, "key long, node long, needed byte")
+    return collisions(rows).where("shared >= needed").select("a", "b")
+
+
+def collisions(rows: DataFrame) -> DataFrame:
+    """(a, b, shared, needed) of the nodes that rows (key, node, needed) put under equal keys: how many they share and the least that was asked for, 1 under a key of many nodes."""
+
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # groups may go on in the next batch: the last one waits; of one known to be large, only its hub does
         rest: tuple[np.ndarray, ...] | None = None
@@ -239,9 +246,8 @@ def _candidates(documents: DataFrame, text_col: str, size: int, t: Threshold, fr
     def batch(c: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=["a", "b", "shared", "needed"])
 
-    rows = documents.select(F.col(text_col).alias("text")).mapInArrow(emit, "key long, node long, needed byte")
     found = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(pair, "a long, b long, shared long, needed long")
-    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed")).where("shared >= needed").select("a", "b")
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed"))
 
 
 def _sets(documents: DataFrame, text_col: str, size: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rowforge.session import ship
 
-from . import collocations, decontamination, fill_in_middle, jaccard_join, language_id, license_scan, mixing, pii, pivot_search, sharding, suffix_dedup, toxicity
+from . import collocations, decontamination, fill_in_middle, jaccard_join, language_id, license_scan, minhash, mixing, pii, pivot_search, sharding, suffix_dedup, toxicity
 
 _BUILDERS = {
     "op1_suffix_dedup": suffix_dedup.op1,
@@ -19,6 +19,7 @@ _BUILDERS = {
     "op10_decontamination": decontamination.op10,
     "op11_collocations": collocations.op11,
     "op12_fill_in_middle": fill_in_middle.op12,
+    "op13_minhash": minhash.op13,
 }
 QUERIES = {name: (lambda spark, sf_dir, build=build: build(ship(spark), sf_dir)) for name, build in _BUILDERS.items()}
 
@@ -63,5 +64,7 @@ p AS (SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], ''
 SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
 sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m WHEN 'spm' THEN '<S>' || z || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
+_OP13 = _OP8.replace("100 * i >= 90 *", "100 * i >= 85 *").split("SELECT d.doc_id, ")[0] + """SELECT d.doc_id, coalesce((SELECT c FROM n WHERE n.doc_id = d.doc_id), 0) AS n_shingles, (SELECT min(reach) FROM r WHERE r.doc_id = d.doc_id) AS component_id, component_id = d.doc_id AS kept FROM documents d"""
+
 #: The others train models, hash rows or build trees; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op2_pivot_search": _OP2, "op8_jaccard_join": _OP8, "op10_decontamination": _OP10, "op11_collocations": _OP11, "op12_fill_in_middle": _OP12}
+ORACLES: dict[str, str] = {"op2_pivot_search": _OP2, "op8_jaccard_join": _OP8, "op10_decontamination": _OP10, "op11_collocations": _OP11, "op12_fill_in_middle": _OP12, "op13_minhash": _OP13}
