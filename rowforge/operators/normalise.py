@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions.boxes import native_text
-from rowforge.functions.hashing import hash_bin
 from rowforge.functions.text import normalize_answer, option_lines, prompt_task, question_stem, replace_first
-from rowforge.operators.select import ordered_rank
+from rowforge.operators.select import global_rank, ordered_rank
 
 
 def from_messages(df: DataFrame) -> DataFrame:
@@ -141,24 +140,43 @@ def class_jobs(images: DataFrame, classes: list[str]) -> DataFrame:
     return x.withColumn("job_id", F.regexp_replace(F.concat_ws("__", "image", "cls"), r"[^A-Za-z0-9_.-]+", "_")).withColumn("prompt", F.concat(F.lit("Is there a "), "cls", F.lit(" in this image?")))
 
 
-def synthetic_mcq(df: DataFrame, identity: str, question: str, answer: str, seed: int, per_key: int = 16) -> DataFrame:
-    """Each answer with three others of the pool, in hash order, and its letter.
+def folded(text: Column | str) -> Column:
+    """Text by which options count as the same: trimmed, lower case, blanks in a row as one."""
+    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), " +", " "))
 
-    Distractors come from hash bins of the distinct answers, so no row meets the whole pool.
+
+def synthetic_mcq(df: DataFrame, identity: str, question: str, answer: str, seed: int) -> DataFrame:
+    """Each row's answer among three other answers of the whole pool, and its letter.
+
+    The pool's answers stand in a circle, in the order of a hash of their folded form, so that forms of one answer are
+    neighbours. A row takes three others that are a third of the circle apart, from a place that its id decides, and skips
+    its own answer's forms. Places are joined as numbers, so no row meets the pool and none is lost.
+
+    Defined cases: options and label are null where the answer is null or fewer than three other ones are in the pool; repeated rows get the same options.
     """
-    pool = df.select(F.col(answer).alias("other")).where("other is not null").distinct()
-    bins = max(1, pool.count() // per_key)
-    at = lambda c, salt: hash_bin(F.concat(F.lit(f"{seed}:{salt}:"), c.cast("string")), bins)
-    key = lambda s, o: F.sha2(F.concat(F.lit(f"{s}:"), F.col(identity).cast("string"), F.lit(":"), o.cast("string")), 256)
-    dealt = pool.withColumn("bin", at(F.col("other"), "pool"))
-    held = dealt.groupBy("bin").agg(F.array_sort(F.collect_list("other")).alias("others"))
-    rows = df.withColumn("bin", at(F.col(identity), "ask")).join(held, "bin")
-    mixed = F.array_sort(F.transform(F.filter("others", lambda o: o != F.col(answer)), lambda o: F.struct(key(seed, o).alias("h"), o.alias("o"))))
-    three = F.slice(F.transform(mixed, lambda m: m["o"]), 1, 3)
-    shown = F.array_sort(F.transform(F.concat(F.array(answer), three), lambda o: F.struct(key(seed + 1, o).alias("h"), o.alias("o"))))
-    options = F.transform(shown, lambda s: s["o"])
-    out = rows.where(F.size(three) == 3).withColumn("options", options)
-    return out.select(identity, question, "options", F.element_at(F.array(*map(F.lit, "ABCD")), F.array_position("options", F.col(answer)).cast("int")).alias("label"))
+    pool = df.select(F.col(answer).alias("o")).where("o IS NOT NULL").distinct().withColumn("folded", folded("o"))
+    digest = F.sha2(F.concat(F.lit(f"{seed}:pool:"), F.col("folded")), 256)
+    ranked = global_rank(pool, digest, ["folded", "o"], "at").withColumn("at", F.col("at") - 1)
+    total = ranked.agg(F.count("*").alias("total"))  # one row
+    own = ranked.groupBy("folded").agg(F.min("at").alias("first"), F.count("*").alias("forms"))
+    rows = df.select(identity, question, F.col(answer).alias("__answer")).withColumn("folded", folded("__answer"))
+    asked = rows.join(own, "folded", "left").crossJoin(F.broadcast(total)).withColumn("others", F.col("total") - F.col("forms"))
+    start = F.conv(F.left(F.sha2(F.concat(F.lit(f"{seed}:ask:"), F.coalesce(F.col(identity).cast("string"), F.lit(""))), 256), F.lit(8)), 16, 10).cast("long")
+    place = lambda j: (start + j * F.floor(F.col("others") / 3)) % F.col("others")
+    skipped = lambda p: p + F.when(p >= F.col("first"), F.col("forms")).otherwise(0)
+    can = F.col("others") >= 3
+    drawn = asked.where(can).select(identity, question, "__answer", F.explode(F.array(*[skipped(place(F.lit(j))) for j in range(3)])).alias("at")).join(ranked.select("at", "o"), "at")
+    # one row a question again; equal rows were drawn for together
+    key = lambda o: F.sha2(F.concat(F.lit(f"{seed + 1}:"), F.coalesce(F.col(identity).cast("string"), F.lit("")), F.lit(":"), o), 256)
+    three = drawn.groupBy(identity, question, "__answer").agg(F.collect_set("o").alias("three"))
+    shown = F.array_sort(F.transform(F.concat(F.array("__answer"), "three"), lambda o: F.struct(key(o).alias("h"), o.alias("o"))))
+    made = three.withColumn("options", F.transform(shown, lambda x: x["o"]))
+    label = F.element_at(F.array(*map(F.lit, "ABCD")), F.array_position("options", F.col("__answer")).cast("int"))
+    same = F.lit(True)
+    for c in (identity, question, "__answer"):
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}"))
+    out = rows.alias("r").join(made.withColumn("label", label).alias("m"), same, "left")
+    return out.select(f"r.{identity}", f"r.{question}", "m.options", "m.label")
 
 
 def first_word_flip(text: Column | str, word: str, other: str) -> Column:

@@ -127,13 +127,14 @@ def _(t):
 
 @query(
     "u10_synthetic_mcq",
-    """WITH pool AS (SELECT DISTINCT p_type AS o FROM part WHERE p_type IS NOT NULL), k AS (SELECT greatest(1, count(*) // 16) AS bins FROM pool),
-       dealt AS (SELECT o, CAST('0x' || left(sha256('42:pool:' || o), 8) AS BIGINT) % bins AS bin FROM pool, k),
-       asked AS (SELECT p_partkey, p_name AS question, p_type AS answer, CAST('0x' || left(sha256('42:ask:' || p_partkey), 8) AS BIGINT) % bins AS bin FROM part, k),
-       three AS (SELECT p_partkey, question, answer, o FROM asked JOIN dealt USING (bin) WHERE o <> answer QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY sha256('42:' || p_partkey || ':' || o), o) <= 3),
-       four AS (SELECT * FROM three UNION ALL SELECT DISTINCT p_partkey, question, answer, answer FROM three),
-       shown AS (SELECT p_partkey, question, answer, list(o ORDER BY sha256('43:' || p_partkey || ':' || o), o) AS options FROM four GROUP BY ALL HAVING count(*) = 4)
-       SELECT p_partkey, question, options, substr('ABCD', CAST(list_position(options, answer) AS BIGINT), 1) AS label FROM shown""",
+    r"""WITH pool AS (SELECT DISTINCT p_type AS o, lower(regexp_replace(trim(regexp_replace(p_type, '\s+', ' ', 'g')), ' +', ' ', 'g')) AS folded FROM part WHERE p_type IS NOT NULL),
+       ranked AS (SELECT o, folded, row_number() OVER (ORDER BY sha256('42:pool:' || folded), folded, o) - 1 AS spot FROM pool),
+       own AS (SELECT o AS answer, min(spot) OVER (PARTITION BY folded) AS first, count(*) OVER (PARTITION BY folded) AS forms, count(*) OVER () - count(*) OVER (PARTITION BY folded) AS others FROM ranked),
+       asked AS (SELECT p_partkey, p_name AS question, p_type AS answer, first, forms, others, CAST('0x' || left(sha256('42:ask:' || p_partkey), 8) AS BIGINT) AS start FROM part LEFT JOIN own ON p_type = answer),
+       places AS (SELECT p_partkey, answer, first, forms, (start + unnest([0, 1, 2]) * (others // 3)) % others AS p FROM asked WHERE others >= 3),
+       four AS (SELECT p_partkey, o FROM places JOIN ranked ON spot = p + CASE WHEN p >= first THEN forms ELSE 0 END UNION ALL SELECT p_partkey, answer FROM asked WHERE others >= 3),
+       shown AS (SELECT p_partkey, list(o ORDER BY sha256('43:' || p_partkey || ':' || o), o) AS options FROM four GROUP BY ALL)
+       SELECT p_partkey, question, options, substr('ABCD', CAST(list_position(options, answer) AS BIGINT), 1) AS label FROM asked LEFT JOIN shown USING (p_partkey)""",
 )
 def _(t):
     return N.synthetic_mcq(t("part").select("p_partkey", F.col("p_name").alias("question"), F.col("p_type").alias("answer")), "p_partkey", "question", "answer", 42)

@@ -115,11 +115,20 @@ def result_folder(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(f"{folder}/*.json").withColumn("job_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
 
 
+def _depth(spark: SparkSession, path: str) -> int:
+    """How many parts the full name of a path has, scheme included."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return len(p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().split("/"))
+
+
 def file_index(spark: SparkSession, folder: str, suffixes: str = "jpg|jpeg|png|tif|tiff") -> DataFrame:
-    """(name, path, n_bytes) of files below a folder, but for hidden and test folders; contents aren't read."""
+    """(name, path, n_bytes) of files below a folder (or a pattern of folders), but for hidden and test folders met below it; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("n_bytes"))
-    seen = files.where(F.lower("path").rlike(rf"\.({suffixes})$") & ~F.lower("path").rlike(r"/(\.[^/]*|[^/]*test[^/]*)/"))
-    return seen.select(F.substring_index("path", "/", -1).alias("name"), "path", "n_bytes")
+    parts = F.split("path", "/")
+    below = F.slice(parts, _depth(spark, folder) + 1, F.greatest(F.size(parts) - _depth(spark, folder) - 1, F.lit(0)))
+    pruned = F.exists(below, lambda d: F.startswith(d, F.lit(".")) | F.contains(F.lower(d), F.lit("test")))
+    seen = files.where(F.lower("path").rlike(rf"\.({suffixes})$") & ~pruned)
+    return seen.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "n_bytes")
 
 
 def coco(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame, DataFrame]:
