@@ -216,11 +216,6 @@ def _detections(t):
     return t("lineitem").select(F.col("l_partkey").alias("image"), F.col("l_returnflag").alias("cls"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("prediction_id"), (F.col("l_extendedprice") / 100000).alias("score"), box.alias("box"))
 
 
-@query("v1_nms")
-def _(t):
-    return V.nms(_detections(t), ["image", "cls"], "prediction_id", "score", "box", 0.5)
-
-
 @query("v2_tube_iou", "WITH b AS (SELECT l_orderkey AS video, l_linenumber AS frame, avg(l_quantity) AS q, avg(l_tax) * 100 AS s FROM lineitem GROUP BY 1, 2) SELECT video, sum(CASE WHEN frame > 1 THEN greatest(0, s + 5 - 3) * (s + 5) ELSE 0 END) / sum((s + 5) * (s + 5) + CASE WHEN frame > 1 THEN (s + 5) * (s + 5) - greatest(0, s + 5 - 3) * (s + 5) ELSE 0 END) AS tube_iou FROM b GROUP BY video")
 def _(t):
     b = t("lineitem").groupBy(F.col("l_orderkey").alias("video"), F.col("l_linenumber").alias("frame")).agg(F.avg("l_quantity").alias("q"), (F.avg("l_tax") * 100).alias("s"))
@@ -236,21 +231,6 @@ def _(t):
     return V.cgf1_totals(V.cgf1_images(g, p, "image", 0.3))
 
 
-@query("v7_average_precision")
-def _(t):
-    p = _detections(t)
-    g = p.where("prediction_id % 3 <> 0").select("image", "box")
-    return V.average_precision_101(V.match_detections(g, p, "image"), g.count(), "image")
-
-
-@query("v11_hota")
-def _(t):
-    rows = t("lineitem").select((F.col("l_orderkey") % 10).alias("seq"), F.col("l_orderkey").alias("t"), F.col("l_linenumber").cast("long").alias("id"), "l_tax").groupBy("seq", "t", "id").agg(F.max("l_tax").alias("l_tax"))
-    g, p = rows.select("seq", "t", F.col("id").alias("gt_id")), rows.where("l_tax > 0.01").select("seq", "t", F.col("id").alias("tr_id"))
-    s = rows.where("l_tax > 0.01").select("seq", "t", F.col("id").alias("gt_id"), F.col("id").alias("tr_id"), (F.col("l_tax") * 10 + 0.15).alias("sim"))
-    return V.hota_combine(V.hota_sequences(s, g, p, "seq"))
-
-
 @query("v12_teta", "WITH s AS (SELECT l_returnflag AS cls, sum(l_quantity) AS loc_tp, sum(l_tax) AS loc_fp, sum(l_discount) AS loc_fn, sum(l_quantity) / 2 AS ass_sum FROM lineitem GROUP BY 1) SELECT cls, (loc_tp / greatest(1, loc_tp + loc_fp + loc_fn) + ass_sum / greatest(1, loc_tp) + loc_tp / greatest(1, loc_tp + loc_fn + loc_fp)) / 3 AS teta FROM s")
 def _(t):
     rows = t("lineitem").select(F.col("l_returnflag").alias("cls"), F.col("l_quantity").alias("loc_tp"), F.col("l_tax").alias("loc_fp"), F.col("l_discount").alias("loc_fn"), (F.col("l_quantity") / 2).alias("ass_sum"), F.col("l_quantity").alias("cls_tp"), F.col("l_discount").alias("cls_fp"), F.col("l_tax").alias("cls_fn"))
