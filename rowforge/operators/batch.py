@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowforge.functions.hashing import hash_bin
 
@@ -107,39 +109,140 @@ def workload(n: Column | str) -> Column:
     return 24576 * x + x * x
 
 
+class _Last:
+    """Orders a heap by the greatest of what it holds."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def __lt__(self, other) -> bool:
+        return other.value < self.value
+
+
 def karmarkar_karp(weights: list[int], parts: int, equal: bool = False) -> list[list[int]]:
-    """Places dealt to parts by largest differencing; with equal, parts hold equally many."""
-    heap: list = []
+    """Places dealt to parts by largest differencing; with equal, parts hold equally many.
+
+    A part is (weight, items, [(place, weight)]), and parts compare as such. The two partial solutions that differ most in
+    their parts are joined first, of equally different ones those with the greatest part; the heavy parts of one join the light parts of the other.
+    """
+    part = lambda i: (weights[i], 1, [(i, weights[i])])
     order = sorted(range(len(weights)), key=lambda i: (weights[i], i))
-    if equal:
-        if len(weights) % parts:
-            raise ValueError("parts of equal size need a number of items that divides")
-        states = [[(weights[i], [i]) for i in order[k : k + parts]] for k in range(0, len(order), parts)]
-    else:
-        states = [[(weights[i], [i])] + [(0, [])] * (parts - 1) for i in order]
-    for n, s in enumerate(states):
-        s = sorted(s, key=lambda x: (-x[0], x[1]))
-        heapq.heappush(heap, (-(s[0][0] - s[-1][0]), n, s))
-    n = len(states)
+    if equal and len(weights) % parts:
+        raise ValueError("parts of equal size need a number of items that divides")
+    step = parts if equal else 1
+    heap: list = []
+
+    def push(state: list) -> None:
+        state.sort(reverse=True)
+        heapq.heappush(heap, (state[-1][0] - state[0][0], _Last(state[0]), state))
+
+    for k in range(0, len(order), step):
+        push([part(i) for i in order[k : k + step]] + [(0, 0, [])] * (parts - step))
     while len(heap) > 1:
         (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        merged = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)), key=lambda x: (-x[0], x[1]))
-        heapq.heappush(heap, (-(merged[0][0] - merged[-1][0]), n, merged))
-        n += 1
-    return [sorted(p) for _, p in heap[0][2]] if heap else [[] for _ in range(parts)]
+        push([(x[0] + y[0], x[1] + y[1], x[2] + y[2]) for x, y in zip(a, reversed(b), strict=True)])
+    return [sorted(i for i, _ in p[2]) for p in heap[0][2]] if heap else [[] for _ in range(parts)]
 
 
-def greedy_partition(weights: list[int], parts: int) -> list[list[int]]:
-    """Heaviest first, each to the lightest part."""
-    heap = [(0, k) for k in range(parts)]
+def greedy_partition(weights: list[int], parts: int, equal: bool = False) -> list[list[int]]:
+    """In their order, each to the lightest part, the first of equals; with equal, to one of those with the fewest items."""
+    if equal and len(weights) % parts:
+        raise ValueError("parts of equal size need a number of items that divides")
+    heap = [(0, 0, k) for k in range(parts)]
     out: list[list[int]] = [[] for _ in range(parts)]
-    for i in sorted(range(len(weights)), key=lambda i: (-weights[i], i)):
-        w, k = heapq.heappop(heap)
+    for i, x in enumerate(weights):
+        n, w, k = heapq.heappop(heap)
         out[k].append(i)
-        heapq.heappush(heap, (w + weights[i], k))
+        heapq.heappush(heap, (n + 1 if equal else 0, w + x, k))
     return out
 
 
+def _by_batch(rows: DataFrame, batch: str, plan, fields: dict[str, str]) -> DataFrame:
+    """(batch, identity, fields) that plan(Arrow table of one batch, in the order of identity) gives."""
+    schema = T.StructType([rows.schema[batch], rows.schema["__id"], *[T.StructField(k, T.LongType()) for k in fields]])
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("__id")
+        found = plan(table, key[0].as_py())
+        return pa.table([table[batch], table["__id"], *[pa.array(found[k], pa.int64()) for k in fields]], names=schema.names)
+
+    # a batch's rows are few bytes and dear, so partitions aren't joined by size
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, batch).groupBy(batch).applyInArrow(one, schema)
+
+
+def balanced_batches(df: DataFrame, batch: str, identity: str, weight: str, parts: int, method: str = "kk", equal: bool = False, together: str | None = None) -> DataFrame:
+    """df with `part`, 0 to parts - 1, of a balanced partition of each batch.
+
+    method: "kk" (largest differencing) or "greedy"; equal: parts hold equally many rows. together: rows of one value stay in one part and parts hold
+    equally many values. One batch is planned in one task, from its ids and weights only.
+
+    Defined cases: a batch of fewer rows (or values) than parts is an error, as is one that doesn't divide where it has to; null weights count 0; ids are
+    unique within a batch; an empty table stays empty.
+    """
+    rows = df.select(batch, F.col(identity).alias("__id"), F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("__w"), *([F.col(together).alias("__u")] if together else []))
+
+    def plan(t: pa.Table, key) -> dict:
+        w = t["__w"].to_pylist()
+        if together:
+            first: dict = {}
+            member = [first.setdefault(u, len(first)) for u in t["__u"].to_pylist()]
+            total = [0] * len(first)
+            for k, x in zip(member, w, strict=True):
+                total[k] += x
+        else:
+            member, total = list(range(len(w))), w
+        if len(total) < parts:
+            raise ValueError(f"batch {key}: {len(total)} can't be dealt to {parts} parts")
+        groups = karmarkar_karp(total, parts, equal or together is not None) if method == "kk" else greedy_partition(total, parts, equal or together is not None)
+        of = {m: k for k, g in enumerate(groups) for m in g}
+        return {"part": [of[m] for m in member]}
+
+    found = _by_batch(rows, batch, plan, {"part": "long"}).withColumnRenamed("__id", identity)
+    return df.join(found.withColumn("part", F.col("part").cast("int")), [batch, identity])
+
+
+def dynamic_batches(df: DataFrame, batch: str, identity: str, length: str, most_tokens: int, least: int = 1, multiple: int = 1, same: bool = False, heaviest_inside: bool = True) -> DataFrame:
+    """df with bin, place and back: each batch in bins of about most_tokens, balanced by workload.
+
+    A batch gets as many bins as its tokens need, but no fewer than `least`, in multiples of `multiple`; with same, all batches get as many as the
+    one that needs most. The lightest bins come first and last. place: a row's place when bins stand one after the other; back: its place in the batch
+    by id, so a sort by `back` undoes it.
+
+    Defined cases: a row longer than most_tokens, or more bins than rows, is an error; null lengths count 0; ids are unique within a batch; an empty table stays empty.
+    """
+    n = F.coalesce(F.col(length).cast("long"), F.lit(0))
+    rows = df.select(batch, F.col(identity).alias("__id"), n.alias("__n"), workload(n).alias("__w"))
+    need = rows.groupBy(batch).agg(F.greatest(F.lit(least), F.least(F.count("*"), F.ceil(F.sum("__n") / most_tokens))).alias("__k"))
+    if same:
+        need = need.select(batch).crossJoin(F.broadcast(need.agg(F.max("__k").alias("__k"))))  # one row
+    rows = rows.join(need.withColumn("__k", F.ceil(F.col("__k") / multiple) * multiple), batch)
+
+    def plan(t: pa.Table, key) -> dict:
+        w, bins = t["__w"].to_pylist(), t["__k"][0].as_py()
+        if max(t["__n"].to_pylist()) > most_tokens:
+            raise ValueError(f"batch {key}: a row is longer than {most_tokens}")
+        if bins > len(w):
+            raise ValueError(f"batch {key}: {len(w)} rows can't fill {bins} bins")
+        order = bin_order(karmarkar_karp(w, bins), w) if heaviest_inside else karmarkar_karp(w, bins)
+        out = {c: [0] * len(w) for c in ("bin", "place", "back")}
+        place = 0
+        for b, items in enumerate(order):
+            for i in items:
+                out["bin"][i], out["place"][i], out["back"][i] = b, place, i
+                place += 1
+        return out
+
+    found = _by_batch(rows, batch, plan, {"bin": "long", "place": "long", "back": "long"}).withColumnRenamed("__id", identity)
+    return df.join(found, [batch, identity])
+
+
+def bin_order(groups: list[list[int]], weights: list[int]) -> list[list[int]]:
+    """Bins by weight with the heaviest in the middle: every second one of the falling order, turned round, then the others."""
+    falling = sorted(groups, key=lambda g: (sum(weights[i] for i in g), g[0] if g else 0), reverse=True)
+    return falling[::2][::-1] + falling[1::2]
+
+
 def balanced(df: DataFrame, identity: str, weight: str, parts: int, method: str = "kk", most_rows: int = 100_000) -> DataFrame:
     """df with `part` of a balanced partition of one batch (W12). A batch is bounded; a larger table is refused."""
     rows = df.select(identity, weight).orderBy(identity).limit(most_rows + 1).collect()
@@ -165,10 +268,9 @@ def length_grouped(df: DataFrame, identity: str, length: str, batch: int, mega:
 
 
 def micro_batches(weights: list[int], lengths: list[int], most_tokens: int) -> tuple[list[list[int]], list[int]]:
-    """Balanced bins, the heaviest in the middle, and the permutation that restores the order."""
+    """Of one batch in memory: balanced bins, the heaviest in the middle, and the permutation that restores the order (W15); dynamic_batches does so for tables."""
     bins = min(len(lengths), -(-sum(lengths) // most_tokens)) if lengths else 0
-    groups = sorted((g for g in karmarkar_karp(weights, bins) if g), key=lambda g: (sum(weights[i] for i in g), g)) if bins else []
-    order = [g for k, g in enumerate(groups) if k % 2 == 0] + [g for k, g in reversed(list(enumerate(groups))) if k % 2]
+    order = bin_order([g for g in karmarkar_karp(weights, bins) if g], weights) if bins else []
     flat = [i for g in order for i in g]
     back = [0] * len(flat)
     for place, i in enumerate(flat):

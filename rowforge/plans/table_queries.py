@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rowforge.operators import aggregate as A
@@ -587,6 +588,35 @@ def _(t):
     return W.balanced(t("supplier").select("s_suppkey", (F.col("s_suppkey") * 37 % 101 + 1).alias("w")), "s_suppkey", "w", 8)
 
 
+@query(
+    "w12_greedy",
+    """WITH RECURSIVE d AS (SELECT doc_id % 50 AS batch, doc_id, coalesce(n_chars, 0) AS w, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS k FROM documents),
+       g(batch, k, part, sums) AS (SELECT DISTINCT batch, CAST(0 AS BIGINT), CAST(0 AS BIGINT), [0::HUGEINT, 0, 0, 0] FROM d
+         UNION ALL SELECT g.batch, d.k, list_position(sums, list_min(sums)) - 1, list_transform(sums, lambda s, i: CASE WHEN i = list_position(sums, list_min(sums)) THEN s + w ELSE s END) FROM g JOIN d ON d.batch = g.batch AND d.k = g.k + 1)
+       SELECT d.batch, d.doc_id, CAST(part AS INTEGER) AS part FROM d JOIN g USING (batch, k)""",
+)
+def _(t):
+    d = t("documents").select((F.col("doc_id") % 50).alias("batch"), "doc_id", "n_chars")
+    return W.balanced_batches(d, "batch", "doc_id", "n_chars", 4, "greedy").select("batch", "doc_id", "part")
+
+
+@query("w12_grouped")
+def _(t):
+    """Rows of one order stay together, and parts hold equally many orders."""
+    rows = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("n"))
+    rows = rows.join(t("orders").select((F.col("o_orderkey") % 100).alias("batch"), F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    whole = rows.select("batch", "l_orderkey").distinct().groupBy("batch").agg((F.count("*") - F.count("*") % 4).alias("most"))
+    dealt = rows.join(whole, "batch").withColumn("r", F.dense_rank().over(Window.partitionBy("batch").orderBy("l_orderkey"))).where("r <= most")
+    slim = dealt.select("batch", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_orderkey", W.workload("n").alias("w"))
+    return W.balanced_batches(slim, "batch", "id", "w", 4, together="l_orderkey").select("batch", "id", "l_orderkey", "part")
+
+
+@query("w15_dynamic_batches")
+def _(t):
+    d = t("documents").select((F.col("doc_id") % 20).alias("batch"), "doc_id", F.least(F.coalesce("n_chars", F.lit(0)), F.lit(8192)).alias("n"))
+    return W.dynamic_batches(d, "batch", "doc_id", "n", 16384, multiple=2, same=True).select("batch", "doc_id", "bin", "place", "back")
+
+
 @query("w13_imbalance", "SELECT min(w) AS least, max(w) AS most, avg(w) AS mean, max(w) / avg(w) AS imbalance FROM (SELECT doc_id % 8 AS p, sum(n_chars) AS w FROM documents GROUP BY 1)")
 def _(t):
     return W.imbalance(W.round_robin(t("documents"), "doc_id", 8), "shard", "n_chars")
