@@ -36,14 +36,14 @@ def choice_score(df: DataFrame, prediction: str = "prediction") -> DataFrame:
 
 def vqa_score(df: DataFrame, prediction: str = "prediction") -> DataFrame:
     """parsed_text, official_correct and clean_correct of free answers against the first reference; clean uses aliases."""
-    first = F.element_at("references", 1)
+    first = F.try_element_at("references", F.lit(1))
     clean = normalize_answer(prediction, aliases=True) == normalize_answer(first, aliases=True)
     return df.withColumns({"parsed_text": normalize_answer(prediction), "official_correct": normalize_answer(prediction) == normalize_answer(first), "clean_correct": F.when(eligible(), clean), "clean_eligible": eligible()})
 
 
 def box_score(df: DataFrame, prediction: str = "prediction") -> DataFrame:
     """Both IoUs, whether they reach a half, and whether the prediction is a box."""
-    df = boxes.with_score(df, prediction, F.element_at("references", 1)).drop("reference_box")
+    df = boxes.with_score(df, prediction, F.try_element_at("references", F.lit(1))).drop("reference_box")
     return df.withColumns({"clean_iou": F.when(eligible(), F.col("clean_iou")), "clean_correct": F.when(eligible(), F.col("clean_correct")), "clean_eligible": eligible()})
 
 

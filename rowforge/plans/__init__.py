@@ -1,5 +1,5 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import answer_queries, metric_queries, record_queries, registry, sample_queries, table_queries, text_queries
+from . import answer_queries, image_queries, latex_queries, metric_queries, record_queries, registry, report_queries, sample_queries, table_queries, text_queries, vision_queries
 
-__all__ = ["answer_queries", "metric_queries", "record_queries", "registry", "sample_queries", "table_queries", "text_queries"]
+__all__ = ["answer_queries", "image_queries", "latex_queries", "metric_queries", "record_queries", "registry", "report_queries", "sample_queries", "table_queries", "text_queries", "vision_queries"]

@@ -36,7 +36,8 @@ def query(name: str, sql: str | None = None):
        FROM documents d JOIN labels l USING (doc_id) GROUP BY d.lang, d.source""",
 )
 def _a1(t):
+    from rowforge.operators.aggregate import grouped_accuracy
+
     d, lab = t("documents").select("doc_id", "lang", "source"), t("labels").select("doc_id", "toxic")
-    return d.join(lab, "doc_id").groupBy("lang", "source").agg(
-        F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.try_divide(F.count_if(F.col("toxic") == 1), F.count("toxic")).alias("rate")
-    )
+    toxic = F.col("toxic") == 1
+    return grouped_accuracy(d.join(lab, "doc_id"), ["lang", "source"], toxic).select("lang", "source", "n", F.col("correct").alias("n_toxic"), F.col("accuracy").alias("rate"))

@@ -65,3 +65,13 @@ def test_properties_of_the_normaliser(spark):
     collect()
     want = [re.sub(r"\s+", " ", re.sub(r"[^a-z0-9.+-]+", " ", s.lower())).strip() for s in seen]
     assert values(spark, seen, X.normalize_answer("s")) == want
+
+
+def test_boxed_answers(spark):
+    from rowforge.functions import latex as L
+    from rowforge.plans.latex_queries import BOXED
+
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(BOXED)] + [(-1, None, "1", 0.0), (-2, r"\boxed{1}", None, 0.0), (-3, "", "", 0.0)], "i int, said string, reference string, want double")
+    got = df.select("i", "said", "want", L.boxed_reward("said", "reference").alias("got")).collect()
+    assert [(x["i"], x["said"]) for x in got if x["got"] != x["want"]] == []
+    assert df.select(L.latex_equal(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("x")).first()[0]
