@@ -29,7 +29,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -250,8 +250,14 @@ def inherit(declared: DataFrame, path_col: str = "path", file_share: float = FIL
     return out.withColumn("licence", F.coalesce("declared", "__licence")).withColumn("from_dir", F.when(~own, F.col("__up"))).drop("__dir", "__up", "__licence")
 
 
+def path_of(*parts: Column) -> Column:
+    """Values as a path of one folder each. `%` and `/` in a value are written %25 and %2F, a null is %00 and an empty value %, so no two paths are equal but of equal values."""
+    name = lambda c: F.when(c.isNull(), "%00").when(c == "", "%").otherwise(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")))
+    return F.concat_ws("/", *[name(c.cast("string")) for c in parts])
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
-    """Documents as files <source>/<lang>/<doc_id>."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    """Documents as files <source>/<lang>/<doc_id>; a null source or language is a folder of its own, a null id a file of that folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", path_of(F.col("source"), F.col("lang"), F.col("doc_id")).alias("path"), "text")
     found = C.cut(declare(docs, keep=["doc_id", "path"]), "licence-declared")
     return inherit(found).select("doc_id", "path", "declared", "cosine", F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"), "licence", "from_dir")

@@ -49,15 +49,15 @@ CUES = ["phone", "tel", "call", "mobile", "fax", "contact", "mail", "email", "wr
 GAZETTEER = 20_000
 AGAINST = ["version", "release", "isbn", "issn", "page", "figure", "table", "section", "chapter", "eq", "doi", "rfc"]
 WIDE = {
-    "written_email": r"[A-Za-z0-9._%+-]{1,64}\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[({]dot[\])}]\x20?|\.)[A-Za-z]{2,24}",
+    "written_email": r"(?:\G|(?<![\p{L}\p{M}0-9._%+-]))[\p{L}\p{M}0-9._%+-]++\x20?[\[({]at[\])}]\x20?[A-Za-z0-9-]++(?:(?:\x20?[\[({]dot[\])}]\x20?|\.)[A-Za-z0-9-]++)++",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "secret": r"(?i:" + "|".join(SECRETS) + r")\x20?[=:]\x20?[\"']?[0-9A-Za-z_-]{16,}+[\"']?",
-    "name": r"(?<![A-Za-z])(?:" + "|".join(TITLES) + r")\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
+    "name": r"(?<!\p{L})(?:" + "|".join(TITLES) + r")\.?\x20\p{Lu}[\p{L}\p{M}'’-]++(?:\x20\p{Lu}[\p{L}\p{M}'’-]++)*+",
 }
 KINDS = [*BASE, *WIDE]
 WIDE_PATTERN = "|".join(f"(?:{p})" for p in WIDE.values())
-WIDE_GUARD = r"[\[({]at[\])}]|[0-9]{3}\)?[\x20.-][0-9]{2,3}[\x20.-][0-9]{4}|[=:]\x20?[\"']?[0-9A-Za-z_-]{16}|(?:" + "|".join(TITLES) + r")\.?\x20[A-Z]"
+WIDE_GUARD = r"[\[({]at[\])}]|[0-9]{3}\)?[\x20.-][0-9]{2,3}[\x20.-][0-9]{4}|[=:]\x20?[\"']?[0-9A-Za-z_-]{16}|(?:" + "|".join(TITLES) + r")\.?\x20\p{Lu}"
 LABELERS = ["shape", "gazetteer", "context", "makeup"]
 ROUNDS, STEPS, RATE, SMOOTH = 40, 150, 1.0, 1.0
 CONTEXT = 32
@@ -121,7 +121,7 @@ def _kind(m: Column) -> Column:
     """Which of the wider kinds a match is."""
     out = F.lit("name")
     for k in reversed([k for k in WIDE if k != "name"]):
-        out = F.when(m.rlike("^(?:" + WIDE[k].replace("(?<![0-9-])", "").replace("(?<![0-9+(.-])", "").replace("(?![0-9-])", "").replace("(?![0-9])", "") + ")$"), F.lit(k)).otherwise(out)
+        out = F.when(m.rlike("^(?:" + WIDE[k].replace("(?:\\G|(?<![\\p{L}\\p{M}0-9._%+-]))", "").replace("(?<![0-9-])", "").replace("(?<![0-9+(.-])", "").replace("(?![0-9-])", "").replace("(?![0-9])", "") + ")$"), F.lit(k)).otherwise(out)
     return out
 
 

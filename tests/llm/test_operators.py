@@ -416,6 +416,47 @@ def test_op6_declares_and_inherits(spark):
     assert license_scan.inherit(license_scan.declare(df.limit(0))).count() == 0
 
 
+def brute_inherit(rows, found):
+    """Each path's licence: its own, else that of the nearest folder above it that a file speaks for."""
+    speaks = {}
+    for path, declared, cosine, share in found:
+        if path is not None and declared and (re.search(license_scan.LICENCE_FILE, path) or share >= 0.5):
+            folder = path.rsplit("/", 1)[0] if "/" in path else ""
+            best = (-round(cosine, 9), path, declared)
+            speaks[folder] = min(speaks.get(folder, best), best)
+    out = []
+    for path, declared, *_ in found:
+        licence, at = declared, None
+        if not declared and path is not None:
+            folder = path.rsplit("/", 1)[0] if "/" in path else ""
+            while True:
+                if folder in speaks:
+                    licence, at = speaks[folder][2], folder
+                    break
+                if not folder:
+                    break
+                folder = folder.rsplit("/", 1)[0] if "/" in folder else ""
+        out.append((path, declared, licence, at))
+    return out
+
+
+def test_op6_nulls_have_folders_of_their_own(spark, tmp_path):
+    """Documents with null and odd columns, against a walk up the folders."""
+    apache = next(t for n, t in license_scan.TEMPLATES if n == "Apache-2.0" and len(t) > 300)
+    mit = "Released under the MIT License."
+    rows = [
+        (1, apache, "src", None), (2, "code", "src", None), (3, "code", None, "src"), (4, "code", "src", "en"), (5, "code", None, "en"), (None, apache, None, "en"), (None, "code", "src", "en"), (6, "code", "src/en", None),
+        (7, "code", "", "en"), (8, "code", "%00", "en"), (9, mit, "src", None), (10, None, None, None), (11, apache, "", ""), (12, "", "", ""), (13, "code", "%", "%"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = license_scan.op6(spark, str(tmp_path)).collect()
+    found = [(x["path"], x["declared"], x["cosine"], 1.0 if x["declared"] == "Apache-2.0" else 0.0) for x in got]
+    assert collections.Counter((x["path"], x["declared"], x["licence"], x["from_dir"]) for x in got) == collections.Counter(brute_inherit(rows, found))
+    by = {x["doc_id"]: (x["licence"], x["from_dir"]) for x in got if x["doc_id"] is not None}
+    assert by[2] == ("Apache-2.0", "src/%00") and by[5] == ("Apache-2.0", "%00/en") and by[9] == ("MIT", None) and by[12] == ("Apache-2.0", "%/%")
+    assert all(by[i] == (None, None) for i in (3, 4, 6, 7, 8, 10, 13)) and len({x["path"] for x in got}) == len(rows)
+
+
 def test_op6_cosine_is_that_of_dictionaries():
     m = license_scan.Model(np.zeros(license_scan.BINS), 3)
     bins, _ = license_scan.features(b"Released under the MIT License, or so.")
@@ -469,20 +510,46 @@ def test_op7_added_spans_on_planted_data(spark):
         "ssn": lambda: f"social security {r.randrange(100, 665)}-{d(2)}-{d(4)}",
         "local_phone": lambda: r.choice(["call ({}) {}-{}", "phone {}-{}-{}", "tel {}.{}.{}"]).format(d(3), d(3), d(4)),
         "written_email": lambda: f"write to {r.choice(pii.NAMES[:60])}.{r.choice(['smith', 'lee'])} [at] mail{d(1)} [dot] {r.choice(['com', 'org', 'de'])}",
-        "name": lambda: f"dear {r.choice(['Mr', 'Mrs.', 'Dr.', 'Herr'])} {r.choice(pii.NAMES[:60]).title()} {r.choice(['Smith', 'Weber'])}",
+        "name": lambda: f"dear {r.choice(['Mr', 'Mrs.', 'Dr.', 'Herr', 'Sra.', 'Mme'])} {r.choice(pii.NAMES).title()} {r.choice(['Smith', 'Weber', 'Gómez', 'Lefèvre-Dupont', 'Müller'])}",
     }
     bad = [lambda: f"version {d(3)}-{d(3)}.{d(4)}", lambda: f"isbn {d(3)}-{d(3)}-{d(4)}", lambda: f"release 000-{d(2)}-{d(4)}", lambda: "token = averylongplainwordindeed", lambda: f"page {d(3)} 1{d(2)}-{d(4)}", lambda: "see table [at] the end"]
     fill = lambda: " ".join(r.choice(["some", "words", "of", "no", "matter"]) for _ in range(r.randrange(3, 9)))
-    texts, want = [], []
+    lead = {"secret": "", "ssn": "social security ", "local_phone": "", "written_email": "write to ", "name": "dear "}
+    texts, want, places = [], [], []
     for i in range(600):
         kind = r.choice(list(good)) if i % 2 else None
-        texts.append(f"{fill()} {(good[kind] if kind else r.choice(bad))()} {fill()}")
+        before, planted = fill(), (good[kind] if kind else r.choice(bad))()
+        texts.append(f"{before} {planted} {fill()}")
         want.append(kind)
+        skip = len(lead[kind] if kind != "local_phone" else planted[: re.search("[(0-9]", planted).start()]) if kind else 0
+        places.append((len(before) + 1 + skip, len(before) + 1 + len(planted)))
     got = pii.find_pii(frame(spark, texts)).orderBy("doc_id").collect()
     added = [{b["kind"] for b in x["spans"] if b["kind"] in pii.WIDE} for x in got]
     hit = sum(k in a for k, a in zip(want, added) if k)
     wrong = sum(len(a - {k}) for k, a in zip(want, added))
     assert hit >= 0.9 * sum(k is not None for k in want) and hit >= 0.9 * (hit + wrong)
+    exact = sum(any(b["kind"] == k and (b["start"], b["end"]) == at for b in x["spans"]) for k, at, x in zip(want, places, got) if k)
+    assert exact == hit
+
+
+def test_op7_added_spans_are_whole(spark):
+    """Start and end of names and written-out addresses in four languages, among capitalised words that aren't names."""
+    cases = [
+        ("we met Dr. José Gómez, who", "name", "Dr. José Gómez"), ("dear Dr. Müller, thank", "name", "Dr. Müller"), ("chère Mme Éloïse Lefèvre-Dupont, bonjour", "name", "Mme Éloïse Lefèvre-Dupont"), ("liebe Frau Jürgen Ößler, hallo", "name", "Frau Jürgen Ößler"),
+        ("de Sra. María Ángeles Núñez García, hola", "name", "Sra. María Ángeles Núñez García"), ("by Mr. O'Brien, yes", "name", "Mr. O'Brien"), ("from Dr. " + "A" + "b" * 90 + " Li.", "name", "Dr. " + "A" + "b" * 90 + " Li"),
+        ("write to anna.maria [at] mail.example [dot] com, please", "written_email", "anna.maria [at] mail.example [dot] com"), ("write to " + "x" * 80 + "(at)" + "y" * 70 + ".museum now", "written_email", "x" * 80 + "(at)" + "y" * 70 + ".museum"),
+    ]
+    fill = [f"the Report of Monday number {i} has nothing" for i in range(20)]
+    docs = frame(spark, [c[0] for c in cases] + fill)
+    for x in pii.candidates(docs, keep=["doc_id"]).orderBy("doc_id").collect():
+        spans = [(c["kind"], c["start"], c["end"]) for c in x["wide"]]
+        if x["doc_id"] < len(cases):
+            text, kind, span = cases[x["doc_id"]]
+            assert spans == [(kind, text.index(span), text.index(span) + len(span))]
+        else:
+            assert not spans
+    long = frame(spark, ["a" * 300_000, "Dr " * 50_000, "x.y-" * 60_000 + "[at] z"])
+    assert pii.find_pii(long).count() == 3
 
 
 def test_op7_gazetteers_are_parameters(spark):
