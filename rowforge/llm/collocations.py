@@ -33,7 +33,7 @@ from . import common as C
 
 U = np.uint64
 #: Bytes of text whose equal grams become one row, and bytes of phrases in one batch of rows.
-BLOCK_BYTES, BATCH_BYTES = 8 << 20, 32 << 20
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 1 << 20
 #: Bits of the table of shorter grams, for each of them and at most (32 MB).
 BITS_PER_GRAM, MOST_BITS = 16, 28
 #: Rows of a bin in which a language's candidates are ranked first.
