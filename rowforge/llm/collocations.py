@@ -1,10 +1,13 @@
 """Phrases whose words stand together more often than their parts would by chance, per language.
 
-1. Texts are split into pieces and words; all 1- to max_n-grams of words within pieces become rows (lang, phrase, times) and are
-   hash-aggregated per language, one length after the other. A gram can reach `min_count` only if both grams that are a word
-   shorter do, so from two words on, rows are made of such grams only: a bit table over the hashes of the shorter grams that
-   reached it lets all of those through and few others. It has BITS_PER_GRAM bits a gram and MOST_BITS at most, which bounds the
-   broadcast; where it fills up, more rows are made and the counts stay right. Equal grams of a block of texts are one row.
+1. Texts are split into pieces and words. All 1- to max_n-grams of words within pieces become rows and are hash-aggregated per
+   language, in two steps that together give exact counts:
+   a. one length after the other, rows are (hash of language and gram, times), a few bytes each. A gram can reach `min_count` only if both
+      grams that are a word shorter do, so from two words on rows are made of such grams only. Which hashes reached it is kept in a bit
+      table; collisions let through more, never less.
+   b. grams of all lengths that their tables let through become rows (language, phrase, times) and are counted by their text.
+   A bit table has BITS_PER_GRAM bits a gram and MOST_BITS at most, which bounds the broadcast; where it fills up, more rows are
+   made and the counts stay right. Equal grams of a block of texts are one row.
 2. Grams of two words and more that reach min_count are candidates. Each is cut after each of its words, and the counts of both
    parts are joined to it; the score a * n * 1000 / (l * r) is an integer quotient of decimals.
 3. A candidate is dropped if a one-word extension of it has at least `drop_share` percent of its count: an anti-join on the
@@ -34,8 +37,8 @@ from . import common as C
 U = np.uint64
 #: Bytes of text whose equal grams become one row, and bytes of phrases in one batch of rows.
 BLOCK_BYTES, BATCH_BYTES = 4 << 20, 1 << 20
-#: Bits of the table of shorter grams, for each of them and at most (32 MB).
-BITS_PER_GRAM, MOST_BITS = 16, 28
+#: Bits of a gram's hash that are counted, and of a table for each gram in it and at most (32 MB).
+HASH_BITS, BITS_PER_GRAM, MOST_BITS = 44, 16, 28
 #: Rows of a bin in which a language's candidates are ranked first.
 BIN_ROWS = 500_000
 
@@ -72,6 +75,14 @@ class Grams:
         g = C.grams(self.w.hash, n)
         return C.mix(g + self.lang[: len(g)])
 
+    def possible(self, n: int, shorter: Bits | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of n-grams within pieces whose shorter grams are in a table, and their hashes."""
+        at = self.whole(n)
+        if shorter is not None and len(at):
+            may = shorter(self.hashes(n - 1))
+            at = at[may[at] & may[at + 1]]
+        return at, self.hashes(n)[at] if len(at) else np.zeros(0, np.uint64)
+
     def whole(self, n: int) -> np.ndarray:
         """Places where n words belong to one piece."""
         m = len(self.piece) - n + 1
@@ -112,34 +123,50 @@ def _language_keys(names: list[str]) -> np.ndarray:
     return out
 
 
-def _rows(docs: DataFrame, n: int, shorter: Broadcast | None) -> DataFrame:
-    """(lang, phrase, h, times) of n-grams; for n = 1 also a row a language with a null phrase, which counts its words."""
+def _blocks(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, Grams]]:
+    """(language names, each row's place in them, grams) of a batch (lang, text), a bounded number of bytes at a time."""
+    coded = b.column(0).dictionary_encode()
+    names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    keys = _language_keys(names.to_pylist())
+    for x in C.texts(b.column(1), BLOCK_BYTES):
+        own = code[x.lo : x.hi]
+        yield names, own, Grams(x, keys[own])
+
+
+def _hashed(docs: DataFrame, n: int, shorter: Broadcast | None) -> DataFrame:
+    """(h, times) of n-grams: HASH_BITS bits of their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, g in _blocks(b):
+                _, h = g.possible(n, None if shorter is None else shorter.value)
+                if len(h):
+                    h, times = np.unique(h >> U(64 - HASH_BITS), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([C.signed(h), pa.array(times.astype(np.int64))], names=["h", "times"])
+
+    return docs.mapInArrow(run, "h long, times long")
+
+
+def _phrases(docs: DataFrame, tables: Broadcast) -> DataFrame:
+    """(lang, phrase, times) of the grams that the tables of all lengths let through, and a row a language with a null phrase, which counts its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            coded = b.column(0).dictionary_encode()
-            names, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-            keys = _language_keys(names.to_pylist())
-            for x in C.texts(b.column(1), BLOCK_BYTES):
-                own = code[x.lo : x.hi]
-                g = Grams(x, keys[own])
-                if n == 1:
-                    total = np.bincount(own, weights=g.count, minlength=len(names)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), pa.string()), pa.nulls(len(names), pa.int64()), pa.array(total)], names=["lang", "phrase", "h", "times"])
-                at = g.whole(n)
-                if not len(at):
-                    continue
-                if shorter is not None:
-                    bits = shorter.value
-                    may = bits(g.hashes(n - 1))
-                    at = at[may[at] & may[at + 1]]
-                h, first, times = np.unique(g.hashes(n)[at], return_index=True, return_counts=True)
-                at = at[first]
-                lang = names.take(pa.array(own[g.w.row_of()[at]])) if len(at) else names.slice(0, 0)
-                for part, phrase in g.phrases(at, n):
-                    yield pa.RecordBatch.from_arrays([lang.slice(part.start, part.stop - part.start), phrase, C.signed(h[part]), pa.array(times[part].astype(np.int64))], names=["lang", "phrase", "h", "times"])
-
-    return docs.mapInArrow(run, "lang string, phrase string, h long, times long")
+            for names, own, g in _blocks(b):
+                total = np.bincount(own, weights=g.count, minlength=len(names)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), pa.string()), pa.array(total)], names=["lang", "phrase", "times"])
+                for n, table in enumerate(tables.value, 1):
+                    at, h = g.possible(n, tables.value[n - 2] if n > 1 else None)
+                    through = table(h)
+                    _, first, times = np.unique(h[through], return_index=True, return_counts=True)
+                    at = at[through][first]
+                    if not len(at):
+                        break
+                    lang = names.take(pa.array(own[g.w.row_of()[at]]))
+                    for part, phrase in g.phrases(at, n):
+                        yield pa.RecordBatch.from_arrays([lang.slice(part.start, part.stop - part.start), phrase, pa.array(times[part].astype(np.int64))], names=["lang", "phrase", "times"])
+
+    return docs.mapInArrow(run, "lang string, phrase string, times long")
 
 
 class Bits:
@@ -155,31 +182,30 @@ class Bits:
 
 def _bits(frequent: DataFrame, size: int) -> Bits:
     """The table of the hashes h of frequent: one 64-bit word a row, at most 2^(size - 6) rows."""
-    p = F.shiftrightunsigned("h", 64 - size)
-    found = frequent.groupBy(F.shiftrightunsigned(p, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - size}) & 63 AS INT))")).alias("word")).toArrow()
+    down = HASH_BITS - size
+    found = frequent.groupBy(F.shiftright("h", down + 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftright(h, {down}) & 63 AS INT))")).alias("word")).toArrow()
     words = np.zeros(1 << (size - 6), np.uint64)
     words[found["i"].to_numpy()] = found["word"].to_numpy().view(np.uint64)
     return Bits(words, size)
 
 
-def gram_counts(documents: DataFrame, text_col: str, lang_col: str, max_n: int, min_count: int) -> tuple[list[DataFrame], DataFrame]:
-    """For each length, (lang, phrase, f) of the grams with f >= min_count; and (lang, n), the words of each language."""
+def gram_counts(documents: DataFrame, text_col: str, lang_col: str, max_n: int, min_count: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, f) of the grams with f >= min_count; and (lang, n), the words of each language."""
     docs = documents.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     spark = documents.sparkSession
-    out, words, shorter = [], None, None
+    tables: list[Bits] = []
     for n in range(1, max_n + 1):
-        counts = _rows(docs, n, shorter).groupBy("lang", "phrase").agg(F.sum("times").alias("f"), F.first("h").alias("h")).where(F.col("phrase").isNull() | (F.col("f") >= min_count))
-        table = C.cut(counts, f"collocations-{n}")
-        if n == 1:
-            words = C.cut(table.where("phrase IS NULL AND f > 0").select("lang", F.col("f").alias("n")), "collocations-words")
-        table = table.where("phrase IS NOT NULL")
-        out.append(table.select("lang", "phrase", "f"))
-        grams = table.count()
-        if not grams:
+        shorter = spark.sparkContext.broadcast(tables[-1]) if tables else None
+        found = C.cut(_hashed(docs, n, shorter).groupBy("h").agg(F.sum("times").alias("f")).where(F.col("f") >= min_count).select("h"), f"collocations-hashes-{n}")
+        size = min(MOST_BITS, max(10, (found.count() * BITS_PER_GRAM).bit_length()))
+        tables.append(_bits(found, size))
+        C.free(found)
+        if not tables[-1].words.any():
             break
-        size = min(MOST_BITS, max(10, (grams * BITS_PER_GRAM).bit_length()))
-        shorter = spark.sparkContext.broadcast(_bits(table, size))
-    return out, words
+    counts = _phrases(docs, spark.sparkContext.broadcast(tables)).groupBy("lang", "phrase").agg(F.sum("times").alias("f"))
+    table = C.cut(counts.where(F.col("phrase").isNull() | (F.col("f") >= min_count)), "collocations-counts")
+    words = C.cut(table.where("phrase IS NULL AND f > 0").select("lang", F.col("f").alias("n")), "collocations-words")
+    return table.where("phrase IS NOT NULL"), words
 
 
 def _parts(candidates: DataFrame) -> DataFrame:
@@ -213,9 +239,8 @@ def top_of_each(rows: DataFrame, group: str, order: list[Column], top: int, name
 
 def collocations(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", max_n: int = 5, min_count: int = 100, drop_share: int = 100, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score, k): the best phrases of each language; k is the cut whose parts l and r count."""
-    tables, words = gram_counts(documents, text_col, lang_col, max_n, min_count)
-    counts = reduce(DataFrame.unionByName, tables)
-    candidates = reduce(DataFrame.unionByName, tables[1:] or [tables[0].limit(0)]).withColumnRenamed("f", "a")
+    counts, words = gram_counts(documents, text_col, lang_col, max_n, min_count)
+    candidates = counts.where(F.contains("phrase", F.lit(" "))).withColumnRenamed("f", "a")
     parts = C.cut(_parts(candidates), "collocations-parts")
     longest = reduce(DataFrame.unionByName, [parts.where(F.col("k") == k).select("lang", F.col(p).alias("phrase"), F.col("a").alias("longer")) for k, p in ((F.col("words") - 1, "head"), (F.lit(1), "tail"))])
     extended = longest.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
