@@ -16,7 +16,9 @@ ALIASES = {"grey": "gray", "rectangular": "rectangle", "windmill": "wind turbine
 #: Articles that question-answer normalisation drops, and ASCII punctuation.
 ARTICLES = r"\b(a|an|the)\b"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words that token sets leave out, and words that a question begins with.
 STOP_WORDS = ["a", "an", "the", "of", "in", "on", "at", "to", "from", "with", "and", "or", "is", "are", "visible", "shown", "located", "near"]
+QUESTION_WORDS = ["what", "which", "where", "who", "how", "is", "are", "does", "do"]
 
 S = "string"
 
@@ -296,8 +298,7 @@ def token_set(text: Column | str, stop: list[str] | None = None) -> Column:
 def question_family(text: Column | str) -> Column:
     """The first two words if the first is a question word or auxiliary, else the first; other without words."""
     w = all_matches(F.lower(_c(text)), "[a-z]+")
-    asks = ["what", "which", "where", "who", "how", "is", "are", "does", "do"]
-    return F.when(F.size(w) == 0, "other").when(F.try_element_at(w, F.lit(1)).isin(asks), F.array_join(F.slice(w, 1, 2), " ")).otherwise(F.try_element_at(w, F.lit(1)))
+    return F.when(F.size(w) == 0, "other").when(F.try_element_at(w, F.lit(1)).isin(QUESTION_WORDS), F.array_join(F.slice(w, 1, 2), " ")).otherwise(F.try_element_at(w, F.lit(1)))
 
 
 def question_prefix(text: Column | str) -> Column:

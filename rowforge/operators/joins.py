@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowforge.tables import written
+
 from rowforge.functions import boxes
 
 BROADCAST_ROWS = 200_000
@@ -115,8 +117,8 @@ ROWS_AT_ONCE = 8_192
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder, which all executors share, or in their memory where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df computed once, as a table that lost executors can read again."""
+    return written(df, "partners")
 
 
 def disjoint_partner(df: DataFrame, identity: str, tokens: str, k: int = 1, tries: int = 16, seed: int = 5) -> DataFrame:

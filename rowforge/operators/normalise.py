@@ -14,7 +14,7 @@ from rowforge.operators.select import global_rank, ordered_rank
 
 def from_messages(df: DataFrame) -> DataFrame:
     """prompt, images and answer of chat rows."""
-    first, last = F.element_at("messages", 1), F.element_at("messages", -1)
+    first, last = F.try_element_at("messages", F.lit(1)), F.try_element_at("messages", F.lit(-1))
     text = lambda m: F.array_join(F.transform(F.filter(m["content"], lambda c: c["type"] == "text"), lambda c: c["text"]), "\n")
     images = F.transform(F.filter(first["content"], lambda c: c["type"] == "image"), lambda c: c["image"])
     return df.withColumns({"prompt": text(first), "image_list": images, "answer": F.when(last["role"] == "assistant", text(last))})
@@ -111,7 +111,7 @@ def rl_record(df: DataFrame, systems: dict[str, str]) -> DataFrame:
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return df.select(
         F.col("dataset").alias("data_source"), F.array(turn("system", system), turn("user", F.col("prompt"))).alias("prompt"), F.transform("images", lambda i: F.struct(i["path"].alias("image"))).alias("images"),
-        F.col("task_type").alias("ability"), F.struct(F.lit("rule").alias("style"), F.element_at("references", 1).alias("ground_truth")).alias("reward_model"), F.struct(F.col("id"), F.lit(0).cast("bigint").alias("index"), F.col("split")).alias("extra_info"),
+        F.col("task_type").alias("ability"), F.struct(F.lit("rule").alias("style"), F.try_element_at("references", F.lit(1)).alias("ground_truth")).alias("reward_model"), F.struct(F.col("id"), F.lit(0).cast("bigint").alias("index"), F.col("split")).alias("extra_info"),
     )
 
 
@@ -214,9 +214,9 @@ def marked_conversations(entries: DataFrame, files: DataFrame) -> DataFrame:
 
     files: name, path.
     """
-    answer = F.trim(F.element_at("conversations", 2)["value"])
+    answer = F.trim(F.try_element_at("conversations", F.lit(2))["value"])
     rows = entries.withColumn("__a", answer).where(F.col("__a") != "")
-    prompt = marked_prompt(F.element_at("conversations", 1)["value"])
+    prompt = marked_prompt(F.try_element_at("conversations", F.lit(1))["value"])
     return rows.join(files.withColumnRenamed("name", "image"), "image").select("image", chat_row(F.col("path"), prompt, F.col("__a")).alias("messages"))
 
 

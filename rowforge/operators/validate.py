@@ -74,6 +74,7 @@ def record_reasons(identity: str = "id") -> Column:
     )
 
 
+#: What answers of each form look like.
 ANSWER_SCHEMAS = {
     "mcq": "^[A-E]$",
     "vrs_grounding": r"^\{<\d+><\d+><\d+><\d+>\}$",

@@ -142,11 +142,6 @@ def _tokens(t):
     return t("embeddings").select(F.col("label").alias("group_id"), F.col("vec_id").alias("token_id"), "embedding")
 
 
-@query("v17_norm_top_k", "SELECT label AS group_id, vec_id AS token_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY list_sum(list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) DESC, vec_id) <= 5")
-def _(t):
-    return V.norm_top_k(_tokens(t).withColumn("embedding", F.slice("embedding", 1, 3)), "group_id", "token_id", "embedding", 5).select("group_id", "token_id")
-
-
 @query("v17_norm_top_k_whole", "SELECT label AS group_id, vec_id AS token_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) DESC, vec_id) <= 5")
 def _(t):
     return V.norm_top_k(_tokens(t), "group_id", "token_id", "embedding", 5).select("group_id", "token_id")

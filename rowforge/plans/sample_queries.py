@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +18,7 @@ from rowforge.operators import scoring
 from rowforge.operators import select as S
 from rowforge.operators import validate as V
 from rowforge.operators import vision as D
+from rowforge.tables import shared_folder
 
 from .cases import _literal, cases
 from .metric_queries import _detections, _pairs
@@ -428,8 +426,7 @@ def scratch(t) -> str:
     import uuid
 
     spark = t("nation").sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowforge-q-")
-    return os.path.join(base.rstrip("/"), f"q-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark)}/q-{uuid.uuid4().hex}"
 
 
 @query("k1_s1_jsonl", "SELECT n_nationkey, n_name FROM nation")

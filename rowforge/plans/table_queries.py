@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rowforge.operators import aggregate as A
@@ -602,13 +601,9 @@ def _(t):
 
 @query("w12_grouped")
 def _(t):
-    """Rows of one order stay together, and parts hold equally many orders."""
-    rows = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("n"))
-    rows = rows.join(t("orders").select((F.col("o_orderkey") % 100).alias("batch"), F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
-    whole = rows.select("batch", "l_orderkey").distinct().groupBy("batch").agg((F.count("*") - F.count("*") % 4).alias("most"))
-    dealt = rows.join(whole, "batch").withColumn("r", F.dense_rank().over(Window.partitionBy("batch").orderBy("l_orderkey"))).where("r <= most")
-    slim = dealt.select("batch", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_orderkey", W.workload("n").alias("w"))
-    return W.balanced_batches(slim, "batch", "id", "w", 4, together="l_orderkey").select("batch", "id", "l_orderkey", "part")
+    """Eight groups of documents in each batch; a group stays together and each part holds two."""
+    d = t("documents").select((F.col("doc_id") % 25).alias("batch"), "doc_id", (F.floor(F.col("doc_id") / 25) % 8).alias("uid"), W.workload(F.coalesce("n_chars", F.lit(0))).alias("w"))
+    return W.balanced_batches(d, "batch", "doc_id", "w", 4, together="uid").select("batch", "doc_id", "uid", "part")
 
 
 @query("w15_dynamic_batches")
@@ -634,6 +629,16 @@ def _(t):
 # --- runs and event time -----------------------------------------------------------------------
 
 
+@query("r1_versioned_queue")
+def _(t):
+    """Each user's events as commands of a queue of eight samples."""
+    from rowforge.streaming import queues as Q
+
+    k = F.col("event_id") % 10
+    command = F.when(k < 6, "put").when(k < 9, "get").otherwise("version")
+    return Q.versioned_queue(t("events").select("user_id", F.col("event_id").alias("at"), command.alias("command"), F.col("event_type").alias("item"), F.floor(F.col("event_id") / 50).alias("version")), "user_id", 8, 20)
+
+
 @query("r1_fresh", "SELECT event_id FROM events WHERE 10000 - event_id <= 500")
 def _(t):
     return R.fresh(t("events"), "event_id", 10000, 500).select("event_id")

@@ -158,3 +158,115 @@ def _(t):
     truths = [named.where(c).select("image", F.lit(k).alias("annotator"), b.alias("box")) for k, (c, b) in kinds.items()]
     images = t("part").select(F.explode(F.array(*[F.concat_ws("/", "p_partkey", F.lit(c)) for c in "ANRX"])).alias("image"))
     return S.demo_totals(S.demo_best(S.demo_images(images, truths[0].unionByName(truths[1]).unionByName(truths[2]), p, "image", list(kinds)), "image", list(kinds)))
+
+
+_VIDEO_SQL = """v AS (SELECT s_suppkey AS id, s_suppkey % 4 + 2 AS n FROM supplier), g AS (SELECT id, n, unnest(generate_series(0, n - 1)) AS frame FROM v),
+    i AS (SELECT *, row_number() OVER (ORDER BY id, frame) AS image FROM g),
+    k AS (SELECT DISTINCT l_suppkey AS video, CAST(l_linenumber AS BIGINT) AS track FROM lineitem)"""
+
+
+def _videos(t):
+    """Suppliers as videos of two to five frames, with an object a line number."""
+    n = (F.col("s_suppkey") % 4 + 2).cast("int")
+    name = lambda k: F.concat(F.lit("set/v"), F.col("s_suppkey").cast("string"), F.lit("/"), k.cast("string"), F.lit(".jpg"))
+    return t("supplier").select(F.col("s_suppkey").alias("at"), F.col("s_suppkey").alias("id"), F.transform(F.sequence(F.lit(0), n - 1), name).alias("file_names"), F.lit(64).alias("width"), F.lit(48).alias("height"), n.alias("length"))
+
+
+def _objects(t):
+    """Objects of videos; one is absent (null) in frames of its own parity and has no area in the first."""
+    k = t("lineitem").select(F.col("l_suppkey").alias("video_id"), F.col("l_linenumber").cast("long").alias("track")).distinct()
+    n = (F.col("video_id") % 4 + 2).cast("int")
+    box = lambda f: F.when((f + F.col("track")) % 3 != 0, F.array(f.cast("double"), F.col("track").cast("double"), F.lit(4.0), F.lit(5.0)))
+    over = lambda g: F.transform(F.sequence(F.lit(0), n - 1), g)
+    key = F.col("video_id") * 10 + F.col("track")
+    return k.select(key.alias("at"), key.alias("id"), "video_id", (F.col("track") % 3).alias("category_id"), F.lit(0).alias("iscrowd"), over(box).alias("bboxes"), over(lambda f: F.when(f > 0, f * 1.5)).alias("areas"), over(lambda f: F.concat(F.lit("rle"), f.cast("string"))).alias("segmentations"))
+
+
+@query("v15_frame_images", f"WITH {_VIDEO_SQL} SELECT image AS id, id AS video_id, 'set/v' || id || '/' || frame || '.jpg' AS file_name, CAST(frame AS INTEGER) AS frame_index, 'set/v' || id AS folder FROM i")
+def _(t):
+    from rowforge.operators import video_documents as D2
+
+    v = _videos(t)
+    names = D2.video_list(v).select(F.col("id").alias("video_id"), F.col("name").alias("folder"))
+    return D2.frame_images(v).join(names, "video_id").select("id", "video_id", "file_name", "frame_index", "folder")
+
+
+@query("v15_frame_annotations", f"WITH {_VIDEO_SQL} SELECT row_number() OVER (ORDER BY image, track) AS id, video AS video_id, image AS image_id, video * 10 + track AS track_id, track % 3 AS category_id, CAST(frame AS DOUBLE) AS x, CASE WHEN frame > 0 THEN frame * 1.5 END AS area, 'rle' || frame AS segmentation FROM i JOIN k ON video = id WHERE (frame + track) % 3 <> 0")
+def _(t):
+    from rowforge.operators import video_documents as D2
+
+    got = D2.frame_annotations(D2.frame_images(_videos(t)), _objects(t))
+    return got.select("id", "video_id", "image_id", "track_id", "category_id", F.col("bbox")[0].alias("x"), "area", "segmentation")
+
+
+@query("v15_frame_predictions", f"WITH {_VIDEO_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY video, track) AS track_id FROM k) SELECT image AS image_id, video AS video_id, track_id, CAST(frame AS DOUBLE) AS x, CASE WHEN frame > 0 THEN frame * 1.5 ELSE 20.0 END AS area, track / 10 AS score FROM i JOIN p ON video = id WHERE (frame + track) % 3 <> 0")
+def _(t):
+    from rowforge.operators import video_documents as D2
+
+    p = _objects(t).withColumn("score", (F.col("id") % 10) / 10).drop("id", "iscrowd")
+    return D2.frame_predictions(D2.frame_images(_videos(t)), p).select("image_id", "video_id", "track_id", F.col("bbox")[0].alias("x"), "area", "score")
+
+
+#: Two rectangles of a 16 x 12 mask for each size and each of five shifts; the second one leaves the mask at times.
+_RECT_SQL = "c AS (SELECT p_partkey, p_size % 7 AS ax, p_size % 3 AS ay, p_size % 7 + p_partkey % 5 AS bx, p_size % 3 + p_partkey % 4 AS b_y FROM part)"
+
+
+def _rectangle(x, y, w: int, h: int, height: int = 12, width: int = 16):
+    """Run lengths of a rectangle, cut where the mask ends."""
+    wide, high = F.least(F.lit(w), width - x), F.least(F.lit(h), height - y)
+    first = F.array(x * height + y, high)
+    more = F.flatten(F.transform(F.sequence(F.lit(2), wide), lambda _: F.array(height - high, high)))
+    runs = F.concat(first, F.when(wide >= 2, more).otherwise(F.array().cast("array<bigint>"))).cast("array<bigint>")
+    return F.concat(runs, F.array((F.lit(width * height) - F.aggregate(runs, F.lit(0).cast("bigint"), lambda s, v: s + v)).cast("bigint")))
+
+
+def _mask_pairs(t):
+    p, s = F.col("p_partkey"), F.col("p_size")
+    return t("part").select("p_partkey", _rectangle(s % 7, s % 3, 6, 5).alias("a"), _rectangle(s % 7 + p % 5, s % 3 + p % 4, 6, 5).alias("b"))
+
+
+@query(
+    "b15_mask_overlaps",
+    f"""WITH {_RECT_SQL}, r AS (SELECT *, least(16, ax + 6) - ax AS aw, least(12, ay + 5) - ay AS ah, least(16, bx + 6) - bx AS bw, least(12, b_y + 5) - b_y AS bh FROM c),
+       i AS (SELECT *, greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, b_y + bh) - greatest(ay, b_y)) AS inter FROM r)
+       SELECT p_partkey, aw * ah AS area_a, bw * bh AS area_b, inter, round(inter / (aw * ah + bw * bh - inter), 9) AS iou, round(inter / least(aw * ah, bw * bh), 9) AS iom FROM i""",
+)
+def _(t):
+    from rowforge.operators import masks as K
+
+    m = F.col("m")
+    got = _mask_pairs(t).select("p_partkey", K.mask_measures("a", "b", F.lit(12), F.lit(16), 1).alias("m"))
+    return got.select("p_partkey", "m.area_a", "m.area_b", "m.inter", F.round(K.mask_iou(m), 9).alias("iou"), F.round(K.mask_iom(m), 9).alias("iom"))
+
+
+def _edge_sql(x0: str, y0: str) -> str:
+    """Whether (x, y) is a boundary pixel of the rectangle at (x0, y0)."""
+    at = lambda dx, dy: f"(x + {dx} >= {x0} AND x + {dx} < {x0} + 6 AND y + {dy} >= {y0} AND y + {dy} < {y0} + 5)"
+    return f"CASE WHEN x = 15 AND y = 11 THEN false WHEN y = 11 THEN {at(0, 0)} <> {at(1, 0)} WHEN x = 15 THEN {at(0, 0)} <> {at(0, 1)} ELSE {at(0, 0)} <> {at(1, 0)} OR {at(0, 0)} <> {at(0, 1)} OR {at(0, 0)} <> {at(1, 1)} END"
+
+
+@query(
+    "b15_boundary_f",
+    f"""WITH {_RECT_SQL}, k AS (SELECT DISTINCT ax, ay, bx, b_y FROM c), p AS (SELECT *, unnest(generate_series(0, 11)) AS y FROM (SELECT *, unnest(generate_series(0, 15)) AS x FROM k)),
+       a AS (SELECT * FROM p WHERE {_edge_sql('ax', 'ay')}), b AS (SELECT * FROM p WHERE {_edge_sql('bx', 'b_y')}),
+       n AS (SELECT DISTINCT ax, ay, bx, b_y, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM a JOIN b USING (ax, ay, bx, b_y) WHERE abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+       m AS (SELECT ax, ay, bx, b_y, (SELECT count(*) FROM a WHERE a.ax = k.ax AND a.ay = k.ay AND a.bx = k.bx AND a.b_y = k.b_y) AS na, (SELECT count(*) FROM b WHERE b.ax = k.ax AND b.ay = k.ay AND b.bx = k.bx AND b.b_y = k.b_y) AS nb,
+         (SELECT count(DISTINCT x1 * 100 + y1) FROM n WHERE n.ax = k.ax AND n.ay = k.ay AND n.bx = k.bx AND n.b_y = k.b_y) AS ma, (SELECT count(DISTINCT x2 * 100 + y2) FROM n WHERE n.ax = k.ax AND n.ay = k.ay AND n.bx = k.bx AND n.b_y = k.b_y) AS mb FROM k)
+       SELECT p_partkey, na AS boundary_a, nb AS boundary_b, ma AS near_a, mb AS near_b, round(CASE WHEN ma + mb = 0 THEN 0 ELSE 2 * (ma / na) * (mb / nb) / (ma / na + mb / nb) END, 9) AS f FROM c JOIN m USING (ax, ay, bx, b_y)""",
+)
+def _(t):
+    from rowforge.operators import masks as K
+
+    got = _mask_pairs(t).select("p_partkey", K.mask_measures("a", "b", F.lit(12), F.lit(16), 1).alias("m"))
+    return got.select("p_partkey", *[f"m.{c}" for c in ("boundary_a", "boundary_b", "near_a", "near_b")], F.round(K.boundary_f(F.col("m")), 9).alias("f"))
+
+
+@query("b15_polygon", f"WITH {_RECT_SQL} SELECT p_partkey, (least(16, ax + 6) - ax) * 5 AS area, (least(16, ax + 6) - ax) * 5 AS inter FROM c")
+def _(t):
+    from rowforge.operators import masks as K
+
+    s = F.col("p_size")
+    x, y = (s % 7).cast("double"), (s % 3).cast("double")
+    rows = t("part").select("p_partkey", _rectangle(s % 7, s % 3, 6, 5).alias("a"), F.array(x, y, x + 6, y, x + 6, y + 5, x, y + 5).alias("points"))
+    got = rows.withColumn("b", K.polygon_runs("points", F.lit(12), F.lit(16))).select("p_partkey", K.mask_measures("a", "b", F.lit(12), F.lit(16)).alias("m"))
+    return got.select("p_partkey", F.col("m.area_b").alias("area"), "m.inter")
