@@ -8,11 +8,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowforge.tables import written
+
 ratio = F.try_divide
 #: Share of a group on either side of a percentile that is put in order.
 NEAR = 0.005
 
 
+#: Rows up to which what is known of groups is sent to all tasks.
+FEW_GROUPS = 100_000
+
+
+def few(groups: DataFrame) -> DataFrame:
+    """A table of groups, to be joined to many rows: broadcast if it is short, so that rows of a large group stay where they are."""
+    return F.broadcast(groups) if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else groups
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -52,17 +63,17 @@ def efficiency(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """
     key = F.struct(*[F.col(c) for c in by], F.lit(0).alias("__")).alias("__g")  # null groups meet as structs
     cuts = F.percentile_approx(x, [0.5 - NEAR, 0.5 + NEAR, 0.95 - NEAR, 0.95 + NEAR], 1000)
-    whole = df.groupBy(key).agg(F.avg(x).alias("mean"), F.sum(x).alias("total"), F.max(x).alias("most"), F.count(x).alias("__n"), cuts.alias("__cuts"))
+    whole = written(df.groupBy(key).agg(F.avg(x).alias("mean"), F.sum(x).alias("total"), F.max(x).alias("most"), F.count(x).alias("__n"), cuts.alias("__cuts")), "efficiency")
     middle = (F.col("__n") - 1) * 0.5
     ranks = {"__lo": F.floor(middle) + 1, "__hi": F.ceil(middle) + 1, "__r95": F.ceil(F.col("__n") * F.lit(0.95))}
     bounds = whole.select("__g", *[F.col("__cuts")[i].alias(f"__e{i}") for i in range(4)], *[r.cast("long").alias(k) for k, r in ranks.items()])
     v = F.col("__x")
     at = reduce(lambda a, b: a + b, [c.cast("int") for c in (v >= F.col("__e0"), v > F.col("__e1"), v >= F.col("__e2"), v > F.col("__e3"))])
-    rows = df.where(F.col(x).isNotNull()).select(key, F.col(x).alias("__x")).join(bounds, "__g").withColumn("__bin", at)
+    rows = df.where(F.col(x).isNotNull()).select(key, F.col(x).alias("__x")).join(few(bounds), "__g").withColumn("__bin", at)
     bins = rows.groupBy("__g", "__bin", *ranks).agg(F.count("*").alias("__size"))
     bins = bins.withColumn("__from", F.sum("__size").over(Window.partitionBy("__g").orderBy("__bin")) - F.col("__size"))  # five rows a group
     wanted = reduce(lambda a, b: a | b, [(F.col(r) > F.col("__from")) & (F.col(r) <= F.col("__from") + F.col("__size")) for r in ranks])
-    held = rows.select("__g", "__bin", "__x").join(bins.where(wanted), ["__g", "__bin"]).groupBy("__g", "__bin", "__from", "__x", *ranks).agg(F.count("*").alias("__c"))
+    held = rows.select("__g", "__bin", "__x").join(few(written(bins.where(wanted), "efficiency-bins")), ["__g", "__bin"]).groupBy("__g", "__bin", "__from", "__x", *ranks).agg(F.count("*").alias("__c"))
     upto = F.col("__from") + F.sum("__c").over(Window.partitionBy("__g", "__bin").orderBy("__x"))
     found = held.withColumn("__upto", upto).groupBy("__g").agg(*[F.min(F.when(F.col("__upto") >= F.col(r), F.col("__x"))).alias(r) for r in ranks])
     lo, hi = F.col("__lo").cast("double"), F.col("__hi").cast("double")
@@ -92,44 +103,74 @@ def fixed_category_mean(df: DataFrame, category: str, correct: str, categories:
     return df.agg(*[a.alias(c) for a, c in zip(acc, categories, strict=True)], (sum(acc[1:], acc[0]) / len(acc)).alias("mean"))
 
 
-def average_precision(df: DataFrame, by: list[str], score: str, hit: str, truths: Column, ties: list[str]) -> DataFrame:
-    """Single-class AP: precision at each hit by falling score, over the number of truths."""
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc(), *ties)
-    h = F.col(hit).cast("double")
-    ranked = df.withColumn("__p", F.sum(h).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(w))
-    return ranked.groupBy(*by).agg(F.sum(F.when(F.col(hit), F.col("__p")).otherwise(0.0)).alias("precision_sum"), F.count_if(F.col(hit)).alias("hits"), truths.alias("truths")).withColumn("ap", ratio(F.col("precision_sum"), F.col("truths")))
+def average_precision(df: DataFrame, by: list[str], score: str, hit: str, truths: Column, ties: list[str], bins: int = 64) -> DataFrame:
+    """Single-class AP: precision at each hit by falling score, over the number of truths.
+
+    A group's rows are ranked in ranges of its scores, after counts of the ranges before them, so no task ranks a group; equal scores share a range.
+    Null scores come last.
+    """
+    key = F.struct(*[F.col(c) for c in by], F.lit(0).alias("__")).alias("__g")  # null groups meet as structs
+    whole = written(df.groupBy(key).agg(F.percentile_approx(score, [i / bins for i in range(1, bins)], 1000).alias("__cuts"), F.count_if(F.col(hit)).alias("hits"), truths.alias("truths")), "precision")
+    below = F.when(F.col(score).isNull(), bins).otherwise(F.size(F.filter(F.array_distinct("__cuts"), lambda e: e > F.col(score))))
+    rows = df.select(key, score, F.col(hit).alias("__h"), *ties).join(few(whole.select("__g", "__cuts")), "__g").withColumn("__bin", below).drop("__cuts")
+    counts = rows.groupBy("__g", "__bin").agg(F.count("*").alias("__n"), F.count_if(F.col("__h")).alias("__k"))
+    before = Window.partitionBy("__g").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = counts.select("__g", "__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__k0"))
+    w = Window.partitionBy("__g", "__bin").orderBy(F.col(score).desc(), *ties)
+    at = rows.withColumns({"__n": F.row_number().over(w), "__k": F.sum(F.col("__h").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))}).where(F.col("__h"))
+    sums = at.join(few(written(offsets, "precision-ranges")), ["__g", "__bin"]).groupBy("__g").agg(F.sum((F.col("__k0") + F.col("__k")) / (F.col("__n0") + F.col("__n"))).alias("precision_sum"))
+    out = whole.join(sums, "__g", "left").select(*[F.col("__g")[c].alias(c) for c in by], F.coalesce("precision_sum", F.lit(0.0)).alias("precision_sum"), "hits", "truths")
+    return out.withColumn("ap", ratio(F.col("precision_sum"), F.col("truths")))
+
+
+#: Chances that a row counts at most 0, 1, ... 7 times in a repeat (Poisson with mean 1).
+_POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(8)]
 
 
 def bootstrap_ci(df: DataFrame, by: list[str], value: str, identity: str, repeats: int = 1000, linear: bool = False, seed: int = 7) -> DataFrame:
-    """Mean with a 95 % interval by Poisson bootstrap: each row's weight in each repeat is a hash of its id.
+    """Mean with a 95 % interval by Poisson bootstrap: each row's weight in each repeat is a hash of its id and the repeat.
 
-    Sums by repeat are combined before the shuffle; a group of any size costs a task no more than its repeats.
+    Each task adds up its rows' weights and weighted values of all repeats in arrays, some rows at a time, and passes on one array a group, so
+    what is shuffled grows with tasks and groups and not with rows times repeats.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(identity), F.col(value).cast("double").alias("__v"))
-    places = F.sequence(F.lit(0), F.lit(repeats - 1))
-    u = lambda r: F.pmod(F.xxhash64(F.lit(seed), F.col(identity), r), F.lit(1 << 30)) / float(1 << 30)
-    steps, cum = [], 0.0
-    for k in range(8):
-        cum += math.exp(-1) / math.factorial(k)
-        steps.append((cum, k))
-
-    def weight(r):
-        w, x = F.lit(8), u(r)
-        for c, k in reversed(steps):
-            w = F.when(x < c, F.lit(k)).otherwise(w)
-        return w
-
-    drawn = rows.select(*by, F.posexplode(F.transform(places, weight)).alias("repeat", "__w"), "__v")
-    means = drawn.groupBy(*by, "repeat").agg(ratio(F.sum(F.col("__w") * F.col("__v")), F.sum("__w")).alias("m"))
+    import numpy as np
+    import pyarrow as pa
+
+    edges, step = np.array(_POISSON), max(1, 2_000_000 // repeats)
+    key = F.struct(*[F.col(c) for c in by], F.lit(0).alias("__")).alias("__g")
+    rows = df.where(F.col(value).isNotNull()).select(F.to_json(key).alias("__k"), F.xxhash64(F.lit(seed), identity).alias("__h"), F.col(value).cast("double").alias("__v"))
+
+    def sums(batches):
+        turn = (np.arange(repeats, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        held: dict = {}
+        for b in batches:
+            coded = b.column(0).dictionary_encode()
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            h, v = b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
+            for k in range(len(names)):
+                mine = np.flatnonzero(code == k)
+                for lo in range(0, len(mine), step):
+                    at = mine[lo : lo + step]
+                    x = h[at, None] ^ turn[None, :]
+                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    w = np.searchsorted(edges, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), "right").astype(float)
+                    total = held.setdefault(names[k], np.zeros((2, repeats)))
+                    total += np.stack([w.sum(0), v[at] @ w])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([t[0].tolist() for t in held.values()], pa.list_(pa.float64())), pa.array([t[1].tolist() for t in held.values()], pa.list_(pa.float64()))], names=["__k", "w", "wv"])
+
+    parts = rows.mapInArrow(sums, "__k string, w array<double>, wv array<double>").select("__k", F.posexplode(F.arrays_zip("w", "wv")).alias("repeat", "x"))
+    means = parts.groupBy("__k", "repeat").agg(ratio(F.sum("x.wv"), F.sum("x.w")).alias("m"))
     sorted_ = F.array_sort(F.collect_list("m"))
     if linear:
         lo, hi = F.percentile("m", 0.025), F.percentile("m", 0.975)
     else:
         lo = F.element_at(sorted_, F.greatest(F.lit(1), F.floor(F.lit(0.025) * F.count("m")).cast("int") + 1))
         hi = F.element_at(sorted_, F.least(F.count("m").cast("int"), F.floor(F.lit(0.975) * F.count("m")).cast("int") + 1))
-    ci = means.groupBy(*by).agg(lo.alias("low"), hi.alias("high")) if by else means.agg(lo.alias("low"), hi.alias("high"))
-    mean = df.groupBy(*by).agg(F.avg(F.col(value).cast("double")).alias("mean"), F.count(value).alias("n"))
-    return mean.join(ci, by) if by else mean.crossJoin(ci)  # one row each
+    ci = means.groupBy("__k").agg(lo.alias("low"), hi.alias("high"))
+    mean = df.groupBy(*by, F.to_json(key).alias("__k")).agg(F.avg(F.col(value).cast("double")).alias("mean"), F.count(value).alias("n"))
+    return mean.join(ci, "__k", "left" if by else "inner").drop("__k")
 
 
 def _erfc(x: Column) -> Column:
@@ -316,14 +357,17 @@ def validation_metrics(df: DataFrame, source: str, uid: str, value: str, answer:
             k *= 2
         sizes += [n] if n > 1 else []
         rng = np.random.default_rng(seed)
+        names, code = np.unique(a.astype(str), return_inverse=True)
+        each_ = np.arange(repeats)
         for m in sizes:
             pick = rng.integers(0, n, (repeats, m))
-            got = v[pick]
-            maj = np.empty(repeats)
-            for i, p in enumerate(pick):
-                names, first, count = np.unique(a[p].astype(str), return_index=True, return_counts=True)
-                best = first[count == count.max()].min()
-                maj[i] = v[p[best]]
+            got, said = v[pick], code[pick]
+            count = np.bincount((each_[:, None] * len(names) + said).ravel(), minlength=repeats * len(names)).reshape(repeats, len(names))
+            first = np.full((repeats, len(names)), m)
+            for j in range(m - 1, -1, -1):  # where each answer is first drawn
+                first[each_, said[:, j]] = j
+            # of the most frequent answers the one that is drawn first
+            maj = got[each_, np.where(count == count.max(1, keepdims=True), first, m).min(1)]
             for name, x in (("best", got.max(1)), ("worst", got.min(1)), ("maj", maj)):
                 out += [(f"{name}@{m}/mean", x.mean()), (f"{name}@{m}/std", x.std())]
         return pd.DataFrame([(key[0], str(key[1]), k_, float(x)) for k_, x in out], columns=["source", "uid", "metric", "value"])
