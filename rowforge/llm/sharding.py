@@ -51,17 +51,24 @@ class Tree:
 
 def _groups(docs: DataFrame, shards: int, pieces_per_leaf: int) -> DataFrame:
     """Groups of equal texts whose metadata differ, or which are too heavy to stay whole: the metadata of all, and the number of pieces."""
-    total = docs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, rows = docs.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     piece = max(1, total // (shards * pieces_per_leaf))
+    many = max(C.LARGE_ROWS, rows // C.LARGE_KEYS)  # no more than LARGE_KEYS groups have more rows than this
     groups = docs.groupBy(*GROUP).agg(F.count("*").alias("__n"), *[F.min(d).alias(f"__{d}") for d in DIMENSIONS], *[F.max(d).alias(f"__most_{d}") for d in DIMENSIONS]).where("__n > 1")
     groups = groups.withColumn("__pieces", F.least(F.lit(1 << PIECE_BITS), F.ceil(F.col("__n") * F.col("size") / piece)))
     differ = reduce(lambda x, y: x | y, [F.col(f"__{d}") != F.col(f"__most_{d}") for d in DIMENSIONS])
-    return C.cut(groups.where(differ | (F.col("__pieces") > 1)).select(*GROUP, "__pieces", *[f"__{d}" for d in DIMENSIONS]), "kd-groups")
+    return C.cut(groups.where(differ | (F.col("__pieces") > 1)).select(*GROUP, "__pieces", (F.col("__n") > many).alias("__many"), *[f"__{d}" for d in DIMENSIONS]), "kd-groups")
 
 
 def _ordered(docs: DataFrame, groups: DataFrame, ends: dict | None) -> tuple[DataFrame, dict]:
     """docs with their order in each dimension, __k_<dimension>: its grid, then text hash, then piece."""
-    rows = docs.join(groups, GROUP, "left").withColumns({d: F.coalesce(f"__{d}", d) for d in DIMENSIONS})
+    # rows of large groups get what is known of them by broadcast; in the join of the others they are spread by their salt
+    known = ["__pieces", *[f"__{d}" for d in DIMENSIONS]]
+    large = groups.where("__many").select(*GROUP, F.struct(*known).alias("__large"))
+    small = groups.where("NOT __many").select(*GROUP, F.lit(0).cast("long").alias("__s"), F.struct(*known).alias("__small"))
+    rows = docs.join(F.broadcast(large), GROUP, "left").withColumn("__s", F.when(F.col("__large").isNotNull(), F.xxhash64("__salt")).otherwise(0))
+    rows = rows.join(small, [*GROUP, "__s"], "left").withColumn("__known", F.coalesce("__large", "__small"))
+    rows = rows.withColumns({"__pieces": F.col("__known.__pieces"), **{d: F.coalesce(F.col(f"__known.__{d}"), d) for d in DIMENSIONS}}).drop("__large", "__small", "__known", "__s")
     if ends is None:
         ends = rows.agg(*[F.min(d).alias(f"lo_{d}") for d in DIMENSIONS], *[F.max(d).alias(f"hi_{d}") for d in DIMENSIONS]).first().asDict()
     piece = F.when(F.col("__pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("__salt"), F.col("__pieces")))
@@ -70,7 +77,7 @@ def _ordered(docs: DataFrame, groups: DataFrame, ends: dict | None) -> tuple[Dat
         lo, hi = ends[f"lo_{d}"], ends[f"hi_{d}"]
         unit = (F.col(d) - lo) / (hi - lo) if lo is not None and hi > lo else F.lit(0.0)
         rows = rows.withColumn(f"__k_{d}", F.floor(unit * ((1 << GRID_BITS) - 1)) * (1 << (HASH_BITS + PIECE_BITS)) + low)
-    return rows.drop("__pieces", *[f"__{d}" for d in DIMENSIONS]), ends
+    return rows.drop("__pieces"), ends
 
 
 def _descend(rows: DataFrame, levels: list[dict[int, tuple[str, int]]]) -> DataFrame:
