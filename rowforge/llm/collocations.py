@@ -36,7 +36,7 @@ from . import common as C
 
 U = np.uint64
 #: Bytes of text whose equal grams become one row, and bytes of phrases in one batch of rows.
-BLOCK_BYTES, BATCH_BYTES = 4 << 20, 1 << 20
+BLOCK_BYTES, BATCH_BYTES = 2 << 20, 1 << 20
 #: Bits of a gram's hash that are counted, and of a table for each gram in it and at most (32 MB).
 HASH_BITS, BITS_PER_GRAM, MOST_BITS = 44, 16, 28
 #: Rows of a bin in which a language's candidates are ranked first.
