@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.functions import boxes, text
-from rowforge.operators import aggregate
+from rowforge.functions import boxes, latex, text
+from rowforge.operators import aggregate, ngrams
 
 METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 REWARDS: dict[str, Callable[[Column, Column], Column]] = {}
@@ -46,6 +47,47 @@ def letter_accuracy(df: DataFrame) -> DataFrame:
     return df.agg(F.avg(hit.cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
+def _mean_score(scored: DataFrame, name: str) -> DataFrame:
+    return scored.agg(F.avg("score").alias(name))
+
+
+@metric("bleu")
+def bleu(df: DataFrame) -> DataFrame:
+    return ngrams.corpus_bleu(df)
+
+
+@metric("rouge_l")
+def rouge_l(df: DataFrame) -> DataFrame:
+    return _mean_score(ngrams.rouge_l(df), "rouge_l")
+
+
+@metric("cider_d")
+def cider_d(df: DataFrame) -> DataFrame:
+    return _mean_score(ngrams.cider_d(df), "cider_d")
+
+
+@metric("referring")
+def referring(df: DataFrame) -> DataFrame:
+    """Mean IoU of boxes and shares at .5 and .7; a prediction that is no box has an IoU of 0."""
+    iou = F.coalesce(F.col("clean_iou"), F.lit(0.0))
+    return boxes.with_score(df, "prediction", F.try_element_at("references", F.lit(1))).agg(F.avg(iou).alias("mean_iou"), F.avg((iou >= 0.5).cast("double")).alias("acc_50"), F.avg((iou >= 0.7).cast("double")).alias("acc_70"))
+
+
+def task_report(rows: DataFrame, tasks: dict[str, list[str]] | None = None) -> DataFrame:
+    """(task_type, metric, name, value): each task's rows (id, task_type, prediction, references) under the metrics that it is reported with.
+
+    tasks: task -> names of registered metrics, TASK_METRICS by default; a task without rows has null values.
+    """
+    out = []
+    for task, names in (TASK_METRICS if tasks is None else tasks).items():
+        mine = rows.where(F.col("task_type") == task).select("id", "prediction", "references")
+        for m in names:
+            found = METRICS[m](mine)
+            long = found.select(*[F.col(c).cast("double").alias(c) for c in found.columns]).unpivot([], list(found.columns), "name", "value")
+            out.append(long.select(F.lit(task).alias("task_type"), F.lit(m).alias("metric"), "name", "value"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @reward
 def accuracy_reward(prediction: Column, reference: Column) -> Column:
     return text.rule_cascade(prediction, reference)["correct"].cast("double")
@@ -61,6 +103,11 @@ def gsm8k_reward(prediction: Column, reference: Column) -> Column:
     return F.coalesce((text.gsm8k_number(prediction, strict=False) == reference).cast("double"), F.lit(0.0))
 
 
+@reward
+def boxed_reward(prediction: Column, reference: Column) -> Column:
+    return latex.boxed_reward(prediction, reference)
+
+
 @reward
 def iou_reward(prediction: Column, reference: Column) -> Column:
     return boxes.iou_reward(prediction, reference)
@@ -153,16 +200,16 @@ def predictions_of(samples: DataFrame, answers: DataFrame, key: str = "id") -> D
     return x.where(F.when(F.col("__here").isNull(), error).otherwise(True)).drop("__here")
 
 
-def load_reward(path: str, name: str) -> Callable[[Column, Column], Column]:
-    """The function of that name in a Python file; a missing file or name is an error."""
+def load_reward(path: str, name: str, **given) -> Callable[[Column, Column], Column]:
+    """The function of that name in a Python file, with keyword arguments bound to it; a missing file or name is an error."""
     import importlib.util
     import os
 
     if not os.path.isfile(path):
-        raise FileNotFoundError(f"Reward function file '{path}' not found.")
-    spec = importlib.util.spec_from_file_location("custom_reward", path)
+        raise FileNotFoundError(f"no such file of rewards: {path}")
+    spec = importlib.util.spec_from_file_location("rewards_of_a_file", path)
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
     if not hasattr(module, name):
-        raise AttributeError(f"Reward function '{name}' not found in '{path}'.")
-    return getattr(module, name)
+        raise AttributeError(f"{path} has no function {name}")
+    return partial(getattr(module, name), **given) if given else getattr(module, name)

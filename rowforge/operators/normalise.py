@@ -96,6 +96,22 @@ def option_answer(choices: Column | str, letter: Column | str) -> Column:
     return F.try_element_at(F.filter(choices, lambda c: F.startswith(c, F.concat(F.lit("("), F.col(letter) if isinstance(letter, str) else letter, F.lit(")")))), F.lit(1))
 
 
+#: Fixed value: the subtask whose entries are used.
+REMOTE_SENSING = "Remote Sensing"
+
+
+def subtask_choices(entries: DataFrame, files: DataFrame, subtask: str = REMOTE_SENSING) -> DataFrame:
+    """Entries (Subtask, Image, Text, `Answer choices`, `Ground truth`) of one subtask as chat rows (image, messages); those without a file go.
+
+    files: name (as in Image), path. The answer is the letter and the first option that starts with it in brackets, or the letter alone.
+    """
+    mine = entries.where(F.col("Subtask") == subtask).join(files.select(F.col("name").alias("Image"), "path"), "Image")
+    asked = F.concat(F.lit("[MCQ] "), F.col("Text"), F.lit("\n"), F.array_join("Answer choices", "\n"))
+    option = option_answer("Answer choices", "Ground truth")
+    answer = F.when(option.isNotNull(), F.concat("Ground truth", F.lit(". "), option)).otherwise(F.col("Ground truth"))
+    return mine.select(F.col("Image").alias("image"), chat_row(F.col("path"), asked, answer).alias("messages"))
+
+
 def mcq_source(df: DataFrame) -> DataFrame:
     """image_path, question, options (four, labels stripped), answer letter; legacy rows hold the options in the question."""
     lines = F.filter(F.split("question", "\n"), lambda s: s.rlike(r"^\s*\(?[A-D][.)]"))

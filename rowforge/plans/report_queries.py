@@ -60,3 +60,35 @@ def _(t):
 def _(t):
     got = R.dataset_report(R.protocol_report(_samples(t)))
     return got.withColumns({c: F.round(c, 9) for c in ("micro_accuracy", "macro_accuracy")})
+
+
+@query(
+    "u2_task_report",
+    f"""WITH {_SAMPLES_SQL}, t AS (SELECT *, say = 0 AS same FROM s)
+       SELECT 'open_vqa' AS task_type, 'strict_accuracy' AS metric, 'accuracy' AS name, round(avg(CAST(same AS INTEGER)), 9) AS value FROM t WHERE task = 2
+       UNION ALL SELECT 'single_choice', 'letter_accuracy', unnest(['accuracy', 'n']), round(unnest([avg(CASE WHEN say = 2 THEN 0 ELSE CAST(say = odd AS INTEGER) END), count(*)]), 9) FROM t WHERE task < 2
+       UNION ALL SELECT 'caption', 'bleu', unnest(['bleu_1', 'bleu_2', 'bleu_3', 'bleu_4']), round(avg(CAST(same AS INTEGER)), 9) FROM t WHERE task = 4
+       UNION ALL SELECT 'caption', 'rouge_l', 'rouge_l', round(avg(CAST(same AS INTEGER)), 9) FROM t WHERE task = 4
+       UNION ALL SELECT 'bbox', 'referring', unnest(['mean_iou', 'acc_50', 'acc_70']), round(avg(iou), 9) FROM t WHERE task = 3""",
+)
+def _(t):
+    from rowforge.functions import registry as U
+
+    rows = _samples(t)
+    answer = F.array(F.element_at("answer_labels", 1))
+    rows = rows.withColumn("references", F.when(F.col("task_type") == "single_choice", answer).otherwise(F.col("references")))
+    tasks = U.TASK_METRICS | {"caption": ["bleu", "rouge_l"]}
+    return U.task_report(rows, tasks).withColumn("value", F.round("value", 9))
+
+
+@query("t26_by_source", r"SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN length(text) % 2 = 0 THEN 1.0 ELSE 0.0 END ELSE CASE WHEN length(text) % 5 = 0 THEN 1.0 ELSE 0.0 END END AS reward FROM conversations")
+def _(t):
+    """Turns of three sources, each scored by its own reward: a boxed answer, a letter and a number after four marks."""
+    from rowforge.functions import registry as U
+
+    n, source = F.char_length("text"), F.element_at(F.array(*map(F.lit, ["math", "choice", "number"])), (F.col("turn") % 3 + 1).cast("int"))
+    text = lambda c: c.cast("string")
+    said = F.when(source == "math", F.concat(F.lit("\\boxed{"), text(n), F.lit("/7}"))).when(source == "choice", F.when(n % 2 == 0, "(B) it is").otherwise("(C) it is")).otherwise(F.concat(F.lit("so #### "), text(n % 5)))
+    right = F.when(source == "math", F.concat(F.lit("\\frac{"), text(n), F.lit("}{7}"))).when(source == "choice", "B").otherwise("0")
+    rows = t("conversations").select("conv_id", "turn", source.alias("source"), said.alias("prediction"), right.alias("reference"))
+    return U.by_source(rows, "source", {"math": "boxed", "choice": "accuracy", "number": "gsm8k"}).select("conv_id", "turn", "reward")

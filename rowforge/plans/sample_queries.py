@@ -525,6 +525,60 @@ def _(t):
     return table.groupBy("n_nationkey").agg(F.count("*").alias("n"))
 
 
+@query("s7_arrow_shards", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 3 AND n_name IS NOT NULL")
+def _(t):
+    """Nations as Arrow shards, read a record batch at a time with two of their columns and a filter."""
+    from rowforge.sources import arrow
+
+    path = scratch(t)
+    arrow.write_arrow(t("nation").repartition(3, "n_nationkey"), path, batch_rows=4)
+    return arrow.arrow_shards(t("nation").sparkSession, path, ["n_nationkey", "n_name"]).where("n_nationkey >= 3 AND n_name IS NOT NULL").select("n_nationkey", "n_name")
+
+
+@query("s10_blobs", "SELECT octet_length(encode(text)) AS n_bytes, sha256(text) AS sha256, count(*) AS n FROM benchmark WHERE octet_length(encode(text)) IN (SELECT octet_length(encode(text)) FROM benchmark WHERE CAST(regexp_extract(CAST(item_id AS VARCHAR), '[0-9]+$') AS INTEGER) % 2 = 0) GROUP BY ALL")
+def _(t):
+    """Texts as nested binary cells of Arrow shards; only those of wanted lengths are hashed."""
+    from rowforge.sources import arrow, readers
+
+    path = scratch(t)
+    b = t("benchmark").select("item_id", F.col("text").cast("binary").alias("content"))
+    arrow.write_arrow(b.groupBy((F.crc32(F.col("item_id").cast("string")) % 5).alias("k")).agg(F.collect_list("content").alias("cells")), path)
+    sizes = b.where(F.regexp_extract(F.col("item_id").cast("string"), "[0-9]+$", 0).cast("int") % 2 == 0).select(F.octet_length("content").alias("n_bytes"))
+    cells = arrow.arrow_shards(b.sparkSession, path, ["cells"])
+    return readers.blobs(cells, "cells", sizes).groupBy("n_bytes", "sha256").agg(F.count("*").alias("n"))
+
+
+@query("s12_prompts_within", "WITH p AS (SELECT conv_id, sum(length(role) + length(text) + 2) + 10 AS n, count(*) FILTER (WHERE text IS NULL OR role IS NULL) AS gone FROM conversations GROUP BY 1) SELECT conv_id FROM p WHERE gone = 0 AND n <= 400")
+def _(t):
+    from rowforge.sources import readers
+
+    rows = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("prompt"))
+    return readers.within_prompt_length(rows, "prompt", 400).select("conv_id")
+
+
+@query("k5_repeated", "SELECT r_regionkey, r_name, n FROM region, (SELECT unnest([1, 2, 3]) AS n)")
+def _(t):
+    from rowforge.sources import writers
+
+    path = scratch(t)
+    writers.parquet(t("region").select("r_regionkey", "r_name"), path, "r_regionkey int, r_name string", repeat=3)
+    back = t("region").sparkSession.read.parquet(path)
+    return back.groupBy("r_regionkey", "r_name").agg(F.count("*").alias("n")).select("r_regionkey", "r_name", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("n"))
+
+
+@query("k10_coco_shards", "SELECT CAST(o_orderkey % 8 AS INTEGER) AS shard, count(DISTINCT o_orderkey) AS images, count(l_orderkey) AS annotations, CAST(5 AS INTEGER) AS categories, coalesce(sum(l_linenumber), 0)::BIGINT AS line_sum FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def _(t):
+    from rowforge.sources import writers
+
+    images = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("file_name"))
+    notes = t("lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("long").alias("category_id"))
+    docs = writers.coco_shards(images, notes, t("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")), 8)
+    doc = F.from_json("value", "images array<struct<id:bigint>>, annotations array<struct<category_id:bigint>>, categories array<struct<id:int>>")
+    d = docs.select("shard", doc.alias("d"))
+    total = F.aggregate("d.annotations", F.lit(0).cast("bigint"), lambda s, x: s + x["category_id"])
+    return d.select("shard", F.size("d.images").cast("long").alias("images"), F.size("d.annotations").cast("long").alias("annotations"), F.size("d.categories").alias("categories"), total.alias("line_sum"))
+
+
 @query("s16_file_index", "SELECT DISTINCT 'r_regionkey=' || r_regionkey AS folder FROM region")
 def _(t):
     from rowforge.sources import readers

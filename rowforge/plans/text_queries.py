@@ -125,6 +125,27 @@ def _(t):
     return N.explode_references(refs.select("conv_id", F.transform("r", lambda x: x["text"]).alias("references"))).select("conv_id", F.col("reference_index").cast("long").alias("reference_index"), "reference")
 
 
+@query(
+    "p14_subtask_choices",
+    """SELECT p_partkey AS key, 'img/' || p_partkey || '.png' AS path, '[MCQ] ' || p_name || chr(10) || '(A) ' || p_brand || chr(10) || '(B) none' AS asked,
+       CASE p_partkey % 3 WHEN 0 THEN 'A. (A) ' || p_brand WHEN 1 THEN 'B. (B) none' ELSE 'E' END AS answer FROM part WHERE p_size % 2 = 0 AND p_partkey % 5 <> 0""",
+)
+def _(t):
+    p, k = t("part"), F.col("p_partkey")
+    entries = p.select(
+        F.when(F.col("p_size") % 2 == 0, N.REMOTE_SENSING).otherwise("Monitoring").alias("Subtask"), k.cast("string").alias("Image"), F.col("p_name").alias("Text"),
+        F.array(F.concat(F.lit("(A) "), "p_brand"), F.lit("(B) none")).alias("Answer choices"), F.element_at(F.array(*map(F.lit, "ABE")), (k % 3 + 1).cast("int")).alias("Ground truth"),
+    )
+    files = p.where("p_partkey % 5 <> 0").select(k.cast("string").alias("name"), F.concat(F.lit("img/"), k.cast("string"), F.lit(".png")).alias("path"))
+    turn = lambda i, j: F.col("messages")[i]["content"][j]
+    return N.subtask_choices(entries, files).select(F.col("image").cast("long").alias("key"), turn(0, 0)["image"].alias("path"), turn(0, 1)["text"].alias("asked"), turn(1, 0)["text"].alias("answer"))
+
+
+@query("p27_question_prefix", "SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN 'unknown' ELSE array_to_string(w[1:3], ' ') END AS prefix FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations)")
+def _(t):
+    return t("conversations").select("conv_id", "turn", X.question_prefix("text").alias("prefix"))
+
+
 @query(
     "u10_synthetic_mcq",
     r"""WITH pool AS (SELECT DISTINCT p_type AS o, lower(regexp_replace(trim(regexp_replace(p_type, '\s+', ' ', 'g')), ' +', ' ', 'g')) AS folded FROM part WHERE p_type IS NOT NULL),

@@ -270,3 +270,36 @@ def _(t):
     rows = t("part").select("p_partkey", _rectangle(s % 7, s % 3, 6, 5).alias("a"), F.array(x, y, x + 6, y, x + 6, y + 5, x, y + 5).alias("points"))
     got = rows.withColumn("b", K.polygon_runs("points", F.lit(12), F.lit(16))).select("p_partkey", K.mask_measures("a", "b", F.lit(12), F.lit(16)).alias("m"))
     return got.select("p_partkey", F.col("m.area_b").alias("area"), "m.inter")
+
+
+#: Parts as images with one truth and a prediction that is moved to the right, so that the overlap is known.
+_MOVED_SQL = "m AS (SELECT p_partkey, 10.0 + p_size AS w, p_partkey % 9 AS a, p_partkey % 4 AS b FROM part), l AS (SELECT round(0.5 + 0.05 * unnest(generate_series(0, 9)), 2) AS level)"
+
+
+def _moved(t, by: int):
+    w, x = F.col("p_size") + 10.0, (F.col("p_partkey") % by).cast("double")
+    return t("part").select(F.col("p_partkey").alias("image"), F.array(F.lit(0.0), F.lit(0.0), w, F.lit(10.0)).alias("truth"), F.array(x, F.lit(0.0), x + w, F.lit(10.0)).alias("box"), F.lit(0.9).alias("score"))
+
+
+@query("v4_moved_boxes", f"WITH {_MOVED_SQL} SELECT p_partkey AS image, CAST(level AS DOUBLE) AS level, CAST((w - a) / (w + a) >= level AS BIGINT) AS tp, CAST((w - a) / (w + a) < level AS BIGINT) AS fp, CAST((w - a) / (w + a) < level AS BIGINT) AS fn FROM m, l")
+def _(t):
+    rows = _moved(t, 9)
+    return V.cgf1_images(rows.select("image", F.col("truth").alias("box")), rows.select("image", "box", "score"), "image").select("image", "level", "tp", "fp", "fn")
+
+
+@query("v6_moved_boxes", f"WITH {_MOVED_SQL}, f AS (SELECT p_partkey, avg(CAST((w - a) / (w + a) >= level AS INTEGER)) AS fa, avg(CAST((w - b) / (w + b) >= level AS INTEGER)) AS fb FROM m, l GROUP BY 1) SELECT p_partkey AS image, CASE WHEN fa >= fb THEN 'a' ELSE 'b' END AS annotator FROM f")
+def _(t):
+    per = [V.cgf1_images(r.select("image", F.col("truth").alias("box")), r.select("image", "box", "score"), "image").withColumn("annotator", F.lit(n)) for n, r in (("a", _moved(t, 9)), ("b", _moved(t, 4)))]
+    return V.oracle_best(per[0].unionByName(per[1]), "image", "annotator").select("image", "annotator").distinct()
+
+
+@query(
+    "v3_rectangles",
+    """WITH RECURSIVE r AS (SELECT p_partkey % 200 AS g, CAST(p_partkey AS BIGINT) AS id, p_retailprice AS score, p_size % 7 AS x, p_partkey // 200 % 4 AS y, least(16, p_size % 7 + 6) - p_size % 7 AS w FROM part),
+       c AS (SELECT l.g, l.id AS a, r.id AS b FROM r l JOIN r ON l.g = r.g AND l.id < r.id WHERE greatest(0, least(l.x + l.w, r.x + r.w) - greatest(l.x, r.x)) * greatest(0, least(l.y, r.y) + 5 - greatest(l.y, r.y)) / (5 * least(l.w, r.w)) > 0.6), """
+    + _greedy_sql("g", "SELECT * FROM c", "SELECT g, id, score FROM r").replace("c AS (SELECT * FROM c), ", "", 1) + " SELECT g, id FROM s",
+)
+def _(t):
+    p, s = F.col("p_partkey"), F.col("p_size")
+    rows = t("part").select((p % 200).alias("g"), p.alias("id"), F.col("p_retailprice").alias("score"), _rectangle(s % 7, F.floor(p / 200) % 4, 6, 5).alias("counts"), F.lit(12).alias("h"), F.lit(16).alias("w"))
+    return V.remove_overlaps(rows, ["g"], "id", "score", "counts", "h", "w", 0.6).select("g", "id")

@@ -152,3 +152,42 @@ def arrow_shards(spark: SparkSession, folder: str, columns: list[str] | None = N
     spark.dataSource.register(ArrowShards)
     reader = spark.read.format("arrow_shards").option("suffix", suffix)
     return (reader.option("columns", ",".join(columns)) if columns else reader).load(folder)
+
+
+def write_arrow(df: DataFrame, folder: str, batch_rows: int = ROWS) -> DataFrame:
+    """Write df as Arrow file shards, one a task and non-empty partition, and return (shard, rows) of what was written.
+
+    A shard is written under a hidden name and then renamed, so a task that runs again, or ends early, leaves no half shard under a shard's name.
+    Executors must be able to write to the folder.
+    """
+    kind = to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyspark import TaskContext
+
+        if folder.startswith("/") or folder.startswith("file:"):
+            store, inside = fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+        else:
+            store, inside = fs.FileSystem.from_uri(folder)
+        name = f"part-{TaskContext.get().partitionId():05d}.arrow"
+        hidden, rows, out = f"{inside}/.{name}-{uuid.uuid4().hex}", 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if out is None:
+                store.create_dir(inside, recursive=True)
+                sink = store.open_output_stream(hidden)
+                out = pa.ipc.new_file(sink, kind)
+            for part in pa.Table.from_batches([b]).cast(kind).to_batches(max_chunksize=batch_rows):
+                out.write_batch(part)
+            rows += b.num_rows
+        if out is not None:
+            out.close()
+            sink.close()
+            store.move(hidden, f"{inside}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int64())], names=["shard", "rows"])
+
+    written = df.mapInArrow(run, "shard string, rows long")
+    return df.sparkSession.createDataFrame(written.collect(), "shard string, rows long")  # a row a task

@@ -58,6 +58,16 @@ def parquet(spark: SparkSession, paths: list[str], columns: list[str] | None = N
     return df.orderBy(F.xxhash64(F.lit(seed), identity), identity).limit(most) if seed is not None else df.orderBy(identity).limit(most)
 
 
+def within_prompt_length(df: DataFrame, prompt: str, most: int, length=F.char_length) -> DataFrame:
+    """Rows whose prompt (role, content), as a chat text with the opening of an answer, is no longer than `most`.
+
+    length: of a text column; characters by default, a tokenizer's count where one is given. A null prompt or content can't be measured, so its row goes.
+    """
+    turns = F.transform(prompt, lambda m: F.concat(m["role"], F.lit(chr(10)), m["content"], F.lit(chr(10))))
+    whole = F.when(~F.exists(turns, lambda x: x.isNull()), F.concat(F.array_join(turns, ""), F.lit("assistant\n")))
+    return df.where(F.coalesce(length(whole) <= most, F.lit(False)))
+
+
 def arrow_ipc(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
     """Arrow stream or file shards, read on executors from Spark's own binary scan, with the row's place in its shard."""
     import io

@@ -33,10 +33,13 @@ def replace(df: DataFrame, path: str, fmt: str = "parquet", empty_is_error: bool
         fs.delete(staged, True)
 
 
-def parquet(df: DataFrame, path: str, schema: str | None = None, mode: str = "errorifexists") -> None:
-    """Zstandard Parquet, cast to a declared nested schema if given (K4, K5)."""
+def parquet(df: DataFrame, path: str, schema: str | None = None, mode: str = "errorifexists", repeat: int = 1) -> None:
+    """Zstandard Parquet, cast to a declared nested schema if given, each row `repeat` times (K4, K5)."""
     from pyspark.sql import types as T
 
+    if repeat != 1:
+        df = df.select("*", F.explode(F.array_repeat(F.lit(0), repeat)).alias("__again")).drop("__again")
+
     if schema is not None:
         want = T.StructType.fromDDL(schema)
         df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in want.fields])
@@ -70,6 +73,23 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFra
     return doc.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value"))
 
 
+def coco_shards(images: DataFrame, annotations: DataFrame, categories: DataFrame, shards: int, folder: str | None = None) -> DataFrame:
+    """(shard, value): a COCO document for each of `shards` parts of the images, dealt by id, with their annotations and all categories.
+
+    With a folder, each is also a text file of its own below it. One document is one row, so `shards` bounds what a task holds; annotations of no image go.
+    """
+    shard = lambda c: F.pmod(F.col(c), F.lit(shards)).cast("int").alias("shard")
+    part = lambda d, key, n: d.groupBy(shard(key)).agg(F.array_sort(F.collect_list(F.struct(*d.columns))).alias(n))
+    known = annotations.join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi").select(*annotations.columns)
+    all_ = categories.agg(F.array_sort(F.collect_list(F.struct(*categories.columns))).alias("categories"))  # one row
+    none = F.array().cast(f"array<{known.select(F.struct(*known.columns).alias('x')).schema['x'].dataType.simpleString()}>")
+    doc = part(images, "id", "images").join(part(known, "image_id", "annotations"), "shard", "left").crossJoin(F.broadcast(all_))
+    out = doc.select("shard", F.to_json(F.struct("images", F.coalesce("annotations", none).alias("annotations"), "categories")).alias("value"))
+    if folder is not None:
+        out.write.mode("errorifexists").partitionBy("shard").text(folder)
+    return out
+
+
 def append_attempts(df: DataFrame, path: str) -> None:
     """Rows added to an attempts log."""
     df.write.mode("append").json(path)

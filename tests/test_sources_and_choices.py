@@ -52,3 +52,17 @@ def test_large_pools(spark):
     got = N.synthetic_mcq(df, "id", "question", "answer", 1)
     row = got.agg(F.count("*"), F.min(F.size("options")), F.count("label")).first()
     assert tuple(row) == (200_000, 4, 200_000)
+
+
+def test_rewards_of_a_file(tmp_path):
+    import pytest
+
+    from rowforge.functions import registry
+
+    path = tmp_path / "mine.py"
+    path.write_text("def scaled(prediction, reference, by=1):\n    return (prediction, reference, by)\n")
+    assert registry.load_reward(str(path), "scaled")(1, 2) == (1, 2, 1) and registry.load_reward(str(path), "scaled", by=5)(1, 2) == (1, 2, 5)
+    with pytest.raises(FileNotFoundError, match="no such file"):
+        registry.load_reward(str(tmp_path / "none.py"), "scaled")
+    with pytest.raises(AttributeError, match="has no function"):
+        registry.load_reward(str(path), "other")
