@@ -244,15 +244,10 @@ def bin_order(groups: list[list[int]], weights: list[int]) -> list[list[int]]:
 
 
 def balanced(df: DataFrame, identity: str, weight: str, parts: int, method: str = "kk", most_rows: int = 100_000) -> DataFrame:
-    """df with `part` of a balanced partition of one batch (W12). A batch is bounded; a larger table is refused."""
-    rows = df.select(identity, weight).orderBy(identity).limit(most_rows + 1).collect()
-    if len(rows) > most_rows:
+    """df with `part` of a balanced partition of one batch (W12). A batch is planned in one task, so a larger table is refused; see balanced_batches."""
+    if df.limit(most_rows + 1).count() > most_rows:
         raise ValueError(f"a batch has no more than {most_rows} rows; deal the table into batches first")
-    w = [int(r[1]) for r in rows]
-    groups = karmarkar_karp(w, parts) if method == "kk" else greedy_partition(w, parts)
-    pairs = [(rows[i][0], k) for k, g in enumerate(groups) for i in g]
-    plan = df.sparkSession.createDataFrame(pairs, f"{identity} {df.schema[identity].dataType.simpleString()}, part int")
-    return df.join(F.broadcast(plan), identity)
+    return balanced_batches(df.withColumn("__batch", F.lit(0)), "__batch", identity, weight, parts, method).select(*df.columns, "part")
 
 
 def imbalance(df: DataFrame, part: str, weight: str) -> DataFrame:

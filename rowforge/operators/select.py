@@ -76,10 +76,12 @@ def coverage_sample(df: DataFrame, identity: str, group: str, rate: float, seed:
 
 
 def exact_stratified(df: DataFrame, identity: str, group: str, size: int, seed: int) -> DataFrame:
-    """One row of each group, then others by a second hash until there are `size`."""
-    first = F.row_number().over(_w(group).orderBy(rank_key(seed, identity), identity))
-    ranked = df.withColumn("__one", (first != 1).cast("int"))
-    return ranked.orderBy("__one", namespaced_key(seed, "fill", identity), identity).limit(size).drop("__one")
+    """One row of each group, then others by a second hash until there are `size` (A19). Ids are distinct; no task holds a group or the sample."""
+    least = F.min(F.struct(rank_key(seed, identity).alias("k"), F.col(identity).alias("i")))
+    first = df.groupBy(group).agg(least.alias("m")).select(F.col("m.i").alias(identity), F.lit("0").alias("__one"))
+    marked = df.join(first, identity, "left").select(*df.columns, F.coalesce("__one", F.lit("1")).alias("__one"))
+    digest = F.concat("__one", namespaced_key(seed, "fill", identity))
+    return global_rank(marked, digest, [identity], "__rank").where(F.col("__rank") <= size).select(*df.columns)
 
 
 def group_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
@@ -109,11 +111,12 @@ def global_rank(df: DataFrame, digest: Column, ties: list[str], out: str = "rank
     return rows.withColumn("__i", inside).join(F.broadcast(offsets), "__p").withColumn(out, F.col("__from") + F.col("__i")).drop("__d", "__p", "__n", "__from", "__i")
 
 
-def ordered_rank(df: DataFrame, order: list[str], out: str = "rank", bins: int = 64) -> DataFrame:
+def ordered_rank(df: DataFrame, order: list[str], out: str = "rank", bins: int | None = None) -> DataFrame:
     """1, 2, 3 ... in the order of columns, nulls first: ranges between `bins` rows chosen by hash, their offsets, then ranks within each.
 
-    Any bounds give the same ranks; they only decide how evenly tasks share the rows.
+    Any bounds give the same ranks; they only decide how evenly tasks share the rows. By default there is one for a million rows, 64 at least and 1,024 at most.
     """
+    bins = max(64, min(1024, df.count() // 1_000_000)) if bins is None else bins
     few = df.select(*order).distinct().orderBy(F.xxhash64(*order), *order).limit(bins).collect()
     types = {f.name: f.dataType for f in df.schema.fields}
     row = F.struct(*order)
@@ -152,8 +155,9 @@ def split_summary(df: DataFrame, split: str, family: Column, flags: list[str]) -
 
 
 def seeded_sample(df: DataFrame, identity: str, k: int, seed: int, offset: int = 0) -> DataFrame:
-    """k rows in hash order, from an offset on."""
-    return df.orderBy(rank_key(seed, identity), identity).offset(offset).limit(k)
+    """k rows in hash order, from an offset on (A25); ranks by hash prefix, so no task holds the sample."""
+    ranked = global_rank(df, rank_key(seed, identity), [identity], "__rank")
+    return ranked.where((F.col("__rank") > offset) & (F.col("__rank") <= offset + k)).select(*df.columns)
 
 
 def ratio_mix(parts: dict[str, DataFrame], anchor: str, ratios: dict[str, float], identity: str, seed: int) -> DataFrame:
