@@ -9,7 +9,7 @@ SEGMENT bytes is counted segment by segment, so memory doesn't grow with texts o
 
 Defined cases: a null text or one without a letter gets `und` and score 0; with
 no training rows every text gets `und`; ties go to the language that sorts
-first; documents whose language is null train nothing; repeated rows each count; input columns named as a new one are replaced.
+first; documents whose language or, in op9, id is null train nothing, and a null id has a null held_out; repeated rows each count; input columns named as a new one are replaced.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ matches, or in the union of the passages that reach `threshold` for the declared
 best licence file of a directory speaks for it; a file that declares nothing takes the licence of
 its nearest ancestor directory that has one, found by joining directories with their ancestors (each directory once, not each file).
 
-Defined cases: null and empty texts declare nothing; a null path has no directory and inherits nothing; equal
+Defined cases: null and empty texts declare nothing; a null path has no directory and inherits nothing; in op6 a null source or language is a folder of its own and a null id a file of its name; equal
 cosines go to the template that stands first, equal licence files of a directory to the smaller path;
 repeated rows get the same result; an empty table gives no rows.
 """

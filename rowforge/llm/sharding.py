@@ -15,7 +15,7 @@ a dimension goes on by text hash, so they stay in one shard; only a group heavie
 it could not be balanced otherwise. A unit at the median goes to the side that leaves sizes nearer.
 
 Defined cases: a null text has size 1 (no bytes, plus 1); null source or language stands
-before all others; repeated rows are members of one group; fewer units than shards leave shards
+before all others; repeated rows are members of one group; rows that share one id are numbered in one bin; fewer units than shards leave shards
 empty; an empty table gives no rows; columns that bear the names used here are carried by the caller in one struct.
 """
 

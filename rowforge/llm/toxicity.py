@@ -13,7 +13,7 @@ pieces at random places go to the task, TRAIN_BYTES in all. Scoring covers every
 Defined cases: null and wordless texts are one empty window; with no labelled rows,
 or labels of one class only, every score is that class's smoothed rate; labels other
 than 0 and 1 are passed over; repeated rows get the same score; of rows that share an id, training reads the first by text, and a
-label that an id has twice counts once if it is the same; input columns named as a new one are replaced.
+label that an id has twice counts once if it is the same; in op3 a null id trains nothing and has a null held_out; input columns named as a new one are replaced.
 """
 
 from __future__ import annotations
