@@ -93,19 +93,40 @@ def _(t):
     return M.cider_proxy(_pairs(t))
 
 
-@query("m6_rouge_l")
+def rouge_sql(tokens: str) -> str:
+    """A row of the table of common subsequences for each token of the prediction."""
+    return f"""WITH RECURSIVE t AS (SELECT id, {tokens.replace("{}", "prediction")} AS a, {tokens.replace("{}", "reference")} AS b FROM {_PAIRS}),
+ g(id, i, row) AS (SELECT id, CAST(0 AS BIGINT), list_transform(b, lambda x: CAST(0 AS BIGINT)) FROM t
+   UNION ALL SELECT g.id, i + 1, list_reduce(generate_series(1, len(b)), lambda acc, j: list_append(acc, CASE WHEN b[j] = a[i + 1] THEN (CASE WHEN j > 1 THEN row[j - 1] ELSE 0 END) + 1 ELSE greatest(row[j], CASE WHEN j > 1 THEN acc[j - 1] ELSE 0 END) END), CAST([] AS BIGINT[])) FROM g JOIN t USING (id) WHERE i < len(a)),
+ l AS (SELECT id, coalesce(row[len(row)], 0) AS k FROM g QUALIFY i = max(i) OVER (PARTITION BY id))
+ SELECT id, round(CASE WHEN k = 0 THEN 0.0 ELSE 2 * (k / len(a)) * (k / len(b)) / (k / len(a) + k / len(b)) END, 9) AS score FROM l JOIN t USING (id)"""
+
+
+def _meteor_sql(tokens: str, backend: str) -> str:
+    """The k-th place of a word in the prediction goes with its k-th place in the reference."""
+    return f"""WITH t AS (SELECT id, {tokens.replace("{}", "prediction")} AS a, {tokens.replace("{}", "reference")} AS b FROM {_PAIRS}),
+ x AS (SELECT *, row_number() OVER (PARTITION BY id, w ORDER BY i) AS k FROM (SELECT id, unnest(a) AS w, unnest(generate_series(1, len(a))) AS i FROM t)), y AS (SELECT *, row_number() OVER (PARTITION BY id, w ORDER BY j) AS k FROM (SELECT id, unnest(b) AS w, unnest(generate_series(1, len(b))) AS j FROM t)),
+ p AS (SELECT id, i, j, i - lag(i) OVER o AS di, j - lag(j) OVER o AS dj FROM x JOIN y USING (id, w, k) WINDOW o AS (PARTITION BY id ORDER BY i)),
+ m AS (SELECT id, count(*) AS m, 1 + count(*) FILTER (WHERE di IS NOT NULL AND (di <> 1 OR dj <> 1)) AS chunks FROM p GROUP BY id)
+ SELECT id, round(CASE WHEN m IS NULL THEN 0.0 ELSE 10 * (m / len(a)) * (m / len(b)) / (m / len(b) + 9 * (m / len(a))) * (1 - 0.5 * pow(chunks / m, 3)) END, 9) AS score, '{backend}' AS backend FROM t LEFT JOIN m USING (id)"""
+
+
+@query("m6_rouge_l", rouge_sql(_TOK))
 def _(t):
-    return M.rouge_l(_pairs(t))
+    return M.rouge_l(_pairs(t)).withColumn("score", F.round("score", 9))
 
 
-@query("m8_meteor_exact")
+@query("m8_meteor_exact", _meteor_sql(_TOK, "exact"))
 def _(t):
-    return M.meteor(_pairs(t))
+    return M.meteor(_pairs(t)).withColumn("score", F.round("score", 9))
+
+
+_STEM = f"list_transform(list_transform(list_transform({_TOK}, lambda w: CASE WHEN regexp_matches(w, '(ss|us|is)$') THEN w ELSE regexp_replace(w, '([a-z][a-z][a-z])s$', '\\1') END), lambda w: regexp_replace(w, 'ie$', 'y')), lambda w: regexp_replace(w, '([a-z][a-z][a-z])(ing|ed|ly)$', '\\1'))"
 
 
-@query("m9_meteor_stem")
+@query("m9_meteor_stem", _meteor_sql(_STEM, "stem"))
 def _(t):
-    return M.meteor(_pairs(t), stem=True)
+    return M.meteor(_pairs(t), stem=True).withColumn("score", F.round("score", 9))
 
 
 def _consensus(weight: str, product: str, factor: str) -> str:

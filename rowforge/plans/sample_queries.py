@@ -21,7 +21,7 @@ from rowforge.operators import vision as D
 from rowforge.tables import shared_folder
 
 from .cases import _literal, cases
-from .metric_queries import _detections, _pairs
+from .metric_queries import _detections, _pairs, rouge_sql
 from .registry import query
 
 # --- scores (T7, T9, U6) -----------------------------------------------------------------------
@@ -345,9 +345,9 @@ def _(t):
 # --- captions, masks and boxes (M7, M15, V3, V4, V6, V9, V23) ----------------------------------
 
 
-@query("m7_project_rouge")
+@query("m7_project_rouge", rouge_sql(r"list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"))
 def _(t):
-    return M.rouge_l(_pairs(t), X.unicode_tokens)
+    return M.rouge_l(_pairs(t), X.unicode_tokens).withColumn("score", F.round("score", 9))
 
 
 @query("m15_identical_captions", "SELECT item_id AS id, 1.0 AS rouge FROM benchmark")
