@@ -55,13 +55,13 @@ def _greedy(table: pa.Table, ids: str) -> pa.Array:
     order = np.argsort(source, kind="stable")
     target, off = target[order], np.searchsorted(source[order], np.arange(len(node) + 1))
     gone = np.zeros(len(node), bool)
-    for k in np.lexsort((node, -score[first])):
+    for k in np.argsort(-score[first], kind="stable"):  # ids are in order, so ties go by id
         if not gone[k]:
             gone[target[off[k] : off[k + 1]]] = True
     return pa.array(node[gone])
 
 
-def _suppressed(conflicts: DataFrame, by: list[str]) -> DataFrame:
+def suppressed(conflicts: DataFrame, by: list[str]) -> DataFrame:
     """(by, id) of what a greedy choice in each group drops; groups without conflicts aren't looked at."""
     schema = T.StructType([*[conflicts.schema[c] for c in by], T.StructField("__t", conflicts.schema["a"].dataType)])
 
@@ -85,13 +85,13 @@ def suppress_tracks(rows: DataFrame, by: list[str], track: str, frame: str, box:
     scores come last; ties go by id; a null track or key meets nothing; an empty table stays empty. Conflicts of one video (`by`) go to one task.
     """
     conflicts = tube_overlaps(rows, by, track, frame, box, score).where(F.col("iou") >= limit)
-    return _without(rows, _suppressed(conflicts, by), by, track, box)
+    return _without(rows, suppressed(conflicts, by), by, track, box)
 
 
 def suppress_frames(rows: DataFrame, by: list[str], track: str, frame: str, box: str, score: str, limit: float) -> DataFrame:
     """As suppress_tracks, but each frame by itself: a track may lose some of its boxes and keep others (V2)."""
     conflicts = frame_pairs(rows, by, track, frame, box, score).where((F.col("union") > 0) & (F.col("inter") / F.col("union") >= limit))
-    return _without(rows, _suppressed(conflicts, [*by, frame]), [*by, frame], track, box)
+    return _without(rows, suppressed(conflicts, [*by, frame]), [*by, frame], track, box)
 
 
 # --- COCO average precision and recall (V7) ----------------------------------------------------

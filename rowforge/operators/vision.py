@@ -6,6 +6,8 @@ or token group each; what aggregates them is plain DataFrame code.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -246,14 +248,23 @@ def sparse_logprobs(text: Column | str, k: int) -> Column:
 
 
 def nms(df: DataFrame, by: list[str], identity: str, score: str, box: str, limit: float, at_limit: bool = True) -> DataFrame:
-    """Rows kept of each group by greedy suppression, highest score first, ties by id."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, identity], ascending=[False, True])
-        b = np.stack(rows[box].to_list()).astype(float)
-        return rows.iloc[greedy_suppress(iou_matrix(b, b), np.arange(len(rows)), limit, at_limit)]
+    """Rows kept of each group by greedy suppression, highest score first, ties by id (V1).
 
-    return spread(df, *by).groupBy(*by).applyInPandas(one, df.schema)
+    Pairs over the limit come from a join by group, which may share a group between tasks; only those pairs go to Python, a group at a time.
+    Ids are distinct within a group; a null box or key meets nothing and stays.
+    """
+    from .detection import suppressed
+
+    x = df.where(F.size(box) >= 4).select(*by, F.col(identity).alias("__t"), F.col(score).cast("double").alias("__s"), F.col(box).alias("__b"))
+    l, r = x.alias("l"), x.alias("r")  # noqa: E741
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in by], F.col("l.__t") < F.col("r.__t"))
+    at = lambda side, k: F.col(f"{side}.__b")[k]
+    side = lambda k: F.greatest(F.lit(0.0), F.least(at("l", k + 2), at("r", k + 2)) - F.greatest(at("l", k), at("r", k)))
+    area = lambda s: (at(s, 2) - at(s, 0)) * (at(s, 3) - at(s, 1))
+    inter = side(0) * side(1)
+    iou = F.coalesce(F.try_divide(inter, area("l") + area("r") - inter), F.lit(0.0))
+    pairs = l.join(r, same).where(iou >= limit if at_limit else iou > limit).select(*[F.col(f"l.{c}").alias(c) for c in by], F.col("l.__t").alias("a"), F.col("r.__t").alias("b"), F.col("l.__s").alias("score_a"), F.col("r.__s").alias("score_b"))
+    return df.join(suppressed(pairs, by).withColumnRenamed("__t", identity), [*by, identity], "left_anti").select(*df.columns)
 
 
 def tube_iou(df: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
