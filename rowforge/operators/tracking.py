@@ -1,102 +1,22 @@
 """Tracking every thing everywhere: localisation, association and classification scores from detections.
 
 Tracks of all classes are matched to the truths of each class, so a right track with a wrong class still counts as localised and
-associated. A group is one sequence and class: its truths, and the detections that overlap one of them or are of that class.
+associated. A group is one sequence and class: its truths, and the detections that overlap one of them or are of that class. Frames are
+matched in batches; all sums over a group are Spark's.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from .vision import ALPHAS, assign, spread
-
-COUNTS = ["loc_tp", "loc_fn", "loc_fp", "ass_sum", "ass_re_sum", "ass_pr_sum", "cls_tp", "cls_fn", "cls_fp"]
-_EPS = np.finfo(float).eps
-
-
-def frames_of(gt: tuple, tr: tuple, sim: tuple) -> list[tuple]:
-    """(truth places, track places, similarities) of each frame, in order; gt and tr are (frame, id), sim is (frame, truth id, track id, value).
 
-    Places are those of the sorted ids, which come first: ids of truths, ids of tracks.
-    """
-    g_ids, g = np.unique(gt[1], return_inverse=True)
-    r_ids, r = np.unique(tr[1], return_inverse=True)
-    s_g, s_r = np.searchsorted(g_ids, sim[1]), np.searchsorted(r_ids, sim[2])
-    by = lambda t: {f: np.flatnonzero(t == f) for f in np.unique(t)}
-    gs, rs, ss = by(gt[0]), by(tr[0]), by(sim[0])
-    none = np.zeros(0, int)
-    out = [(g_ids, r_ids)]
-    for f in sorted(set(gs) | set(rs)):
-        a, b = g[gs.get(f, none)], r[rs.get(f, none)]
-        m = np.zeros((len(a), len(b)))
-        if f in ss:
-            k = ss[f]
-            place_a, place_b = (np.full(len(ids), -1) for ids in (g_ids, r_ids))
-            place_a[a], place_b[b] = np.arange(len(a)), np.arange(len(b))
-            m[place_a[s_g[k]], place_b[s_r[k]]] = sim[3][k]
-        out.append((f, a, b, m))
-    return out
-
-
-def alignment(frames: list[tuple], n_gt: int, n_tr: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How well truths and tracks go together over all frames, and in how many frames each is."""
-    both, gc, rc = np.zeros((n_gt, n_tr)), np.zeros(n_gt), np.zeros(n_tr)
-    for _, a, b, m in frames:
-        gc[a] += 1
-        rc[b] += 1
-        den = m.sum(0)[None, :] + m.sum(1)[:, None] - m
-        both[np.ix_(a, b)] += np.divide(m, den, out=np.zeros_like(m), where=den > _EPS)
-    whole = gc[:, None] + rc[None, :] - both
-    return np.divide(both, whole, out=np.zeros_like(both), where=whole > 0), gc, rc
+from rowforge.tables import written
 
+from .vision import ALPHAS, alphas_reached, matched_tracks, track_frames
 
-def _score(rows: pa.Table, cls, exhaustive: bool) -> dict:
-    """{class: (alpha, COUNTS)} of one sequence and class; wrong classes of matched tracks are false ones of those classes."""
-    kind = rows["kind"].to_numpy()
-    col = lambda c, k: rows[c].to_numpy(zero_copy_only=False)[kind == k]
-    out = {cls: np.zeros((len(ALPHAS), len(COUNTS)))}
-    own = out[cls]
-    at = {c: i for i, c in enumerate(COUNTS)}
-    hard = np.array(ALPHAS) >= 0.5
-    g, r = (col("t", 0), col("gt_id", 0)), (col("t", 1), col("tr_id", 1))
-    over, named = col("over", 1).astype(bool), col("tr_cls", 1)
-    wide = int((over | (named == cls)).sum())
-    if not over.any() or not len(g[0]):
-        own[:, at["loc_fn"]] = len(g[0])
-        if exhaustive:
-            own[hard, at["cls_fp"]] = wide
-        return out
-    (g_ids, r_ids), *frames = frames_of(g, r, (col("t", 2), col("gt_id", 2), col("tr_id", 2), col("sim", 2).astype(float)))
-    align, gc, rc = alignment(frames, len(g_ids), len(r_ids))
-    place = {(t, i): k for k, (t, i) in enumerate(zip(*r, strict=True))}
-    hits = np.zeros((len(ALPHAS), len(g_ids), len(r_ids)))
-    for t, a, b, m in frames:
-        k = np.array([place[t, r_ids[j]] for j in b], int)
-        if exhaustive:
-            own[hard, at["cls_fp"]] += int((~over[k]).sum()) if len(a) else len(k)
-        if not len(a):
-            continue
-        i, j = assign(-(align[np.ix_(a, b)] * m)) if len(b) else (np.zeros(0, int), np.zeros(0, int))
-        for x, alpha in enumerate(ALPHAS):
-            ok = m[i, j] >= alpha - _EPS
-            n, took = int(ok.sum()), k[j[ok]]
-            own[x, at["loc_tp"]] += n
-            own[x, at["loc_fn"]] += len(a) - n
-            own[x, at["loc_fp"]] += int(over[k].sum()) - int(over[took].sum())
-            hits[x][a[i[ok]], b[j[ok]]] += 1
-            if hard[x]:
-                right = int((named[took] == cls).sum())
-                own[x, at["cls_tp"]] += right
-                own[x, at["cls_fn"]] += n - right
-                for other in named[took][named[took] != cls]:
-                    out.setdefault(other, np.zeros_like(own))[x, at["cls_fp"]] += 1
-    for name, whole in (("ass_sum", gc[:, None] + rc[None, :] - hits), ("ass_re_sum", gc[:, None] + 0 * hits), ("ass_pr_sum", rc[None, :] + 0 * hits)):
-        own[:, at[name]] = (hits * hits / np.maximum(1, whole)).sum((1, 2))
-    return out
+COUNTS = ["loc_tp", "loc_fn", "loc_fp", "ass_sum", "ass_re_sum", "ass_pr_sum", "cls_tp", "cls_fn", "cls_fp"]
 
 
 def teta_counts(truths: DataFrame, tracks: DataFrame, similarities: DataFrame, seq: str, threshold: float = 0.5, exhaustive: bool = True) -> DataFrame:
@@ -113,24 +33,35 @@ def teta_counts(truths: DataFrame, tracks: DataFrame, similarities: DataFrame, s
     named = tracks.select(seq, "t", "tr_id", F.col("cls").alias("tr_cls"))
     seen = over.select(seq, "t", "tr_id", "cls").unionByName(tracks.select(seq, "t", "tr_id", "cls")).distinct().where("cls IS NOT NULL")
     dets = seen.join(over, [seq, "t", "tr_id", "cls"], "left").join(named, [seq, "t", "tr_id"])
-    null = lambda k: F.lit(None).cast(k)
-    long_, text, real = null("long"), null("string"), null("double")
-    rows = (
-        truths.where("cls IS NOT NULL").select(seq, "cls", F.lit(0).alias("kind"), "t", "gt_id", long_.alias("tr_id"), text.alias("tr_cls"), F.lit(False).alias("over"), real.alias("sim"))
-        .unionByName(dets.select(seq, "cls", F.lit(1).alias("kind"), "t", long_.alias("gt_id"), "tr_id", "tr_cls", F.coalesce("over", F.lit(False)).alias("over"), real.alias("sim")))
-        .unionByName(sims.join(seen, [seq, "t", "tr_id", "cls"]).select(seq, "cls", F.lit(2).alias("kind"), "t", "gt_id", "tr_id", text.alias("tr_cls"), F.lit(False).alias("over"), F.col("sim").cast("double").alias("sim")))
-    )
-    schema = T.StructType([T.StructField("cls", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("alpha", *COUNTS)]])
-
-    def one(key: tuple, table: pa.Table) -> pa.Table:
-        found = _score(table, key[1].as_py(), exhaustive)
-        names = [c for c in found for _ in ALPHAS]
-        values = np.concatenate(list(found.values()))
-        return pa.table([pa.array(names, pa.string()), pa.array(ALPHAS * len(found), pa.float64()), *[pa.array(values[:, i]) for i in range(len(COUNTS))]], names=schema.names)
-
-    per = spread(rows, seq, "cls").groupBy(seq, "cls").applyInArrow(one, schema)
-    classes = truths.select("cls").unionByName(tracks.select("cls")).distinct()
-    return per.join(classes, "cls", "left_semi").groupBy("cls", "alpha").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    group = [seq, "cls"]
+    g = truths.where("cls IS NOT NULL").select(seq, "cls", "t", "gt_id")
+    dets = written(dets.select(seq, "cls", "t", "tr_id", "tr_cls", F.coalesce("over", F.lit(False)).alias("over")), "teta-detections")
+    # where no detection overlaps a truth, none is matched
+    some = dets.where("over").select(*group).distinct()
+    met = matched_tracks(sims.join(dets, [seq, "t", "tr_id", "cls"]).join(some, group, "left_semi").select(*group, "t", "gt_id", "tr_id", "sim", "tr_cls", "over"), g, dets, group)
+    met = met.groupBy(*group, "gt_id", "tr_id", "tr_cls", "over", alphas_reached(F.col("sim")).alias("k")).agg(F.count("*").alias("n")).where("k > 0")
+    met = written(met.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).groupBy(*group, "gt_id", "tr_id", "tr_cls", "over", "k").agg(F.sum("n").alias("n")), "teta-matches")
+    alpha = F.element_at(F.array(*map(F.lit, ALPHAS)), F.col("k") + 1)
+    hard, right, n = alpha >= 0.5, F.col("tr_cls").eqNullSafe(F.col("cls")), F.col("n")
+    only = lambda c, x=n: F.when(c, x).otherwise(0)
+    none = F.lit(0).cast("double")
+
+    def part(rows: DataFrame, **values) -> DataFrame:
+        return rows.select("cls", "k", *[values.get(c, none).cast("double").alias(c) for c in COUNTS])
+
+    every = lambda rows: rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(ALPHAS) - 1))))
+    pairs = met.groupBy(*group, "gt_id", "tr_id", "k").agg(F.sum("n").alias("n")).join(track_frames(g, group, "gt_id", "gc"), [*group, "gt_id"]).join(track_frames(dets, group, "tr_id", "rc"), [*group, "tr_id"])
+    share = lambda whole: n * n / F.greatest(F.lit(1), whole)
+    wrong = met.where(hard & F.col("tr_cls").isNotNull() & ~right).select(F.col("tr_cls").alias("cls"), "k", "n")
+    sides = dets.groupBy("cls").agg(F.count_if("over").alias("over"), F.count_if(~F.col("over")).alias("beside"))
+    parts = [
+        part(every(g.groupBy("cls").agg(F.count("*").alias("n"))), loc_fn=n),
+        part(every(sides), loc_fp=F.col("over"), cls_fp=F.when(hard, F.col("beside")).otherwise(0) if exhaustive else none),
+        part(met, loc_tp=n, loc_fn=-n, loc_fp=only(F.col("over"), -n), cls_tp=only(hard & right), cls_fn=only(hard & ~right)),
+        part(wrong, cls_fp=n),
+        part(pairs, ass_sum=share(F.col("gc") + F.col("rc") - n), ass_re_sum=share(F.col("gc")), ass_pr_sum=share(F.col("rc"))),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("cls", "k").agg(*[F.sum(c).alias(c) for c in COUNTS]).select("cls", alpha.alias("alpha"), *COUNTS)
 
 
 def teta_scores(counts: DataFrame) -> DataFrame:

@@ -532,60 +532,89 @@ def average_precision_101(matches: DataFrame, n_truths: int, image: str, bins: i
 ALPHAS = [round(0.05 * i, 2) for i in range(1, 20)]
 
 
+_EPS = float(np.finfo(float).eps)
+
+
+def frame_places(frame: np.ndarray, ident: np.ndarray, frames: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's place among the sorted distinct ids of its frame, and how many ids a frame has."""
+    order = np.lexsort((ident, frame))
+    f, i = frame[order], ident[order]
+    new = np.concatenate([[True], (f[1:] != f[:-1]) | (i[1:] != i[:-1])]) if len(f) else np.zeros(0, bool)
+    n = np.bincount(f[new], minlength=frames)
+    place = np.zeros(len(f), int)
+    place[order] = np.cumsum(new) - 1 - (np.cumsum(n) - n)[f]
+    return place, n
+
+
+def same_keys(left: DataFrame, right: DataFrame, by: list[str], ids: list[str], how: str = "inner") -> DataFrame:
+    """A join on by (null keys meet) and ids."""
+    r = right.select(*[F.col(c).alias(f"__{c}") if c in [*by, *ids] else F.col(c) for c in right.columns])
+    on = reduce(lambda a, b: a & b, [*[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], *[F.col(c) == F.col(f"__{c}") for c in ids]])
+    return left.join(r, on, how).drop(*[f"__{c}" for c in [*by, *ids]])
+
+
+def track_frames(rows: DataFrame, by: list[str], ident: str, name: str) -> DataFrame:
+    """(by, id, name): in how many frames each id is."""
+    return rows.groupBy(*by, ident).agg(F.count("*").alias(name))
+
+
+def matched_tracks(similarities: DataFrame, truths: DataFrame, tracks: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of similarities that the best assignment of their frame takes: that with the greatest sum of alignment times similarity.
+
+    similarities: by, t, gt_id, tr_id, sim (zeros left out) and other columns, which go along; truths: by, t, gt_id; tracks: by, t, tr_id. How well a truth and a track
+    go together is summed over all frames by Spark; what Python gets are frames, a batch at once, so no task holds a sequence.
+    """
+    frame = [*by, "t"]
+    x = spread(similarities.withColumn("sim", F.col("sim").cast("double")), *frame)
+    den = F.sum("sim").over(Window.partitionBy(*frame, "gt_id")) + F.sum("sim").over(Window.partitionBy(*frame, "tr_id")) - F.col("sim")
+    both = x.select(*by, "gt_id", "tr_id", F.when(den > _EPS, F.col("sim") / den).otherwise(0.0).alias("__b")).groupBy(*by, "gt_id", "tr_id").agg(F.sum("__b").alias("__b"))
+    both = same_keys(same_keys(both, track_frames(truths, by, "gt_id", "__g"), by, ["gt_id"]), track_frames(tracks, by, "tr_id", "__r"), by, ["tr_id"])
+    align = both.select(*by, "gt_id", "tr_id", (F.col("__b") / F.greatest(F.col("__g") + F.col("__r") - F.col("__b"), F.lit(1e-12))).alias("__a"))
+    rest = [c for c in similarities.columns if c not in frame]
+    schema = T.StructType([x.schema[c] for c in [*frame, *rest]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column(len(frame)).value_lengths().to_numpy()
+            s = b.column(len(frame)).flatten()
+            f = np.repeat(np.arange(len(size)), size)
+            (i, n), (j, m) = (frame_places(f, s.field(c).to_numpy(zero_copy_only=False), len(size)) for c in ("gt_id", "tr_id"))
+            w, off = s.field("__w").to_numpy(zero_copy_only=False), np.cumsum(size) - size
+            took = np.zeros(len(f), bool)
+            for k in alike(n, m):
+                row = np.repeat(off[k], size[k]) + np.arange(size[k].sum()) - np.repeat(np.cumsum(size[k]) - size[k], size[k])
+                at = np.repeat(np.arange(len(k)), size[k])
+                cost = np.zeros((len(k), n[k].max(), m[k].max()))
+                cost[at, i[row], j[row]] = -w[row]
+                took[row] = assign_many(cost, n[k], m[k])[at, i[row]] == j[row]
+            got = np.flatnonzero(took)
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(f[got])) for c in range(len(frame))], *[s.field(c).take(pa.array(got)) for c in rest]], names=schema.names)
+
+    cells = same_keys(x, align, by, ["gt_id", "tr_id"]).withColumn("__w", F.col("__a") * F.col("sim"))
+    return spread(cells, *frame).groupBy(*frame).agg(F.collect_list(F.struct(*rest, "__w")).alias("__s")).mapInArrow(run, schema)
+
+
+def alphas_reached(sim: Column) -> Column:
+    """How many of ALPHAS, from the least on, a similarity reaches."""
+    return reduce(lambda a, b: a + b, [(sim >= al - _EPS).cast("int") for al in ALPHAS])
+
+
 def hota_sequences(similarities: DataFrame, truths: DataFrame, tracks: DataFrame, seq: str) -> DataFrame:
     """Per sequence and alpha: TP, FN, FP, AssA, LocA sums.
 
-    similarities: seq, t, gt_id, tr_id, sim (zeros left out); truths: seq, t, gt_id; tracks: seq, t, tr_id.
+    similarities: seq, t, gt_id, tr_id, sim (zeros left out); truths: seq, t, gt_id; tracks: seq, t, tr_id. Rows without a frame take no part.
     """
-    rows = (
-        truths.select(seq, "t", "gt_id", F.lit(None).cast("long").alias("tr_id"), F.lit(None).cast("double").alias("sim"))
-        .unionByName(tracks.select(seq, "t", F.lit(None).cast("long").alias("gt_id"), "tr_id", F.lit(None).cast("double").alias("sim")))
-        .unionByName(similarities.select(seq, "t", "gt_id", "tr_id", "sim"))
-    )
-    names = ["alpha", "tp", "fn", "fp", "loc_sum", "ass_sum"]
-    schema = T.StructType([rows.schema[seq], *[T.StructField(n, T.DoubleType()) for n in names]])
-
-    def one(key, d: pd.DataFrame) -> pd.DataFrame:
-        g, r, s = d[d.tr_id.isna()], d[d.gt_id.isna()], d[d.gt_id.notna() & d.tr_id.notna()]
-        gi, ri = {v: i for i, v in enumerate(sorted(g.gt_id.unique()))}, {v: i for i, v in enumerate(sorted(r.tr_id.unique()))}
-        gc, rc = np.zeros(len(gi)), np.zeros(len(ri))
-        both = np.zeros((len(gi), len(ri)))
-        frames = []
-        sims = {t: x for t, x in s.groupby("t")}
-        gts, trs = {t: x for t, x in g.groupby("t")}, {t: x for t, x in r.groupby("t")}
-        for t in sorted(set(gts) | set(trs)):
-            a = np.array([gi[v] for v in gts[t].gt_id]) if t in gts else np.zeros(0, int)
-            b = np.array([ri[v] for v in trs[t].tr_id]) if t in trs else np.zeros(0, int)
-            m = np.zeros((len(a), len(b)))
-            if t in sims:
-                pa_, pb = {v: i for i, v in enumerate(a)}, {v: i for i, v in enumerate(b)}
-                for gv, rv, sv in zip(sims[t].gt_id, sims[t].tr_id, sims[t].sim, strict=True):
-                    m[pa_[gi[gv]], pb[ri[rv]]] = sv
-            gc[a] += 1
-            rc[b] += 1
-            den = m.sum(0)[None, :] + m.sum(1)[:, None] - m
-            both[np.ix_(a, b)] += np.divide(m, den, out=np.zeros_like(m), where=den > np.finfo(float).eps)
-            frames.append((a, b, m))
-        align = both / np.maximum(gc[:, None] + rc[None, :] - both, 1e-12) if both.size else both
-        tp, fn, fp, loc = (np.zeros(len(ALPHAS)) for _ in range(4))
-        hits = [np.zeros_like(both) for _ in ALPHAS]
-        for a, b, m in frames:
-            i, j = assign(-(align[np.ix_(a, b)] * m)) if len(a) and len(b) else (np.zeros(0, int), np.zeros(0, int))
-            for k, al in enumerate(ALPHAS):
-                ok = m[i, j] >= al - np.finfo(float).eps
-                n = int(ok.sum())
-                tp[k] += n
-                fn[k] += len(a) - n
-                fp[k] += len(b) - n
-                loc[k] += m[i[ok], j[ok]].sum()
-                hits[k][a[i[ok]], b[j[ok]]] += 1
-        out = []
-        for k, al in enumerate(ALPHAS):
-            ass = hits[k] / np.maximum(1, gc[:, None] + rc[None, :] - hits[k]) if both.size else both
-            out.append((key[0], al, tp[k], fn[k], fp[k], loc[k], float((hits[k] * ass).sum())))
-        return pd.DataFrame(out, columns=[seq, *names])
-
-    return spread(rows, seq).groupBy(seq).applyInPandas(one, schema)
+    g, r, s = (x.where(F.col("t").isNotNull()) for x in (truths.select(seq, "t", "gt_id"), tracks.select(seq, "t", "tr_id"), similarities.select(seq, "t", "gt_id", "tr_id", "sim")))
+    met = matched_tracks(s, g, r, [seq]).groupBy(seq, "gt_id", "tr_id", alphas_reached(F.col("sim")).alias("k")).agg(F.count("*").alias("n"), F.sum("sim").alias("loc"))
+    met = met.where("k > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).groupBy(seq, "gt_id", "tr_id", "k").agg(F.sum("n").alias("n"), F.sum("loc").alias("loc"))
+    met = same_keys(same_keys(met, track_frames(g, [seq], "gt_id", "gc"), [seq], ["gt_id"]), track_frames(r, [seq], "tr_id", "rc"), [seq], ["tr_id"])
+    ass = F.col("n") * F.col("n") / F.greatest(F.lit(1), F.col("gc") + F.col("rc") - F.col("n"))
+    sums = met.groupBy(seq, "k").agg(F.sum("n").alias("tp"), F.sum("loc").alias("loc_sum"), F.sum(ass).alias("ass_sum"))
+    whole = g.select(seq, F.lit(1).alias("g"), F.lit(0).alias("r")).unionByName(r.select(seq, F.lit(0).alias("g"), F.lit(1).alias("r"))).groupBy(seq).agg(F.sum("g").alias("g"), F.sum("r").alias("r"))
+    grid = same_keys(whole.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(ALPHAS) - 1)))), sums, [seq], ["k"], "left")
+    of = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    alpha = F.element_at(F.array(*map(F.lit, ALPHAS)), F.col("k") + 1)
+    return grid.select(seq, alpha.alias("alpha"), of("tp").alias("tp"), (F.col("g") - of("tp")).alias("fn"), (F.col("r") - of("tp")).alias("fp"), of("loc_sum").alias("loc_sum"), of("ass_sum").alias("ass_sum"))
 
 
 def hota_combine(per_seq: DataFrame, by: list[str] | None = None) -> DataFrame:
