@@ -73,10 +73,23 @@ def coco_document(images: DataFrame, annotations: DataFrame, categories: DataFra
     return doc.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value"))
 
 
+def coco_shard_lines(images: DataFrame, annotations: DataFrame, categories: DataFrame, shards: int) -> DataFrame:
+    """(shard, section, value): the objects of a COCO document for each of `shards` parts of the images, dealt by id, a row each.
+
+    section: images, annotations or categories; value: the object as JSON. Each shard that has images has all categories; annotations of no image go. No row
+    holds a document, so a shard may be of any size.
+    """
+    shard = lambda c: F.pmod(F.col(c), F.lit(shards)).cast("int").alias("shard")
+    line = lambda d, of, n: d.select(of, F.lit(n).alias("section"), F.to_json(F.struct(*[c for c in d.columns if c != "__shard"])).alias("value"))
+    known = annotations.join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi").select(*annotations.columns)
+    seen = images.select(shard("id").alias("__shard")).distinct().crossJoin(F.broadcast(categories))
+    return line(images, shard("id"), "images").unionByName(line(known, shard("image_id"), "annotations")).unionByName(line(seen, F.col("__shard").alias("shard"), "categories"))
+
+
 def coco_shards(images: DataFrame, annotations: DataFrame, categories: DataFrame, shards: int, folder: str | None = None) -> DataFrame:
     """(shard, value): a COCO document for each of `shards` parts of the images, dealt by id, with their annotations and all categories.
 
-    With a folder, each is also a text file of its own below it. One document is one row, so `shards` bounds what a task holds; annotations of no image go.
+    With a folder, each is also a text file of its own below it. One document is one row, so `shards` bounds what a task holds (coco_shard_lines has a row an object); annotations of no image go.
     """
     shard = lambda c: F.pmod(F.col(c), F.lit(shards)).cast("int").alias("shard")
     part = lambda d, key, n: d.groupBy(shard(key)).agg(F.array_sort(F.collect_list(F.struct(*d.columns))).alias(n))
