@@ -386,15 +386,50 @@ def mask_iom(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.logical_and(a, b).sum() / least) if least else 0.0
 
 
+#: Masks that are held against those kept at a time.
+_MASK_ROWS = 512
+
+
+def kept_masks(flat: np.ndarray, limit: float) -> np.ndarray:
+    """Places kept of masks (mask, pixel), best first: one goes if its IoM with one kept before is over the limit. Work grows with masks times those kept."""
+    kept: list[int] = []
+    real = np.float32 if flat.shape[1] < 1 << 24 else np.float64  # counts are whole numbers that must stay exact
+    for lo in range(0, len(flat), _MASK_ROWS):
+        m = flat[lo : lo + _MASK_ROWS].astype(real)
+        size = m.sum(1)
+        free = np.ones(len(m), bool)
+        for k in range(0, len(kept), _MASK_ROWS):
+            other = flat[kept[k : k + _MASK_ROWS]].astype(real)
+            least = np.minimum(size[:, None], other.sum(1)[None, :]).astype(float)
+            free &= ~(np.divide(m @ other.T, least, out=np.zeros_like(least), where=least > 0) > limit).any(1)
+        at = np.flatnonzero(free)
+        least = np.minimum(size[at][:, None], size[at][None, :]).astype(float)
+        sim = np.divide(m[at] @ m[at].T, least, out=np.zeros_like(least), where=least > 0)
+        kept += (lo + at[greedy_suppress(sim, np.arange(len(at)), limit, at_limit=False)]).tolist()
+    return np.array(kept, int)
+
+
 def remove_overlaps(df: DataFrame, by: list[str], identity: str, score: str, counts: str, height: str, width: str, limit: float) -> DataFrame:
-    """Masks kept by greedy score order; one whose IoM with one kept is over the limit goes (V3)."""
+    """Masks kept by greedy score order; one whose IoM with one kept is over the limit goes (V3).
+
+    Of equal masks only the best can stay, so Spark picks it first, and a task gets the different masks of a group.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([score, identity], ascending=[False, True])
-        masks = [rle_decode(list(c), int(h), int(w)) for c, h, w in zip(rows[counts], rows[height], rows[width], strict=True)]
-        sim = np.array([[mask_iom(a, b) for b in masks] for a in masks]).reshape(len(masks), len(masks))
-        return rows.iloc[greedy_suppress(sim, np.arange(len(rows)), limit, at_limit=False)]
-
+        sizes = set(zip(rows[height], rows[width], strict=True))
+        if len(sizes) > 1:
+            raise ValueError("masks of a group have one size")
+        h, w = (int(x) for x in sizes.pop())
+        flat = np.stack([rle_decode(list(c), h, w).ravel(order="F") for c in rows[counts]])
+        return rows.iloc[kept_masks(flat, limit)]
+
+    if limit < 1:
+        # an empty mask overlaps none, so it keeps a name of its own
+        pixels = F.aggregate(counts, F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct((a["i"] + 1).alias("i"), (a["n"] + a["i"] % 2 * x).cast("long").alias("n")))["n"]
+        order = F.struct(F.col(score).isNull() | F.coalesce(F.isnan(F.col(score).cast("double")), F.lit(False)), -F.col(score), F.col(identity))
+        best = df.groupBy(*by, counts, height, width, F.when(pixels == 0, F.col(identity)).alias("__own")).agg(F.min_by(F.struct(*[c for c in df.columns if c not in (*by, counts, height, width)]), order).alias("__x"))
+        df = best.select(*by, counts, height, width, "__x.*").select(*df.columns)
     return spread(df, *by).groupBy(*by).applyInPandas(one, df.schema)
 
 
