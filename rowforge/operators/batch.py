@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 import pyarrow as pa
@@ -125,23 +126,43 @@ def karmarkar_karp(weights: list[int], parts: int, equal: bool = False) -> list[
     A part is (weight, items, [(place, weight)]), and parts compare as such. The two partial solutions that differ most in
     their parts are joined first, of equally different ones those with the greatest part; the heavy parts of one join the light parts of the other.
     """
-    part = lambda i: (weights[i], 1, [(i, weights[i])])
     order = sorted(range(len(weights)), key=lambda i: (weights[i], i))
     if equal and len(weights) % parts:
         raise ValueError("parts of equal size need a number of items that divides")
     step = parts if equal else 1
+    empty = (0, 0, [])
     heap: list = []
 
+    # a state lists its parts with items, the lightest first; the others, up to `parts`, are empty and lighter than any of them
     def push(state: list) -> None:
-        state.sort(reverse=True)
-        heapq.heappush(heap, (state[-1][0] - state[0][0], _Last(state[0]), state))
+        least = state[0][0] if len(state) == parts else 0
+        heapq.heappush(heap, (least - state[-1][0], _Last(state[-1]), state))
+
+    def joined(a: list, b: list) -> list:
+        """The heaviest parts of one join the lightest of the other; parts that meet an empty one stay as they are."""
+        turned = len(a) < len(b)
+        if turned:
+            a, b = b, a
+        meet = len(a) + len(b) - parts
+        new = b
+        if meet > 0:
+            met = zip(reversed(b[:meet]), a[:meet]) if turned else zip(a[:meet], reversed(b[:meet]))  # the first state's items come first
+            new = b[meet:] + [(x[0] + y[0], x[1] + y[1], x[2] + y[2]) for x, y in met]
+            del a[:meet]
+        if len(new) > 16:
+            a += new
+            a.sort()
+        else:
+            for x in new:
+                bisect.insort(a, x)
+        return a
 
     for k in range(0, len(order), step):
-        push([part(i) for i in order[k : k + step]] + [(0, 0, [])] * (parts - step))
+        push(sorted((weights[i], 1, [(i, weights[i])]) for i in order[k : k + step]))
     while len(heap) > 1:
         (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        push([(x[0] + y[0], x[1] + y[1], x[2] + y[2]) for x, y in zip(a, reversed(b), strict=True)])
-    return [sorted(i for i, _ in p[2]) for p in heap[0][2]] if heap else [[] for _ in range(parts)]
+        push(joined(a, b))
+    return [sorted(i for i, _ in p[2]) for p in [*reversed(heap[0][2]), *[empty] * (parts - len(heap[0][2]))]] if heap else [[] for _ in range(parts)]
 
 
 def greedy_partition(weights: list[int], parts: int, equal: bool = False) -> list[list[int]]:
