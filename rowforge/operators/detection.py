@@ -10,12 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowforge.tables import written
 
+from .vision import alike, padded, spread
+
 # --- tracks and frames (V2) --------------------------------------------------------------------
 
 
@@ -45,31 +48,69 @@ def tube_overlaps(rows: DataFrame, by: list[str], track: str, frame: str, box: s
     return pairs.groupBy(*by, "a", "b").agg(F.max("score_a").alias("score_a"), F.max("score_b").alias("score_b"), F.try_divide(F.sum("inter"), F.sum("union")).alias("iou")).where("iou IS NOT NULL")
 
 
-def _greedy(table: pa.Table, ids: str) -> pa.Array:
-    """Which ids of conflicts (a, b, score_a, score_b) are suppressed: from the highest score on, ties by id, one that stays suppresses those it conflicts with."""
-    a, b = table["a"].to_numpy(), table["b"].to_numpy()
-    score = np.concatenate([np.nan_to_num(table[c].cast(pa.float64()).to_numpy(), nan=-np.inf) for c in ("score_a", "score_b")])
-    node, first, place = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)
-    i, j = place[: len(a)], place[len(a) :]
-    source, target = np.concatenate([i, j]), np.concatenate([j, i])
-    order = np.argsort(source, kind="stable")
-    target, off = target[order], np.searchsorted(source[order], np.arange(len(node) + 1))
-    gone = np.zeros(len(node), bool)
-    for k in np.argsort(-score[first], kind="stable"):  # ids are in order, so ties go by id
-        if not gone[k]:
-            gone[target[off[k] : off[k + 1]]] = True
-    return pa.array(node[gone])
+def _greedy(group: np.ndarray, a: np.ndarray, b: np.ndarray, score_a: np.ndarray, score_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, id) that are suppressed by conflicts (a, b) of groups: from the highest score on, ties by id, one that stays suppresses those it conflicts with.
+
+    All groups go on side by side: in a round, those that come before all others left in conflict with them stay. What a few long chains leave is done one by one.
+    """
+    score = np.nan_to_num(np.concatenate([score_a, score_b]), nan=-np.inf)
+    g, ident = np.concatenate([group, group]), np.concatenate([a, b])
+    order = np.lexsort((ident, g))
+    new = np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (ident[order][1:] != ident[order][:-1])]) if len(g) else np.zeros(0, bool)
+    place = np.zeros(len(g), int)
+    place[order] = np.cumsum(new) - 1
+    first = order[new]
+    by = np.lexsort((ident[first], -score[first], g[first]))
+    rank = np.zeros(len(first), int)
+    rank[by] = np.arange(len(first))
+    i, j = rank[place[: len(a)]], rank[place[len(a) :]]
+    i, j = np.minimum(i, j), np.maximum(i, j)  # nodes are named by their turn now
+    gone, stays = np.zeros(len(first), bool), np.zeros(len(first), bool)
+    for _ in range(64):
+        if not len(i):
+            break
+        waits = np.zeros(len(first), bool)
+        waits[j] = True
+        lead = ~waits[i]
+        stays[i[lead]] = True
+        gone[j[lead]] = True
+        left = ~(gone[i] | gone[j] | stays[i])
+        i, j = i[left], j[left]
+    if len(i):
+        at = np.argsort(i, kind="stable")
+        i, j = i[at], j[at]
+        node, off = np.unique(i, return_index=True)
+        for k, lo, hi in zip(node, off, np.append(off[1:], len(i)), strict=True):
+            if not gone[k]:
+                gone[j[lo:hi]] = True
+    out = first[by[gone]]
+    return g[out], ident[out]
 
 
 def suppressed(conflicts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, id) of what a greedy choice in each group drops; groups without conflicts aren't looked at."""
+    """(by, id) of what a greedy choice in each group drops; groups without conflicts aren't looked at, the others go to Python a batch at once."""
     schema = T.StructType([*[conflicts.schema[c] for c in by], T.StructField("__t", conflicts.schema["a"].dataType)])
 
-    def one(key: tuple, table: pa.Table) -> pa.Table:
-        gone = _greedy(table, "a")
-        return pa.table([*[pa.array([k.as_py()] * len(gone), k.type) for k in key], gone], names=[*by, "__t"])
-
-    return conflicts.select(*by, "a", "b", "score_a", "score_b").groupBy(*by).applyInArrow(one, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(len(by))
+            n, flat = x.value_lengths().to_numpy(), x.flatten()
+            a, b = (flat.field(c) for c in ("a", "b"))
+            score = [flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("score_a", "score_b")]
+            ids = pa.concat_arrays([a, b])
+            code = ids.dictionary_encode() if not pa.types.is_integer(ids.type) else None
+            if code is None:
+                num = ids.to_numpy()
+            else:  # by their order, as ties go by id
+                sort = pa.compute.sort_indices(code.dictionary).to_numpy()
+                turn = np.empty(len(sort), int)
+                turn[sort] = np.arange(len(sort))
+                num = turn[code.indices.to_numpy()]
+            g, t = _greedy(np.repeat(np.arange(len(n)), n), num[: len(a)], num[len(a) :], *score)
+            gone = pa.array(t, ids.type) if code is None else code.dictionary.take(pa.array(sort[t]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(g)) for c in range(len(by))], gone], names=schema.names)
+
+    return spread(conflicts.select(*by, "a", "b", "score_a", "score_b"), *by).groupBy(*by).agg(F.collect_list(F.struct("a", "b", "score_a", "score_b"))).mapInArrow(run, schema)
 
 
 def _without(rows: DataFrame, gone: DataFrame, by: list[str], track: str, box: str) -> DataFrame:
@@ -109,50 +150,56 @@ def _boxes(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 4)
 
 
-def _sizes(b: np.ndarray) -> np.ndarray:
-    return (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-
-
 def _overlap(p: np.ndarray, t: np.ndarray, crowd: np.ndarray) -> np.ndarray:
-    """IoU of predictions and truths; with a crowd, the share of the prediction that lies in it."""
-    w = np.minimum(p[:, None, 2], t[None, :, 2]) - np.maximum(p[:, None, 0], t[None, :, 0])
-    h = np.minimum(p[:, None, 3], t[None, :, 3]) - np.maximum(p[:, None, 1], t[None, :, 1])
+    """IoU of predictions (..., n, 4) and truths (..., m, 4); with a crowd, the share of the prediction that lies in it."""
+    w = np.minimum(p[..., :, None, 2], t[..., None, :, 2]) - np.maximum(p[..., :, None, 0], t[..., None, :, 0])
+    h = np.minimum(p[..., :, None, 3], t[..., None, :, 3]) - np.maximum(p[..., :, None, 1], t[..., None, :, 1])
     inter = np.maximum(w, 0) * np.maximum(h, 0)
-    own = _sizes(p)[:, None] + np.zeros(len(t))[None, :]
-    whole = np.where(crowd[None, :], own, own + _sizes(t)[None, :] - inter)
+    size = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
+    own = size(p)[..., :, None] + np.zeros(t.shape[-2])
+    whole = np.where(crowd[..., None, :], own, own + size(t)[..., None, :] - inter)
     return np.divide(inter, whole, out=np.zeros_like(inter), where=whole > 0)
 
 
-def match_image(p: np.ndarray, t: np.ndarray, area: np.ndarray, crowd: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Codes (prediction, area range, level) of predictions, best first: 1 a hit, 0 a false one, 2 not counted.
+def match_images(p: np.ndarray, t: np.ndarray, area: np.ndarray, crowd: np.ndarray, n: np.ndarray, m: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Codes (image, prediction, area range, level) of the n predictions of each image, best first, and its m truths: 1 a hit, 0 a false one, 2 not counted.
 
     A prediction takes the free truth it overlaps most, the last of equals; truths outside the range and crowds are taken only if no other reaches
     the level, and then it isn't counted. A crowd can be taken any number of times. Unmatched predictions outside the range don't count.
     """
-    lo, hi = (np.array([r[i] for r in AREAS.values()])[:, None] for i in (0, 1))
-    own = _sizes(p)
-    outside = (own[None, :] < lo) | (own[None, :] > hi)
-    codes = np.where(outside.T[:, :, None], 2, 0) + np.zeros((1, 1, len(levels)), int)
-    if not len(t):
+    lo, hi = (np.array([r[i] for r in AREAS.values()]) for i in (0, 1))
+    own = (p[..., 2] - p[..., 0]) * (p[..., 3] - p[..., 1])
+    codes = np.where((own[..., None] < lo) | (own[..., None] > hi), 2, 0)[..., None] + np.zeros(len(levels), int)
+    here = np.arange(t.shape[1])[None, :] < m[:, None]
+    if not here.any():
         return codes
-    ignored = crowd[None, :] | (area[None, :] < lo) | (area[None, :] > hi)
-    sim = _overlap(p, t, crowd)
-    free = np.ones((len(AREAS), len(levels), len(t)), bool)
-    want = np.minimum(levels, 1 - 1e-10)[None, :]
-    last = len(t) - 1
-    for d in np.flatnonzero(sim.max(1) >= want.min()):
-        hit = np.zeros(want.shape[1:], bool)
-        for stage, usable in ((1, free & ~ignored[:, None, :]), (2, (free | crowd[None, None, :]) & ignored[:, None, :])):
-            s = np.where(usable, sim[d], -1.0)
-            j = last - s[:, :, ::-1].argmax(2)
-            took = (np.take_along_axis(s, j[:, :, None], 2)[:, :, 0] >= want) & ~hit
-            codes[d][took] = stage
-            a, b = np.nonzero(took)
-            free[a, b, j[took]] = False
-            hit = hit | took
+    ignored = (crowd[:, None, :] | (area[:, None, :] < lo[:, None]) | (area[:, None, :] > hi[:, None]))[:, :, None, :]
+    sim = np.where(here[:, None, :], _overlap(p, t, crowd), -1.0)
+    free = np.ones((len(p), len(AREAS), len(levels), t.shape[1]), bool)
+    want = np.minimum(levels, 1 - 1e-10)[None, None, :]
+    last = t.shape[1] - 1
+    reach = (sim.max(2) >= want.min()) & (np.arange(p.shape[1])[None, :] < n[:, None])
+    for d in range(p.shape[1]):
+        k = np.flatnonzero(reach[:, d])
+        if not len(k):
+            continue
+        hit = np.zeros((len(k), len(AREAS), len(levels)), bool)
+        for stage, usable in ((1, free[k] & ~ignored[k]), (2, (free[k] | crowd[k][:, None, None, :]) & ignored[k])):
+            s = np.where(usable, sim[k, d][:, None, None, :], -1.0)
+            j = last - s[..., ::-1].argmax(3)
+            took = (np.take_along_axis(s, j[..., None], 3)[..., 0] >= want) & ~hit
+            i, x, y = np.nonzero(took)
+            codes[k[i], d, x, y] = stage
+            free[k[i], x, y, j[took]] = False
+            hit |= took
     return codes
 
 
+def match_image(p: np.ndarray, t: np.ndarray, area: np.ndarray, crowd: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """match_images for one image: codes (prediction, area range, level)."""
+    return match_images(p[None], t[None], area[None], crowd[None], np.array([len(p)]), np.array([len(t)]), levels)[0]
+
+
 def coco_matches(truths: DataFrame, predictions: DataFrame, image: str, cls: str, levels: list[float] | None = None) -> DataFrame:
     """(image, cls, prediction_id, score, place, codes): predictions matched within their image and class (V7).
 
@@ -170,7 +217,7 @@ def coco_matches(truths: DataFrame, predictions: DataFrame, image: str, cls: str
     p = good(predictions).where(F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double")))
     p = p.select(image, cls, F.struct((-F.col("score").cast("double")).alias("s"), "prediction_id", F.col("box").cast("array<double>").alias("box")).alias("x")).groupBy(image, cls).agg(F.slice(F.array_sort(F.collect_list("x")), 1, max(CAPS)).alias("predictions"))
     schema = T.StructType([truths.schema[image], truths.schema[cls], predictions.schema["prediction_id"], T.StructField("score", T.DoubleType()), T.StructField("place", T.IntegerType()), T.StructField("codes", T.BinaryType())])
-    names = schema.names
+    names, width = schema.names, len(AREAS) * len(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,13 +228,19 @@ def coco_matches(truths: DataFrame, predictions: DataFrame, image: str, cls: str
             area, crowd = (ts.field(c).to_numpy(zero_copy_only=False) if len(ts) else np.zeros(0) for c in ("area", "crowd"))
             crowd = crowd.astype(bool)
             pe, te = np.cumsum(n), np.cumsum(m)
-            codes = [match_image(pb[x - i : x], tb[y - j : y], area[y - j : y], crowd[y - j : y], at).astype(np.uint8).reshape(i, -1) for i, j, x, y in zip(n, m, pe, te, strict=True)]
             row = np.repeat(np.arange(b.num_rows), n)
             place = np.arange(len(row)) - np.repeat(pe - n, n)
-            flat = [c.tobytes() for x in codes for c in x]
+            codes = np.zeros((len(row), width), np.uint8)
+            for k in alike(n, m * width, 1 << 19):
+                of = lambda x: padded(x, te[k] - m[k], m[k])  # noqa: B023, E731
+                got = match_images(padded(pb, pe[k] - n[k], n[k]), of(tb), of(area), of(crowd), n[k], m[k], at)
+                rows = np.repeat(pe[k] - n[k], n[k]) + np.arange(n[k].sum()) - np.repeat(np.cumsum(n[k]) - n[k], n[k])
+                codes[rows] = got[np.arange(got.shape[1])[None, :] < n[k][:, None]].reshape(-1, width)
+            flat = [c.tobytes() for c in codes]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), ps.field("prediction_id"), pa.array(-ps.field("s").to_numpy(zero_copy_only=False)), pa.array(place.astype(np.int32)), pa.array(flat, pa.binary())], names=names)
 
-    return p.join(t, [image, cls], "left").select(image, cls, "predictions", "truths").mapInArrow(run, schema)
+    # an image's boxes are few bytes and dear, so images are spread; a batch of them is matched at once
+    return spread(p.join(t, [image, cls], "left").select(image, cls, "predictions", "truths"), image, cls).mapInArrow(run, schema)
 
 
 def _truth_counts(truths: DataFrame, cls: str) -> DataFrame:
