@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .detection import LEVELS, _boxes, _overlap
-from .vision import assign
+from .vision import alike, assign_many, padded, spread
 
 _E = 1e-4
 
@@ -35,15 +35,13 @@ def demo_images(images: DataFrame, truths: DataFrame, predictions: DataFrame, im
     level = T.StructType([T.StructField("level", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("tp", "fp", "fn")], T.StructField("f1", T.DoubleType())])
     schema = T.StructType([images.schema[image], T.StructField("annotator", T.StringType()), T.StructField("n_gt", T.LongType()), T.StructField("n_pred", T.LongType()), T.StructField("j", T.DoubleType()), T.StructField("f1", T.DoubleType()), T.StructField("counts", T.ArrayType(level))])
 
-    def one(d: np.ndarray, g: np.ndarray, crowd: np.ndarray) -> tuple:
-        if not len(d) and not len(g):
+    def outcome(got: np.ndarray | None, n: int, m: int) -> tuple:
+        if not n and not m:
             return None, None, None
-        i, j = assign(-_overlap(d, g, crowd)) if len(d) and len(g) else (np.zeros(0, int), np.zeros(0, int))
-        got = _overlap(d, g, crowd)[i, j] if len(i) else np.zeros(0)
+        tps = (got[:, None] >= np.array(at)).sum(0).tolist() if len(got) else [0] * len(at)
         out = []
-        for lv in at:
-            tp = int((got >= lv).sum())
-            fp, fn = len(d) - tp, len(g) - tp
+        for lv, tp in zip(at, tps, strict=True):
+            fp, fn = n - tp, m - tp
             pr, rc = tp / (tp + fp + _E), tp / (tp + fn + _E)
             out.append({"level": lv, "tp": tp, "fp": fp, "fn": fn, "f1": 2 * pr * rc / (pr + rc + _E)})
         return (float(got.mean()) if len(got) else None), float(np.mean([x["f1"] for x in out])), out
@@ -54,11 +52,21 @@ def demo_images(images: DataFrame, truths: DataFrame, predictions: DataFrame, im
             ps, ts = b.column(2).flatten(), b.column(3).flatten()
             pb, tb = (_boxes(x.field("box")) if len(x) else np.zeros((0, 4)) for x in (ps, ts))
             crowd = ts.field("crowd").to_numpy(zero_copy_only=False).astype(bool) if len(ts) else np.zeros(0, bool)
-            found = [one(pb[x - i : x], tb[y - j : y], crowd[y - j : y]) for i, j, x, y in zip(n, m, np.cumsum(n), np.cumsum(m), strict=True)]
+            p_off, t_off = np.cumsum(n) - n, np.cumsum(m) - m
+            got: list = [np.zeros(0)] * b.num_rows
+            for k in alike(n, m):
+                if n[k].max() and m[k].max():
+                    of = lambda x: padded(x, t_off[k], m[k])  # noqa: B023, E731
+                    sim = _overlap(padded(pb, p_off[k], n[k]), of(tb), of(crowd))
+                    to = assign_many(-sim, n[k], m[k])
+                    best = np.take_along_axis(sim, np.maximum(to, 0)[:, :, None], 2)[:, :, 0]
+                    for i, row in enumerate(k):
+                        got[row] = best[i, to[i] >= 0]
+            found = [outcome(x, int(i), int(j)) for x, i, j in zip(got, n, m, strict=True)]
             kind = pa.list_(pa.struct([("level", pa.float64()), ("tp", pa.int64()), ("fp", pa.int64()), ("fn", pa.int64()), ("f1", pa.float64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], kind)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows, image).mapInArrow(run, schema)
 
 
 def demo_best(scored: DataFrame, image: str, annotators: list[str]) -> DataFrame:
