@@ -159,18 +159,36 @@ def cosine(x: np.ndarray) -> np.ndarray:
     return y @ y.T
 
 
+#: Cells of a matrix of cosines that are held at a time.
+_COSINES = 1 << 22
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
+
+
+def _blocks(n: int) -> list[slice]:
+    step = max(1, _COSINES // max(n, 1))
+    return [slice(i, min(i + step, n)) for i in range(0, n, step)]
+
+
 def max_min_select(x: np.ndarray, k: int) -> np.ndarray:
     """DivPrune: first the row that is farthest from its nearest one, then the one farthest from those chosen."""
     if k >= len(x):
         return np.arange(len(x))
-    d = 1 - cosine(x)
-    off = d + np.diag(np.full(len(x), np.inf))
-    chosen = [int(off.min(1).argmax())]
-    near = d[chosen[0]].copy()
+    y = unit(x)
+    nearest = np.empty(len(x))
+    for rows in _blocks(len(x)):
+        d = 1 - y[rows] @ y.T
+        d[np.arange(len(d)), np.arange(rows.start, rows.stop)] = np.inf
+        nearest[rows] = d.min(1)
+    chosen = [int(nearest.argmax())]
+    near = 1 - y @ y[chosen[0]]
     while len(chosen) < k:
         near[chosen] = -np.inf
         chosen.append(int(near.argmax()))
-        near = np.minimum(near, d[chosen[-1]])
+        near = np.minimum(near, 1 - y @ y[chosen[-1]])
     return np.sort(chosen)
 
 
@@ -178,14 +196,13 @@ def coverage_select(x: np.ndarray, k: int, weight: np.ndarray | None = None) ->
     """Greedy gain in coverage: the sum over rows of their greatest similarity to a chosen one, times a weight."""
     if k >= len(x):
         return np.arange(len(x))
-    s = np.maximum(cosine(x), 0)
-    w = np.ones(len(x)) if weight is None else weight
+    y, w = unit(x), np.ones(len(x)) if weight is None else weight
     covered, chosen = np.zeros(len(x)), []
     for _ in range(k):
-        gain = np.maximum(s - covered[None, :], 0).sum(1) * w
+        gain = np.concatenate([np.maximum(y[rows] @ y.T - covered[None, :], 0).sum(1) for rows in _blocks(len(x))]) * w  # covered is never below 0
         gain[chosen] = -np.inf
         chosen.append(int(gain.argmax()))
-        covered = np.maximum(covered, s[chosen[-1]])
+        covered = np.maximum(covered, y @ y[chosen[-1]])
     return np.sort(chosen)
 
 
@@ -193,14 +210,14 @@ def signed_coverage_select(x: np.ndarray, k: int) -> np.ndarray:
     """MMTok: first the row with the greatest sum of cosines, then the greatest gain in coverage; negative cosines count."""
     if k >= len(x):
         return np.arange(len(x))
-    s = cosine(x)
-    chosen = [int(s.sum(0).argmax())]
-    covered = s[:, chosen[0]].copy()
+    y = unit(x)
+    chosen = [int(np.concatenate([(y[rows] @ y.T).sum(1) for rows in _blocks(len(x))]).argmax())]
+    covered = y @ y[chosen[0]]
     while len(chosen) < k:
-        gain = np.maximum(covered[:, None], s).sum(0) - covered.sum()
+        gain = np.concatenate([np.maximum(covered[None, :], y[rows] @ y.T).sum(1) for rows in _blocks(len(x))]) - covered.sum()
         gain[chosen] = -np.inf
         chosen.append(int(gain.argmax()))
-        covered = np.maximum(covered, s[:, chosen[-1]])
+        covered = np.maximum(covered, y @ y[chosen[-1]])
     return np.sort(chosen)
 
 
