@@ -4,8 +4,11 @@
 2. Candidates: two sets at the threshold share `least` (4) of the first n - ceil(threshold * n) + least
    shingles of each, in any order common to all (all of a smaller set's, if it has too few). The order is by rising
    frequency, so that shingles of frequent lines and passages come last; frequencies are those of 2^SKETCH_BITS
-   hash bins, counted over all rows and broadcast (8 MB at any input). Pairs of sets under a shingle of up to LIGHT sets are
-   counted, and those that share enough shingles are candidates; under a shingle of more, all are
+   hash bins, counted over all rows and broadcast (8 MB at any input). On large tables bins blur, and frequent shingles get among
+   the first: a first round counts the first shingles of all sets, twice as many as are needed, and those of over CROWDED sets come last
+   in the second one (a table of 2^MARK_BITS bits, 8 MB at any input). Pairs of sets under a shingle of up to LIGHT sets are
+   counted, and those that share enough shingles are candidates if their sizes and the counts of their shingles by hash bucket, which
+   bound the overlap, allow a link; under a shingle of more, all are
    connected to one of them, so its cost grows with its sets and not their pairs. Connected candidates form clusters.
 3. A cluster's sets are dealt into blocks of bounded size, by size and hash; pairs of blocks whose sizes can
    match are compared. In a task, sets that look alike form groups, the matrix of
@@ -44,6 +47,10 @@ BLOCK_TOKENS, LEAST_TOKENS, GROUP_SETS = 1_000_000, 500, 32
 HELD_ROWS = 2_000_000
 #: Shingles that candidates share at least; sets under a shingle up to which pairs are counted; bits of frequency bins.
 LEAST_SHARED, LIGHT, SKETCH_BITS = 4, 64, 21
+#: Sets from which a shingle among their first ones comes last; bits that mark such shingles, and bits that part them into groups.
+CROWDED, MARK_BITS, PART_BITS = 16, 26, 12
+#: Hash buckets of small and large sets, and shingles from which a set is large.
+FEW_BUCKETS, MANY_BUCKETS, LARGE = 64, 256, 1000
 U = np.uint64
 
 
@@ -64,6 +71,10 @@ class Threshold:
     def needed(self, n):
         return min(LEAST_SHARED, self.common(n))
 
+    def links_others(self, n):
+        """Whether a set of n can link with any but its equals: at best with one of a single shingle more."""
+        return self.den * n >= self.num * (n + 1)
+
 
 def shingle_sets(x: C.Texts, size: int) -> Iterator[np.ndarray]:
     """Each row's distinct shingle hashes, in order."""
@@ -84,9 +95,18 @@ def _digest(s: np.ndarray) -> int:
     return int(C.mix(total).view(np.int64)[0])
 
 
+def buckets(s: np.ndarray) -> bytes | None:
+    """How many of a set's shingles are in each hash bucket, in a byte each; null where they don't fit."""
+    n = np.bincount((s & U(MANY_BUCKETS - 1)).astype(np.int64), minlength=MANY_BUCKETS)
+    if len(s) < LARGE:
+        n = n.reshape(-1, FEW_BUCKETS).sum(0)  # the bucket by the lower bits of the hash
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
+
+
 def _members(documents: DataFrame, size: int) -> DataFrame:
-    """(id, n_shingles, node, bins): a row each of documents (id, text), and one a task with the counts of hash bins and its number as n_shingles."""
-    schema = T.StructType([T.StructField("id", documents.schema["id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bins", T.BinaryType())])
+    """(id, n_shingles, node, buckets, bins): a row each of documents (id, text), and one a task with the counts of hash bins and its number as n_shingles."""
+    binary = [T.StructField("buckets", T.BinaryType()), T.StructField("bins", T.BinaryType())]
+    schema = T.StructType([T.StructField("id", documents.schema["id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), *binary])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +116,10 @@ def _members(documents: DataFrame, size: int) -> DataFrame:
             for x in C.texts(b.column(1)):
                 sets = list(shingle_sets(x, size))
                 bins += np.bincount((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(x.lo, len(x)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(x), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x.lo, len(x)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.int64()), pa.array([buckets(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(x), pa.binary())], names=names)
         if kind is not None and bins.any():
             task = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([task], pa.int64()), pa.nulls(1, pa.int64()), pa.array([_packed(bins)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([task], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([_packed(bins)], pa.binary())], names=names)
 
     return documents.mapInArrow(run, schema)
 
@@ -125,10 +145,62 @@ def _frequencies(parts: DataFrame) -> np.ndarray:
     return np.frombuffer(rows[0]["bins"], "<u4") if rows else np.zeros(1 << SKETCH_BITS, "<u4")
 
 
-def _first_shingles(s: np.ndarray, t: Threshold, frequency: np.ndarray) -> np.ndarray:
-    """The set's rarest shingles, as many as its prefix takes; equal frequencies by hash."""
+def _first_shingles(s: np.ndarray, t: Threshold, frequency: np.ndarray, marks: np.ndarray | None = None, times: int = 1) -> np.ndarray:
+    """The set's rarest shingles, `times` as many as its prefix takes; marked ones last, equal frequencies by hash."""
     rank = frequency[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
-    return s[np.argsort(rank, kind="stable")[: t.prefix(len(s))]]
+    if marks is not None:
+        at = _mixed(s) >> np.uint32(32 - MARK_BITS)
+        rank = rank + ((marks[at >> np.uint32(3)] >> (at & np.uint32(7)).astype(np.uint8)) & np.uint8(1)).astype(np.int64) * 2**32
+    return s[np.argsort(rank, kind="stable")[: times * t.prefix(len(s))]]
+
+
+def _mixed(s: np.ndarray) -> np.ndarray:
+    """32 bits of each shingle, others than those that name its frequency bin."""
+    return (C.mix(s * C.GRAM_KEYS[43]) >> U(32)).astype(np.uint32)
+
+
+def _crowded(documents: DataFrame, text_col: str, size: int, t: Threshold, frequency: np.ndarray) -> np.ndarray:
+    """2^MARK_BITS bits, set for the shingles that more than CROWDED sets have among their first ones by frequency bins.
+
+    Twice the prefix is counted: unless over half of it is marked, what moves up in place of marked shingles was counted too. Shingles are counted by 32 bits of their hash, in 2^PART_BITS groups; those that share a bit with a marked one count as marked.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(frequency)
+    width = 1 << (MARK_BITS - PART_BITS)  # bits of a group
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, seen, held = [], set(), 0
+
+        def flush():
+            x = np.sort(np.concatenate(firsts))
+            part = x >> np.uint32(32 - PART_BITS)
+            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            return pa.RecordBatch.from_arrays([pa.array(part[at].astype(np.int32)), pa.array([v.tobytes() for v in np.split(x, at[1:])], pa.binary())], names=["part", "items"])
+
+        for b in batches:
+            for x in C.texts(b.column(0)):
+                for s in shingle_sets(x, size):
+                    if t.links_others(len(s)) and (node := _digest(s)) not in seen:
+                        seen.add(node)
+                        firsts.append(_mixed(_first_shingles(s, t, shared.value, times=2)))
+                        held += len(firsts[-1])
+                if held >= HELD_ROWS:
+                    yield flush()
+                    firsts, seen, held = [], set(), 0
+        if held:
+            yield flush()
+
+    def mark(key: tuple, rows: pa.Table) -> pa.Table:
+        found, n = np.unique(np.concatenate([np.frombuffer(v.as_buffer(), np.uint32) for v in rows["items"]]), return_counts=True)
+        bits = np.zeros(width, np.uint8)
+        bits[(found[n > CROWDED] >> np.uint32(32 - MARK_BITS)) & np.uint32(width - 1)] = 1
+        some = [key[0].as_py()] if bits.any() else []
+        return pa.table({"part": pa.array(some, pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()] * len(some), pa.binary())})
+
+    counted = documents.select(F.col(text_col).alias("text")).mapInArrow(emit, "part int, items binary").groupBy("part").applyInArrow(mark, "part int, bits binary")
+    marks = np.zeros((1 << PART_BITS, width // 8), np.uint8)
+    for r in counted.collect():  # 2^MARK_BITS bits at most
+        marks[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return marks.ravel()
 
 
 def _own_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,9 +259,9 @@ def _pairs(key: np.ndarray, node: np.ndarray, needed: np.ndarray, hub: int | Non
     return (a[at], b[at], np.add.reduceat(n, at), np.minimum.reduceat(need, at)) if len(at) else (a, b, n, need)
 
 
-def _candidates(documents: DataFrame, text_col: str, size: int, t: Threshold, frequency: np.ndarray) -> DataFrame:
-    """Edges (a, b) between nodes that share enough of their first shingles, or one that is too frequent to count pairs under."""
-    shared = documents.sparkSession.sparkContext.broadcast(frequency)
+def _candidates(documents: DataFrame, text_col: str, size: int, t: Threshold, frequency: np.ndarray, marks: np.ndarray | None = None) -> DataFrame:
+    """Edges (a, b, needed) between nodes that share enough of their first shingles, or one that is too frequent to count pairs under; there needed is 1."""
+    shared, marked = (documents.sparkSession.sparkContext.broadcast(x) for x in (frequency, marks))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, needs, held = [], [], [], 0
@@ -201,8 +273,8 @@ def _candidates(documents: DataFrame, text_col: str, size: int, t: Threshold, fr
         for b in batches:
             for x in C.texts(b.column(0)):
                 for s in shingle_sets(x, size):
-                    if len(s):
-                        keys.append(k := _first_shingles(s, t, shared.value))
+                    if t.links_others(len(s)):
+                        keys.append(k := _first_shingles(s, t, shared.value, marked.value))
                         nodes.append(np.full(len(k), _digest(s)))
                         needs.append(np.full(len(k), t.needed(len(s)), np.int8))
                         held += len(k)
@@ -213,7 +285,34 @@ def _candidates(documents: DataFrame, text_col: str, size: int, t: Threshold, fr
             yield flush()
 
     rows = documents.select(F.col(text_col).alias("text")).mapInArrow(emit, "key long, node long, needed byte")
-    return collisions(rows).where("shared >= needed").select("a", "b")
+    return collisions(rows).where("shared >= needed").where("a <> b").select("a", "b", "needed")
+
+
+def _can_link(t: Threshold, a: np.ndarray, b: np.ndarray, x: list[bytes | None], y: list[bytes | None]) -> np.ndarray:
+    """Whether sets of sizes a and b can link, by size and by the least counts of their buckets."""
+    ok = (t.den * np.minimum(a, b) >= t.num * np.maximum(a, b))
+    for i in np.flatnonzero(ok):
+        if x[i] is not None and y[i] is not None:
+            u, v = np.frombuffer(x[i], np.uint8).astype(np.int64), np.frombuffer(y[i], np.uint8).astype(np.int64)
+            if len(u) != len(v):
+                u, v = (w.reshape(-1, FEW_BUCKETS).sum(0) for w in (u, v))
+            most = int(np.minimum(u, v).sum())
+            ok[i] = t.den * most >= t.num * (int(a[i]) + int(b[i]) - most)
+    return ok
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
+    """(a, b) of the pairs (a, b, needed) that can link by what is known of nodes (node, n, buckets); pairs under a frequent shingle (needed = 1) stay, as they stand for others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ok = _can_link(t, b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_pylist(), b.column(5).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok)) for i in range(2)], names=["a", "b"])
+
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("buckets").alias(f"of{end}"))
+    known = pairs.where("needed > 1").select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "ofa", "ofb")
+    return known.mapInArrow(run, "a long, b long").unionByName(pairs.where("needed = 1").select("a", "b"))
 
 
 def collisions(rows: DataFrame) -> DataFrame:
@@ -358,9 +457,12 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     t = Threshold(*threshold)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     both = C.cut(_members(docs, size), "jaccard-members")
-    members = both.where("bins is null").drop("bins")
+    members = both.where("bins is null").drop("bins", "buckets")
     frequency = _frequencies(both.where("bins is not null").select(F.col("n_shingles").alias("task"), "bins"))
-    clusters = components(C.cut(_candidates(docs, "text", size, t, frequency), "jaccard-candidates"), "jaccard-clusters")
+    marks = _crowded(docs, "text", size, t, frequency)
+    pairs = C.cut(_candidates(docs, "text", size, t, frequency, marks), "jaccard-pairs")
+    alike = both.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
+    clusters = components(C.cut(_bounded(pairs, alike, t), "jaccard-candidates"), "jaccard-clusters")
     nodes = members.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
     held = nodes.join(clusters, "node").withColumn("w", F.greatest("n", F.lit(LEAST_TOKENS))).withColumn("octave", F.floor(F.log("n") / math.log(t.den / t.num)).cast("int"))
     octaves = held.groupBy("comp", "octave").agg(F.ceil(F.sum("w") / block_tokens).cast("int").alias("blocks"))
