@@ -9,6 +9,7 @@ that all executors share.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -54,6 +55,23 @@ def _drop_later(spark: SparkSession, path: str) -> None:
     atexit.register(drop)
 
 
+#: Part of the driver's largest heap that may be in use, and half the part that may be taken, before the leavings of finished jobs are collected.
+HEAP_SHARE = 0.25
+
+
+def let_go(spark: SparkSession) -> None:
+    """Collect what finished jobs left in the driver's heap, if more than HEAP_SHARE of it is in use or twice that is taken from the machine.
+
+    A job broadcasts its tasks, the settings of its scans and small tables, in chunks of 4 MB and pages of 1 MB. They outlive
+    collections of young objects, and Spark asks for a whole one twice an hour only, so rows of short jobs grow the heap towards its limit.
+    """
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    taken, most = heap.totalMemory(), HEAP_SHARE * heap.maxMemory()
+    if taken - heap.freeMemory() > most or taken > 2 * most:
+        gc.collect()  # plans that Python holds in cycles
+        spark._jvm.java.lang.System.gc()
+
+
 def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so that lost executors can reread it."""
     spark = df.sparkSession
@@ -61,6 +79,7 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     _drop_later(spark, path)
+    let_go(spark)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[id(table)] = (weakref.ref(table), path)
     return table
